@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barframe.functions.windows import Keys, safe, series
 from barframe.operators import indicators as I
@@ -71,7 +72,7 @@ def spread_state_signals(
     """Short, flat or long on the spread. The next state depends on the current one, so each
     pair's bars (one per date) are walked in order."""
     z = with_log_ratio_z(df, lookback, keys, order).select(*keys, order, "zscore")
-    out = z.schema
+    out = StructType(list(z.schema.fields))
     for name, kind in (("state", "integer"), ("entry", "boolean"), ("exit", "boolean")):
         out = out.add(name, kind)
 

@@ -39,9 +39,9 @@ def month_end(spark, sf):
     return rounded(B.month_end(T.bars(spark, sf, "day")), 8, "close")
 
 
-@query("j1_aligned_panel", "SELECT ts, pos, asset, asset_ord, round(close, 8) AS close FROM panel_d")
+@query("j1_aligned_panel", "SELECT ts, pos, asset, asset_ord, round(close, 5) AS close FROM panel_d")
 def panel(spark, sf):
-    return rounded(T.panel(spark, sf).drop("universe_id", "n_assets"), 8, "close")
+    return rounded(T.panel(spark, sf).drop("universe_id", "n_assets"), 5, "close")
 
 
 @query("p2_p3_history_gate", """

@@ -63,3 +63,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def rounded(df: DataFrame, places: int, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
+
+
+def settled(df: DataFrame, places: int, *names: str) -> DataFrame:
+    """Round values that often end in an exact half (means of cents): moved a little above the
+    half first, so that both engines go the same way."""
+    nudge = 10.0 ** -(places + 3)
+    return df.withColumns({n: F.round(F.col(n) + nudge, places) for n in names})
