@@ -7,6 +7,7 @@ The cdf is the rational approximation of Hart (1968) as given by West (2005), go
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,7 +36,13 @@ def _poly(coef: tuple[float, ...], x: Column) -> Column:
     return out
 
 
-def norm_cdf(x: Column) -> Column:
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once. These formulas use their argument dozens of times; written out
+    in place they would overflow the size limit of generated code."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _cdf(x: Column) -> Column:
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _poly(CDF_NUM, a) / _poly(CDF_DEN, a)
@@ -44,21 +51,32 @@ def norm_cdf(x: Column) -> Column:
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
+def norm_cdf(x: Column) -> Column:
+    return _let(x, _cdf)
+
+
 def two_sided_p(z: Column) -> Column:
     """Two-sided normal tail."""
     return 2 * norm_cdf(-F.abs(z))
 
 
-def norm_ppf(p: Column) -> Column:
-    """Inverse normal cdf for 0 < p < 1."""
+def _ppf_start(p: Column) -> Column:
     low = F.sqrt(-2 * F.ln(p))
     high = F.sqrt(-2 * F.ln(1 - p))
     q = p - 0.5
     r = q * q
-    x = (
+    return (
         F.when(p < INV_TAIL, _poly(INV_C, low) / _poly(INV_D, low))
         .when(p > 1 - INV_TAIL, -_poly(INV_C, high) / _poly(INV_D, high))
         .otherwise(_poly(INV_A, r) * q / _poly(INV_B, r))
     )
-    u = (norm_cdf(x) - p) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
-    return x - u / (1 + x * u / 2)
+
+
+def norm_ppf(p: Column) -> Column:
+    """Inverse normal cdf for 0 < p < 1."""
+
+    def refine(x: Column) -> Column:
+        err = (norm_cdf(x) - p) * math.sqrt(2 * math.pi) * F.exp(x * x / 2)
+        return _let(err, lambda u: x - u / (1 + x * u / 2))
+
+    return _let(_let(p, _ppf_start), refine)

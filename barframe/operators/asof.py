@@ -9,20 +9,20 @@ from barframe.functions.windows import Keys, safe, series
 
 
 def asof_values(
-    obs: DataFrame, dates: DataFrame, lag_days: int | Column, series_key: str = "series_id"
+    obs: DataFrame, wanted: DataFrame, lag_days: int | Column, series_key: str = "series_id"
 ) -> DataFrame:
-    """For each series and date, the latest observation available by then.
+    """For each wanted (series, ts), the latest observation available by then.
 
-    obs(series, obs_date, value) becomes available lag_days after its date; dates(ts) are the
-    wanted dates. Observations and dates are one ordered stream per series and the last value
-    is carried forward, so there is no range join. A series holds one row per observation and
-    date, which the calendar bounds.
+    obs(series, obs_date, value) becomes available lag_days after its date. Observations and
+    wanted dates are one ordered stream per series and the last value is carried forward, so
+    there is no range join. A series holds one row per observation and date, which the calendar
+    bounds.
     """
     available = F.date_add("obs_date", F.lit(lag_days) if isinstance(lag_days, int) else lag_days)
     facts = obs.filter(F.col("value").isNotNull() & ~F.isnan("value")).select(
         series_key, available.alias("ts"), F.lit(0).alias("_wanted"), "obs_date", "value"
     )
-    asked = obs.select(series_key).distinct().crossJoin(dates.select("ts").distinct()).select(
+    asked = wanted.select(
         series_key, "ts", F.lit(1).alias("_wanted"),
         F.lit(None).cast("date").alias("obs_date"), F.lit(None).cast("double").alias("value"),
     )

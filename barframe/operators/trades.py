@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,13 @@ def indexed(df: DataFrame, keys: Keys = ASSET, order: str = "ts") -> DataFrame:
 
 def stop_trades(
     prepared: DataFrame,
-    grid: DataFrame,
+    settings: Sequence[tuple[str, float, float]],
     side: str = "long",
     keys: Keys = ASSET,
     order: str = "ts",
     horizon: int = HORIZON,
 ) -> DataFrame:
-    """Trades of each series under each stop setting of grid(param_id, sl_atr, trail_atr).
+    """Trades of each series under each stop setting (param_id, sl_atr, trail_atr).
 
     prepared has open, high, low, close, atr and raw_entry. A signal on bar i fills at the next
     open. Where a fill would exit depends on that fill alone, so all candidates are followed at
@@ -35,6 +37,12 @@ def stop_trades(
     short list per series and setting.
     """
     long = side == "long"
+    grid = F.array(*[
+        F.struct(
+            F.lit(name).alias("param_id"), F.lit(sl).alias("sl_atr"), F.lit(trail).alias("trail_atr")
+        )
+        for name, sl, trail in settings
+    ])
     bars = indexed(
         prepared.select(*keys, order, "open", "high", "low", "close", "atr", "raw_entry"), keys, order
     )
@@ -48,7 +56,7 @@ def stop_trades(
             *keys, F.col("i").alias("signal_i"), F.col(order).alias("signal_ts"), "fill", "fill_ts",
             F.col("atr").alias("entry_atr"), "last_i",
         )
-        .crossJoin(grid.select("param_id", "sl_atr", "trail_atr"))
+        .select("*", F.inline(grid))
         .withColumn("fill_i", F.col("signal_i") + 1)
         .withColumn("_b0", F.floor(F.col("fill_i") / horizon).cast("int"))
     )

@@ -140,13 +140,20 @@ FAMILY_RUNS = (
 )
 
 
-def carry_for_panel(spark, sf, panel):
-    """Five monthly series stand for the five assets in order, less their cross-asset base."""
+def rates_on_panel(spark, sf, panel):
+    """What is known of each of the five monthly series on each panel date; the series stand
+    for the five assets in order."""
     rates = T.rates(spark, sf)
     names = Window.partitionBy(F.lit(1)).orderBy("series_id")
     order = rates.select("series_id").distinct().withColumn("asset_ord", F.row_number().over(names) - 1)
-    assets = panel.filter("pos = 0").select("universe_id", "asset", "asset_ord")
-    known = A.asof_values(rates, panel.filter("asset_ord = 0").select("ts"), 60)
+    wanted = panel.join(order, "asset_ord").select("series_id", "ts")
+    return A.asof_values(rates, wanted, 60), order
+
+
+def carry_for_panel(spark, sf, panel):
+    """Carry of each asset: its series less the first series."""
+    known, order = rates_on_panel(spark, sf, panel)
+    assets = panel.filter("pos = 0").select("asset", "asset_ord")
     base = known.filter("series_id = '1-URGENT'").select("ts", F.col("known").alias("base"))
     carry = (
         known.join(order, "series_id").join(assets, "asset_ord").join(base, "ts")
@@ -263,15 +270,13 @@ def a4(spark, sf):
 
 @query("j2_asof_lagged_rates", "SELECT series_id, ts, round(known + 1e-7, 4) AS known FROM rates_asof")
 def j2(spark, sf):
-    dates = T.panel(spark, sf).filter("asset_ord = 0").select("ts")
-    return settled(A.asof_values(T.rates(spark, sf), dates, 60), 4, "known")
+    return settled(rates_on_panel(spark, sf, T.panel(spark, sf))[0], 4, "known")
 
 
 @query("j4_carry_differential", """SELECT k.series_id AS asset, k.ts, round(k.known - b.known + 1e-7, 4) AS carry
 FROM rates_asof k JOIN rates_asof b ON b.ts = k.ts AND b.series_id = '5-LOW' WHERE k.series_id <> '5-LOW'""")
 def j4(spark, sf):
-    dates = T.panel(spark, sf).filter("asset_ord = 0").select("ts")
-    known = A.asof_values(T.rates(spark, sf), dates, 60)
+    known = rates_on_panel(spark, sf, T.panel(spark, sf))[0]
     return settled(A.carry_panel(known, "5-LOW"), 4, "carry")
 
 
@@ -296,7 +301,7 @@ def macro_regime(spark, sf, panel):
     """Whether one monthly series rose over the last quarter, as known on each panel date."""
     series_one = T.rates(spark, sf).filter("series_id = '3-MEDIUM'")
     cal = panel.filter("asset_ord = 0").select("universe_id", "ts", "pos")
-    known = A.asof_values(series_one, cal.select("ts"), 60)
+    known = A.asof_values(series_one, cal.select(F.lit("3-MEDIUM").alias("series_id"), "ts"), 60)
     return A.expansion_regime(known, 63).join(cal, "ts")
 
 

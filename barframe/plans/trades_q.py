@@ -12,8 +12,8 @@ from barframe.plans.series_q import W, nation_bars, roll
 COSTS = (0.0, 2.0, 5.0, 10.0, 20.0)
 
 
-def grid(spark, *rows):
-    return spark.createDataFrame(list(rows), "param_id string, sl_atr double, trail_atr double")
+ONE = (("t1", 1.0, 3.0),)
+TWO = (("t1", 1.0, 3.0), ("t2", 2.0, 4.0))
 
 
 def prepared(spark, sf, side="long"):
@@ -22,8 +22,7 @@ def prepared(spark, sf, side="long"):
 
 
 def trades(spark, sf, side="long", horizon=Tr.HORIZON):
-    g = grid(spark, ("t1", 1.0, 3.0), ("t2", 2.0, 4.0))
-    return Tr.stop_trades(prepared(spark, sf, side), g, side, horizon=horizon)
+    return Tr.stop_trades(prepared(spark, sf, side), TWO, side, horizon=horizon)
 
 
 for _side, _agg, _col, _cmp in (("long", "min", "low", "<="), ("short", "max", "high", ">=")):
@@ -146,7 +145,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY asset, param_id ORDER BY entry_t
   FROM tr_long) t WHERE rn = 1""")
 def v17(spark, sf):
     p = prepared(spark, sf)
-    t = Tr.stop_trades(p, grid(spark, ("t1", 1.0, 3.0), ("t2", 2.0, 4.0)))
+    t = Tr.stop_trades(p, TWO)
     return rounded(Tr.open_stops(t, p), 6, "entry_price", "hard_stop", "trailing_stop", "active_stop")
 
 
@@ -155,7 +154,7 @@ def yearly_trades(spark, sf):
     bars = nation_bars(spark, sf).withColumn("year", F.year("ts"))
     keys = ("asset", "year")
     p = S.trend_pullback_entry(bars, "long", 5, 4, 1, 3, keys=keys)
-    return Tr.with_costs(Tr.stop_trades(p, grid(spark, ("t1", 1.0, 3.0)), keys=keys), 10.0)
+    return Tr.with_costs(Tr.stop_trades(p, ONE, keys=keys), 10.0)
 
 
 def _year(sql: str) -> str:
@@ -231,7 +230,7 @@ def window_results(spark, sf):
     rows = bars.join(spans, "asset").filter((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b"))).drop("i", "a", "b")
     keys = ("asset", "window", "part")
     p = S.trend_pullback_entry(rows, "long", 5, 4, 1, 3, keys=keys)
-    t = Tr.with_costs(Tr.stop_trades(p, grid(spark, ("t1", 1.0, 3.0)), keys=keys), 0.0)
+    t = Tr.with_costs(Tr.stop_trades(p, ONE, keys=keys), 0.0)
     m = Tr.r_metrics(t, keys)
 
     def of(side, col):
