@@ -94,3 +94,72 @@ def rates(spark: SparkSession, sf: str) -> DataFrame:
         )
         .agg(F.avg("o_totalprice").alias("value"))
     )
+
+
+# Fixed values for records derived from orders.
+LOG_ASSETS = ("AAA", "BBB", "CCC", "DDD", "EEE")
+LOG_FAMILIES = (
+    "cross_sectional_momentum", "dual_momentum", "equal_weight_trend", "time_series_momentum",
+    "volatility_scaled_momentum", "crisis_hedge", "cross_sectional_reversal", "fx_carry",
+)
+LOG_CHECKS = ("Benchmark comparison", "Drawdown sanity", "Portfolio walk-forward stability")
+
+
+def research_log(spark: SparkSession, sf: str) -> DataFrame:
+    """One log record per order."""
+    o = table(spark, sf, "orders")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    day = F.to_date("o_orderdate")
+    names = F.array(*[F.lit(a) for a in LOG_ASSETS])
+    families = F.array(*[F.lit(f) for f in LOG_FAMILIES])
+    pair = F.array(
+        F.get(names, (key % 5).cast("int")), F.get(names, ((key + 1 + cust % 4) % 5).cast("int"))
+    )
+    portfolio, stress = key % 3 != 0, key % 11 == 0
+    status = F.col("o_orderstatus")
+    failed = F.array_compact(F.array(
+        F.when(key % 2 == 0, LOG_CHECKS[0]), F.when(cust % 2 == 0, LOG_CHECKS[1]),
+        F.when(key % 3 == 0, LOG_CHECKS[2]),
+    ))
+    return o.select(
+        key.alias("record_id"),
+        F.date_format(day, "yyyy-MM-dd'T'00:00:00'Z'").alias("timestamp"),
+        F.when(stress, "stress").when(portfolio, "portfolio").otherwise("explore").alias("mode"),
+        (key % 7 == 0).alias("is_lockbox"),
+        F.when(portfolio, F.concat(F.lit("PORTFOLIO["), F.array_join(pair, ","), F.lit("]")))
+        .otherwise(pair[0]).alias("asset"),
+        F.when(portfolio, pair).otherwise(F.slice(pair, 1, 1)).alias("assets"),
+        F.get(families, (key % 8).cast("int")).alias("strategy_family"),
+        F.when(stress, F.when(status == "F", "ROBUST").otherwise("FRAGILE"))
+        .when(status == "F", "worth_paper_trading").when(status == "O", "needs_more_testing")
+        .otherwise("reject").alias("verdict"),
+        F.when(key % 5 == 0, F.when(key % 10 == 0, "winner").otherwise("train_loser")).alias("learning_status"),
+        failed.alias("failed_checks"),
+        F.when(key % 13 != 0, F.col("o_totalprice") / 200000 - 1).alias("sharpe_ratio"),
+        (F.col("o_totalprice") / 5000 - 40).alias("total_return_pct"),
+        F.lit(20.0).alias("buy_and_hold_pct"),
+        (F.col("o_totalprice") / 5000 - 40 > 20).alias("beats_benchmark"),
+        (-(cust % 70)).cast("double").alias("max_drawdown_pct"),
+        (key % 60).alias("num_trades"),
+        F.date_sub(day, 1500).alias("start_date"),
+        F.date_add(day, (cust % 500).cast("int")).alias("end_date"),
+        F.concat(F.lit("S"), (cust % 200).cast("string")).alias("slate_id"),
+        (20 + (cust % 4) * 21).alias("lookback"),
+        (1 + key % 2).alias("top_k"),
+        F.lit(21).alias("rebalance"),
+    )
+
+
+def paper_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """One paper position per customer of one segment."""
+    c = table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'")
+    key = F.col("c_custkey")
+    names = F.array(*[F.lit(a) for a in LOG_ASSETS])
+    families = F.array(*[F.lit(f) for f in LOG_FAMILIES])
+    lower = F.array(
+        F.lower(F.get(names, (key % 5).cast("int"))), F.get(names, ((key + 1 + key % 4) % 5).cast("int"))
+    )
+    return c.select(
+        key.alias("position_id"), F.get(families, (key % 9).cast("int")).alias("strategy_family"), lower.alias("assets"),
+        F.when(key % 2 == 0, "open").otherwise("closed").alias("status"),
+    )
