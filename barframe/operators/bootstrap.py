@@ -46,8 +46,8 @@ def resample(
     ).repartition(*keys, "_chunk")
     first = F.col("_chunk") * per_chunk
     each = chunked.withColumn(
-        "path", F.explode(F.sequence(first, F.least(first + per_chunk - 1, F.lit(paths - 1)))).cast("bigint")
-    )
+        "path", F.explode(F.sequence(first, F.least(first + per_chunk - 1, F.lit(paths - 1))))
+    ).withColumn("path", F.col("path").cast("bigint"))
     start = F.struct(F.lit(1.0).alias("eq"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
 
     def step(acc: Column, i: Column) -> Column:

@@ -22,13 +22,22 @@ def buy_and_hold(bars: DataFrame, keys: Keys = ASSET, order: str = "ts") -> Data
     )
 
 
-def equal_weight_benchmark(bars: DataFrame, run_keys: Keys = ("run_id",)) -> DataFrame:
-    """Equal-weight buy and hold of each run's assets, in percent. Core asset only where the
-    bars carry benchmark_core = true."""
-    per_asset = bars.groupBy(*run_keys, "asset").agg(
-        (F.max_by("close", "pos") / F.min_by("close", "pos")).alias("growth")
+def equal_weight_benchmark(panel: DataFrame, runs: DataFrame) -> DataFrame:
+    """Equal-weight buy and hold of each run's assets between its ends, in percent; of the core
+    asset alone for a crisis hedge. Fetches two prices per asset instead of the whole path."""
+    ends = runs.select(
+        "run_id", "universe_id", "family", F.posexplode("assets").alias("_ord", "asset"),
+        "pos0", "pos1",
+    ).select("*", F.explode(F.array("pos0", "pos1")).alias("pos"))
+    prices = ends.join(panel.select("universe_id", "asset", "pos", "close"), ["universe_id", "asset", "pos"])
+    growth = prices.groupBy("run_id", "family", "asset", "_ord").agg(
+        (F.max(F.when(F.col("pos") == F.col("pos1"), F.col("close")))
+         / F.max(F.when(F.col("pos") == F.col("pos0"), F.col("close")))).alias("g")
+    )
+    counted = (F.col("family") != "crisis_hedge") | (F.col("_ord") == 0)
+    return growth.groupBy("run_id").agg(
+        ((F.avg(F.when(counted, F.col("g"))) - 1) * 100).alias("benchmark_pct")
     )
-    return per_asset.groupBy(*run_keys).agg(((F.avg("growth") - 1) * 100).alias("benchmark_pct"))
 
 
 def sharpe(mean: Column, std: Column, periods: int = 252) -> Column:
@@ -43,8 +52,10 @@ def equity_metrics(
     value: str = "equity",
     exposure: str | Column = "pos",
     periods: int = 252,
+    extra: tuple[Column, ...] = (),
 ) -> DataFrame:
-    """Total return, Sharpe, max drawdown, Ulcer index, exposure and final value per key."""
+    """Total return, Sharpe, max drawdown, Ulcer index, exposure and final value per key, with
+    any further aggregates of the same rows."""
     w = series(keys, order)
     exp = F.col(exposure) if isinstance(exposure, str) else exposure
     marked = (
@@ -60,6 +71,7 @@ def equity_metrics(
         (F.sqrt(F.avg(F.pow(F.col("_dd") * 100, 2)))).alias("ulcer_index"),
         (F.avg("_exp") * 100).alias("exposure_pct"),
         F.max_by(value, order).alias("final_equity"),
+        *extra,
     )
 
 
@@ -98,14 +110,13 @@ def nav_metrics(
     nav: DataFrame, benchmark: DataFrame, cash: float, run_keys: Keys = ("run_id",), periods: int = 252
 ) -> DataFrame:
     """The metrics record of each weight replay. A trade is a sale or a position open at the end."""
-    core = equity_metrics(nav, cash, run_keys, "pos", "nav", "exposure", periods)
-    counts = nav.groupBy(*run_keys).agg(
+    counts = (
         (F.sum("sells") + F.max_by("holdings", "pos")).alias("num_trades"),
         F.sum(F.when(F.col("is_order"), 1).otherwise(0)).alias("rebalances"),
     )
     return (
-        core.drop("ulcer_index")
-        .join(counts, list(run_keys))
+        equity_metrics(nav, cash, run_keys, "pos", "nav", "exposure", periods, counts)
+        .drop("ulcer_index")
         .join(benchmark, list(run_keys))
         .withColumn("beats_benchmark", F.col("total_return_pct") > F.col("benchmark_pct"))
     )

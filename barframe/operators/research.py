@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.scalars import annualize, trading_days
+from barframe.functions.windows import series
 from barframe.operators import bootstrap, metrics, replay, validate, weights
+from barframe.session import written
 
 CHECK_WALK = "Portfolio walk-forward stability"
 CHECK_REBALANCE = "Portfolio rebalance count"
@@ -26,50 +28,64 @@ def evaluate(
     """One row per run: metrics, failed checks, verdict.
 
     runs are weights.RUN_COLUMNS plus start and end dates. Walk-forward chunks are extra runs in
-    the same plan; they are compared with an equal-weight basket, while a crisis hedge as a
-    whole is compared with its core asset. paths > 0 adds the resampling check.
+    the same plan and fold into their parent's row. paths > 0 adds the resampling check; the NAV
+    then feeds two branches and is written once.
     """
     whole = runs.withColumns({"parent": F.col("run_id"), "chunk": F.lit(-1)})
-    chunks = validate.walk_forward_chunks(whole.drop("chunk"), chunk_rows).withColumn(
-        "run_id", F.concat_ws("#", "parent", F.col("chunk").cast("string"))
-    ).filter(F.col("pos1") - F.col("pos0") + 1 >= F.col("lookback") + F.col("rebalance"))
+    chunks = validate.walk_forward_chunks(whole.drop("chunk"), chunk_rows).withColumns({
+        "run_id": F.concat_ws("#", "parent", F.col("chunk").cast("string")),
+        # A chunk is compared with the equal-weight basket, whatever the family.
+        "_short": F.col("pos1") - F.col("pos0") + 1 < F.col("lookback") + F.col("rebalance"),
+    }).filter("not _short").drop("_short")
     every = whole.unionByName(chunks)
-    wts = weights.target_weights(sums, every)
-    bars = replay.run_bars(panel, every)
-    nav = replay.replay_weights(bars, wts, cost, cash)
-    label = every.select("run_id", "parent", "chunk", "family")
-    growth = (
-        bars.groupBy("run_id", "asset", "asset_ord")
-        .agg((F.max_by("close", "pos") / F.min_by("close", "pos")).alias("g"))
-        .join(label, "run_id")
-        .withColumn("_core", (F.col("family") == "crisis_hedge") & (F.col("chunk") < 0))
-        .groupBy("run_id")
-        .agg(((F.avg(F.when(~F.col("_core") | (F.col("asset_ord") == 0), F.col("g"))) - 1) * 100).alias("benchmark_pct"))
+    nav = replay.replay_weights(
+        replay.run_bars(panel, every), weights.target_weights(sums, every), cost, cash
     )
-    scored = metrics.nav_metrics(nav, growth, cash).join(label, "run_id")
-    top = scored.filter("chunk < 0").join(runs.select("run_id", "start", "end"), "run_id")
-    top = top.withColumn("n_days", trading_days(F.col("start"), F.col("end")))
-    walked = validate.walk_forward_check(scored.filter("chunk >= 0"), ("parent",))
-    base = top.join(walked.select(F.col("parent").alias("run_id"), F.col("passed").alias("_walk")), "run_id", "left")
-    extra = [
-        F.struct(F.lit(CHECK_WALK).alias("test_name"), F.coalesce("_walk", F.lit(False)).alias("passed")),
-        F.struct(F.lit(CHECK_REBALANCE).alias("test_name"), (F.col("rebalances") >= 6).alias("passed")),
-    ]
+    against = every.withColumn("family", F.when(F.col("chunk") < 0, F.col("family")).otherwise("chunk"))
+    benchmark = metrics.equal_weight_benchmark(panel, against)
+    extra_check = ()
     if paths:
-        parents = nav.join(label.filter("chunk < 0").select("run_id"), "run_id", "left_semi")
-        own = validate.series(("run_id",), "pos")
-        daily = parents.withColumn("ret", F.col("nav") / F.coalesce(F.lag("nav").over(own), F.lit(cash)) - 1)
-        boot = bootstrap.summarize(bootstrap.resample(daily, paths=paths))
-        base = base.join(boot.select("run_id", F.col("passed").alias("_boot")), "run_id", "left")
-        extra.append(
-            F.struct(F.lit(CHECK_RESAMPLE).alias("test_name"), F.coalesce("_boot", F.lit(False)).alias("passed"))
+        nav = written(nav, "run-nav")
+        own = series(("run_id",), "pos")
+        daily = nav.filter(~F.col("run_id").contains("#")).withColumn(
+            "ret", F.col("nav") / F.coalesce(F.lag("nav").over(own), F.lit(cash)) - 1
         )
-    checks = validate.metric_checks(base, "benchmark_pct", ("run_id",)).unionByName(
-        base.select("run_id", F.inline(F.array(*extra)))
+        boot = bootstrap.summarize(bootstrap.resample(daily, paths=paths))
+        extra_check = (boot.select(F.col("run_id").alias("parent"), F.col("passed").alias("_boot")),)
+    label = every.select("run_id", "parent", "chunk", "start", "end")
+    scored = metrics.nav_metrics(nav, benchmark, cash).join(label, "run_id")
+    top = F.col("chunk") < 0
+    names = [c for c in scored.columns if c not in ("run_id", "parent", "chunk")]
+    walked = [F.avg(F.when(~top, ok.cast("double"))) for ok in (
+        F.col("total_return_pct") > 0, F.col("total_return_pct") > F.col("benchmark_pct")
+    )]
+    one = scored.groupBy("parent").agg(
+        *[F.max(F.when(top, F.col(c))).alias(c) for c in names],
+        F.coalesce((walked[0] >= 0.5) & (walked[1] >= 0.5), F.lit(False)).alias("_walk"),
     )
-    summary = validate.check_summary(checks, ("run_id",))
+    for boot in extra_check:
+        one = one.join(boot, "parent", "left")
+    one = one.withColumn("n_days", trading_days(F.col("start"), F.col("end")))
+    rules = [
+        *validate.metric_rules("benchmark_pct"),
+        (CHECK_WALK, F.col("_walk")),
+        (CHECK_REBALANCE, F.col("rebalances") >= 6),
+    ]
+    if paths:
+        rules.append((CHECK_RESAMPLE, F.coalesce("_boot", F.lit(False))))
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules]))
     verdict = validate.research_verdict(F.col("n_obs") < min_rows, F.lit(True), F.lit(True))
-    return top.join(summary, "run_id").withColumn("verdict", verdict).drop("parent", "chunk")
+    return (
+        one.withColumn("failed_checks", F.array_sort(failed))
+        .withColumns({
+            "n_checks": F.lit(len(rules)),
+            "n_passed": F.lit(len(rules)) - F.size("failed_checks"),
+            "walk_forward_failed": ~F.col("_walk"),
+        })
+        .withColumn("verdict", verdict)
+        .withColumnRenamed("parent", "run_id")
+        .drop("_walk", "_boot")
+    )
 
 
 def with_segments(specs: DataFrame, calendar: DataFrame, pct: float | str = 0.2) -> DataFrame:
@@ -106,7 +122,7 @@ def forward_evaluation(nav: DataFrame, positions: DataFrame) -> DataFrame:
     backtest_max_drawdown_pct).
     """
     since = nav.join(positions, "run_id").filter(F.col("ts") >= F.col("inception"))
-    peak = F.max("nav").over(validate.series(("run_id",), "ts").rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("nav").over(series(("run_id",), "ts").rowsBetween(Window.unboundedPreceding, 0))
     since = since.withColumn("_dd", F.col("nav") / peak - 1)
     out = since.groupBy("run_id", "inception", "expected_annualized_pct", "backtest_max_drawdown_pct").agg(
         F.count("*").alias("forward_days"),

@@ -117,21 +117,27 @@ def probabilistic_sharpe(sharpe: Column, n_obs: Column, threshold: Column | floa
     return F.when(n_obs < 2, 0.0).otherwise(norm_cdf((daily - t) * F.sqrt(n_obs - 1)))
 
 
-def metric_checks(
-    metrics: DataFrame, benchmark: str, keys: Keys, min_trades: int | None = None
-) -> DataFrame:
-    """One row per check: keys, test_name, passed. metrics needs n_days for the PSR test."""
+def metric_rules(benchmark: str, min_trades: int | None = None) -> list[tuple[str, Column]]:
+    """Name and outcome of each check on a metrics row; n_days serves the PSR check."""
     psr = probabilistic_sharpe(F.col("sharpe_ratio"), F.col("n_days"))
-    rows = [
+    rules = [
         ("Benchmark comparison", F.col("total_return_pct") > F.col(benchmark)),
         ("Positive return", F.col("total_return_pct") > 0),
         ("Drawdown sanity", F.col("max_drawdown_pct") > -50),
         ("Sharpe ratio significance (PSR)", F.coalesce(psr >= PSR_PASS, F.lit(False))),
     ]
     if min_trades is not None:
-        rows.insert(0, ("Minimum trade count", F.col("num_trades") >= min_trades))
+        rules.insert(0, ("Minimum trade count", F.col("num_trades") >= min_trades))
+    return rules
+
+
+def metric_checks(
+    metrics: DataFrame, benchmark: str, keys: Keys, min_trades: int | None = None
+) -> DataFrame:
+    """One row per check: keys, test_name, passed."""
     checks = F.array(*[
-        F.struct(F.lit(name).alias("test_name"), ok.alias("passed")) for name, ok in rows
+        F.struct(F.lit(name).alias("test_name"), ok.alias("passed"))
+        for name, ok in metric_rules(benchmark, min_trades)
     ])
     return metrics.select(*keys, F.inline(checks))
 

@@ -12,6 +12,7 @@ from barframe.operators import validate as V
 from barframe.operators import weights as Wt
 from barframe.plans import tables as T
 from barframe.plans.registry import cte, query, rounded, settled
+from barframe.session import written
 
 COST = R.COMMISSION + R.SLIPPAGE
 
@@ -40,21 +41,25 @@ def whole_span_runs(panel: DataFrame, *rows: tuple) -> DataFrame:
     )
 
 
-def replay(panel: DataFrame, weights: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    bars = R.run_bars(panel, runs)
-    return bars, R.replay_weights(bars, weights, COST)
+def replay(panel: DataFrame, weights: DataFrame, runs: DataFrame) -> DataFrame:
+    return R.replay_weights(R.run_bars(panel, runs), weights, COST)
+
+
+def nav_report(panel: DataFrame, weights: DataFrame, runs: DataFrame, periods: int = 252) -> DataFrame:
+    """Metrics of each run beside its benchmark, rounded."""
+    nav = replay(panel, weights, runs)
+    out = M.nav_metrics(nav, M.equal_weight_benchmark(panel, runs), R.INITIAL_CASH, periods=periods)
+    return rounded(
+        out, 6, "total_return_pct", "sharpe_ratio", "max_drawdown_pct", "exposure_pct", "benchmark_pct"
+    ).withColumn("final_equity", F.round("final_equity", 4))
 
 
 def flagship(spark, sf) -> DataFrame:
     """Cross-sectional momentum on the weekly panel: weights, NAV, metrics, benchmark."""
-    panel = T.panel(spark, sf, "week")
+    panel = written(T.panel(spark, sf, "week"), "panel")
     runs = whole_span_runs(panel, ("momentum", "cross_sectional_momentum", 26, 2, 4, 0, None))
     weights = Wt.target_weights(Wt.running_sums(panel), runs)
-    bars, nav = replay(panel, weights, runs)
-    out = M.nav_metrics(nav, M.equal_weight_benchmark(bars), R.INITIAL_CASH, periods=52)
-    return rounded(
-        out, 6, "total_return_pct", "sharpe_ratio", "max_drawdown_pct", "exposure_pct", "benchmark_pct"
-    ).withColumn("final_equity", F.round("final_equity", 4))
+    return nav_report(panel, weights, runs, 52)
 
 
 # Sequential book keeping in SQL: cash and share counts, one row per bar.
@@ -163,7 +168,7 @@ def carry_for_panel(spark, sf, panel):
 
 
 def family_weights(spark, sf, *ids):
-    panel = T.panel(spark, sf)
+    panel = written(T.panel(spark, sf), "panel")
     rows = [r for r in FAMILY_RUNS if not ids or r[0] in ids]
     carry = carry_for_panel(spark, sf, panel) if any(r[1] == "fx_carry" for r in rows) else None
     runs = whole_span_runs(panel, *rows)
@@ -241,7 +246,7 @@ def f11(spark, sf):
     round(traded, 4) AS traded, sells FROM fam_nav WHERE pos >= 0""")
 def n_nav(spark, sf):
     panel, runs, w = family_weights(spark, sf)
-    nav = replay(panel, w, runs)[1]
+    nav = replay(panel, w, runs)
     return rounded(
         nav.select("run_id", "pos", "nav", "is_order", "cost_paid", "traded", "sells"), 4, "nav", "cost_paid", "traded")
 
@@ -256,9 +261,10 @@ def a35(spark, sf):
 @query("a4_equal_weight_benchmark", """SELECT round((avg(g) - 1) * 100, 6) AS benchmark_pct, round((max(g) FILTER (o = 0) - 1) * 100, 6) AS core_pct
 FROM (SELECT asset_ord AS o, arg_max(close, pos) / arg_min(close, pos) AS g FROM panel_d GROUP BY 1)""")
 def a4(spark, sf):
-    panel = T.panel(spark, sf).withColumn("run_id", F.lit("all"))
-    both = M.equal_weight_benchmark(panel).unionByName(
-        M.equal_weight_benchmark(panel.filter("asset_ord = 0").withColumn("run_id", F.lit("core"))))
+    panel = T.panel(spark, sf)
+    runs = whole_span_runs(
+        panel, ("all", "equal_weight_trend", 100, 1, 21, 0, None), ("core", "crisis_hedge", 100, 1, 21, 0, 0.3, 2))
+    both = M.equal_weight_benchmark(panel, runs)
     out = both.agg(
         F.max(F.when(F.col("run_id") == "all", F.col("benchmark_pct"))).alias("benchmark_pct"),
         F.max(F.when(F.col("run_id") == "core", F.col("benchmark_pct"))).alias("core_pct"))
@@ -311,7 +317,7 @@ def j3(spark, sf):
 
 
 def macro_weights(spark, sf):
-    panel = T.panel(spark, sf)
+    panel = written(T.panel(spark, sf), "panel")
     runs = whole_span_runs(panel, ("macro", "frozen_map", 63, 1, 21, 0, None))
     regime = macro_regime(spark, sf, panel)
     choice = (
@@ -334,21 +340,13 @@ def f9(spark, sf):
 @query("f9_macro_regime_metrics", _metrics_rounded(nav_metrics_sql("mac", "panel_d", 252)))
 def f9_metrics(spark, sf):
     panel, runs, w = macro_weights(spark, sf)
-    bars, nav = replay(panel, w, runs)
-    out = M.nav_metrics(nav, M.equal_weight_benchmark(bars), R.INITIAL_CASH)
-    return rounded(
-        out, 6, "total_return_pct", "sharpe_ratio", "max_drawdown_pct", "exposure_pct", "benchmark_pct"
-    ).withColumn("final_equity", F.round("final_equity", 4))
+    return nav_report(panel, w, runs)
 
 
 @query("a5_portfolio_metrics", _metrics_rounded(nav_metrics_sql("fam", "panel_d", 252)) + " WHERE run_id <> 'f6'")
 def a5_portfolio(spark, sf):
     panel, runs, w = family_weights(spark, sf, "f1", "f2", "f3", "f4", "f5", "f7", "f8")
-    bars, nav = replay(panel, w, runs)
-    out = M.nav_metrics(nav, M.equal_weight_benchmark(bars), R.INITIAL_CASH)
-    return rounded(
-        out, 6, "total_return_pct", "sharpe_ratio", "max_drawdown_pct", "exposure_pct", "benchmark_pct"
-    ).withColumn("final_equity", F.round("final_equity", 4))
+    return nav_report(panel, w, runs)
 
 
 # --- combined book --------------------------------------------------------------------------
@@ -372,7 +370,7 @@ FROM (SELECT *, coalesce(lag(nav) OVER (PARTITION BY run_id ORDER BY pos), 10000
 
 def book_runs(spark, sf):
     """A regime and a static overlay book on the five assets: three core, two overlay."""
-    panel = T.panel(spark, sf)
+    panel = written(T.panel(spark, sf), "panel")
     base = whole_span_runs(panel, ("regime", "book", 100, 1, 21, 0, None), ("static", "book", 100, 1, 21, 0, None))
     books = base.select(
         "run_id", "universe_id", F.slice("assets", 1, 3).alias("core"), F.slice("assets", 4, 2).alias("overlay"),

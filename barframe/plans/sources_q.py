@@ -254,7 +254,7 @@ def u2(spark, sf):
     return out.drop("_k")
 
 
-@query("u4_unmapped_assets", "SELECT n_name AS asset FROM nation WHERE n_name NOT IN (SELECT DISTINCT asset FROM ticks_n WHERE price > 95000)")
+@query("u4_unmapped_assets", "SELECT n_name AS asset FROM nation WHERE n_name NOT IN (SELECT DISTINCT asset FROM ticks_n WHERE price > 100000)")
 def u4(spark, sf):
     names = T.table(spark, sf, "nation").select(F.col("n_name").alias("asset"))
-    return names.join(T.ticks(spark, sf, "nation").filter("price > 95000").select("asset"), "asset", "left_anti")
+    return names.join(T.ticks(spark, sf, "nation").filter("price > 100000").select("asset"), "asset", "left_anti")
