@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barframe.functions.windows import Keys
 
@@ -12,9 +13,10 @@ PATHS = 500
 CHUNKS = 16
 
 
-def draw(path: Column, step: Column, seed: int, n: Column) -> Column:
-    """A repeatable index in [0, n): a quadratic hash of path and step, exact in 64-bit integers."""
-    x = (path * F.lit(48271) + step * F.lit(69621) + F.lit(seed * 7919)) % PRIME
+def draw(path, step, seed: int, n):
+    """A repeatable index in [0, n): a quadratic hash of path and step, exact in 64-bit integers.
+    Works on integer columns and on numpy integers alike."""
+    x = (path * 48271 + step * 69621 + seed * 7919) % PRIME
     y = (x * x) % PRIME
     return ((y * y + x * 3 + step) % PRIME) % n
 
@@ -31,35 +33,40 @@ def resample(
     """keys, path, terminal, max_drawdown for every resampled path.
 
     The returns of a run (one per date) travel as one array, repeated once per chunk of paths
-    rather than once per path; each path is then a fold over that array, without a join.
+    rather than once per path. A task turns the paths of a chunk into one block of numbers; there
+    is no join and no row per step.
     """
     packed = (
         returns.filter(F.col(ret).isNotNull())
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct(order, ret)))[ret].alias("rets"))
-        .withColumn("n", F.size("rets"))
-        .filter(F.col("n") >= min_obs)
+        .filter(F.size("rets") >= min_obs)
     )
     per_chunk = -(-paths // CHUNKS)
     chunked = packed.withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0), F.lit((paths - 1) // per_chunk)))
     ).repartition(*keys, "_chunk")
-    first = F.col("_chunk") * per_chunk
-    each = chunked.withColumn(
-        "path", F.explode(F.sequence(first, F.least(first + per_chunk - 1, F.lit(paths - 1))))
-    ).withColumn("path", F.col("path").cast("bigint"))
-    start = F.struct(F.lit(1.0).alias("eq"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("dd"))
+    schema = StructType([packed.schema[k] for k in keys])
+    for name, kind in (("path", "bigint"), ("terminal", "double"), ("max_drawdown", "double")):
+        schema = schema.add(name, "long" if kind == "bigint" else kind)
 
-    def step(acc: Column, i: Column) -> Column:
-        at = draw(F.col("path"), i, seed, F.col("n")).cast("int")
-        eq = acc["eq"] * (1 + F.get("rets", at))
-        peak = F.greatest(acc["peak"], eq)
-        return F.struct(eq.alias("eq"), peak.alias("peak"), F.least(acc["dd"], eq / peak - 1).alias("dd"))
+    def walk(batches):
+        import numpy as np
+        import pandas as pd
 
-    end = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), start, step)
-    return each.withColumn("_end", end).select(
-        *keys, "path", (F.col("_end.eq") - 1).alias("terminal"), F.col("_end.dd").alias("max_drawdown")
-    )
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                rets = np.asarray(row.rets, dtype=float)
+                n = len(rets)
+                first = row[len(keys) + 1] * per_chunk
+                path = np.arange(first, min(first + per_chunk, paths), dtype=np.int64)
+                idx = draw(path[:, None], np.arange(n, dtype=np.int64)[None, :], seed, n)
+                curve = np.cumprod(1 + rets[idx], axis=1)
+                worst = (curve / np.maximum.accumulate(curve, axis=1) - 1).min(axis=1)
+                head = {k: [row[i]] * len(path) for i, k in enumerate(keys)}
+                yield pd.DataFrame({**head, "path": path, "terminal": curve[:, -1] - 1, "max_drawdown": worst})
+
+    return chunked.select(*keys, "rets", "_chunk").mapInPandas(walk, schema)
 
 
 def summarize(paths: DataFrame, keys: Keys = ("run_id",)) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.windows import ASSET, Keys, cumulative, series
+from barframe.session import written
 
 HORIZON = 64
 
@@ -43,8 +44,10 @@ def stop_trades(
         )
         for name, sl, trail in settings
     ])
-    bars = indexed(
-        prepared.select(*keys, order, "open", "high", "low", "close", "atr", "raw_entry"), keys, order
+    # Entries, the near join and the far join all read the bars.
+    bars = written(
+        indexed(prepared.select(*keys, order, "open", "high", "low", "close", "atr", "raw_entry"), keys, order),
+        "trade-bars",
     )
     w = series(keys, order)
     fill_ok = (F.col("fill") > 0) & (F.col("atr") > 0) & ~F.isnan("atr") & ~F.isnan("fill")

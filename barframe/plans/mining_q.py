@@ -11,6 +11,7 @@ from barframe.operators import signals as S
 from barframe.plans import series_q  # noqa: F401  (defines zs_d)
 from barframe.plans import tables as T
 from barframe.plans.registry import cte, query, rounded
+from barframe.session import written
 
 cte("lag_list", "SELECT unnest([5, 10, 20, 40, 60]) AS lag")
 cte("fwd_d", "SELECT asset, pos, asset_ord, close, lead(close, 20) OVER (PARTITION BY asset ORDER BY pos) / close - 1 AS fwd FROM panel_d")
@@ -50,6 +51,11 @@ _RANK = """abs(score) * (1 + CASE WHEN score <> 0 AND sign(train_score) = sign(s
 _ORDER = "ORDER BY rank_score DESC, kind, leader, follower, lag_days LIMIT 12"
 cte("all_facts", " UNION ALL ".join(f"SELECT * FROM (SELECT *, {_RANK} AS rank_score FROM {t} {_ORDER})" for t in ("ll_facts", "ev_facts", "rg_facts")))
 
+def panel_table(spark, sf):
+    """The panel written once: every scan reads it several times."""
+    return written(T.panel(spark, sf), "panel")
+
+
 _NUMS = ("effect", "train_score", "holdout_score")
 
 
@@ -59,7 +65,7 @@ def _r(names, places=6):
 
 @query("a14_a18_lead_lag_correlation", f"SELECT leader, follower, CAST(lag AS INTEGER) AS lag_days, n_obs, {_r(_NUMS)} FROM ll_stats")
 def a14(spark, sf):
-    return rounded(Mi.lead_lag_stats(T.panel(spark, sf)).drop("universe_id", "n_assets"), 6, *_NUMS)
+    return rounded(Mi.lead_lag_stats(panel_table(spark, sf)).drop("universe_id", "n_assets"), 6, *_NUMS)
 
 
 _FACT = "SELECT kind, leader, follower, CAST(lag_days AS INTEGER) AS lag_days, n_obs, CAST(trials AS INTEGER) AS trials, {nums} FROM {t}"
@@ -72,7 +78,7 @@ def _facts(df):
 
 @query("a19_lead_lag_facts", _FACT.format(nums=_r(_FNUM), t="ll_facts"))
 def a19(spark, sf):
-    return _facts(Mi.lead_lag_facts(T.panel(spark, sf)))
+    return _facts(Mi.lead_lag_facts(panel_table(spark, sf)))
 
 
 _STAT = ("mean_up", "mean_down", "var_up", "var_down", *_NUMS)
@@ -80,27 +86,27 @@ _STAT = ("mean_up", "mean_down", "var_up", "var_down", *_NUMS)
 
 @query("a16_a17_event_spreads", f"SELECT leader, follower, CAST(lag AS INTEGER) AS lag_days, n_up, n_down, {_r(_STAT)} FROM ev_stats")
 def a17(spark, sf):
-    return rounded(Mi.event_stats(T.panel(spark, sf)).drop("universe_id", "n_assets"), 6, *_STAT)
+    return rounded(Mi.event_stats(panel_table(spark, sf)).drop("universe_id", "n_assets"), 6, *_STAT)
 
 
 @query("a20_event_facts", _FACT.format(nums=_r(_FNUM), t="ev_facts"))
 def a20(spark, sf):
-    return _facts(Mi.event_facts(T.panel(spark, sf)))
+    return _facts(Mi.event_facts(panel_table(spark, sf)))
 
 
 @query("a21_regime_spreads", f"SELECT leader, follower, n_up, n_down, {_r(_STAT)} FROM rg_stats")
 def a21(spark, sf):
-    return rounded(Mi.regime_stats(T.panel(spark, sf)).drop("universe_id", "n_assets"), 6, *_STAT)
+    return rounded(Mi.regime_stats(panel_table(spark, sf)).drop("universe_id", "n_assets"), 6, *_STAT)
 
 
 @query("a21_regime_facts", _FACT.format(nums=_r(_FNUM), t="rg_facts"))
 def a21b(spark, sf):
-    return _facts(Mi.regime_facts(T.panel(spark, sf)))
+    return _facts(Mi.regime_facts(panel_table(spark, sf)))
 
 
 @query("a22_k1_mined_facts", f"SELECT kind, leader, follower, CAST(lag_days AS INTEGER) AS lag_days, round(score, 6) AS score, round(rank_score, 6) AS rank_score FROM all_facts {_ORDER}")
 def a22(spark, sf):
-    out = Mi.mine(T.panel(spark, sf)).select("kind", "leader", "follower", "lag_days", "score", "rank_score")
+    out = Mi.mine(panel_table(spark, sf)).select("kind", "leader", "follower", "lag_days", "score", "rank_score")
     return rounded(out, 6, "score", "rank_score")
 
 
@@ -110,7 +116,7 @@ FROM (SELECT leader, follower, lag_days, CASE WHEN train_score + holdout_score >
 
 
 def slate(spark, sf, panel=None):
-    panel = panel if panel is not None else T.panel(spark, sf)
+    panel = panel if panel is not None else panel_table(spark, sf)
     return Mi.candidate_specs(Mi.event_facts(panel), 6)
 
 
@@ -158,7 +164,7 @@ def neighbour_specs(spark, sf, panel):
 
 
 def event_setup(spark, sf):
-    panel = T.panel(spark, sf)
+    panel = panel_table(spark, sf)
     return panel, neighbour_specs(spark, sf, panel)
 
 
@@ -224,7 +230,7 @@ def a33(spark, sf):
 @query("v11_a45_event_lab")
 def v11(spark, sf):
     """Mined on the train dates only, then scored on train, lockbox and stress."""
-    panel = T.panel(spark, sf)
+    panel = panel_table(spark, sf)
     split = F.lit(SPLIT).cast("date")
     specs = slate(spark, sf, panel.filter(F.col("ts") < split)).drop("rank_score")
     return E.lab(panel, specs, split)

@@ -19,22 +19,24 @@ def ticks(
 ) -> DataFrame:
     """One tick per line item; the asset is the supplier's region or nation. A date span is
     compared with the raw column so that it reaches the parquet scan."""
-    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    nation = table(spark, sf, "nation")
-    geo = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    if level == "region":
-        region = table(spark, sf, "region")
-        geo = geo.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
-            "s_suppkey", F.col("r_name").alias("asset")
-        )
-    else:
-        geo = geo.select("s_suppkey", F.col("n_name").alias("asset"))
     lines = table(spark, sf, "lineitem").select(*TIE_BREAK, "l_quantity", "l_shipdate")
     if span:
         lo, hi = (F.lit(d).cast("timestamp_ntz") for d in span)
         lines = lines.filter((F.col("l_shipdate") >= lo) & (F.col("l_shipdate") < hi + F.expr("interval 1 day")))
-    return lines.join(geo, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        "asset",
+    # One dimension after the other: each right side is a plain table whose file size is known,
+    # so whether it is broadcast follows from its real size.
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    nation = table(spark, sf, "nation")
+    joined = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(
+        nation, F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    name = "n_name"
+    if level == "region":
+        region = table(spark, sf, "region")
+        joined = joined.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        name = "r_name"
+    return joined.select(
+        F.col(name).alias("asset"),
         F.to_date("l_shipdate").alias("ts"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
