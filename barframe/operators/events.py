@@ -162,6 +162,37 @@ def learning_status() -> Column:
     )
 
 
+def learning_records(results: DataFrame, specs: DataFrame) -> DataFrame:
+    """One log row per candidate of a lab: status, lesson and the gate counts of its whole slate."""
+    counts = funnel(results).withColumn("_all", F.lit(1))
+    rule = F.format_string("%s %s -> %s lag %d hold %d", "leader", "direction", "target", "lag", "hold")
+    status = F.col("learning_status")
+    number = lambda c: F.coalesce(F.format_string("%.2f", c), F.lit("n/a"))
+    lesson = (
+        F.when(status == "winner", F.concat(rule, F.lit(" passed every gate; watch it forward, do not tune it.")))
+        .when(
+            status == "fragile_lockbox_survivor",
+            F.concat(rule, F.lit(" passed the lockbox but only "), F.col("passed").cast("string"), F.lit(" of "),
+                     F.col("tested").cast("string"), F.lit(" neighbours; parameter-fragile.")),
+        )
+        .when(
+            status == "lockbox_loser",
+            F.concat(rule, F.lit(" failed the lockbox: Sharpe "), number("sharpe"), F.lit(" against "), number("buy_hold_sharpe"), F.lit(".")),
+        )
+        .otherwise(F.concat(rule, F.lit(" failed the train gate.")))
+    )
+    return (
+        results.join(specs.select("spec_id", "leader", "target", "direction", "lag", "hold"), "spec_id")
+        .withColumn("_all", F.lit(1))
+        .join(counts.withColumnRenamed("verdict", "slate_verdict"), "_all")
+        .select(
+            F.lit("event_followthrough").alias("mode"), F.lit(False).alias("is_lockbox"), F.col("target").alias("asset"),
+            F.lit("event_followthrough").alias("strategy_family"), status.alias("verdict"), "learning_status",
+            lesson.alias("lesson"), "spec_id", "candidates", "train_survivors", "lockbox_survivors", "robust_survivors",
+        )
+    )
+
+
 def funnel(results: DataFrame, slate: str = "EVENT") -> DataFrame:
     """results(train_pass, lockbox_pass, robust_pass) -> one row of gate counts and the verdict."""
     t = F.col("train_pass")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barframe.functions.scalars import annualize, trading_days
 from barframe.functions.windows import series
-from barframe.operators import bootstrap, metrics, replay, validate, weights
+from barframe.operators import bootstrap, events, metrics, replay, validate, weights
 from barframe.session import written
 
 CHECK_WALK = "Portfolio walk-forward stability"
@@ -138,3 +138,90 @@ def forward_evaluation(nav: DataFrame, positions: DataFrame) -> DataFrame:
             F.col("realized_max_drawdown_pct"), F.col("backtest_max_drawdown_pct"),
         ),
     ).drop("_span")
+
+
+def gated_lab(
+    sums: DataFrame, panel: DataFrame, specs: DataFrame, calendar: DataFrame, pct: float = 0.25, paths: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """A pre-registered slate through train, lockbox and stress gates.
+
+    specs(run_id, universe_id, assets, family, ..., start, end) are judged on train only; the
+    survivors see the lockbox; the survivors of that are perturbed. Every gate is written, so a
+    later gate evaluates only what passed. Returns the per-spec gates and the one-row funnel
+    with the winner (best survival rate, then confirmations, then name).
+    """
+    located = with_segments(specs, calendar, pct)
+    train_runs = located.filter("segment = 'train'")
+    train = written(
+        evaluate(sums, panel, train_runs, paths=paths).join(train_runs.select("run_id", "spec_id"), "run_id")
+        .select("spec_id", (F.col("verdict") == "worth_paper_trading").alias("train_pass")), "gate-train"
+    )
+    passed = train.filter("train_pass").select("spec_id")
+    box_runs = located.filter("segment = 'lockbox'").join(passed, "spec_id", "left_semi")
+    box = written(
+        evaluate(sums, panel, box_runs, paths=paths).join(box_runs.select("run_id", "spec_id"), "run_id")
+        .select("spec_id", (F.col("verdict") == "worth_paper_trading").alias("lockbox_pass")), "gate-lockbox"
+    )
+    named = specs.withColumnRenamed("run_id", "spec_id").join(
+        box.filter("lockbox_pass").select("spec_id"), "spec_id", "left_semi"
+    )
+    varied = validate.perturbations(named).withColumn("base_id", F.col("spec_id")).withColumn(
+        "run_id", F.concat_ws("/", "spec_id", "category", "label")
+    ).drop("spec_id")
+    runs = with_segments(varied, calendar, "lockbox_pct")
+    confirmed = confirmations(evaluate(sums, panel, runs), runs)
+    labels = runs.select("spec_id", "base_id", "category", "label").distinct()
+    results = confirmed.join(labels, "spec_id").select(
+        "base_id", "category", "label", F.col("lockbox_verdict").isNotNull().alias("runnable"), "confirms"
+    )
+    stress = validate.stress_summary(results, ("base_id",)).select(
+        F.col("base_id").alias("spec_id"), (F.col("verdict") == "ROBUST").alias("robust_pass"), "overall_rate", "confirmed"
+    )
+    gates = train.join(box, "spec_id", "left").join(stress, "spec_id", "left").na.fill(
+        False, ["lockbox_pass", "robust_pass"]
+    )
+    gates = written(gates, "gates")
+    best = gates.filter("train_pass and lockbox_pass and robust_pass").agg(
+        F.max_by("spec_id", F.struct("overall_rate", "confirmed", "spec_id")).alias("winner")
+    ).withColumn("_all", F.lit(1))
+    summary = events.funnel(gates, "LAB").withColumn("_all", F.lit(1)).join(best, "_all").drop("_all")
+    return gates, summary
+
+
+def campaign(
+    bars: DataFrame, rules: dict, split, cash: float = replay.INITIAL_CASH, min_trades: int = 20
+) -> DataFrame:
+    """Signal rules across a universe: each asset's candidates on train, its winner on the
+    lockbox. rules maps a name to a function(bars, keys) that adds entry and exit; split is the
+    first lockbox date. Output rows feed log.campaign_summary and log.failure_tally."""
+    keys = ("asset", "rule", "segment")
+    tagged = bars.withColumn("segment", F.when(F.col("ts") < split, "train").otherwise("lockbox"))
+    every = None
+    for name, rule in rules.items():
+        one = rule(tagged.withColumn("rule", F.lit(name)), keys).select(*keys, "ts", "close", "entry", "exit")
+        every = one if every is None else every.unionByName(one)
+    equity = written(replay.replay_signals(every, cash=cash, keys=keys), "campaign-equity")
+    m = metrics.signal_metrics(equity, replay.signal_trades(equity, keys), equity, cash, keys)
+    spans = bars.groupBy("asset").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    train = F.col("segment") == "train"
+    m = m.join(spans, "asset").withColumn(
+        "n_days",
+        trading_days(F.when(train, F.col("_a")).otherwise(split), F.when(train, F.date_sub(split, 1)).otherwise(F.col("_b"))),
+    )
+    checks = validate.metric_rules("buy_and_hold_pct", min_trades)
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
+    judged = m.withColumn("failed_checks", failed).withColumns({
+        "n_checks": F.lit(len(checks)), "n_passed": F.lit(len(checks)) - F.size("failed_checks"), "walk_forward_failed": F.lit(False),
+    }).withColumn("verdict", validate.research_verdict(F.lit(False), F.lit(True), F.lit(True)))
+    judged = written(judged, "campaign-judged")
+    s = F.coalesce("sharpe_ratio", F.lit(float("-inf")))
+    best = judged.filter(train).groupBy("asset").agg(
+        F.max_by("rule", F.struct("beats_benchmark", s.alias("s"), "total_return_pct", "rule")).alias("rule")
+    )
+    shown = judged.join(best.withColumn("_won", F.lit(True)), ["asset", "rule"], "left").filter(
+        train | F.coalesce("_won", F.lit(False))
+    )
+    return shown.select(
+        "asset", "rule", (~train).alias("is_lockbox"), "verdict", "failed_checks", "sharpe_ratio", "total_return_pct",
+        "num_trades", "beats_benchmark",
+    )

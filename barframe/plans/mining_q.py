@@ -227,7 +227,14 @@ def a33(spark, sf):
     return rounded(E.stress_verdict(E.daily_metrics(tail, ("spec_id",)), variants), 6, "pass_rate")
 
 
-@query("v11_a45_event_lab")
+cte("lab_stress", f"""SELECT s.base_id AS spec_id, CASE WHEN count(*) >= 6 AND avg(CASE WHEN {_BOX_OK} THEN 1.0 ELSE 0.0 END) >= 0.5 THEN true ELSE false END AS robust,
+  avg(CASE WHEN {_BOX_OK} THEN 1.0 ELSE 0.0 END) AS pass_rate FROM st_metrics m JOIN st_specs s ON s.spec_id = m.spec_id WHERE m.segment = 'lockbox' GROUP BY 1""")
+cte("lab_gates", f"""SELECT t.spec_id, {_TRAIN_OK.replace('total_return_pct', 't.total_return_pct').replace('sharpe', 't.sharpe').replace('max_drawdown_pct', 't.max_drawdown_pct').replace('num_entries', 't.num_entries')} AS train_pass,
+  b.ok AS lockbox_pass, b.sharpe, b.annualized_return_pct, s.pass_rate, s.robust AND b.ok AS robust_pass
+FROM ev_metrics t JOIN (SELECT *, {_BOX_OK} AS ok FROM ev_metrics WHERE segment = 'lockbox') b ON b.spec_id = t.spec_id JOIN lab_stress s ON s.spec_id = t.spec_id WHERE t.segment = 'train'""")
+
+
+@query("v11_event_lab")
 def v11(spark, sf):
     """Mined on the train dates only, then scored on train, lockbox and stress."""
     panel = panel_table(spark, sf)
@@ -236,13 +243,23 @@ def v11(spark, sf):
     return E.lab(panel, specs, split)
 
 
-@query("a46_gate_funnel")
+@query("a45_learning_records", """SELECT spec_id, CASE WHEN train_pass AND robust_pass THEN 'winner' WHEN train_pass AND lockbox_pass THEN 'fragile_lockbox_survivor' WHEN lockbox_pass THEN 'fragile_lockbox_survivor' WHEN train_pass THEN 'lockbox_loser' ELSE 'train_loser' END AS learning_status,
+(SELECT count(*) FROM lab_gates) AS candidates, (SELECT count(*) FROM lab_gates WHERE train_pass) AS train_survivors FROM lab_gates""")
+def a45(spark, sf):
+    panel, specs = event_setup(spark, sf)
+    results = written(E.lab(panel, specs, F.lit(SPLIT).cast("date")), "lab")
+    return E.learning_records(results, specs).select("spec_id", "learning_status", "candidates", "train_survivors")
+
+
+@query("a46_gate_funnel", """SELECT candidates, train_survivors, lockbox_survivors, robust_survivors, CASE WHEN candidates = 0 THEN 'REJECTED_NO_EVENT_CANDIDATES' WHEN train_survivors = 0 THEN 'REJECTED_NO_TRAIN_SURVIVORS'
+  WHEN lockbox_survivors = 0 THEN 'REJECTED_NO_LOCKBOX_SURVIVORS' WHEN robust_survivors = 0 THEN 'REJECTED_FRAGILE_LOCKBOX_SURVIVORS' ELSE 'PAPER_TRADE_CANDIDATE' END AS verdict
+FROM (SELECT count(*) AS candidates, count(*) FILTER (train_pass) AS train_survivors, count(*) FILTER (train_pass AND lockbox_pass) AS lockbox_survivors, count(*) FILTER (train_pass AND lockbox_pass AND robust_pass) AS robust_survivors FROM lab_gates)""")
 def a46(spark, sf):
     panel, specs = event_setup(spark, sf)
     return E.funnel(E.lab(panel, specs, F.lit(SPLIT).cast("date")))
 
 
-@query("k2b_lab_winner")
+@query("k2b_lab_winner", "SELECT arg_max(spec_id, (pass_rate, coalesce(nullif(sharpe, 0), -999), annualized_return_pct)) FILTER (train_pass AND lockbox_pass AND robust_pass) AS winner FROM lab_gates")
 def k2b(spark, sf):
     panel, specs = event_setup(spark, sf)
     return E.lab_winner(E.lab(panel, specs, F.lit(SPLIT).cast("date")))

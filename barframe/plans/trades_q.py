@@ -245,3 +245,22 @@ def window_results(spark, sf):
 @query("a39_walk_forward_stability")
 def a39(spark, sf):
     return Tr.stability(window_results(spark, sf), ("asset",))
+
+
+cte("stab_src", "SELECT o_custkey AS k, CAST(o_orderkey AS INTEGER) AS w, o_totalprice / 5000 - 45 AS te, (o_orderkey % 41) / 10.0::DOUBLE - 1 AS tr, o_custkey % 3 + (o_orderkey % 7) / 7.0::DOUBLE AS pf, o_orderkey % 12 AS n_tr FROM orders")
+
+
+@query("a39_stability_score", """WITH n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY w) AS i, count(*) OVER (PARTITION BY k) AS n FROM stab_src),
+g AS (SELECT k, count(*) AS n_windows, avg(CASE WHEN te > 0 THEN 1.0 ELSE 0.0 END) * 100 AS pos, avg(CASE WHEN pf > 1 THEN 1.0 ELSE 0.0 END) * 100 AS pfp, avg(CASE WHEN te > 0 AND tr > 0 THEN 1.0 ELSE 0.0 END) * 100 AS bo,
+  coalesce(avg(te) FILTER (i > greatest(1, n // 2)), 0) - avg(te) FILTER (i <= greatest(1, n // 2)) AS decay, sum(n_tr) AS tt FROM n GROUP BY 1)
+SELECT k AS custkey, n_windows, round(round(pos * 0.4 + pfp * 0.3 + bo * 0.3, 2) + 1e-7, 1) AS score, round(round(decay, 4) + 1e-7, 2) AS decay, CAST(tt AS BIGINT) AS total_test_trades,
+  CASE WHEN round(decay, 4) < -30 THEN 'DECAY' WHEN round(pos, 1) >= 50 AND round(pos * 0.4 + pfp * 0.3 + bo * 0.3, 2) >= 30 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g""")
+def a39_score(spark, sf):
+    from barframe.plans import tables as T
+
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    rows = T.table(spark, sf, "orders").select(
+        cust.alias("custkey"), key.cast("int").alias("window"), (F.col("o_totalprice") / 5000 - 45).alias("test_return"), ((key % 41) / 10 - 1).alias("train_return"),
+        (cust % 3 + (key % 7) / 7).alias("test_pf"), (key % 12).alias("test_trades"))
+    out = Tr.stability(rows, ("custkey",)).select("custkey", "n_windows", "score", "decay", "total_test_trades", "verdict")
+    return out.withColumns({"score": F.round(F.col("score") + 1e-7, 1), "decay": F.round(F.col("decay") + 1e-7, 2)})

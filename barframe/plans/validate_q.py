@@ -16,6 +16,7 @@ from barframe.operators.bars import calendar
 from barframe.plans import portfolio_q as PQ
 from barframe.plans import series_q  # noqa: F401  (defines cross_d)
 from barframe.plans import tables as T
+from barframe.plans.log_q import psr_sql, threshold_sql
 from barframe.plans.registry import cte, query, rounded
 from barframe.session import written
 
@@ -61,7 +62,7 @@ cte("bs_ret", "SELECT asset, close / lag(close) OVER (PARTITION BY asset ORDER B
 cte("bs_idx", "SELECT asset, r, CAST(row_number() OVER (PARTITION BY asset ORDER BY pos) - 1 AS BIGINT) AS i, count(*) OVER (PARTITION BY asset) AS n FROM bs_ret WHERE r IS NOT NULL")
 cte("bs_draw", """SELECT asset, path, step, ((y * y + x * 3 + step) % 2147483647) % n AS i FROM (SELECT *, (x * x) % 2147483647 AS y FROM (
   SELECT a.asset, a.n, p.path, s.i AS step, (p.path * 48271 + s.i * 69621 + 42 * 7919) % 2147483647 AS x
-  FROM (SELECT DISTINCT asset, n FROM bs_idx) a, (SELECT CAST(range AS BIGINT) AS path FROM range(100)) p, bs_idx s WHERE s.asset = a.asset))""")
+  FROM (SELECT DISTINCT asset, n FROM bs_idx) a, (SELECT CAST(range AS BIGINT) AS path FROM range(500)) p, bs_idx s WHERE s.asset = a.asset))""")
 cte("bs_path", """SELECT asset, path, arg_max(eq, step) - 1 AS terminal, min(eq / peak - 1) AS dd FROM (
   SELECT *, max(eq) OVER (PARTITION BY asset, path ORDER BY step) AS peak FROM (
   SELECT d.asset, d.path, d.step, product(1 + b.r) OVER (PARTITION BY d.asset, d.path ORDER BY d.step) AS eq FROM bs_draw d JOIN bs_idx b ON b.asset = d.asset AND b.i = d.i)) GROUP BY 1, 2""")
@@ -72,7 +73,7 @@ round(quantile_cont(dd, 0.05) * 100, 6) AS drawdown_p5_pct, avg(CASE WHEN termin
 def a34(spark, sf):
     panel = T.panel(spark, sf)
     rets = panel.withColumn("ret", F.col("close") / F.lag("close").over(V.series(("asset",), "pos")) - 1)
-    out = Bo.summarize(Bo.resample(rets, ("asset",), paths=100), ("asset",))
+    out = Bo.summarize(Bo.resample(rets, ("asset",)), ("asset",))
     return rounded(out, 6, "return_p5_pct", "drawdown_p5_pct")
 
 
@@ -128,19 +129,43 @@ def w24(spark, sf):
 
 # --- a parameter sweep through the whole path ----------------------------------------------
 
-@query("v7_parameter_sweep")
+_SW = "PARTITION BY asset, value ORDER BY ts"
+
+
+def _sw(sql: str) -> str:
+    return sql.replace("PARTITION BY asset ORDER BY ts", _SW)
+
+
+cte("sweep_src", "SELECT asset, ts, close, value, avg(close) OVER (PARTITION BY asset, value ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s0, count(*) OVER (PARTITION BY asset, value ORDER BY ts) AS k, "
+    "CASE value " + " ".join(f"WHEN {n} THEN avg(close) OVER (PARTITION BY asset, value ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in range(3, 9))
+    + " END AS f0 FROM panel_d, (SELECT CAST(range AS INTEGER) AS value FROM range(3, 9)) WHERE ts >= DATE '2000-01-01'")
+cte("sweep_sig", _sw(f"SELECT *, {series_q.up('f', 's')} AS entry, {series_q.down('f', 's')} AS exit FROM (SELECT *, CASE WHEN k >= value THEN f0 END AS f, CASE WHEN k >= 20 THEN s0 END AS s FROM sweep_src)"))
+cte("sweep_eq", f"""SELECT *, 10000 * product(CASE WHEN prev = 1 THEN close / pc ELSE 1 END * CASE WHEN prev = 0 AND p = 1 THEN 1 / (1.0005 * 1.001) WHEN prev = 1 AND p = 0 THEN 0.9995 * 0.999 ELSE 1 END) OVER ({_SW}) AS eq FROM (
+  SELECT *, coalesce(lag(p) OVER ({_SW}), 0) AS prev, lag(close) OVER ({_SW}) AS pc FROM (
+  SELECT *, coalesce(last_value(CASE WHEN entry AND NOT exit THEN 1 WHEN exit AND NOT entry THEN 0 END IGNORE NULLS) OVER ({_SW}), 0) AS p FROM sweep_sig))""")
+cte("sweep_m", f"""SELECT asset, value, (arg_max(eq, ts) / 10000 - 1) * 100 AS ret, (arg_max(close, ts) / arg_min(close, ts) - 1) * 100 AS bh,
+  avg(eq / prev_eq - 1) / nullif(stddev_samp(eq / prev_eq - 1), 0) * sqrt(252) AS sharpe FROM (SELECT *, coalesce(lag(eq) OVER ({_SW}), 10000) AS prev_eq FROM sweep_eq) GROUP BY 1, 2""")
+cte("sweep_run", """SELECT asset, island, count(*) FILTER (hit) AS run, min(value) FILTER (hit) AS a, max(value) FILTER (hit) AS b FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset ORDER BY value) - sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY value) AS island FROM (SELECT *, ret > bh AND ret > 0 AS hit FROM sweep_m)) GROUP BY 1, 2""")
+
+
+@query("v7_parameter_sweep", f"""SELECT p.*, round(d.best, 6) AS best_sharpe, round({psr_sql('d.best', '400', threshold_sql('d.v', 'd.n'))}, 6) AS sweep_dsr
+FROM (SELECT asset, CAST(sum(run) AS BIGINT) AS n_confirmed, max(run) AS longest_run, arg_max(a, (run, -a)) AS from_value, arg_max(b, (run, -a)) AS to_value,
+  CASE WHEN sum(run) = 0 THEN 'NONE' WHEN max(run) >= 3 THEN 'PLATEAU' ELSE 'SPIKE' END AS verdict FROM sweep_run GROUP BY 1) p
+JOIN (SELECT asset, count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v, max(sharpe) FILTER (ret > bh AND ret > 0) AS best FROM sweep_m GROUP BY 1) d ON d.asset = p.asset""")
 def v7(spark, sf):
     """Fast windows 3 to 8 of a crossover on every asset, held-out part only, read as a surface."""
-    panel = T.panel(spark, sf).filter(F.col("ts") >= F.lit("2000-01-01").cast("date")).select("asset", "ts", "close")
+    panel = written(T.panel(spark, sf).filter(F.col("ts") >= F.lit("2000-01-01").cast("date")).select("asset", "ts", "close"), "panel")
     keys = ("asset", "value")
     swept = None
     for n in range(3, 9):
         one = S.sma_crossover(panel.withColumn("value", F.lit(n)), n, 20, keys)
         swept = one if swept is None else swept.unionByName(one)
-    eq = R.replay_signals(swept, keys=keys)
-    m = M.signal_metrics(eq, R.signal_trades(eq, keys), swept, R.INITIAL_CASH, keys)
+    eq = written(R.replay_signals(swept, keys=keys), "sweep-equity")
+    m = M.signal_metrics(eq, R.signal_trades(eq, keys), eq, R.INITIAL_CASH, keys)
     entries = m.withColumns({"ok": F.lit(True), "confirms": F.col("beats_benchmark") & (F.col("total_return_pct") > 0), "n_days": F.lit(400)})
-    return V.plateau(entries, ("asset",)).join(L.sweep_dsr(entries, ("asset",)), "asset")
+    out = V.plateau(entries, ("asset",)).join(L.sweep_dsr(entries, ("asset",)), "asset")
+    return rounded(out, 6, "best_sharpe", "sweep_dsr")
 
 
 # --- segments of portfolio runs -------------------------------------------------------------
@@ -189,7 +214,7 @@ def v5(spark, sf):
     return rounded(out.select("run_id", "total_return_pct", "rebalances", "benchmark_pct"), 6, "total_return_pct", "benchmark_pct")
 
 
-def evaluated(spark, sf, rows=SLATE, paths=100):
+def evaluated(spark, sf, rows=SLATE, paths=500):
     panel = written(T.panel(spark, sf), "panel")
     runs = segment_runs(panel, rows)
     return panel, runs, Re.evaluate(Wt.running_sums(panel), panel, runs, paths=paths)
@@ -205,15 +230,29 @@ def v5_verdicts(spark, sf):
     return rounded(out.select("run_id", *_SHOWN, "num_trades", "n_passed", "n_checks", "failed_checks", "verdict"), 6, *_SHOWN)
 
 
-@query("v9_v10_gated_slate")
+@query("v10_gated_slate")
 def v10(spark, sf):
-    """Train gate, lockbox gate and the share of specs that reach each."""
-    _, runs, out = evaluated(spark, sf, paths=0)
-    both = Re.confirmations(out, runs)
-    train = F.col("train_verdict") == "worth_paper_trading"
-    return both.agg(
-        F.count("*").alias("candidates"), F.count_if(train).alias("train_survivors"), F.count_if(train & F.col("confirms")).alias("lockbox_survivors"),
-        F.max_by("spec_id", F.coalesce("train_sharpe", F.lit(-999.0))).alias("best_on_train"))
+    """A fixed slate through train, lockbox and stress; each gate sees only what passed."""
+    panel = written(T.panel(spark, sf), "panel")
+    return Re.gated_lab(written(Wt.running_sums(panel), "sums"), panel, dated_specs(panel), calendar(panel))[1]
+
+
+CAMPAIGN = {
+    "cross 3/7": lambda b, k: S.sma_crossover(b, 3, 7, k),
+    "cross 5/15": lambda b, k: S.sma_crossover(b, 5, 15, k),
+    "channel 10/5": lambda b, k: S.close_donchian(b, 10, 5, k),
+}
+
+
+def campaign_rows(spark, sf):
+    panel = written(T.panel(spark, sf).select("asset", "ts", "close"), "panel")
+    return Re.campaign(panel, CAMPAIGN, F.lit("2000-01-01").cast("date"))
+
+
+@query("v9_campaign")
+def v9(spark, sf):
+    """Three rules on every asset: train verdicts, the winner's lockbox verdict, per asset and in total."""
+    return L.campaign_summary(campaign_rows(spark, sf))
 
 
 @query("v6_stress_confirmations")
@@ -248,7 +287,22 @@ def v8(spark, sf):
     return rounded(out.select("run_id", *_SHOWN, "failed_checks", "verdict"), 6, *_SHOWN)
 
 
-@query("v12_book_lockbox_confirm")
+cte("seg_comp", """SELECT segment, pos, composite, avg(composite) OVER (PARTITION BY segment ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS s FROM (
+  SELECT segment, pos, avg(close / c0) AS composite FROM (SELECT g.segment, p.pos, p.asset_ord, p.close, first_value(p.close) OVER (PARTITION BY g.segment, p.asset ORDER BY p.pos) AS c0
+  FROM seg g JOIN panel_d p ON p.pos BETWEEN g.p0 AND g.p1) WHERE asset_ord < 3 GROUP BY 1, 2)""")
+cte("wt_sbook", """SELECT v.rule || '|' || c.segment || '/' || v.variant AS run_id, c.pos + 1 AS exec_pos, p.asset_ord, CASE WHEN v.variant = 'combined' AND (v.rule = 'static' OR NOT c.composite > c.s)
+  THEN CASE WHEN p.asset_ord < 3 THEN 0.7 / 3 ELSE 0.15 END WHEN p.asset_ord < 3 THEN 1.0 / 3 ELSE 0.0 END AS weight
+FROM seg_comp c JOIN seg g ON g.segment = c.segment, (VALUES ('regime', 'core'), ('regime', 'combined'), ('static', 'core'), ('static', 'combined')) v(rule, variant), (SELECT DISTINCT asset_ord FROM panel_d) p
+WHERE c.pos >= g.p0 + 100 AND (c.pos - g.p0 - 100) % 21 = 0 AND c.pos < g.p1""")
+PQ.sequential_nav("sbook", "panel_d", "wt_sbook")
+cte("sbook_m", """SELECT run_id, (arg_max(nav, pos) / 10000 - 1) * 100 AS t, avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt(252) AS s, min(nav / peak - 1) * 100 AS d FROM (
+  SELECT n.*, coalesce(lag(nav) OVER w, 10000.0) AS prev, max(nav) OVER w AS peak FROM sbook_nav n JOIN seg g ON n.run_id LIKE '%|' || g.segment || '/%' AND n.pos BETWEEN g.p0 AND g.p1 WINDOW w AS (PARTITION BY run_id ORDER BY pos)) GROUP BY 1""")
+
+
+@query("v12_book_lockbox_confirm", """WITH j AS (SELECT split_part(c.run_id, '/', 1) AS run_id, c.t AS ct, c.s AS cs, c.d AS cd, b.t AS bt, b.s AS bs, b.d AS bd FROM sbook_m c JOIN sbook_m b
+  ON c.run_id = split_part(b.run_id, '/', 1) || '/core' AND b.run_id LIKE '%/combined')
+SELECT run_id, round(ct - bt, 6) AS return_cost_pct, round(bd - cd, 6) AS drawdown_improvement_pct, round(bs - cs, 6) AS sharpe_delta,
+  CASE WHEN bs > cs THEN 'IMPROVES_RISK_ADJUSTED' WHEN cd < 0 AND bd / cd <= 0.8 THEN 'REDUCES_DRAWDOWN_AT_COST' ELSE 'NOT_WORTH_IT' END AS verdict, bs > cs OR (cd < 0 AND bd / cd <= 0.8) AS confirmed FROM j""")
 def v12(spark, sf):
     """Overlay book against core on train and on the lockbox."""
     panel = written(T.panel(spark, sf), "panel")
