@@ -239,19 +239,21 @@ def open_stops(trades: DataFrame, prepared: DataFrame, keys: Keys = ASSET, order
     latest bar (the trailing stop uses closes before that bar)."""
     group = (*keys, "param_id")
     last = trades.groupBy(*group).agg(F.max_by(F.struct("*"), "entry_ts").alias("t")).select("t.*")
-    ends = prepared.groupBy(*keys).agg(F.max(order).alias("_end"))
-    since = (
-        last.join(prepared.select(*keys, F.col(order).alias("_ts"), "close"), list(keys))
-        .join(ends, list(keys))
-        .filter((F.col("_ts") >= F.col("entry_ts")) & (F.col("_ts") < F.col("_end")))
-        .groupBy(*group)
-        .agg(F.max("close").alias("_high"))
+    path = prepared.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(order).alias("_ts"), "close")
+    end = path.groupBy(*[f"_{k}" for k in keys]).agg(F.max("_ts").alias("_end")).withColumnsRenamed(
+        {f"_{k}": k for k in keys}
     )
+    dated = last.join(end, list(keys))
+    after = (F.col("_ts") >= F.col("entry_ts")) & (F.col("_ts") < F.col("_end"))
+    for k in keys:
+        after = after & (F.col(k) == F.col(f"_{k}"))
+    # The trade's own columns are carried as grouping keys, so nothing is joined back.
+    high = dated.join(path, after, "left").groupBy(*dated.columns).agg(F.max("close").alias("_high"))
     anchor = F.greatest("entry_price", "_high")
     is_open = F.col("exit_reason") == "end_of_data"
     hard = F.col("entry_price") - F.col("sl_atr") * F.col("entry_atr")
     trail = anchor - F.col("trail_atr") * F.col("entry_atr")
-    return last.join(since, list(group), "left").select(
+    return high.select(
         *group, "entry_ts", "entry_price", is_open.alias("is_open"),
         F.when(is_open, hard).alias("hard_stop"), F.when(is_open, trail).alias("trailing_stop"),
         F.when(is_open, F.greatest(hard, trail)).alias("active_stop"),
