@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import exact_dedup, mixing, token_counts
+from barframe.llm import exact_dedup, mixing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +85,8 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.marks(table(spark, sf, "documents"))
+
+
+@query("op6_toxicity")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
