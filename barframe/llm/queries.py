@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import exact_dedup, mixing, token_counts, toxicity
+from barframe.llm import exact_dedup, language_id, mixing, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,3 +90,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_toxicity")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op3_language_id")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return language_id.language_id(table(spark, sf, "documents"))
