@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import exact_dedup, language_id, mixing, token_counts, toxicity
+from barframe.llm import exact_dedup, language_id, mixing, pii, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,3 +95,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_language_id")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return language_id.language_id(table(spark, sf, "documents"))
+
+
+@query("op8_pii")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf, "documents")))
