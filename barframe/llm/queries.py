@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import exact_dedup, language_id, mixing, pii, token_counts, toxicity
+from barframe.llm import exact_dedup, language_id, mixing, pieces, pii, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +100,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_pii")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf, "documents")))
+
+
+@query("op4_sampled_pieces")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.sampled_pieces(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
