@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import exact_dedup, language_id, mixing, pieces, pii, token_counts, toxicity
+from barframe.llm import exact_dedup, html_wrapper, language_id, mixing, pieces, pii, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,3 +107,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
 
     return pieces.sampled_pieces(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_html_text")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return html_wrapper.extract_pages(table(spark, sf, "pages"))
