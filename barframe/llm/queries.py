@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barframe.llm import exact_dedup, html_wrapper, language_id, mixing, pieces, pii, token_counts, toxicity
+from barframe.llm import (
+    collision_search, exact_dedup, html_wrapper, language_id, mixing, pieces, pii, token_counts, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +114,8 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_html_text")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return html_wrapper.extract_pages(table(spark, sf, "pages"))
+
+
+@query("op7_nearest_vectors")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return collision_search.nearest(table(spark, sf, "embeddings"))
