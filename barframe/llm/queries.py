@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barframe.llm import (
-    collision_search, exact_dedup, html_wrapper, language_id, mixing, pieces, pii, token_counts, toxicity,
+    collision_search, exact_dedup, html_wrapper, language_id, mixing, ngram_join, pieces, pii,
+    token_counts, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +120,24 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_nearest_vectors")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return collision_search.nearest(table(spark, sf, "embeddings"))
+
+
+@query("op1_ngram_join", rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SQL_WORD}') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh FROM w
+), e AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r(x, y) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, c.y AS component_id
+FROM s JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) c ON s.doc_id = c.x
+""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf, "documents"))
