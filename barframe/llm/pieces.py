@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 ALPHA = 1.0
 BLANK = "▁"
-CHARS = 4_000_000  # of text whose lattice is held at once
+CHARS = 1_500_000  # of text whose lattice is held at once
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 OWN_BLANK = "\ud800"  # stands for a U+2581 of the text itself; no valid text holds a lone surrogate
@@ -178,11 +178,11 @@ class Lattices:
             peak = np.maximum.reduceat(own, head)
             total = np.add.reduceat(np.exp(own - np.repeat(peak, np.diff(np.append(head, len(at))))), head)
             alpha[at[head]] = peak + np.log(total)
-        # Cumulative shares of a node's edges, shifted by its number so that all form one sorted array.
-        share = np.exp(score - alpha[self.end]) if len(self.end) else np.zeros(0)
-        run = np.cumsum(share)
-        before = np.where(self.first_edge[self.end] > 0, run[np.maximum(self.first_edge[self.end] - 1, 0)], 0.0)
-        self.upto = run - before
+        # Cumulative shares of a node's edges.
+        score -= alpha[self.end]
+        np.cumsum(np.exp(score, out=score), out=score)
+        before = np.where(self.first_edge[:-1] > 0, score[np.maximum(self.first_edge[:-1] - 1, 0)], 0.0) if count else score
+        self.upto = (score - before[self.end]).astype(np.float32)
 
     def sample(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of every occurrence. Returns (occurrence, edge) in text order."""
