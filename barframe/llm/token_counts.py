@@ -13,6 +13,7 @@ an empty result.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,19 +22,65 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK, OVERLAP = 16384, 256
+CHUNK, OVERLAP = 65536, 512
 BATCH_CHARS = 1_000_000  # of short texts encoded at once
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """A tokenizer file, and the same without its normaliser for texts that are normalised already.
+
+    The normaliser of these files may compose characters (NFC), turn runs of white space into a
+    space and lower-case. Latin-1 text is composed, its lower case has no context, and where the
+    splitter drops white space its kind cannot matter: such text is lower-cased by Python, and the
+    costly bookkeeping of the normaliser is left out. A text with "<|" keeps the normaliser, as
+    special strings are looked for before it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.full, self.bare = Tokenizer.from_file(path), None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.full.no_truncation()
+        self.full.no_padding()
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        if kinds == ["NFC", "Replace", "Lowercase"] and splits.get("behavior") == "Removed" and splits.get("invert"):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.no_truncation()
+            self.bare.no_padding()
+            self.bare.normalizer = None
+
+    def plain(self, text: str) -> bool:
+        if self.bare is None or "<|" in text:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def encode(self, text: str):
+        if self.plain(text):
+            return self.bare.encode(text.lower(), add_special_tokens=False)
+        return self.full.encode(text, add_special_tokens=False)
+
+    def sizes(self, texts: list[str]) -> list[int]:
+        out = [0] * len(texts)
+        plain = [self.plain(t) for t in texts]
+        for tok, lower, own in ((self.bare, True, True), (self.full, False, False)):
+            at = [i for i, p in enumerate(plain) if p is own]
+            if at:
+                got = tok.encode_batch_fast([texts[i].lower() if lower else texts[i] for i in at], add_special_tokens=False)
+                for i, e in zip(at, got, strict=True):
+                    out[i] = len(e)
+        return out
+
 
-    made = Tokenizer.from_file(path)
-    made.no_truncation()
-    made.no_padding()
-    return made
+@lru_cache(maxsize=4)
+def tokenizer(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _between(text: str, lo: int, hi: int) -> tuple[int, int] | None:
@@ -48,7 +95,7 @@ def _between(text: str, lo: int, hi: int) -> tuple[int, int] | None:
 
 
 def _encode(tok, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    got = tok.encode(text[start:end], add_special_tokens=False)
+    got = tok.encode(text[start:end])
     return [(i, a + start, b + start) for i, (a, b) in zip(got.ids, got.offsets, strict=True)]
 
 
@@ -91,9 +138,8 @@ def counts_of(tok, texts: list[str], chunk: int, overlap: int) -> list[int]:
 
     def flush() -> None:
         nonlocal held
-        got = tok.encode_batch_fast([texts[i] for i in waiting], add_special_tokens=False)
-        for i, e in zip(waiting, got, strict=True):
-            out[i] = len(e)
+        for i, n in zip(waiting, tok.sizes([texts[i] for i in waiting]), strict=True):
+            out[i] = n
         waiting.clear()
         held = 0
 
