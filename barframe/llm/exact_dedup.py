@@ -59,22 +59,19 @@ def marks(docs: DataFrame, key: str = "doc_id", text: str = "text", per_row: int
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; one of rows repeated as they are."""
-    names = docs.columns
     found = written(marks(docs, key, text).filter("group_size > 1"), "dedup-groups")
-    dropped = found.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     # Ids in a group of copies: their rows, and only theirs, are looked at again.
-    ids = written(found.select(F.col("doc_id").alias(key)), "dedup-ids")
-    count = S.slot_count(ids.count())
-    bits = written(S.as_filter(ids.select(F.explode(S.slots(F.col(key), count)).alias("slot"))), "dedup-id-filter")
-    seen = S.hits(docs, F.col(key), bits, count, "_seen")
-    clear = seen.filter("not _seen").select(*names)
-    body = F.coalesce(F.col(text), F.lit(""))
-    other = seen.filter("_seen").select(*names, F.sha2(F.regexp_replace(body, r"[ \t-\r]+", ""), 256).alias("_own"))
-    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
-    other = other.join(dropped.distinct(), same, "left_anti")
+    count = S.slot_count(found.count())
+    bits = written(S.as_filter(found.select(F.explode(S.slots(F.col("doc_id"), count)).alias("slot"))), "dedup-id-filter")
+    seen = S.hits(S.boxed(docs, _key=key, _text=text), F.col("_key"), bits, count, "_seen")
+    body = F.regexp_replace(F.coalesce("_text", F.lit("")), r"[ \t-\r]+", "")
+    other = seen.filter("_seen").select("_row", "_key", F.sha2(body, 256).alias("_own"))
+    same = F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha"))
+    pair = [F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")]
+    other = other.join(found.filter("not kept").select(*pair).distinct(), same, "left_anti")
     ties = found.filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not ties.isEmpty():
-        ties = ties.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-        once = other.join(ties, same, "left_semi").dropDuplicates([key, "_own"])
+        ties = ties.select(*pair)
+        once = other.join(ties, same, "left_semi").dropDuplicates(["_key", "_own"])
         other = other.join(ties, same, "left_anti").unionByName(once)
-    return clear.unionByName(other.select(*names))
+    return S.opened(seen.filter("not _seen").select("_row")).unionByName(S.opened(other))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barframe.llm.slots import boxed, opened
 from barframe.session import written
 
 WEIGHTS = (5, 2, 1)  # by source in code point order, repeating
@@ -126,6 +127,5 @@ def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     largest number of copies among them."""
     copies = mix(docs, key, text, source).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
     copies = copies.filter("_copies > 0")
-    rows = docs.join(copies, F.col(key).eqNullSafe(F.col("_id")))
-    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")
-    return rows.select(*docs.columns, repeat).drop("_copy")
+    rows = boxed(docs, _key=key).join(copies, F.col("_key").eqNullSafe(F.col("_id")))
+    return opened(rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))

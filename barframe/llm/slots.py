@@ -49,18 +49,25 @@ def hits(df: DataFrame, key: Column, bits: DataFrame, count: int, flag: str, has
     return out.withColumn(flag, every).drop("_slots", *[f"_hit{i}" for i in range(hashes)])
 
 
+def boxed(docs: DataFrame, **names: str) -> DataFrame:
+    """The row as one struct `_row` beside the named columns, so that whatever other columns docs
+    has cannot clash with those that an operator adds. opened() gives the rows back."""
+    return docs.select(F.struct("*").alias("_row"), *[F.col(c).alias(n) for n, c in names.items()])
+
+
+def opened(boxes: DataFrame) -> DataFrame:
+    return boxes.select("_row.*")
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of docs whose key is not in `gone` (one column, same name; null matches null).
+    """The rows of docs whose key is not in `gone` (one column; null matches null).
 
     Rows that a filter over the keys of `gone` clears pass straight on; only the others meet `gone`
     in a join, so the texts of clean rows are never shuffled.
     """
-    gone = written(gone.select(key), "gone")
+    gone = written(gone.toDF("_gone").distinct(), "gone")
     count = slot_count(gone.count())
-    bits = as_filter(gone.select(F.explode(slots(F.col(key), count)).alias("slot")))
-    bits = written(bits, "gone-filter")
-    seen = hits(docs, F.col(key), bits, count, "_seen")
-    clear = seen.filter(~F.col("_seen")).select(*docs.columns)
-    other = seen.filter("_seen").select(*docs.columns)
-    left = gone.select(F.col(key).alias("_gone")).distinct()
-    return clear.unionByName(other.join(left, F.col(key).eqNullSafe(F.col("_gone")), "left_anti"))
+    bits = written(as_filter(gone.select(F.explode(slots(F.col("_gone"), count)).alias("slot"))), "gone-filter")
+    seen = hits(boxed(docs, _key=key), F.col("_key"), bits, count, "_seen")
+    other = seen.filter("_seen").join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti")
+    return opened(seen.filter("not _seen").select("_row")).unionByName(opened(other))

@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barframe.llm.slots import boxed, opened
 from barframe.session import written
 
 SAMPLE = 6000  # texts per label that the lexicon is learned from
@@ -270,4 +271,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs below the threshold, with all their columns."""
     lexicon = train(docs, labels)
-    return docs.withColumn("_score", score(F.col("text"), lexicon)).filter(F.col("_score") < threshold).drop("_score")
+    rows = boxed(docs, _text="text").select("_row", score(F.col("_text"), lexicon).alias("_score"))
+    return opened(rows.filter(F.col("_score") < threshold))
