@@ -68,6 +68,10 @@ def histograms(texts: list[str | None], group: np.ndarray, width: int) -> np.nda
         owners = np.repeat(np.array([i for i, _ in held]), [len(p) + 2 for _, p in held])
         ids = gram_ids(data)
         first, last = held[0][0], held[-1][0]
+        # Trigrams that start on the last two bytes of a piece belong to the next one, or are blank.
+        stops = np.cumsum([len(p) + 2 for _, p in held])
+        for back in (3, 4):
+            ids[stops - back] = -1
         ok = ids >= 0
         flat = (owners[:-2][ok] - first) * width + group[ids[ok]]
         out[first:last + 1] += np.bincount(flat, minlength=(last - first + 1) * width).reshape(-1, width)

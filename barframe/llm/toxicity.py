@@ -38,11 +38,12 @@ THRESHOLD = 0.3
 
 # Characters that imitate Latin letters.
 HOMOGLYPHS = {
-    "a": "аαɑａ@", "b": "ьЬｂ", "c": "сϲｃ", "d": "ԁｄ", "e": "еεｅ", "f": "ｆ", "g": "ɡｇ", "h": "һｈ", "i": "іιıｉ!", "j": "јｊ",
-    "k": "кκｋ", "l": "ⅼｌ|", "m": "мｍ", "n": "ո ｎ".replace(" ", ""), "o": "оοσｏ", "p": "рρｐ", "q": "ԛｑ", "r": "гｒ", "s": "ѕｓ$",
+    "a": "аαɑａ@", "b": "ьЬｂ", "c": "сϲｃ", "d": "ԁｄ", "e": "еεｅ", "f": "ｆ", "g": "ɡｇ", "h": "һｈ", "i": "іιıｉⅼｌ|", "j": "јｊ",
+    "k": "кκｋ", "m": "мｍ", "n": "ո ｎ".replace(" ", ""), "o": "оοσｏ", "p": "рρｐ", "q": "ԛｑ", "r": "гｒ", "s": "ѕｓ$",
     "t": "тτｔ", "u": "υսｕ", "v": "νѵｖ", "w": "ԝωｗ", "x": "хχｘ", "y": "уγｙ", "z": "ｚ",
 }
-DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
+# 1 and | stand for i or l, so l is read as i in texts and in the lexicon alike.
+DIGITS = {"l": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 INVISIBLE = "­​‌‍⁠﻿"
 
 
