@@ -4,12 +4,14 @@ Two texts link when their shingle sets x, y satisfy 100 |x n y| >= percent |x u
 decide the components; which of them are looked at is reduced without losing one:
 
 1. Equal sets form a class, and one row stands for the class from there on.
-2. Shingles are put in one order, rare ones first (the HEAVY most repeated ones, ranked by count,
-   come last, the rest in order of hash). Linked sets share one of their first |x| - ceil(t |x|) + 1
-   shingles, t = percent / 100, in any such order; these are a class's keys.
-3. Every key names its most central class, the one with the smallest share of unranked shingles, as
-   its pivot. (pivot, class) pairs are the first candidates; components of the links among them are
-   the first components.
+2. Shingles are put in one order, rare ones first (the RANKED most repeated ones come last, by their
+   count, the rest in order of hash). Linked sets share one of their first |x| - ceil(t |x|) + 1
+   shingles, t = percent / 100, in any such order; these are a class's keys. The smaller of the two
+   has it among its first |x| - ceil(2 t / (1 + t) |x|) + 1; these are its near keys.
+3. The classes of a key, in order of size, fall into runs of compatible sizes; one without another
+   of compatible size (and a near key where that is the smaller) goes. Every run names its most
+   central class, the one with the smallest share of unranked shingles, as its pivot. (pivot, class)
+   pairs are the first candidates; components of the links among them are the first components.
 4. A pair that shares a key also shares a pivot. Classes around a pivot that are not yet in its
    component meet all others around it in tiles: by bands of size, so that only compatible sizes
    meet, and in blocks, so that no group is held by one task. In a tile every class has a bitmap of
@@ -17,8 +19,9 @@ decide the components; which of them are looked at is reduced without losing one
    |x n y| <= |x| - bits(x & ~y), and likewise for y; pairs below the needed overlap are dropped.
 5. All remaining pairs are decided by intersecting the sorted hash arrays of both texts.
 
-Keys among the ranked shingles may be hot: their pivots are summed in part before the shuffle and
-there are at most HEAVY of them, so they return by a broadcast. Other keys meet in a window.
+The HOT most repeated shingles may be keys of very many classes: their pivots are summed in part
+before the shuffle and there are at most HOT of them, so they return by a broadcast. Other keys meet
+in a window.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing, texts shorter than
 a shingle count as one; repeated rows are linked by being equal; rows with a null id belong to their
@@ -42,9 +45,9 @@ from barframe.llm.shingles import mixed, shingle_sets
 from barframe.session import written
 
 SIZE, PERCENT = 4, 85
-HEAVY = 65_536
+RANKED, HOT = 1 << 20, 65_536
 TILE = 512  # classes on either side of a tile
-LEAST_BITS, MOST_BITS = 64, 8192
+LEAST_BITS, MOST_BITS, WIDTH = 64, 32_768, 4
 _U = np.uint64
 
 
@@ -64,8 +67,8 @@ def needed(a, b, percent: int):
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle in a power of two of bits, at least half as many as shingles."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(shingles) - 1).bit_length()))
+    """One bit per shingle in a power of two of bits, WIDTH for each shingle and up to twice that."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (WIDTH * len(shingles) - 1).bit_length()))
     made = np.zeros(bits, dtype=np.uint8)
     made[(shingles & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(made, bitorder="little").tobytes()
@@ -99,11 +102,21 @@ def profile(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, cls long, shingle long, times long")
 
 
-def heavy_list(profiled: DataFrame) -> np.ndarray:
-    """The HEAVY most repeated shingles, most repeated last; the driver holds no more than these."""
+def ranked_list(profiled: DataFrame) -> np.ndarray:
+    """At most RANKED of the most repeated shingles, most repeated last; all the driver holds."""
     counted = profiled.filter("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = counted.orderBy(F.desc("times"), "shingle").limit(HEAVY).select("shingle").toPandas()["shingle"]
-    return top.to_numpy(np.int64)[::-1].view(_U).copy()
+    counted = written(counted, "join-counts")
+    # A count is as good as its rank: the least one that at most RANKED shingles reach.
+    step = F.least("times", F.lit(100_000)).alias("times")
+    least, total = 100_001, 0
+    for r in counted.groupBy(step).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("times")).collect():
+        total += r["n"]
+        if total > RANKED:
+            break
+        least = r["times"]
+    top = counted.filter(F.col("times") >= least).select("shingle", "times").toArrow()
+    values, times = top.column("shingle").to_numpy(), top.column("times").to_numpy()
+    return values[np.lexsort((values, times))].view(_U).copy()
 
 
 class Order:
@@ -121,16 +134,16 @@ class Order:
         return np.where(self.values[at] == shingles, self.by_value[at] + 1, 0)
 
 
-def class_keys(docs: DataFrame, heavy: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """Rows (cls, n, centre, bits) for classes and (cls, centre, key, hot) for their keys. A class
+def class_keys(docs: DataFrame, ranked: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
+    """Rows (cls, n, bits) for classes and (cls, n, centre, key, near, hot) for their keys. A class
     comes once per batch that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = Order(heavy)
-        names = ["cls", "n", "centre", "bits", "key", "hot"]
+        order, hottest = Order(ranked), len(ranked) - HOT
+        names = ["cls", "n", "bits", "centre", "key", "near", "hot"]
         for b in batches:
             seen: set[int] = set()
-            cls, n, centre, bits, keys, hot = [], [], [], [], [], []
+            cls, n, bits, centre, keys, near, hot = [], [], [], [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), size):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -139,42 +152,53 @@ def class_keys(docs: DataFrame, heavy: np.ndarray, size: int, percent: int, text
                 plain = rank == 0
                 unranked = int(plain.sum())
                 want = n_keys(len(s), percent)
-                first = s[plain][:want]
+                first, at = s[plain][:want], np.zeros(min(unranked, want), dtype=np.int64)
                 if len(first) < want:
-                    ranked = np.flatnonzero(~plain)
-                    first = np.concatenate([first, s[ranked[np.argsort(rank[ranked])[:want - len(first)]]]])
+                    last = np.flatnonzero(~plain)
+                    last = last[np.argsort(rank[last])[:want - len(first)]]
+                    first, at = np.concatenate([first, s[last]]), np.concatenate([at, rank[last]])
                 cls.append(c)
                 n.append(len(s))
-                centre.append(unranked * 10_000 // len(s))
                 bits.append(bitmap(s))
+                centre.append(unranked * 10_000 // len(s))
                 keys.append(first)
-                hot.append(np.arange(len(first)) >= unranked)
+                near.append(np.arange(want) < len(s) - needed(len(s), len(s), percent) + 1)
+                hot.append(at > max(hottest, 0))
             if not cls:
                 continue
             m, per = len(cls), [len(k) for k in keys]
+            ids, sizes = np.array(cls, dtype=np.int64), np.array(n, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(centre, pa.int32()), pa.array(bits, pa.binary()),
-                 pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())], names=names)
-            total = sum(per)
+                [pa.array(ids), pa.array(sizes), pa.array(bits, pa.binary()), pa.nulls(m, pa.int16()),
+                 pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.bool_())], names=names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.array(cls, dtype=np.int64), per)), pa.nulls(total, pa.int64()),
-                 pa.array(np.repeat(np.array(centre, dtype=np.int32), per)), pa.nulls(total, pa.binary()),
-                 pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(hot))], names=names)
+                [pa.array(np.repeat(ids, per)), pa.array(np.repeat(sizes, per)), pa.nulls(sum(per), pa.binary()),
+                 pa.array(np.repeat(np.array(centre, dtype=np.int16), per)), pa.array(np.concatenate(keys).view(np.int64)),
+                 pa.array(np.concatenate(near)), pa.array(np.concatenate(hot))], names=names)
 
     rows = docs.select(F.col(text).alias("text"))
-    return rows.mapInArrow(run, "cls long, n long, centre int, bits binary, key long, hot boolean")
-
-
-def pivots(rows: DataFrame) -> DataFrame:
-    """Distinct (pivot, cls), pivot <> cls, over all keys."""
-    keys = rows.filter("key IS NOT NULL").select("key", "cls", "centre", "hot")
-    order = Window.partitionBy("key").orderBy("centre", "cls")
-    cold = keys.filter("not hot").select("key", "cls", "centre").withColumn("pivot", F.first("cls").over(order))
-    # At most HEAVY keys are hot.
+    return rows.mapInArrow(run, "cls long, n int, bits binary, centre short, key long, near boolean, hot boolean")
+
+
+def pivots(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct (pivot, cls), pivot <> cls, over all runs of all keys."""
+    keys = rows.filter("key IS NOT NULL").select("key", "cls", F.col("n").cast("long").alias("n"), "centre", "near", "hot")
+    by_size = Window.partitionBy("key").orderBy("n", "cls")
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    fits = lambda small, large: F.coalesce(100 * small >= percent * large, F.lit(False))
+    cold = keys.filter("not hot").withColumns({
+        "_smaller": F.max(F.when(F.col("near"), F.col("n"))).over(before), "_larger": F.lead("n").over(by_size),
+    })
+    cold = cold.filter(fits(F.col("_smaller"), F.col("n")) | (F.col("near") & fits(F.col("n"), F.col("_larger"))))
+    gap = F.when(fits(F.lag("n").over(by_size), F.col("n")), 0).otherwise(1)
+    cold = cold.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(by_size))
+    centre = Window.partitionBy("key", "_run").orderBy("centre", "cls")
+    cold = cold.withColumn("pivot", F.first("cls").over(centre))
     hot = keys.filter("hot").select("key", "cls", "centre")
     middle = hot.groupBy("key").agg(F.min(F.struct("centre", "cls")).alias("_m")).select(
         F.col("key").alias("_key"), F.col("_m.cls").alias("pivot")
     )
+    # At most HOT keys.
     warm = hot.join(F.broadcast(middle), F.col("key") == F.col("_key"))
     both = cold.select("pivot", "cls").unionByName(warm.select("pivot", "cls"))
     return both.filter("pivot <> cls").distinct()
@@ -199,6 +223,19 @@ def bounded(n_x: np.ndarray, x: np.ndarray, n_y: np.ndarray, y: np.ndarray, perc
     return np.minimum(a - only_x, b - only_y) >= needed(a, b, percent)
 
 
+def _room(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
+    """bounded() for one pair."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    while len(x) != len(y):  # fold the wider one
+        if len(x) > len(y):
+            half = len(x) // 2
+            a, x = (a >> (8 * half)) | (a & ((1 << (8 * half)) - 1)), x[:half]
+        else:
+            half = len(y) // 2
+            b, y = (b >> (8 * half)) | (b & ((1 << (8 * half)) - 1)), y[:half]
+    return min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count()) >= needed(n, m, percent)
+
+
 def paired(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose sizes and bit counts allow a link."""
     side = lambda p: classes.select(*[F.col(c).alias(f"{p}_{c}") for c in ("cls", "n", "bits")])
@@ -209,9 +246,7 @@ def paired(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             ok = np.zeros(len(b), dtype=bool)
             for i, (n, p, m, q) in enumerate(zip(b["x_n"], b["x_bits"], b["y_n"], b["y_bits"], strict=True)):
-                rows = _matrix([p, q])
-                only = np.bitwise_count(rows[0] & ~rows[1]).sum(), np.bitwise_count(rows[1] & ~rows[0]).sum()
-                ok[i] = min(n - int(only[0]), m - int(only[1])) >= needed(n, m, percent)
+                ok[i] = _room(n, p, m, q, percent)
             yield b.loc[ok, ["x", "y"]]
 
     return met.select("x", "y", "x_n", "x_bits", "y_n", "y_bits").mapInPandas(run, "x long, y long")
@@ -247,6 +282,47 @@ def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, size: int, per
     return met.select("x", "y", "x_text", "y_text").mapInPandas(run, "x long, y long").distinct()
 
 
+def _starts(rows: pa.Table, tile: list[str]) -> np.ndarray:
+    """Where a new tile begins."""
+    new = np.zeros(rows.num_rows, dtype=bool)
+    new[:1] = True
+    for c in tile:
+        v = rows.column(c).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _tile_pairs(rows: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs of all tiles of `rows` that sizes, labels and bit counts leave."""
+    probe, cls, label, n = (rows.column(c).to_numpy() for c in ("probe", "cls", "label", "n"))
+    bits = rows.column("bits").to_pylist()
+    xs, ys = [], []
+    for s, e in zip(starts, np.append(starts[1:], rows.num_rows), strict=True):
+        own = probe[s:e]
+        a, b = s + np.flatnonzero(own), s + np.flatnonzero(~own)
+        if not len(a) or not len(b):
+            continue
+        n_a, n_b = n[a][:, None], n[b][None, :]
+        ok = (label[a][:, None] != label[b][None, :]) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+        i, j = np.nonzero(ok)
+        if not len(i):
+            continue
+        if len(i) > len(a) + len(b):
+            every = _matrix([bits[k] for k in (*a, *b)])
+            i, j = np.nonzero(ok & bounded(n[a], every[:len(a)], n[b], every[len(a):], percent))
+            xs.append(cls[a[i]])
+            ys.append(cls[b[j]])
+            continue
+        for p, q in zip(a[i], b[j], strict=True):
+            if _room(int(n[p]), bits[p], int(n[q]), bits[q], percent):
+                xs.append(cls[p:p + 1])
+                ys.append(cls[q:q + 1])
+    if xs:
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
+
+
 def tiles(around: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y) of different components that share a pivot and pass the bit counts.
 
@@ -292,36 +368,19 @@ def tiles(around: DataFrame, classes: DataFrame, labels: DataFrame, percent: int
     # Tiles are whole in a partition and one after the other; a task holds one tile at a time.
     laid = probe.unionByName(build).repartition(*tile).sortWithinPartitions(*tile)
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        a, b = rows[rows["probe"]], rows[~rows["probe"]]
-        if not len(a) or not len(b):
-            return rows[[]]
-        every = _matrix([*a["bits"], *b["bits"]])
-        n_a, n_b = a["n"].to_numpy(), b["n"].to_numpy()
-        ok = bounded(n_a, every[:len(a)], n_b, every[len(a):], percent)
-        ok &= a["label"].to_numpy()[:, None] != b["label"].to_numpy()[None, :]
-        ok &= 100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :])
-        i, j = np.nonzero(ok)
-        x, y = a["cls"].to_numpy()[i], b["cls"].to_numpy()[j]
-        return pd.DataFrame({"x": np.minimum(x, y), "y": np.maximum(x, y)}).drop_duplicates()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            change = (b[tile] != b[tile].shift()).any(axis=1).to_numpy()
-            starts = np.flatnonzero(change)
-            for s, e in zip(starts[:-1], starts[1:], strict=True):
-                found = one(b.iloc[s:e])
-                if len(found):
-                    yield found
-            rest = b.iloc[starts[-1]:] if len(starts) else None
-        if rest is not None and len(rest):
-            found = one(rest)
-            if len(found):
-                yield found
-
-    return laid.mapInPandas(run, "x long, y long").distinct()
+            now = pa.Table.from_batches([b])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            starts = _starts(now, tile)
+            if len(starts) > 1:
+                yield from _tile_pairs(now.slice(0, starts[-1]), starts[:-1], percent)
+            rest = now.slice(starts[-1]) if len(starts) else None
+        if rest is not None:
+            yield from _tile_pairs(rest, np.zeros(1, dtype=np.int64), percent)
+
+    return laid.mapInArrow(run, "x long, y long").distinct()
 
 
 def ngram_links(
@@ -332,10 +391,10 @@ def ngram_links(
     profiled = written(profile(docs, size, key, text), "join-profile")
     rows = profiled.filter("shingle IS NULL").select("doc_id", "n", "cls")
     names = written(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")), "join-classes")
-    keyed = written(class_keys(docs, heavy_list(profiled), size, percent, text), "join-keys")
-    classes = keyed.filter("key IS NULL").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    keyed = written(class_keys(docs, ranked_list(profiled), size, percent, text), "join-keys")
+    classes = keyed.filter("key IS NULL").groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.first("bits").alias("bits"))
     classes = written(classes, "join-bitmaps")
-    around = written(pivots(keyed), "join-pivots")
+    around = written(pivots(keyed, percent), "join-pivots")
     first = paired(around.select(F.col("pivot").alias("x"), F.col("cls").alias("y")), classes, percent)
     links = written(verified(written(first, "join-first"), docs, names, size, percent, key, text), "join-links-1")
     labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
