@@ -26,12 +26,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALPHA = 1.0
 BLANK = "▁"
-CHARS = 1_500_000  # of text whose lattice is held at once
+CHARS = 2_000_000  # of text whose lattice is held at once
+RESCALE = 16
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
 OWN_BLANK = "\ud800"  # stands for a U+2581 of the text itself; no valid text holds a lone surrogate
@@ -71,7 +75,7 @@ class Vocabulary:
         rank = np.maximum(-np.array([min(0.0, sp.get_score(i)) for i in plain]), 0.0)
         rank = np.where(rank > n, float(n), rank)  # pieces outside the merge order come last
         self.ids = np.array(plain, dtype=np.int32)
-        self.log_weight = np.append(-alpha * np.log(rank + 2.0), -alpha * np.log(n + 2.0))  # the last: a byte piece
+        self.weight = np.append((rank + 2.0) ** -alpha, (n + 2.0) ** -alpha)  # the last: a byte piece
         # Every beginning of a piece by its hash, and the piece that it is, or -1.
         place = {t: k for k, t in enumerate(texts)}
         heads = sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})
@@ -156,33 +160,32 @@ class Lattices:
         for end, number, piece, size in found:  # every edge straight to its place in order of end
             to = self.first_edge[end] + number
             self.end[to], self.start[to], self.piece[to] = end, end - (size - 1), piece
-        log_w = voc.log_weight[self.piece]  # place -1: one byte piece
+        weight = voc.weight[self.piece]  # place -1: one byte piece
         wide = np.flatnonzero(self.piece < 0)
         if len(wide):
             code = points[self.end[wide]]
-            log_w[wide] *= 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+            weight[wide] **= 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
         self.points = points
-        # Forward filtering in logarithms, by place in the unit, all units at once.
-        alpha = np.full(n + 1, -np.inf)  # alpha[e]: log weight of the beginnings that end at character e
-        score = np.empty(count)
+        # Forward filtering by place in the unit, all units at once. `upto` of an edge is the share of
+        # its node's weight that it and the node's earlier edges have.
+        forward = np.ones(n + 1)  # of the beginnings that end at a character; n stands for the start
+        self.upto = np.empty(count, dtype=np.float32)
         depth = place[self.end].astype(np.int16 if n == 0 or place.max() < 32767 else np.int64)
         by_place = np.argsort(depth, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(depth))]) if count else np.zeros(1, dtype=np.int64)
-        opens = place[self.start] == 0
+        came = np.where(place[self.start] == 0, n, self.start - 1)
         for j in range(len(bounds) - 1):
             edges = by_place[bounds[j]:bounds[j + 1]]  # in order of end
-            own = log_w[edges] + np.where(opens[edges], 0.0, alpha[self.start[edges] - 1])
-            score[edges] = own
+            own = weight[edges] * forward[came[edges]]
             at = self.end[edges]
             head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            peak = np.maximum.reduceat(own, head)
-            total = np.add.reduceat(np.exp(own - np.repeat(peak, np.diff(np.append(head, len(at))))), head)
-            alpha[at[head]] = peak + np.log(total)
-        # Cumulative shares of a node's edges.
-        score -= alpha[self.end]
-        np.cumsum(np.exp(score, out=score), out=score)
-        before = np.where(self.first_edge[:-1] > 0, score[np.maximum(self.first_edge[:-1] - 1, 0)], 0.0) if count else score
-        self.upto = (score - before[self.end]).astype(np.float32)
+            total, size = np.add.reduceat(own, head), np.diff(np.append(head, len(at)))
+            forward[at[head]] = total
+            run = np.cumsum(own / np.repeat(total, size))  # of shares, so that nodes do not blur each other
+            self.upto[edges] = run - np.repeat(np.arange(len(head)), size)
+            if j >= voc.longest - 1 and j % RESCALE == 0:  # only ratios matter: keep long units near 1
+                for back in range(voc.longest):
+                    forward[at[head] - back] /= total
 
     def sample(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward sampling of every occurrence. Returns (occurrence, edge) in text order."""
@@ -230,79 +233,86 @@ def units_of(text: str) -> list[str]:
     return units
 
 
-def encode_batch(keys: np.ndarray, texts: list[str], voc: Vocabulary) -> Iterator[np.ndarray]:
-    """The sampled ids of each text; keys are 64-bit numbers of the rows."""
-    done = 0
-    while done < len(texts):
-        first, size = done, 0
-        while done < len(texts) and (done == first or size + len(texts[done]) <= CHARS):
-            size += len(texts[done])
-            done += 1
-        lists = [units_of(t) if t else [] for t in texts[first:done]]
-        counts = np.array([len(x) for x in lists])
-        flat = [u for x in lists for u in x]
-        if not flat:
-            yield from (np.zeros(0, np.int32) for _ in lists)
-            continue
-        if any(BLANK in t for t in texts[first:done]):  # pandas cannot tell lone surrogates apart
-            number: dict[str, int] = {}
-            codes, distinct = np.array([number.setdefault(u, len(number)) for u in flat]), list(number)
-        else:
-            codes, distinct = pd.factorize(np.array(flat, dtype=object))
-        own = Lattices(list(distinct), voc)
-        row = np.repeat(np.arange(len(lists)), counts)
-        within = np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-        seed = mixed(mixed(keys[first:done].astype(_U))[row] + within.astype(_U) * BASE)
-        who, edge = own.sample(codes, seed)
-        place = own.piece[edge]
-        ids = np.where(place >= 0, voc.ids[np.maximum(place, 0)], -1)
-        bare = np.flatnonzero(place < 0)
-        if len(bare):  # spell in bytes
-            chars = [chr(c) for c in own.points[own.end[edge[bare]]]]
-            spelled = [list((BLANK if c == OWN_BLANK else c).encode("utf-8", "surrogatepass")) for c in chars]
-            width = np.ones(len(ids), dtype=np.int64)
-            width[bare] = [len(b) for b in spelled]
-            at = np.cumsum(width) - width
-            out = np.empty(int(width.sum()), dtype=np.int32)
-            out[at[place >= 0]] = ids[place >= 0]
-            where = np.concatenate([np.arange(a, a + len(b)) for a, b in zip(at[bare], spelled, strict=True)])
-            out[where] = voc.byte_id[np.concatenate(spelled)]
-            who, ids = np.repeat(who, width), out
-        per_row = np.bincount(row[who], minlength=len(lists))
-        yield from np.split(ids, np.cumsum(per_row)[:-1])
-
-
-def decode_batch(rows: list[np.ndarray], voc: Vocabulary) -> Iterator[str]:
-    """The texts of rows of ids: the pieces' bytes without the dummy blank."""
-    done = 0
-    while done < len(rows):
-        first, size = done, 0
-        while done < len(rows) and (done == first or size + len(rows[done]) <= CHARS // 4):
-            size += len(rows[done])
-            done += 1
-        ids = np.concatenate([np.asarray(r, dtype=np.int32) for r in rows[first:done]])
-        width = voc.width[ids]
-        upto = np.cumsum(width)
-        source = np.arange(int(upto[-1]) if len(ids) else 0) + np.repeat(voc.offset[ids] - (upto - width), width)
-        raw = voc.flat[source].tobytes()
-        ends = np.concatenate([[0], upto])[np.cumsum([len(r) for r in rows[first:done]])]
-        start = 0
-        for end in ends:
-            yield raw[start + 1:end].decode("utf-8", "replace")
-            start = end
-
-
-def encode(text: Column, key: Column, path: str, alpha: float = ALPHA) -> Column:
-    """array<int> of sampled piece ids of a string column; `key` seeds the draws of its row."""
-
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def encode_batch(keys: np.ndarray, texts: list[str], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled ids of all texts in a row, and how many each text has; keys are 64-bit numbers of
+    the rows. Callers pass about CHARS characters at once."""
+    lists = [units_of(t) if t else [] for t in texts]
+    counts = np.array([len(x) for x in lists])
+    flat = [u for x in lists for u in x]
+    if not flat:
+        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+    if any(BLANK in t for t in texts):  # pandas cannot tell lone surrogates apart
+        number: dict[str, int] = {}
+        codes, distinct = np.array([number.setdefault(u, len(number)) for u in flat]), list(number)
+    else:
+        codes, distinct = pd.factorize(np.array(flat, dtype=object))
+    del lists, flat
+    own = Lattices(list(distinct), voc)
+    row = np.repeat(np.arange(len(texts)), counts)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    who, edge = own.sample(codes, mixed(mixed(keys.astype(_U))[row] + within.astype(_U) * BASE))
+    place = own.piece[edge]
+    ids = voc.ids[place]
+    bare = np.flatnonzero(place < 0)
+    if len(bare):  # spell in bytes
+        chars = [chr(c) for c in own.points[own.end[edge[bare]]]]
+        spelled = [list((BLANK if c == OWN_BLANK else c).encode("utf-8", "surrogatepass")) for c in chars]
+        width = np.ones(len(ids), dtype=np.int64)
+        width[bare] = [len(b) for b in spelled]
+        at = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), dtype=np.int32)
+        out[at[place >= 0]] = ids[place >= 0]
+        where = np.concatenate([np.arange(a, a + len(b)) for a, b in zip(at[bare], spelled, strict=True)])
+        out[where] = voc.byte_id[np.concatenate(spelled)]
+        who, ids = np.repeat(who, width), out
+    return ids, np.bincount(row[who], minlength=len(texts))
+
+
+def decode_batch(ids: np.ndarray, sizes: np.ndarray, voc: Vocabulary) -> list[bytes]:
+    """The UTF-8 texts of consecutive runs of ids: the pieces' bytes without the dummy blank."""
+    width = voc.width[ids]
+    upto = np.concatenate([[0], np.cumsum(width)])
+    raw = voc.flat[np.arange(int(upto[-1])) + np.repeat(voc.offset[ids] - upto[:-1], width)].tobytes()
+    ends = upto[np.cumsum(sizes)].tolist()
+    return [raw[a + 1:b] if b > a else b"" for a, b in zip([0, *ends], ends)]
+
+
+def parts(sizes: list[int], most: int) -> Iterator[slice]:
+    """Consecutive slices of about `most`, of one row at least."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            yield slice(first, i)
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield slice(first, len(sizes))
+
+
+def encode(docs: DataFrame, path: str, alpha: float = ALPHA, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, ids array<int>, lossless) of every row; the id seeds the draws. lossless: decoding
+    the ids gives the text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path, alpha)
-        for texts, keys in batches:
-            numbers = keys.to_numpy(dtype=np.int64).view(_U)
-            yield pd.Series(list(encode_batch(numbers, texts.tolist(), voc)), index=texts.index, dtype=object)
-
-    return run(F.coalesce(text, F.lit("")), F.xxhash64(key))
+        for b in batches:
+            lengths = pc.utf8_length(b.column("text")).to_pylist()
+            for part in parts(lengths, CHARS):
+                rows = b.slice(part.start, part.stop - part.start)
+                texts = rows.column("text").to_pylist()
+                ids, sizes = encode_batch(rows.column("seed").to_numpy().view(_U), texts, voc)
+                same = [a == t.encode() for a, t in zip(decode_batch(ids, sizes, voc), texts, strict=True)]
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), pa.array(same)],
+                    names=["doc_id", "ids", "lossless"],
+                )
+
+    rows = docs.select(
+        F.col(key).alias("doc_id"), F.xxhash64(key).alias("seed"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    shape = T.StructType([rows.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("lossless", T.BooleanType())])
+    return rows.mapInArrow(run, shape)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -312,17 +322,17 @@ def decode(ids: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         voc = vocabulary(path)
         for b in batches:
-            yield pd.Series(list(decode_batch(b.tolist(), voc)), index=b.index, dtype=object)
+            out: list[str] = []
+            for part in parts([len(x) for x in b], CHARS):
+                rows = [np.asarray(x, dtype=np.int32) for x in b.iloc[part]]
+                texts = decode_batch(np.concatenate(rows), np.array([len(x) for x in rows]), voc)
+                out += [t.decode("utf-8", "replace") for t in texts]
+            yield pd.Series(out, index=b.index, dtype=object)
 
     return run(ids)
 
 
 def sampled_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids, n_pieces, and whether decoding gives the text back."""
-    made = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn(
-        "ids", encode(F.col("_text"), F.col("doc_id"), path, alpha)
-    )
-    return made.select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"),
-        (decode(F.col("ids"), path) == F.col("_text")).alias("lossless"),
-    )
+    made = encode(docs, path, alpha, key, text)
+    return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
