@@ -172,8 +172,10 @@ def learning_records(results: DataFrame, specs: DataFrame) -> DataFrame:
         F.when(status == "winner", F.concat(rule, F.lit(" passed every gate; watch it forward, do not tune it.")))
         .when(
             status == "fragile_lockbox_survivor",
-            F.concat(rule, F.lit(" passed the lockbox but only "), F.col("passed").cast("string"), F.lit(" of "),
-                     F.col("tested").cast("string"), F.lit(" neighbours; parameter-fragile.")),
+            F.when(F.col("train_pass"), F.concat(
+                rule, F.lit(" passed the lockbox but only "), F.coalesce("passed", F.lit(0)).cast("string"), F.lit(" of "),
+                F.coalesce("tested", F.lit(0)).cast("string"), F.lit(" neighbours; parameter-fragile."),
+            )).otherwise(F.concat(rule, F.lit(" passed the lockbox without having passed the train gate; not a confirmation."))),
         )
         .when(
             status == "lockbox_loser",

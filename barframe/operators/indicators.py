@@ -117,6 +117,9 @@ def compounded(ret: str | Column, keys: Keys = ASSET, order: str = "ts") -> Colu
     return F.exp(F.sum(F.log1p(_c(ret))).over(cumulative(keys, order)))
 
 
+SPAN = 70.0  # of a block's decay, in logarithms
+
+
 def with_ema(
     df: DataFrame,
     col: str,
@@ -127,44 +130,48 @@ def with_ema(
     keys: Keys = ASSET,
     order: str = "ts",
 ) -> DataFrame:
-    """y = a*x + (1-a)*y_prev, starting at the first value, without leaving the JVM.
+    """y = c*x + (1-c)*y_prev, starting at the first value, without leaving the JVM.
+
+    c is a after a step of one row. A NULL row repeats y, and the weight of the past decays over
+    it: k rows after the last value c = a / (a + (1-a)^k). Leading NULLs stay NULL.
 
-    Within a block of rows the recursion is a weighted running sum. A block is long enough
-    that (1-a) to its length is below 1e-30, so what reaches a row from beyond the previous
-    block is far below double precision and two blocks give the full value. Only leading
-    NULLs are allowed; they stay NULL.
+    Within a block of rows the recursion is a weighted running sum. Blocks are cut where the decay
+    since the start, in logarithms, passes multiples of SPAN: inside one the weights stay within
+    double range, and what reaches a row from beyond the previous block is below exp(-SPAN).
     """
     a = alpha if alpha is not None else 2.0 / (span + 1)
     d = 1.0 - a
+    every, valid = cumulative(keys, order), F.col(col).isNotNull()
+    warm = F.count(col).over(every) >= max(min_periods, 1)
     if d <= 0:
-        return df.withColumn(out, F.col(col))
-    block = max(64, math.ceil(70.0 / -math.log(d)))
-    if -block * math.log(d) > 600:  # keep the weights inside double range
-        block = int(600 / -math.log(d))
-    n = F.count(col).over(cumulative(keys, order)) - 1
+        return df.withColumn(out, F.when(warm, F.last(col, ignorenulls=True).over(every)))
+    before = series(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    after = series(keys, order).rowsBetween(1, Window.unboundedFollowing)
     in_block = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    gap = F.col("_n") - F.last(F.when(valid, F.col("_n")), ignorenulls=True).over(before)
+    past = F.pow(F.lit(d), F.col("_gap"))
+    share = F.when(F.col("_gap").isNull(), 1.0).otherwise(a / (a + past))
+    step = F.coalesce(F.col("_gap") == 1, F.lit(False)) & valid
+    wide = F.when(valid & (F.col("_gap") > 1), F.ln(a + past) - F.col("_gap") * math.log(d))
+    fade = F.count_if(step).over(every) * -math.log(d) + F.coalesce(F.sum(wide).over(every), F.lit(0.0))
+    inside = F.col("_fade") - F.col("_block") * SPAN
+    ends = F.coalesce(F.first(F.when(valid, F.col("_block")), ignorenulls=True).over(after) > F.col("_block"), F.lit(True))
+    carried = F.last(F.when(valid & F.col("_ends"), F.struct("_local", "_fade")), ignorenulls=True).over(before)
+    value = F.col("_local") + F.coalesce(
+        F.col("_carry._local") * F.exp(F.col("_carry._fade") - F.col("_fade")), F.lit(0.0)
     )
-    before = series(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    j = F.col("_n") % block
-    term = F.when(F.col("_n") == 0, F.col(col)).otherwise(F.col(col) * a)
     return (
-        df.withColumn("_n", n)
-        .withColumn("_block", F.floor(F.col("_n") / block))
-        .withColumn("_local", F.sum(term * F.pow(F.lit(d), -j)).over(in_block) * F.pow(F.lit(d), j))
-        .withColumn(
-            "_carry", F.last(F.when(j == block - 1, F.col("_local")), ignorenulls=True).over(before)
-        )
-        .withColumn(
-            out,
-            F.when(
-                (F.col("_n") >= 0) & (F.col("_n") + 1 >= min_periods),
-                F.col("_local") + F.coalesce(F.col("_carry"), F.lit(0.0)) * F.pow(F.lit(d), j + 1),
-            ),
-        )
-        .drop("_n", "_block", "_local", "_carry")
+        df.withColumn("_n", F.row_number().over(series(keys, order)))
+        .withColumn("_gap", gap)
+        .withColumn("_fade", fade)
+        .withColumn("_block", F.floor(F.col("_fade") / SPAN))
+        .withColumn("_ends", ends)
+        .withColumn("_local", F.sum(F.when(valid, F.col(col) * share * F.exp(inside))).over(in_block) * F.exp(-inside))
+        .withColumn("_carry", carried)
+        .withColumn(out, F.when(warm, F.last(F.when(valid, value), ignorenulls=True).over(every)))
+        .drop("_n", "_gap", "_fade", "_block", "_ends", "_local", "_carry")
     )
 
 

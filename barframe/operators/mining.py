@@ -8,9 +8,7 @@ its position or from the leader's own event count, without ordering pair rows.
 
 from __future__ import annotations
 
-
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.normal import two_sided_p
@@ -57,9 +55,10 @@ def rank_score() -> Column:
 
 
 def top_facts(facts: DataFrame, n: int) -> DataFrame:
-    return facts.withColumn("rank_score", rank_score()).orderBy(
-        F.desc("rank_score"), "kind", "leader", "follower", "lag_days"
-    ).limit(n)
+    """The n best facts of every universe."""
+    best = Window.partitionBy("universe_id").orderBy(F.desc("rank_score"), "kind", "leader", "follower", "lag_days")
+    ranked = facts.withColumn("rank_score", rank_score()).withColumn("_n", F.row_number().over(best))
+    return ranked.filter(F.col("_n") <= n).drop("_n")
 
 
 def _spans(panel: DataFrame) -> DataFrame:
@@ -272,7 +271,8 @@ def fact_text() -> Column:
 
 
 def candidate_specs(facts: DataFrame, n: int, z_threshold: float = 1.0, hold: int = 20, cost: float = 0.001) -> DataFrame:
-    """Freeze the first n distinct (leader, follower, direction, lag) event facts as specs."""
+    """Freeze the first n distinct (leader, follower, direction, lag) event facts of every universe
+    as specs."""
     direction = F.when(F.col("train_score") + F.col("holdout_score") >= 0, "strength").otherwise("weakness")
     keyed = (
         facts.filter("kind = 'event_followthrough' and lag_days is not null")
@@ -284,7 +284,8 @@ def candidate_specs(facts: DataFrame, n: int, z_threshold: float = 1.0, hold: in
     name = F.concat_ws(
         " ", "leader", "direction", F.lit("->"), "target", F.concat(F.lit("lag"), F.col("lag").cast("string"))
     )
-    return keyed.orderBy(F.desc("rank_score"), "leader", "target", "lag").limit(n).select(
+    best = Window.partitionBy("universe_id").orderBy(F.desc("rank_score"), "leader", "target", "lag")
+    return keyed.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= n).select(
         name.alias("spec_id"), "universe_id", "leader", "target", "direction",
         F.lit(z_threshold).alias("z_threshold"), "lag", F.lit(hold).alias("hold"), F.lit(cost).alias("cost"),
         "rank_score",

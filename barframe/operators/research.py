@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barframe.functions.scalars import annualize, trading_days
 from barframe.functions.windows import series
-from barframe.operators import bootstrap, events, metrics, replay, validate, weights
+from barframe.operators import bootstrap, events, log, metrics, replay, validate, weights
 from barframe.session import written
 
 CHECK_WALK = "Portfolio walk-forward stability"
@@ -22,7 +22,7 @@ def evaluate(
     cost: float = replay.COMMISSION + replay.SLIPPAGE,
     cash: float = replay.INITIAL_CASH,
     min_rows: int = 300,
-    paths: int = 0,
+    paths: int = bootstrap.PATHS,
     chunk_rows: int = 252,
 ) -> DataFrame:
     """One row per run: metrics, failed checks, verdict.
@@ -97,8 +97,11 @@ def with_segments(specs: DataFrame, calendar: DataFrame, pct: float | str = 0.2)
     return validate.locate_runs(named, calendar)
 
 
-def confirmations(results: DataFrame, located: DataFrame) -> DataFrame:
-    """Train and lockbox verdicts of each spec side by side, and whether it is confirmed."""
+def confirmations(results: DataFrame, located: DataFrame, specs: DataFrame) -> DataFrame:
+    """Train and lockbox verdicts of each spec side by side, and whether it is confirmed.
+
+    Every row of specs (run_id, ...) comes back, with all its columns: status is ok or unrunnable,
+    and reason says why there is no held-out result."""
     tagged = results.join(located.select("run_id", "spec_id", "segment"), "run_id")
 
     def of(segment: str, col: str):
@@ -110,9 +113,17 @@ def confirmations(results: DataFrame, located: DataFrame) -> DataFrame:
         of("lockbox", "total_return_pct").alias("lockbox_return_pct"),
         of("lockbox", "benchmark_pct").alias("lockbox_benchmark_pct"),
     )
-    return out.withColumn(
-        "confirms", F.coalesce(F.col("lockbox_verdict") == "worth_paper_trading", F.lit(False))
+    # A segment that begins after its end, or off the calendar, has not been located.
+    tried = located.filter("segment = 'lockbox'").select(F.col("spec_id").alias("_tried")).distinct()
+    every = specs.withColumnRenamed("run_id", "spec_id").join(out, "spec_id", "left")
+    every = every.join(tried, F.col("spec_id") == F.col("_tried"), "left")
+    reason = F.when(F.col("_tried").isNull(), "no held-out dates").when(
+        F.col("lockbox_verdict").isNull() | (F.col("lockbox_verdict") == "error"), "too few held-out rows"
     )
+    return every.withColumn("reason", reason).withColumns({
+        "status": F.when(F.col("reason").isNull(), "ok").otherwise("unrunnable"),
+        "confirms": F.col("reason").isNull() & F.coalesce(F.col("lockbox_verdict") == "worth_paper_trading", F.lit(False)),
+    }).drop("_tried")
 
 
 def forward_evaluation(nav: DataFrame, positions: DataFrame) -> DataFrame:
@@ -141,7 +152,7 @@ def forward_evaluation(nav: DataFrame, positions: DataFrame) -> DataFrame:
 
 
 def gated_lab(
-    sums: DataFrame, panel: DataFrame, specs: DataFrame, calendar: DataFrame, pct: float = 0.25, paths: int = 0
+    sums: DataFrame, panel: DataFrame, specs: DataFrame, calendar: DataFrame, pct: float = 0.25, paths: int = 500
 ) -> tuple[DataFrame, DataFrame]:
     """A pre-registered slate through train, lockbox and stress gates.
 
@@ -169,10 +180,8 @@ def gated_lab(
         "run_id", F.concat_ws("/", "spec_id", "category", "label")
     ).drop("spec_id")
     runs = with_segments(varied, calendar, "lockbox_pct")
-    confirmed = confirmations(evaluate(sums, panel, runs), runs)
-    labels = runs.select("spec_id", "base_id", "category", "label").distinct()
-    results = confirmed.join(labels, "spec_id").select(
-        "base_id", "category", "label", F.col("lockbox_verdict").isNotNull().alias("runnable"), "confirms"
+    results = confirmations(evaluate(sums, panel, runs, paths=paths), runs, varied).select(
+        "base_id", "category", "label", (F.col("status") == "ok").alias("runnable"), "confirms"
     )
     stress = validate.stress_summary(results, ("base_id",)).select(
         F.col("base_id").alias("spec_id"), (F.col("verdict") == "ROBUST").alias("robust_pass"), "overall_rate", "confirmed"
@@ -213,11 +222,10 @@ def campaign(
     judged = m.withColumn("failed_checks", failed).withColumns({
         "n_checks": F.lit(len(checks)), "n_passed": F.lit(len(checks)) - F.size("failed_checks"), "walk_forward_failed": F.lit(False),
     }).withColumn("verdict", validate.research_verdict(F.lit(False), F.lit(True), F.lit(True)))
-    judged = written(judged, "campaign-judged")
-    s = F.coalesce("sharpe_ratio", F.lit(float("-inf")))
-    best = judged.filter(train).groupBy("asset").agg(
-        F.max_by("rule", F.struct("beats_benchmark", s.alias("s"), "total_return_pct", "rule")).alias("rule")
-    )
+    place = F.create_map(*[F.lit(x) for i, name in enumerate(rules) for x in (name, i)])
+    judged = written(judged.withColumn("idx", place[F.col("rule")]), "campaign-judged")
+    best = log.slate_winner(judged.filter(train), ("asset",), "idx").select("asset", F.col("winner").alias("_idx"))
+    best = best.join(judged.select("asset", F.col("idx").alias("_idx"), "rule").distinct(), ["asset", "_idx"]).select("asset", "rule")
     shown = judged.join(best.withColumn("_won", F.lit(True)), ["asset", "rule"], "left").filter(
         train | F.coalesce("_won", F.lit(False))
     )

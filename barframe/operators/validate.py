@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barframe.functions.normal import norm_cdf
 from barframe.functions.scalars import TRADING_DAYS, dedupe_assets, neighbours, split_date_range
 from barframe.functions.windows import Keys, series
+from barframe.operators.rules import portfolio_problems
 
 PSR_PASS = 0.95
 
@@ -260,31 +261,25 @@ def perturbations(specs: DataFrame, base_pct: float = 0.20, grid: tuple[float, .
         F.when(ranked, top_ks).otherwise(none),
         F.when(F.size("assets") >= 3, drops).otherwise(none),
     )
-    picks_top = F.col("family").isin(
-        "cross_sectional_momentum", "dual_momentum", "cross_sectional_reversal", "fx_carry"
-    )
-    valid = (
-        F.col("v_lookback").between(20, 1260)
-        & F.col("v_rebalance").between(1, 252)
-        & (F.size("v_assets") >= 2)
-        & (~picks_top | F.col("v_top_k").between(1, F.size("v_assets")))
-        & ((F.col("family") != "crisis_hedge") | (F.size("v_assets") == 2))
-    )
     changed = (
         (F.col("category") != "parameter")
         | (F.col("v_lookback") != F.col("lookback"))
         | (F.col("v_rebalance") != F.col("rebalance"))
         | (F.col("v_top_k") != F.col("top_k"))
     )
-    return (
+    varied = (
         specs.withColumn("assets", dedupe_assets(F.col("assets")))
         .select("*", F.inline(every))
-        .filter(valid & changed)
+        .filter(changed)
         .drop("lookback", "rebalance", "top_k", "assets")
         .withColumnsRenamed({
             "v_lookback": "lookback", "v_rebalance": "rebalance", "v_top_k": "top_k", "v_assets": "assets"
         })
     )
+    # The rules of the specification itself; columns a caller left out count as not given.
+    given = [c for c in ("skip", "hedge_weight") if c not in varied.columns]
+    checked = varied.withColumns({c: F.lit(0 if c == "skip" else 0.1) for c in given})
+    return checked.filter(F.size(portfolio_problems()) == 0).drop(*given)
 
 
 def stress_summary(results: DataFrame, keys: Keys, base_label: str = "lockbox_pct=0.20") -> DataFrame:

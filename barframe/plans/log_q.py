@@ -152,7 +152,7 @@ def a30(spark, sf):
 
 
 @query("a31_research_funnel", f"""SELECT count(*) FILTER ({_TRIAL}) AS tried, count(*) FILTER (is_lockbox) AS lockbox_tested, count(*) FILTER ({_CONF}) AS lockbox_confirmed,
-count(*) FILTER (mode = 'stress' AND verdict = 'ROBUST') AS robust_after_stress, (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') AS paper_traded FROM rlog""")
+count(*) FILTER (mode = 'stress' AND verdict = 'ROBUST') AS robust_after_stress, (SELECT count(*) FROM customer) AS paper_traded FROM rlog""")
 def a31(spark, sf):
     return L.research_funnel(rlog(spark, sf), T.paper_positions(spark, sf))
 
@@ -183,7 +183,7 @@ def j9(spark, sf):
 
 
 @query("v15_newer_winner", """SELECT slate AS slate_id, record_id, ts AS timestamp FROM (SELECT * FROM win_slates ORDER BY ts DESC, slate LIMIT 1)
-WHERE ts > (SELECT strftime(DATE '2000-01-01' + CAST(max(c_custkey) % 90 AS INTEGER), '%Y-%m-%dT00:00:00Z') FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0)""")
+WHERE ts > (SELECT strftime(DATE '2000-01-01' + CAST(max(c_custkey) % 90 AS INTEGER), '%Y-%m-%dT00:00:00Z') FROM customer WHERE c_custkey % 2 = 0)""")
 def v15(spark, sf):
     books = T.paper_positions(spark, sf).filter("status = 'open'").agg(F.max("position_id").alias("m")).select(
         F.lit("open").alias("status"),
@@ -192,7 +192,7 @@ def v15(spark, sf):
 
 
 cte("paper", f"""SELECT c_custkey AS position_id, CASE WHEN c_custkey % 9 < 8 THEN {_FAM}[c_custkey % 9 + 1] END AS family, [{_A}[c_custkey % 5 + 1], {_A}[(c_custkey + 1 + c_custkey % 4) % 5 + 1]] AS assets
-FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+FROM customer""")
 
 
 @query("j10_matching_positions", "SELECT position_id, family AS strategy_family FROM paper p WHERE EXISTS (SELECT 1 FROM rlog r WHERE r.assets = p.assets AND r.family = p.family)")

@@ -19,7 +19,7 @@ COST = R.COMMISSION + R.SLIPPAGE
 
 def whole_span_runs(panel: DataFrame, *rows: tuple) -> DataFrame:
     """Runs over the whole calendar. Each row is run_id, family, lookback, top_k, rebalance,
-    skip, hedge_weight and optionally the number of leading assets to use."""
+    skip, hedge_weight and optionally the number of leading assets to use (all without it)."""
     span = panel.groupBy("universe_id").agg(
         F.min("pos").alias("pos0"),
         F.max("pos").alias("pos1"),
@@ -30,13 +30,13 @@ def whole_span_runs(panel: DataFrame, *rows: tuple) -> DataFrame:
             F.lit(r[0]).alias("run_id"), F.lit(r[1]).alias("family"), F.lit(r[2]).alias("lookback"),
             F.lit(r[3]).alias("top_k"), F.lit(r[4]).alias("rebalance"), F.lit(r[5]).alias("skip"),
             F.lit(r[6]).cast("double").alias("hedge_weight"),
-            F.lit(r[7] if len(r) > 7 else 99).alias("_take"),
+            F.lit(r[7] if len(r) > 7 else None).cast("int").alias("_take"),
         )
         for r in rows
     ])
     return (
         span.select("*", F.inline(spec))
-        .withColumn("assets", F.slice(F.col("_names.asset"), 1, F.col("_take")))
+        .withColumn("assets", F.slice(F.col("_names.asset"), F.lit(1), F.coalesce("_take", F.size("_names"))))
         .select(*Wt.RUN_COLUMNS)
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barframe.functions.windows import full, safe
@@ -153,6 +154,22 @@ def w9(spark, sf):
     return rounded(df.select("asset", "ts", "ema_12", "ema_30_warm"), 6, "ema_12", "ema_30_warm")
 
 
+cte("nb_holes", "SELECT asset, ts, i, CASE WHEN (i * 7 + length(asset)) % 5 < 2 AND i > 1 THEN NULL ELSE close END AS x FROM nb")
+cte("ema_holes", """(asset, i, y, k)
+SELECT asset, i, x, 1 FROM nb_holes WHERE i = 0 UNION ALL
+SELECT n.asset, n.i, CASE WHEN n.x IS NULL THEN e.y ELSE ((1 - 2 / 10.0::DOUBLE) ** e.k * e.y + 2 / 10.0::DOUBLE * n.x) / ((1 - 2 / 10.0::DOUBLE) ** e.k + 2 / 10.0::DOUBLE) END,
+  CASE WHEN n.x IS NULL THEN e.k + 1 ELSE 1 END FROM ema_holes e JOIN nb_holes n ON n.asset = e.asset AND n.i = e.i + 1""")
+
+
+@query("w9_ema_with_holes", "SELECT n.asset, n.ts, round(e.y, 6) AS ema_9 FROM nb_holes n JOIN ema_holes e ON e.asset = n.asset AND e.i = n.i")
+def w9_holes(spark, sf):
+    i = F.row_number().over(Window.partitionBy("asset").orderBy("ts")) - 1
+    df = nation_bars(spark, sf).withColumn("_i", i)
+    hole = ((F.col("_i") * 7 + F.length("asset")) % 5 < 2) & (F.col("_i") > 1)
+    df = I.with_ema(df.withColumn("x", F.when(~hole, F.col("close"))), "x", "ema_9", 9)
+    return rounded(df.select("asset", "ts", "ema_9"), 6, "ema_9")
+
+
 @query("w10_rsi_wilder", "SELECT asset, ts, round(rsi, 6) AS rsi FROM rsi14")
 def w10(spark, sf):
     return rounded(I.with_rsi(nation_bars(spark, sf), 14).select("asset", "ts", "rsi"), 6, "rsi")

@@ -38,16 +38,17 @@ def book_bars(spark, sf, *ids):
 
 
 def live_ledger(spark, sf, *ids, again: bool = False):
-    """Bars land year by year and are ticked one file at a time. With again, the first years are
-    delivered a second time; the books must ignore them."""
+    """Bars land year by year, each book's bars of a year in one file, and are ticked one file at a
+    time. The years are those of the bars. With again, the first two are delivered a second time;
+    the books must ignore them."""
     bars = Bk.split_valid(book_bars(spark, sf, *ids))[0]
     staged = work_path(spark, "book-bars")
     bars.withColumn("year", F.year("ts")).write.partitionBy("year").parquet(staged)
     landing = work_path(spark, "landing")
     table = spark.read.parquet(staged)
-    years = [*range(1995, 2003), *((1995, 1996) if again else ())]
-    for year in years:
-        table.filter(F.col("year") == year).drop("year").coalesce(1).write.mode("append").parquet(landing)
+    years = sorted(r.year for r in table.select("year").distinct().collect())
+    for year in years + (years[:2] if again else []):
+        table.filter(F.col("year") == year).drop("year").repartition("book_id").write.mode("append").parquet(landing)
     stream = spark.readStream.schema(Bk.BOOK_BAR).option("maxFilesPerTrigger", 1).parquet(landing)
     out = work_path(spark, "ledger")
     Bk.run_available(Bk.ledger_stream(stream, COST, R.INITIAL_CASH), out, work_path(spark, "ledger-state"))
@@ -55,20 +56,20 @@ def live_ledger(spark, sf, *ids, again: bool = False):
 
 
 _LEDGER = """SELECT f.run_id AS book_id, p.ts, f.is_order, round(f.nav, 3) AS post_nav, round(f.paid, 3) AS costs, round(f.traded, 3) AS traded_value
-FROM fam_nav f JOIN (SELECT DISTINCT pos, ts FROM panel_d) p ON p.pos = f.pos WHERE f.run_id IN ({ids})"""
+FROM fam_nav f JOIN (SELECT DISTINCT pos, ts FROM panel_d) p ON p.pos = f.pos WHERE f.pos >= 0"""
 
 
-@query("r1_r2_r5_live_books", _LEDGER.format(ids="'f1', 'f5'"))
+@query("r1_r2_r5_live_books", _LEDGER)
 def r2(spark, sf):
-    led = live_ledger(spark, sf, "f1", "f5", again=True).select("book_id", "ts", "is_order", "post_nav", "costs", "traded_value")
+    led = live_ledger(spark, sf, again=True).select("book_id", "ts", "is_order", "post_nav", "costs", "traded_value")
     return rounded(led, 3, "post_nav", "costs", "traded_value")
 
 
 @query("v14_live_book_status", """SELECT run_id AS book_id, count(*) AS forward_days, round((arg_max(nav, pos) / 10000 - 1) * 100, 4) AS realized_return_pct, round(min(nav / peak - 1) * 100, 4) AS realized_max_drawdown_pct,
 CASE WHEN min(nav / peak - 1) * 100 < -60 THEN 'DRAWDOWN_BREACH' WHEN count(*) < 63 THEN 'TOO_EARLY' WHEN arg_max(nav, pos) < 10000 THEN 'DIVERGING' ELSE 'TRACKING' END AS status
-FROM (SELECT *, max(nav) OVER (PARTITION BY run_id ORDER BY pos) AS peak FROM fam_nav WHERE pos >= 0 AND run_id = 'f4') GROUP BY 1""")
+FROM (SELECT *, max(nav) OVER (PARTITION BY run_id ORDER BY pos) AS peak FROM fam_nav WHERE pos >= 0) GROUP BY 1""")
 def v14(spark, sf):
-    led = live_ledger(spark, sf, "f4")
+    led = live_ledger(spark, sf)
     books = led.select("book_id").distinct().select(
         "book_id", F.lit(R.INITIAL_CASH).alias("initial_cash"), F.lit(5.0).alias("expected_annualized_pct"), F.lit(-60.0).alias("backtest_max_drawdown_pct"))
     out = Bk.ledger_status(led, books).select("book_id", "forward_days", "realized_return_pct", "realized_max_drawdown_pct", "status")

@@ -153,8 +153,8 @@ def research_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def paper_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """One paper position per customer of one segment."""
-    c = table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'")
+    """One paper position per customer."""
+    c = table(spark, sf, "customer")
     key = F.col("c_custkey")
     names = F.array(*[F.lit(a) for a in LOG_ASSETS])
     families = F.array(*[F.lit(f) for f in LOG_FAMILIES])

@@ -263,10 +263,10 @@ def v6_stress(spark, sf):
     varied = V.perturbations(base).withColumn("run_id", F.concat_ws("/", "spec_id", "category", "label")).drop("spec_id")
     located = Re.with_segments(varied, calendar(panel), "lockbox_pct")
     out = Re.evaluate(Wt.running_sums(panel), panel, located)
-    confirmed = Re.confirmations(out, located)
+    confirmed = Re.confirmations(out, located, varied)
     results = confirmed.select(
         F.split("spec_id", "/")[0].alias("family"), F.split("spec_id", "/")[2].alias("category"), F.split("spec_id", "/")[3].alias("label"),
-        F.col("lockbox_verdict").isNotNull().alias("runnable"), "confirms")
+        (F.col("status") == "ok").alias("runnable"), "confirms")
     return rounded(V.stress_summary(results, ("family",)), 6, "overall_rate", "worst_category_rate")
 
 

@@ -61,9 +61,9 @@ def read_log(spark: SparkSession, path: str, schema: str = RESEARCH_LOG) -> Data
 
 def flat_log(log: DataFrame) -> DataFrame:
     """The columns the log operators use."""
-    row = F.struct("timestamp", "slate_id", "asset", "strategy_family", "start_date", "end_date", "verdict")
+    # The whole record: variants that differ in parameters or metrics only are records of their own.
     return log.select(
-        F.xxhash64(row).alias("record_id"), "timestamp", "mode", "is_lockbox", "slate_id", "asset", "strategy_family",
+        F.xxhash64(F.to_json(F.struct("*"))).alias("record_id"), "timestamp", "mode", "is_lockbox", "slate_id", "asset", "strategy_family",
         "verdict", "learning_status", "failed_checks", F.to_date("start_date").alias("start_date"),
         F.to_date("end_date").alias("end_date"), "params.assets", F.col("params.lookback_days").alias("lookback"),
         "params.top_k", F.col("params.rebalance_days").alias("rebalance"), "metrics.*",

@@ -2,7 +2,9 @@
 
 Each input row is one bar of one book: book_id, ts, closes (asset -> price) and weights (asset ->
 target, or NULL when there is no order). A book's state is its cash, its shares and the last bar
-it has processed; bars at or before that one are dropped, so a repeated file adds nothing.
+it has processed; bars at or before that one are dropped, so a repeated file adds nothing. A bar
+without a price for an asset the book holds, or that leaves no positive NAV, changes nothing: its
+ledger row names the problem and has no amounts.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from barframe.operators.validate import forward_status
 BOOK_BAR = "book_id string, ts date, closes map<string,double>, weights map<string,double>"
 LEDGER = (
     "book_id string, ts date, is_order boolean, pre_nav double, post_nav double, cash double, "
-    "traded_value double, costs double, positions map<string,double>"
+    "traded_value double, costs double, positions map<string,double>, problem string"
 )
 STATE = "cash double, positions string, last_bar string"
 MAX_ROUNDS = 50
@@ -89,13 +91,18 @@ def advance(cost: float, cash: float):
             values = {a: shares.get(a, 0.0) * p for a, p in closes.items()}
             pre = money + sum(values.values())
             order = dict(bar.weights) if bar.weights is not None else None
+            unpriced = sorted(a for a, n in shares.items() if n and a not in closes)
+            problem = f"no price for held {', '.join(unpriced)}" if unpriced else None if pre > 0 else "NAV is not positive"
+            if problem:
+                rows.append((key[0], bar.ts, False, *(None,) * 5, dict(shares), problem))
+                continue
             post, traded = (pre, 0.0) if order is None else rebalance(pre, values, order, cost)
             if order is not None:
                 shares = {a: order.get(a, 0.0) * post / p for a, p in closes.items()}
                 money = post * (1.0 - sum(order.values()))
             last = day
             rows.append((
-                key[0], bar.ts, order is not None, pre, post, money, traded, pre - post, dict(shares),
+                key[0], bar.ts, order is not None, pre, post, money, traded, pre - post, dict(shares), None,
             ))
         state.update((money, json.dumps(shares), last))
         names = [f.split()[0] for f in LEDGER.replace("map<string,double>", "map").split(", ")]
@@ -139,7 +146,7 @@ def ledger_status(ledger: DataFrame, books: DataFrame) -> DataFrame:
     realized performance of each ledger and its reading."""
     peak = F.max("post_nav").over(series(("book_id",), "ts"))
     out = (
-        ledger.withColumn("_dd", F.col("post_nav") / peak - 1)
+        ledger.filter("problem is null").withColumn("_dd", F.col("post_nav") / peak - 1)
         .groupBy("book_id")
         .agg(
             F.count("*").alias("forward_days"), F.max_by("post_nav", "ts").alias("nav"),
