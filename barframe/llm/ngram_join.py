@@ -12,6 +12,7 @@ decide the components; which of them are looked at is reduced without losing one
    of compatible size (and a near key where that is the smaller) goes. Every run names its most
    central class, the one with the smallest share of unranked shingles, as its pivot. (pivot, class)
    pairs are the first candidates; components of the links among them are the first components.
+   Before their texts meet, a bitmap of a quarter of their hashes bounds the overlap as in 4.
 4. A pair that shares a key also shares a pivot. Classes around a pivot that are not yet in its
    component meet all others around it in tiles: by bands of size, so that only compatible sizes
    meet, and in blocks, so that no group is held by one task. In a tile every class has a bitmap of
@@ -66,9 +67,12 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle in a power of two of bits, WIDTH for each shingle and up to twice that."""
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (WIDTH * len(shingles) - 1).bit_length()))
+def bitmap(shingles: np.ndarray, top: bool = False) -> bytes:
+    """One bit per shingle in a power of two of bits, WIDTH for each shingle and up to twice that;
+    with top, of the shingles in the first quarter of all hashes only."""
+    if top:
+        shingles = shingles[:np.searchsorted(shingles, _U(1 << 62))]
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (WIDTH * max(len(shingles), 1) - 1).bit_length()))
     made = np.zeros(bits, dtype=np.uint8)
     made[(shingles & _U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(made, bitorder="little").tobytes()
@@ -82,19 +86,19 @@ def profile(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
         for b in batches:
             sets = list(shingle_sets(b.column("text").to_pylist(), size))
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            own = pa.RecordBatch.from_arrays(
-                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array([class_of(s) for s in sets], pa.int64()),
+            cls = [class_of(s) for s in sets]
+            values = np.concatenate(sets) if sets else np.zeros(0, _U)
+            del sets
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(cls, pa.int64()),
                  pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
                 names=["doc_id", "n", "cls", "shingle", "times"],
             )
-            yield own
-            values = np.sort(np.concatenate(sets)) if sets else np.zeros(0, _U)
-            starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-            times = np.diff(np.append(starts, len(values)))
-            often = times > 1
-            m = int(often.sum())
+            values.sort()
+            again, times = np.unique(values[1:][values[1:] == values[:-1]], return_counts=True)
+            m = len(again)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, pa.int64())] * 3 + [pa.array(values[starts[often]].view(np.int64)), pa.array(times[often])],
+                [pa.nulls(m, pa.int64())] * 3 + [pa.array(again.view(np.int64)), pa.array(times + 1)],
                 names=["doc_id", "n", "cls", "shingle", "times"],
             )
 
@@ -135,15 +139,15 @@ class Order:
 
 
 def class_keys(docs: DataFrame, ranked: np.ndarray, size: int, percent: int, text: str) -> DataFrame:
-    """Rows (cls, n, bits) for classes and (cls, n, centre, key, near, hot) for their keys. A class
+    """Rows (cls, n, quick, bits) for classes and (cls, n, centre, key, near, hot) for their keys. A class
     comes once per batch that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, hottest = Order(ranked), len(ranked) - HOT
-        names = ["cls", "n", "bits", "centre", "key", "near", "hot"]
+        names = ["cls", "n", "quick", "bits", "centre", "key", "near", "hot"]
         for b in batches:
             seen: set[int] = set()
-            cls, n, bits, centre, keys, near, hot = [], [], [], [], [], [], []
+            cls, n, quick, bits, centre, keys, near, hot = [], [], [], [], [], [], [], []
             for s in shingle_sets(b.column("text").to_pylist(), size):
                 if not len(s) or (c := class_of(s)) in seen:
                     continue
@@ -159,6 +163,7 @@ def class_keys(docs: DataFrame, ranked: np.ndarray, size: int, percent: int, tex
                     first, at = np.concatenate([first, s[last]]), np.concatenate([at, rank[last]])
                 cls.append(c)
                 n.append(len(s))
+                quick.append(bitmap(s, True))
                 bits.append(bitmap(s))
                 centre.append(unranked * 10_000 // len(s))
                 keys.append(first)
@@ -169,19 +174,19 @@ def class_keys(docs: DataFrame, ranked: np.ndarray, size: int, percent: int, tex
             m, per = len(cls), [len(k) for k in keys]
             ids, sizes = np.array(cls, dtype=np.int64), np.array(n, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(sizes), pa.array(bits, pa.binary()), pa.nulls(m, pa.int16()),
+                [pa.array(ids), pa.array(sizes), pa.array(quick, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int16()),
                  pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.bool_())], names=names)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, per)), pa.array(np.repeat(sizes, per)), pa.nulls(sum(per), pa.binary()),
+                [pa.array(np.repeat(ids, per)), pa.array(np.repeat(sizes, per)), *[pa.nulls(sum(per), pa.binary())] * 2,
                  pa.array(np.repeat(np.array(centre, dtype=np.int16), per)), pa.array(np.concatenate(keys).view(np.int64)),
                  pa.array(np.concatenate(near)), pa.array(np.concatenate(hot))], names=names)
 
     rows = docs.select(F.col(text).alias("text"))
-    return rows.mapInArrow(run, "cls long, n int, bits binary, centre short, key long, near boolean, hot boolean")
+    return rows.mapInArrow(run, "cls long, n int, quick binary, bits binary, centre short, key long, near boolean, hot boolean")
 
 
 def pivots(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct (pivot, cls), pivot <> cls, over all runs of all keys."""
+    """Distinct (pivot, cls) with their sizes p and n, pivot <> cls, over all runs of all keys."""
     keys = rows.filter("key IS NOT NULL").select("key", "cls", F.col("n").cast("long").alias("n"), "centre", "near", "hot")
     by_size = Window.partitionBy("key").orderBy("n", "cls")
     before = by_size.rowsBetween(Window.unboundedPreceding, -1)
@@ -193,14 +198,14 @@ def pivots(rows: DataFrame, percent: int) -> DataFrame:
     gap = F.when(fits(F.lag("n").over(by_size), F.col("n")), 0).otherwise(1)
     cold = cold.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(by_size))
     centre = Window.partitionBy("key", "_run").orderBy("centre", "cls")
-    cold = cold.withColumn("pivot", F.first("cls").over(centre))
-    hot = keys.filter("hot").select("key", "cls", "centre")
-    middle = hot.groupBy("key").agg(F.min(F.struct("centre", "cls")).alias("_m")).select(
-        F.col("key").alias("_key"), F.col("_m.cls").alias("pivot")
+    cold = cold.withColumns({"pivot": F.first("cls").over(centre), "p": F.first("n").over(centre)})
+    hot = keys.filter("hot").select("key", "cls", "n", "centre")
+    middle = hot.groupBy("key").agg(F.min(F.struct("centre", "cls", "n")).alias("_m")).select(
+        F.col("key").alias("_key"), F.col("_m.cls").alias("pivot"), F.col("_m.n").alias("p")
     )
     # At most HOT keys.
     warm = hot.join(F.broadcast(middle), F.col("key") == F.col("_key"))
-    both = cold.select("pivot", "cls").unionByName(warm.select("pivot", "cls"))
+    both = cold.select("pivot", "p", "cls", "n").unionByName(warm.select("pivot", "p", "cls", "n"))
     return both.filter("pivot <> cls").distinct()
 
 
@@ -237,10 +242,10 @@ def _room(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
 
 
 def paired(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose sizes and bit counts allow a link."""
-    side = lambda p: classes.select(*[F.col(c).alias(f"{p}_{c}") for c in ("cls", "n", "bits")])
-    met = pairs.join(side("x"), F.col("x") == F.col("x_cls")).join(side("y"), F.col("y") == F.col("y_cls"))
-    met = met.filter((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+    """Of pairs (x, x_n, y, y_n) those (x, y) whose sizes and quick bit counts allow a link."""
+    side = lambda p: classes.select(F.col("cls").alias(f"{p}_cls"), F.col("quick").alias(f"{p}_bits"))
+    met = pairs.filter((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
+    met = met.join(side("x"), F.col("x") == F.col("x_cls")).join(side("y"), F.col("y") == F.col("y_cls"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -392,10 +397,11 @@ def ngram_links(
     rows = profiled.filter("shingle IS NULL").select("doc_id", "n", "cls")
     names = written(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")), "join-classes")
     keyed = written(class_keys(docs, ranked_list(profiled), size, percent, text), "join-keys")
-    classes = keyed.filter("key IS NULL").groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.first("bits").alias("bits"))
+    classes = keyed.filter("key IS NULL").groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.first("quick").alias("quick"), F.first("bits").alias("bits"))
     classes = written(classes, "join-bitmaps")
     around = written(pivots(keyed, percent), "join-pivots")
-    first = paired(around.select(F.col("pivot").alias("x"), F.col("cls").alias("y")), classes, percent)
+    first = around.select(F.col("pivot").alias("x"), F.col("p").alias("x_n"), F.col("cls").alias("y"), F.col("n").alias("y_n"))
+    first = paired(first, classes, percent)
     links = written(verified(written(first, "join-first"), docs, names, size, percent, key, text), "join-links-1")
     labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
     left = written(tiles(around, classes, labels, percent), "join-second")

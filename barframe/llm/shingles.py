@@ -15,7 +15,7 @@ import numpy as np
 
 _U = np.uint64
 PRIME = 0x9E3779B97F4A7C15 | 1
-PIECE = 2_000_000  # bytes of text hashed at once
+PIECE = 800_000  # bytes of text hashed at once
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)

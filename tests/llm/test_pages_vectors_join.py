@@ -193,6 +193,8 @@ def test_bit_counts_never_lose_a_link():
             room = J._room(len(x), J.bitmap(x), len(y), J.bitmap(y), 85)
             m = J._matrix([J.bitmap(x), J.bitmap(y)])
             assert bool(J.bounded(np.array([len(x)]), m[:1], np.array([len(y)]), m[1:], 85)[0, 0]) == room
+            quick = J._room(len(x), J.bitmap(x, True), len(y), J.bitmap(y, True), 85)
+            assert quick or 100 * both < 85 * (len(x) + len(y) - both)
             assert room or 100 * both < 85 * (len(x) + len(y) - both)
 
 
