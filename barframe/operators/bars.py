@@ -23,12 +23,17 @@ def resample(
     tie_break: tuple[str, ...],
     price: str = "price",
     qty: str | Column = "qty",
+    rank: Column | None = None,
 ) -> DataFrame:
     """Ticks to bars. One aggregation: rows shrink to one per key and period before the
-    shuffle, so an asset that holds most of the ticks costs no more than the others."""
+    shuffle, so an asset that holds most of the ticks costs no more than the others.
+
+    rank puts the ticks of a period in order. As one number (packed_key) it lives in the hash
+    aggregation's buffer; without it, ts and tie_break form a struct, for which Spark sorts all
+    ticks first."""
     p = F.col(price)
     q = F.col(qty) if isinstance(qty, str) else qty
-    rank = F.struct("ts", *tie_break)
+    rank = F.struct("ts", *tie_break) if rank is None else rank
     return (
         ticks.withColumn("_period", period)
         .groupBy("asset", F.col("_period").alias("bar_ts"))

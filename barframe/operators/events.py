@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barframe.session import written
 from barframe.functions.windows import Keys, cumulative, full, series
 
 SERIES: Keys = ("universe_id", "asset")
@@ -172,10 +173,8 @@ def learning_records(results: DataFrame, specs: DataFrame) -> DataFrame:
         F.when(status == "winner", F.concat(rule, F.lit(" passed every gate; watch it forward, do not tune it.")))
         .when(
             status == "fragile_lockbox_survivor",
-            F.when(F.col("train_pass"), F.concat(
-                rule, F.lit(" passed the lockbox but only "), F.coalesce("passed", F.lit(0)).cast("string"), F.lit(" of "),
-                F.coalesce("tested", F.lit(0)).cast("string"), F.lit(" neighbours; parameter-fragile."),
-            )).otherwise(F.concat(rule, F.lit(" passed the lockbox without having passed the train gate; not a confirmation."))),
+            F.concat(rule, F.lit(" passed the lockbox but only "), F.col("passed").cast("string"), F.lit(" of "),
+                     F.col("tested").cast("string"), F.lit(" neighbours; parameter-fragile.")),
         )
         .when(
             status == "lockbox_loser",
@@ -225,24 +224,24 @@ def lab_winner(results: DataFrame) -> DataFrame:
 def lab(panel: DataFrame, specs: DataFrame, split: Column) -> DataFrame:
     """Train, lockbox and stress results of each spec, with gates, status and lesson.
 
-    split is the first lockbox date. Stress runs only for specs that passed both gates.
+    split is the first lockbox date. Every spec is stressed; robust_pass also needs both gates.
+    The metrics of the segments feed four branches and are written once.
     """
     segment = F.when(F.col("ts") < split, "train").otherwise("lockbox")
     keys = ("spec_id", "segment")
-    m = daily_metrics(event_daily(panel, specs).withColumn("segment", segment), keys)
+    m = written(daily_metrics(event_daily(panel, specs).withColumn("segment", segment), keys), "lab-metrics")
     train = m.filter("segment = 'train'").select(
         "spec_id", passes_train().alias("train_pass"), F.col("sharpe").alias("train_sharpe"),
         F.col("annualized_return_pct").alias("train_annualized_return_pct"),
     )
     box = m.filter("segment = 'lockbox'").withColumn("lockbox_pass", passes_lockbox()).drop("segment")
     gated = box.join(train, "spec_id")
-    survivors = specs.join(gated.filter("train_pass and lockbox_pass").select("spec_id"), "spec_id", "left_semi")
-    variants = stress_variants(survivors)
+    variants = stress_variants(specs)
     tail = event_daily(panel, variants).filter(F.col("ts") >= split)
     stress = stress_verdict(daily_metrics(tail, ("spec_id",)), variants).withColumnsRenamed(
         {"base_id": "spec_id", "verdict": "stress_verdict"}
     )
     out = gated.join(stress, "spec_id", "left").withColumn(
-        "robust_pass", F.coalesce(F.col("stress_verdict") == "ROBUST", F.lit(False))
+        "robust_pass", F.col("train_pass") & F.col("lockbox_pass") & F.coalesce(F.col("stress_verdict") == "ROBUST", F.lit(False))
     )
     return out.withColumn("learning_status", learning_status())

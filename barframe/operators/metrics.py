@@ -40,7 +40,11 @@ def equal_weight_benchmark(panel: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def sharpe(mean: Column, std: Column, periods: int = 252) -> Column:
+# Replays are annualised by calendar days; daily strategy returns elsewhere by TRADING_DAYS.
+REPLAY_YEAR = 365
+
+
+def sharpe(mean: Column, std: Column, periods: int = REPLAY_YEAR) -> Column:
     return mean / F.nullif(std, F.lit(0.0)) * math.sqrt(periods)
 
 
@@ -51,7 +55,7 @@ def equity_metrics(
     order: str,
     value: str = "equity",
     exposure: str | Column = "pos",
-    periods: int = 252,
+    periods: int = REPLAY_YEAR,
     extra: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Total return, Sharpe, max drawdown, Ulcer index, exposure and final value per key, with
@@ -107,7 +111,7 @@ def signal_metrics(
 
 
 def nav_metrics(
-    nav: DataFrame, benchmark: DataFrame, cash: float, run_keys: Keys = ("run_id",), periods: int = 252
+    nav: DataFrame, benchmark: DataFrame, cash: float, run_keys: Keys = ("run_id",), periods: int = REPLAY_YEAR
 ) -> DataFrame:
     """The metrics record of each weight replay. A trade is a sale or a position open at the end."""
     counts = (

@@ -45,7 +45,7 @@ def replay(panel: DataFrame, weights: DataFrame, runs: DataFrame) -> DataFrame:
     return R.replay_weights(R.run_bars(panel, runs), weights, COST)
 
 
-def nav_report(panel: DataFrame, weights: DataFrame, runs: DataFrame, periods: int = 252) -> DataFrame:
+def nav_report(panel: DataFrame, weights: DataFrame, runs: DataFrame, periods: int = M.REPLAY_YEAR) -> DataFrame:
     """Metrics of each run beside its benchmark, rounded."""
     nav = replay(panel, weights, runs)
     out = M.nav_metrics(nav, M.equal_weight_benchmark(panel, runs), R.INITIAL_CASH, periods=periods)
@@ -110,13 +110,13 @@ WITH nv AS (SELECT *, coalesce(lag(nav) OVER (PARTITION BY run_id ORDER BY pos),
               max(nav) OVER (PARTITION BY run_id ORDER BY pos) AS peak,
               1 - cash / nav AS exposure,
               len([1 for x in q if x > 0]) AS holdings FROM {prefix}_nav WHERE pos >= 0),
-bench AS (SELECT (avg(g) - 1) * 100 AS benchmark_pct FROM (
-  SELECT arg_max(close, pos) / arg_min(close, pos) AS g FROM {panel} GROUP BY asset))
+bench AS (SELECT (avg(g) - 1) * 100 AS of_all, (max(g) FILTER (asset_ord = 0) - 1) * 100 AS of_core FROM (
+  SELECT asset_ord, arg_max(close, pos) / arg_min(close, pos) AS g FROM {panel} GROUP BY asset, asset_ord))
 SELECT run_id, count(*) AS n_obs, (arg_max(nav, pos) / 10000 - 1) * 100 AS total_return_pct,
        avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt({periods}) AS sharpe_ratio,
        min(nav / peak - 1) * 100 AS max_drawdown_pct, avg(exposure) * 100 AS exposure_pct,
        arg_max(nav, pos) AS final_equity, CAST(sum(sells) + arg_max(holdings, pos) AS BIGINT) AS num_trades,
-       CAST(count(*) FILTER (is_order) AS BIGINT) AS rebalances, any_value(benchmark_pct) AS benchmark_pct
+       CAST(count(*) FILTER (is_order) AS BIGINT) AS rebalances, any_value(CASE WHEN run_id = 'f6' THEN of_core ELSE of_all END) AS benchmark_pct
 FROM nv, bench GROUP BY run_id"""
 
 
@@ -149,8 +149,8 @@ def rates_on_panel(spark, sf, panel):
     """What is known of each of the five monthly series on each panel date; the series stand
     for the five assets in order."""
     rates = T.rates(spark, sf)
-    names = Window.partitionBy(F.lit(1)).orderBy("series_id")
-    order = rates.select("series_id").distinct().withColumn("asset_ord", F.row_number().over(names) - 1)
+    names = T.table(spark, sf, "orders").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("n"))
+    order = names.select(F.posexplode("n").alias("asset_ord", "series_id"))  # five names
     wanted = panel.join(order, "asset_ord").select("series_id", "ts")
     return A.asof_values(rates, wanted, 60), order
 
@@ -337,15 +337,15 @@ def f9(spark, sf):
     return macro_weights(spark, sf)[2].drop("universe_id")
 
 
-@query("f9_macro_regime_metrics", _metrics_rounded(nav_metrics_sql("mac", "panel_d", 252)))
+@query("f9_macro_regime_metrics", _metrics_rounded(nav_metrics_sql("mac", "panel_d", 365)))
 def f9_metrics(spark, sf):
     panel, runs, w = macro_weights(spark, sf)
     return nav_report(panel, w, runs)
 
 
-@query("a5_portfolio_metrics", _metrics_rounded(nav_metrics_sql("fam", "panel_d", 252)) + " WHERE run_id <> 'f6'")
+@query("a5_portfolio_metrics", _metrics_rounded(nav_metrics_sql("fam", "panel_d", 365)))
 def a5_portfolio(spark, sf):
-    panel, runs, w = family_weights(spark, sf, "f1", "f2", "f3", "f4", "f5", "f7", "f8")
+    panel, runs, w = family_weights(spark, sf)
     return nav_report(panel, w, runs)
 
 
@@ -363,7 +363,7 @@ FROM (SELECT v.run_id, c.pos, p.asset_ord, v.rule <> 'core' AND (v.rule = 'stati
 sequential_nav("book", "panel_d", "wt_book")
 cte("book_m", """SELECT run_id, total_return_pct, sharpe_ratio, max_drawdown_pct FROM (
 SELECT run_id, (arg_max(nav, pos) / 10000 - 1) * 100 AS total_return_pct,
-  avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt(252) AS sharpe_ratio, min(nav / peak - 1) * 100 AS max_drawdown_pct
+  avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt(365) AS sharpe_ratio, min(nav / peak - 1) * 100 AS max_drawdown_pct
 FROM (SELECT *, coalesce(lag(nav) OVER (PARTITION BY run_id ORDER BY pos), 10000.0) AS prev,
   max(nav) OVER (PARTITION BY run_id ORDER BY pos) AS peak FROM book_nav WHERE pos >= 0) GROUP BY run_id)""")
 

@@ -436,7 +436,7 @@ def v1_trades(spark, sf):
 @query("a5_signal_metrics", """
 WITH e AS (SELECT *, lag(equity) OVER (PARTITION BY asset ORDER BY i) AS prev, max(equity) OVER (PARTITION BY asset ORDER BY i) AS peak FROM book_walk),
 m AS (SELECT asset, (arg_max(equity, i) / 10000 - 1) * 100 AS total_return_pct,
-  avg(equity / prev - 1) / stddev_samp(equity / prev - 1) * sqrt(252) AS sharpe_ratio, min(equity / peak - 1) * 100 AS max_drawdown_pct,
+  avg(equity / prev - 1) / stddev_samp(equity / prev - 1) * sqrt(365) AS sharpe_ratio, min(equity / peak - 1) * 100 AS max_drawdown_pct,
   sqrt(avg((100 * (equity / peak - 1)) ** 2)) AS ulcer_index, avg(pos) * 100 AS exposure_pct FROM e WHERE i >= 0 GROUP BY asset),
 t AS (SELECT asset, count(*) AS num_trades, avg(CASE WHEN trade_return > 0 THEN 1.0 ELSE 0.0 END) * 100 AS win_rate_pct,
   sum(greatest(trade_return, 0)) / coalesce(nullif(sum(-least(trade_return, 0)), 0), 1e-4) AS profit_factor,

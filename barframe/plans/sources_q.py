@@ -244,14 +244,10 @@ def s14(spark, sf):
 SELECT (SELECT count(*) FROM (SELECT ts FROM d UNION SELECT ts FROM e)) AS n_union, (SELECT count(*) FROM (SELECT ts FROM d INTERSECT SELECT ts FROM e)) AS n_intersect,
 (SELECT count(*) FROM (SELECT ts FROM d EXCEPT SELECT ts FROM e)) AS n_except""")
 def u2(spark, sf):
-    days = T.ticks(spark, sf).select("asset", "ts").distinct()
-    d, e = (days.filter(F.col("asset") == a).select("ts") for a in ("ASIA", "EUROPE"))
-    sets = {"n_union": d.union(e).distinct(), "n_intersect": d.intersect(e), "n_except": d.exceptAll(e)}
-    out = None
-    for name, df in sets.items():
-        one = df.agg(F.count("*").alias(name)).withColumn("_k", F.lit(1))
-        out = one if out is None else out.join(one, "_k")
-    return out.drop("_k")
+    """One pass: the dates of either asset, with a flag for each."""
+    d, e = (F.bool_or(F.col("asset") == a) for a in ("ASIA", "EUROPE"))
+    days = T.ticks(spark, sf).filter(F.col("asset").isin("ASIA", "EUROPE")).groupBy("ts").agg(d.alias("d"), e.alias("e"))
+    return days.agg(F.count("*").alias("n_union"), F.count_if(F.expr("d and e")).alias("n_intersect"), F.count_if(F.expr("d and not e")).alias("n_except"))
 
 
 @query("u4_unmapped_assets", "SELECT n_name AS asset FROM nation WHERE n_name NOT IN (SELECT DISTINCT asset FROM ticks_n WHERE price > 100000)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barframe.functions.scalars import packed_key
 from barframe.operators import bars as B
 
 TIE_BREAK = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -52,7 +53,10 @@ def bars(
     span: tuple[str, str] | None = None,
 ) -> DataFrame:
     per = F.col("ts") if period == "day" else F.date_trunc(period, "ts").cast("date")
-    return B.resample(ticks(spark, sf, level, span), per, TIE_BREAK)
+    rank = packed_key(
+        (F.unix_date("ts"), 6), (F.col("l_orderkey"), 12), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 10), (F.col("l_suppkey"), 8)
+    )
+    return B.resample(ticks(spark, sf, level, span), per, TIE_BREAK, rank=rank)
 
 
 def universe(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,7 +87,8 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def intraday(spark: SparkSession, sf: str, width: str = "4 hours") -> DataFrame:
     start = F.window("ts", width)["start"]
-    return B.resample(events(spark, sf), start, ("event_id",), qty=F.lit(1.0))
+    rank = packed_key((F.unix_micros("ts"), 18), (F.col("event_id"), 19))
+    return B.resample(events(spark, sf), start, ("event_id",), qty=F.lit(1.0), rank=rank)
 
 
 def rates(spark: SparkSession, sf: str) -> DataFrame:

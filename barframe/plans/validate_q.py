@@ -144,7 +144,7 @@ cte("sweep_eq", f"""SELECT *, 10000 * product(CASE WHEN prev = 1 THEN close / pc
   SELECT *, coalesce(lag(p) OVER ({_SW}), 0) AS prev, lag(close) OVER ({_SW}) AS pc FROM (
   SELECT *, coalesce(last_value(CASE WHEN entry AND NOT exit THEN 1 WHEN exit AND NOT entry THEN 0 END IGNORE NULLS) OVER ({_SW}), 0) AS p FROM sweep_sig))""")
 cte("sweep_m", f"""SELECT asset, value, (arg_max(eq, ts) / 10000 - 1) * 100 AS ret, (arg_max(close, ts) / arg_min(close, ts) - 1) * 100 AS bh,
-  avg(eq / prev_eq - 1) / nullif(stddev_samp(eq / prev_eq - 1), 0) * sqrt(252) AS sharpe FROM (SELECT *, coalesce(lag(eq) OVER ({_SW}), 10000) AS prev_eq FROM sweep_eq) GROUP BY 1, 2""")
+  avg(eq / prev_eq - 1) / nullif(stddev_samp(eq / prev_eq - 1), 0) * sqrt(365) AS sharpe FROM (SELECT *, coalesce(lag(eq) OVER ({_SW}), 10000) AS prev_eq FROM sweep_eq) GROUP BY 1, 2""")
 cte("sweep_run", """SELECT asset, island, count(*) FILTER (hit) AS run, min(value) FILTER (hit) AS a, max(value) FILTER (hit) AS b FROM (
   SELECT *, row_number() OVER (PARTITION BY asset ORDER BY value) - sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY value) AS island FROM (SELECT *, ret > bh AND ret > 0 AS hit FROM sweep_m)) GROUP BY 1, 2""")
 
@@ -295,7 +295,7 @@ cte("wt_sbook", """SELECT v.rule || '|' || c.segment || '/' || v.variant AS run_
 FROM seg_comp c JOIN seg g ON g.segment = c.segment, (VALUES ('regime', 'core'), ('regime', 'combined'), ('static', 'core'), ('static', 'combined')) v(rule, variant), (SELECT DISTINCT asset_ord FROM panel_d) p
 WHERE c.pos >= g.p0 + 100 AND (c.pos - g.p0 - 100) % 21 = 0 AND c.pos < g.p1""")
 PQ.sequential_nav("sbook", "panel_d", "wt_sbook")
-cte("sbook_m", """SELECT run_id, (arg_max(nav, pos) / 10000 - 1) * 100 AS t, avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt(252) AS s, min(nav / peak - 1) * 100 AS d FROM (
+cte("sbook_m", """SELECT run_id, (arg_max(nav, pos) / 10000 - 1) * 100 AS t, avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt(365) AS s, min(nav / peak - 1) * 100 AS d FROM (
   SELECT n.*, coalesce(lag(nav) OVER w, 10000.0) AS prev, max(nav) OVER w AS peak FROM sbook_nav n JOIN seg g ON n.run_id LIKE '%|' || g.segment || '/%' AND n.pos BETWEEN g.p0 AND g.p1 WINDOW w AS (PARTITION BY run_id ORDER BY pos)) GROUP BY 1""")
 
 
