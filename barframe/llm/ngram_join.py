@@ -257,31 +257,36 @@ def paired(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.select("x", "y", "x_n", "x_bits", "y_n", "y_bits").mapInPandas(run, "x long, y long")
 
 
+def _rows_of(docs: DataFrame, ids: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(_doc, text as `name`) of the rows whose id may be among `ids` (one column): a filter, no join."""
+    count = slots.slot_count(ids.count())
+    bits = slots.as_filter(ids.select(F.explode(slots.slots(F.col(ids.columns[0]), count)).alias("slot")))
+    rows = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias(name))
+    return slots.hits(rows, F.col("_doc"), written(bits, "join-wanted"), count, "_seen").filter("_seen").drop("_seen")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, names: DataFrame, size: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs that are linked: sorted hash arrays of both texts, intersected. `names` has a
-    document for each class."""
-    wanted = pairs.select(F.col("x").alias("_c")).unionByName(pairs.select(F.col("y").alias("_c"))).distinct()
-    ids = names.join(wanted, F.col("cls") == F.col("_c"), "left_semi").select(F.col("first").alias("_id"), "cls")
-    ids = written(ids, "join-wanted")
-    # One text for each class; rows without a wanted id are dropped by a filter before the join.
-    count = slots.slot_count(ids.count())
-    bits = written(slots.as_filter(ids.select(F.explode(slots.slots(F.col("_id"), count)).alias("slot"))), "join-wanted-filter")
-    rows = docs.select(F.col(key).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    rows = slots.hits(rows, F.col("_doc"), bits, count, "_seen").filter("_seen")
-    texts = rows.join(ids, F.col("_doc") == F.col("_id")).select("cls", "_text")
-    side = lambda p: texts.select(F.col("cls").alias(f"_{p}"), F.col("_text").alias(f"{p}_text"))
-    met = pairs.join(side("y"), F.col("y") == F.col("_y")).drop("_y").join(side("x"), F.col("x") == F.col("_x")).drop("_x")
+    document for each class. Only the texts of the pairs are shuffled, each side once."""
+    name = lambda p: names.select(F.col("cls").alias(f"_{p}"), F.col("first").alias(f"{p}_id"))
+    met = pairs.join(name("x"), F.col("x") == F.col("_x")).join(name("y"), F.col("y") == F.col("_y"))
+    met = written(met.select("x", "y", "x_id", "y_id"), "join-to-verify")
+    for p in ("y", "x"):
+        rows = _rows_of(docs, met.select(f"{p}_id").distinct(), key, text, f"{p}_text").withColumnRenamed("_doc", f"_{p}")
+        met = met.join(rows, F.col(f"{p}_id") == F.col(f"_{p}")).drop(f"_{p}", f"{p}_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, None
         for b in batches:
             ok = np.zeros(len(b), dtype=bool)
             ys = shingle_sets(b["y_text"].tolist(), size)
-            for i, (x, x_text, other) in enumerate(zip(b["x"], b["x_text"], ys, strict=True)):
-                if x != last:
-                    last, held = x, next(shingle_sets([x_text], size))
+            for i, (x, y, x_text, other) in enumerate(zip(b["x"], b["y"], b["x_text"], ys, strict=True)):
+                if x_text != last:
+                    last, held = x_text, next(shingle_sets([x_text], size))
                 both = len(np.intersect1d(held, other, assume_unique=True))
-                ok[i] = 100 * both >= percent * (len(held) + len(other) - both) and both > 0
+                near = both > 0 and 100 * both >= percent * (len(held) + len(other) - both)
+                # A repeated id may bring a text of another class.
+                ok[i] = near and class_of(held) == x and class_of(other) == y
             yield b.loc[ok, ["x", "y"]]
 
     return met.select("x", "y", "x_text", "y_text").mapInPandas(run, "x long, y long").distinct()
@@ -397,9 +402,16 @@ def ngram_links(
     rows = profiled.filter("shingle IS NULL").select("doc_id", "n", "cls")
     names = written(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first")), "join-classes")
     keyed = written(class_keys(docs, ranked_list(profiled), size, percent, text), "join-keys")
-    classes = keyed.filter("key IS NULL").groupBy("cls").agg(F.first("n").cast("long").alias("n"), F.first("quick").alias("quick"), F.first("bits").alias("bits"))
-    classes = written(classes, "join-bitmaps")
     around = written(pivots(keyed, percent), "join-pivots")
+    # Bitmaps only of the classes that have somebody to meet.
+    members = around.select("cls").unionByName(around.select(F.col("pivot").alias("cls"))).distinct()
+    members = written(members, "join-members")
+    count = slots.slot_count(members.count())
+    some = written(slots.as_filter(members.select(F.explode(slots.slots(F.col("cls"), count)).alias("slot"))), "join-member-filter")
+    classes = keyed.filter("key IS NULL").select("cls", F.col("n").cast("long").alias("n"), "quick", "bits")
+    classes = slots.hits(classes, F.col("cls"), some, count, "_seen").filter("_seen").drop("_seen")
+    classes = classes.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "quick", "bits")])
+    classes = written(classes, "join-bitmaps")
     first = around.select(F.col("pivot").alias("x"), F.col("p").alias("x_n"), F.col("cls").alias("y"), F.col("n").alias("y_n"))
     first = paired(first, classes, percent)
     links = written(verified(written(first, "join-first"), docs, names, size, percent, key, text), "join-links-1")
