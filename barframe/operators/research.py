@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barframe.functions.scalars import annualize, trading_days
+from barframe.functions.scalars import TRADING_DAYS, annualize, trading_days
 from barframe.functions.windows import series
 from barframe.operators import bootstrap, events, log, metrics, replay, validate, weights
 from barframe.session import written
@@ -13,6 +13,8 @@ from barframe.session import written
 CHECK_WALK = "Portfolio walk-forward stability"
 CHECK_REBALANCE = "Portfolio rebalance count"
 CHECK_RESAMPLE = "Portfolio resampled returns"
+CHECK_SERIES_WALK = "Walk-forward stability"
+CHECK_SERIES_RESAMPLE = "Resampled returns"
 
 
 def evaluate(
@@ -198,29 +200,57 @@ def gated_lab(
 
 
 def campaign(
-    bars: DataFrame, rules: dict, split, cash: float = replay.INITIAL_CASH, min_trades: int = 20
+    bars: DataFrame, rules: dict, split, cash: float = replay.INITIAL_CASH, min_trades: int = 20,
+    paths: int = bootstrap.PATHS, chunk_rows: int = TRADING_DAYS,
 ) -> DataFrame:
     """Signal rules across a universe: each asset's candidates on train, its winner on the
     lockbox. rules maps a name to a function(bars, keys) that adds entry and exit; split is the
-    first lockbox date. Output rows feed log.campaign_summary and log.failure_tally."""
-    keys = ("asset", "rule", "segment")
+    first lockbox date. Output rows feed log.campaign_summary and log.failure_tally.
+
+    Walk-forward chunks are series of their own in the same plan: a rule sees a chunk's rows only.
+    """
+    keys = ("asset", "rule", "segment", "chunk")
+    run = keys[:-1]
     tagged = bars.withColumn("segment", F.when(F.col("ts") < split, "train").otherwise("lockbox"))
+    whole = tagged.withColumn("chunk", F.lit(-1))
+    part = ("asset", "segment")
+    i, n = F.row_number().over(series(part)) - 1, F.count(F.lit(1)).over(Window.partitionBy(*part))
+    k = F.least(F.lit(4), F.floor(F.col("_n") / chunk_rows))
+    size, extra = F.floor(F.col("_n") / k), F.col("_n") % k
+    head = extra * (size + 1)
+    chunk = F.when(F.col("_i") < head, F.floor(F.col("_i") / (size + 1))).otherwise(extra + F.floor((F.col("_i") - head) / size))
+    chunks = tagged.withColumns({"_i": i, "_n": n}).filter(F.col("_n") >= 2 * chunk_rows).withColumn("chunk", chunk.cast("int"))
+    cut = written(whole.unionByName(chunks.drop("_i", "_n")), "campaign-bars")
     every = None
     for name, rule in rules.items():
-        one = rule(tagged.withColumn("rule", F.lit(name)), keys).select(*keys, "ts", "close", "entry", "exit")
+        one = rule(cut.withColumn("rule", F.lit(name)), keys).select(*keys, "ts", "close", "entry", "exit")
         every = one if every is None else every.unionByName(one)
     equity = written(replay.replay_signals(every, cash=cash, keys=keys), "campaign-equity")
-    m = metrics.signal_metrics(equity, replay.signal_trades(equity, keys), equity, cash, keys)
+    scored = metrics.signal_metrics(equity, replay.signal_trades(equity, keys), equity, cash, keys)
+    scored = written(scored, "campaign-metrics")
+    walked = scored.filter("chunk >= 0").groupBy(*run).agg(*[F.avg(ok.cast("double")).alias(n) for n, ok in (
+        ("_up", F.col("total_return_pct") > 0), ("_ahead", F.col("total_return_pct") > F.col("buy_and_hold_pct"))
+    )])
+    daily = equity.filter("chunk < 0").withColumn(
+        "ret", F.col("equity") / F.coalesce(F.lag("equity").over(series(run)), F.lit(cash)) - 1
+    )
+    boot = bootstrap.summarize(bootstrap.resample(daily, run, "ts", paths=paths), run)
     spans = bars.groupBy("asset").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
     train = F.col("segment") == "train"
-    m = m.join(spans, "asset").withColumn(
+    m = scored.filter("chunk < 0").drop("chunk").join(spans, "asset")
+    m = m.join(walked, list(run), "left").join(boot.select(*run, F.col("passed").alias("_boot")), list(run), "left")
+    m = m.withColumn(
         "n_days",
         trading_days(F.when(train, F.col("_a")).otherwise(split), F.when(train, F.date_sub(split, 1)).otherwise(F.col("_b"))),
     )
-    checks = validate.metric_rules("buy_and_hold_pct", min_trades)
+    walk = F.coalesce((F.col("_up") >= 0.5) & (F.col("_ahead") >= 0.5), F.lit(False))
+    checks = [
+        *validate.metric_rules("buy_and_hold_pct", min_trades), (CHECK_SERIES_WALK, walk),
+        (CHECK_SERIES_RESAMPLE, F.coalesce(F.col("_boot") & (F.col("n_obs") >= 60), F.lit(False))),
+    ]
     failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
     judged = m.withColumn("failed_checks", failed).withColumns({
-        "n_checks": F.lit(len(checks)), "n_passed": F.lit(len(checks)) - F.size("failed_checks"), "walk_forward_failed": F.lit(False),
+        "n_checks": F.lit(len(checks)), "n_passed": F.lit(len(checks)) - F.size("failed_checks"), "walk_forward_failed": ~walk,
     }).withColumn("verdict", validate.research_verdict(F.lit(False), F.lit(True), F.lit(True)))
     place = F.create_map(*[F.lit(x) for i, name in enumerate(rules) for x in (name, i)])
     judged = written(judged.withColumn("idx", place[F.col("rule")]), "campaign-judged")

@@ -95,3 +95,23 @@ def test_packed_key_sorts_like_the_tuple(spark):
     rows = [(2, 10**11, 7), (1, 999, 9), (1, 10**11, 0), (2, 3, 1)]
     df = spark.createDataFrame(rows, "a int, b long, c int").withColumn("k", packed_key((F.col("a"), 6), (F.col("b"), 12), (F.col("c"), 2)))
     assert [tuple(r)[:3] for r in df.orderBy("k").collect()] == sorted(rows)
+
+
+def test_campaign_checks_equal_separate_replays(spark):
+    from barframe.operators import metrics as M
+    from barframe.operators import replay as R
+    from barframe.operators import signals as S
+
+    rng = np.random.default_rng(8)
+    close = 100 * np.exp(np.cumsum(rng.normal(0.0008, 0.01, 1500)))
+    bars = spark.createDataFrame([("A", day(i), float(c)) for i, c in enumerate(close)], "asset string, ts date, close double")
+    rules = {"x 3/7": lambda b, k: S.sma_crossover(b, 3, 7, k), "x 5/15": lambda b, k: S.sma_crossover(b, 5, 15, k)}
+    out = {r.rule: r for r in Re.campaign(bars, rules, F.lit(day(1100)).cast("date"), paths=50).filter("not is_lockbox").collect()}
+    parts = np.array_split(np.arange(1100), 4)
+    cut = spark.createDataFrame([(str(c), day(int(i)), float(close[i])) for c, p in enumerate(parts) for i in p], "asset string, ts date, close double")
+    assert set(out) == set(rules)
+    for name, rule in rules.items():
+        equity = R.replay_signals(rule(cut, ("asset",)))
+        m = M.signal_metrics(equity, R.signal_trades(equity), equity, R.INITIAL_CASH).collect()
+        ok = np.mean([r.total_return_pct > 0 for r in m]) >= 0.5 and np.mean([r.total_return_pct > r.buy_and_hold_pct for r in m]) >= 0.5
+        assert (Re.CHECK_SERIES_WALK in out[name].failed_checks) == (not ok)
