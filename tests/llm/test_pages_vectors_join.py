@@ -72,7 +72,8 @@ def vectors(spark, rows):
 
 
 def brute_nearest(rows, k=5):
-    ok = {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)}
+    fine = [(i, v) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    ok = {i: np.array(v, dtype=np.float64) for i, v in sorted(fine, reverse=True)}  # the smallest of an id comes last
     size = collections.Counter(map(len, ok.values())).most_common(1)[0][0]
     ok = {i: v for i, v in ok.items() if len(v) == size}
     out = {}
@@ -92,7 +93,7 @@ def test_nearest_of_a_small_table_is_exact(spark):
     rows = [(i, f32(rng.standard_normal(16))) for i in range(400)]
     rows += [(1000 + i, rows[50][1]) for i in range(8)]  # equal vectors tie by id
     rows += [(2000, None), (2050, []), (2100, [0.0] * 16), (2150, [float("nan")] * 16), (2200, [float("inf")] + [1.0] * 15),
-             (2250, [None] + [1.0] * 15), (2300, [1.0, 2.0]), (None, rows[0][1]), (7, rows[7][1])]
+             (2250, [None] + [1.0] * 15), (2300, [1.0, 2.0]), (None, rows[0][1]), (7, rows[7][1]), (8, [9.0] * 16)]
     got = collections.defaultdict(list)
     for r in A.nearest(vectors(spark, rows), block=150, chunk=3).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
