@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barframe.functions.scalars import trading_days
 from barframe.operators import bootstrap as Bo
 from barframe.operators import log as L
 from barframe.operators import metrics as M
@@ -138,7 +139,7 @@ def _sw(sql: str) -> str:
 
 cte("sweep_src", "SELECT asset, ts, close, value, avg(close) OVER (PARTITION BY asset, value ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s0, count(*) OVER (PARTITION BY asset, value ORDER BY ts) AS k, "
     "CASE value " + " ".join(f"WHEN {n} THEN avg(close) OVER (PARTITION BY asset, value ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in range(3, 9))
-    + " END AS f0 FROM panel_d, (SELECT CAST(range AS INTEGER) AS value FROM range(3, 9)) WHERE ts >= DATE '2000-01-01'")
+    + " END AS f0 FROM panel_d, (SELECT CAST(range AS INTEGER) AS value FROM range(3, 9))")
 cte("sweep_sig", _sw(f"SELECT *, {series_q.up('f', 's')} AS entry, {series_q.down('f', 's')} AS exit FROM (SELECT *, CASE WHEN k >= value THEN f0 END AS f, CASE WHEN k >= 20 THEN s0 END AS s FROM sweep_src)"))
 cte("sweep_eq", f"""SELECT *, 10000 * product(CASE WHEN prev = 1 THEN close / pc ELSE 1 END * CASE WHEN prev = 0 AND p = 1 THEN 1 / (1.0005 * 1.001) WHEN prev = 1 AND p = 0 THEN 0.9995 * 0.999 ELSE 1 END) OVER ({_SW}) AS eq FROM (
   SELECT *, coalesce(lag(p) OVER ({_SW}), 0) AS prev, lag(close) OVER ({_SW}) AS pc FROM (
@@ -149,13 +150,13 @@ cte("sweep_run", """SELECT asset, island, count(*) FILTER (hit) AS run, min(valu
   SELECT *, row_number() OVER (PARTITION BY asset ORDER BY value) - sum(CASE WHEN hit THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY value) AS island FROM (SELECT *, ret > bh AND ret > 0 AS hit FROM sweep_m)) GROUP BY 1, 2""")
 
 
-@query("v7_parameter_sweep", f"""SELECT p.*, round(d.best, 6) AS best_sharpe, round({psr_sql('d.best', '400', threshold_sql('d.v', 'd.n'))}, 6) AS sweep_dsr
+@query("v7_parameter_sweep", f"""SELECT p.*, round(d.best, 6) AS best_sharpe, round({psr_sql('d.best', 'd.days', threshold_sql('d.v', 'd.n'))}, 6) AS sweep_dsr
 FROM (SELECT asset, CAST(sum(run) AS BIGINT) AS n_confirmed, max(run) AS longest_run, arg_max(a, (run, -a)) AS from_value, arg_max(b, (run, -a)) AS to_value,
   CASE WHEN sum(run) = 0 THEN 'NONE' WHEN max(run) >= 3 THEN 'PLATEAU' ELSE 'SPIKE' END AS verdict FROM sweep_run GROUP BY 1) p
-JOIN (SELECT asset, count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v, max(sharpe) FILTER (ret > bh AND ret > 0) AS best FROM sweep_m GROUP BY 1) d ON d.asset = p.asset""")
+JOIN (SELECT asset, count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v, max(sharpe) FILTER (ret > bh AND ret > 0) AS best, (SELECT greatest(2, CAST(round_even((max(ts) - min(ts)) * 252 / 365.0::DOUBLE, 0) AS INTEGER)) FROM panel_d) AS days FROM sweep_m GROUP BY 1) d ON d.asset = p.asset""")
 def v7(spark, sf):
-    """Fast windows 3 to 8 of a crossover on every asset, held-out part only, read as a surface."""
-    panel = written(T.panel(spark, sf).filter(F.col("ts") >= F.lit("2000-01-01").cast("date")).select("asset", "ts", "close"), "panel")
+    """Fast windows 3 to 8 of a crossover on every asset over all dates, read as a surface."""
+    panel = written(T.panel(spark, sf).select("asset", "ts", "close"), "panel")
     keys = ("asset", "value")
     swept = None
     for n in range(3, 9):
@@ -163,7 +164,8 @@ def v7(spark, sf):
         swept = one if swept is None else swept.unionByName(one)
     eq = written(R.replay_signals(swept, keys=keys), "sweep-equity")
     m = M.signal_metrics(eq, R.signal_trades(eq, keys), eq, R.INITIAL_CASH, keys)
-    entries = m.withColumns({"ok": F.lit(True), "confirms": F.col("beats_benchmark") & (F.col("total_return_pct") > 0), "n_days": F.lit(400)})
+    m = m.join(panel.groupBy("asset").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b")), "asset")
+    entries = m.withColumns({"ok": F.lit(True), "confirms": F.col("beats_benchmark") & (F.col("total_return_pct") > 0), "n_days": trading_days(F.col("_a"), F.col("_b"))})
     out = V.plateau(entries, ("asset",)).join(L.sweep_dsr(entries, ("asset",)), "asset")
     return rounded(out, 6, "best_sharpe", "sweep_dsr")
 
