@@ -48,6 +48,7 @@ from barframe.session import written
 SIZE, PERCENT = 4, 85
 RANKED, HOT = 1 << 20, 65_536
 TILE = 512  # classes on either side of a tile
+FEW = 24  # classes around a pivot that pair directly
 LEAST_BITS, MOST_BITS, WIDTH = 64, 32_768, 4
 _U = np.uint64
 
@@ -241,9 +242,9 @@ def _room(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
     return min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count()) >= needed(n, m, percent)
 
 
-def paired(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def paired(pairs: DataFrame, quick: DataFrame, percent: int) -> DataFrame:
     """Of pairs (x, x_n, y, y_n) those (x, y) whose sizes and quick bit counts allow a link."""
-    side = lambda p: classes.select(F.col("cls").alias(f"{p}_cls"), F.col("quick").alias(f"{p}_bits"))
+    side = lambda p: quick.select(F.col("cls").alias(f"{p}_cls"), F.col("quick").alias(f"{p}_bits"))
     met = pairs.filter((100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")))
     met = met.join(side("x"), F.col("x") == F.col("x_cls")).join(side("y"), F.col("y") == F.col("y_cls"))
 
@@ -333,26 +334,47 @@ def _tile_pairs(rows: pa.Table, starts: np.ndarray, percent: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["x", "y"])
 
 
-def tiles(around: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def of_members(keyed: DataFrame, members: DataFrame, column: str) -> DataFrame:
+    """(cls, column) of the class rows of `members` (one column, cls), once each. A filter over the
+    members clears the other classes before anything is shuffled."""
+    members = written(members.distinct(), "join-members")
+    count = slots.slot_count(members.count())
+    some = slots.as_filter(members.select(F.explode(slots.slots(F.col("cls"), count)).alias("slot")))
+    rows = keyed.filter("key IS NULL").select("cls", column)
+    rows = slots.hits(rows, F.col("cls"), written(some, "join-member-filter"), count, "_seen").filter("_seen")
+    return rows.groupBy("cls").agg(F.first(column).alias(column))
+
+
+def tiles(around: DataFrame, keyed: DataFrame, quick: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs (x, y) of different components that share a pivot and pass the bit counts.
 
-    around: (pivot, cls), labels: (id, component) of classes."""
+    around: (pivot, p, cls, n), labels: (id, component) of classes. Groups of at most FEW classes
+    pair directly and their pairs meet the quick bitmaps; larger ones are laid out in tiles."""
     label = labels.select(F.col("id").alias("_id"), "component")
     named = around.join(label, F.col("cls") == F.col("_id"), "left").select(
-        "pivot", "cls", F.coalesce("component", "cls").alias("label")
+        "pivot", "cls", "n", F.coalesce("component", "cls").alias("label")
     )
     own = label.select(F.col("_id").alias("_p"), F.col("component").alias("_pc"))
     named = named.join(own, F.col("pivot") == F.col("_p"), "left").select(
-        "pivot", "cls", "label", (F.col("label") != F.coalesce("_pc", "pivot")).alias("apart")
+        "pivot", "cls", "n", "label", (F.col("label") != F.coalesce("_pc", "pivot")).alias("apart")
     )
     named = written(named, "join-around")
     # The pivot itself has met everybody. Alone outside its component, a class has nobody left to meet.
     groups = named.groupBy("pivot").agg(F.count(F.lit(1)).alias("_n"), F.count_if("apart").alias("_apart"))
-    groups = groups.filter("_apart > 0 and _n > 1").select(F.col("pivot").alias("_g"))
-    c = classes.select(F.col("cls").alias("_c"), "n", "bits")
-    rows = named.join(groups, F.col("pivot") == F.col("_g"), "left_semi").join(c, F.col("cls") == F.col("_c"))
+    groups = groups.filter("_apart > 0 and _n > 1").select(F.col("pivot").alias("_g"), (F.col("_n") > FEW).alias("many"))
+    grouped = written(named.join(groups, F.col("pivot") == F.col("_g")).drop("_g"), "join-grouped")
+    some = grouped.filter("not many")
+    a = some.filter("apart").select("pivot", F.col("cls").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
+    b = some.select(F.col("pivot").alias("_p"), F.col("cls").alias("y"), F.col("n").alias("y_n"), F.col("label").alias("y_label"), "apart")
+    fits = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    met = a.join(b, (F.col("pivot") == F.col("_p")) & (F.col("x_label") != F.col("y_label")) & (~F.col("apart") | (F.col("x") < F.col("y"))) & fits)
+    swap = F.col("x") > F.col("y")
+    met = met.select(*[F.when(swap, F.col(v)).otherwise(F.col(u)).alias(u) for u, v in (("x", "y"), ("x_n", "y_n"), ("y", "x"), ("y_n", "x_n"))])
+    direct = paired(met.distinct(), quick, percent)
+    rows = grouped.filter("many")
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
-    rows = written(rows.select("pivot", "cls", "label", "apart", "n", "bits", band.alias("band")), "join-tile-rows")
+    rows = written(rows.select("pivot", "cls", "label", "apart", "n", band.alias("band")), "join-tile-rows")
+    bits = of_members(keyed, rows.select("cls"), "bits").withColumnRenamed("cls", "_c")
     deal = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "cls"), of).cast("int")
     sizes = rows.groupBy("pivot", "band").agg(F.count_if("apart").alias("_a"), F.count(F.lit(1)).alias("_b"))
     sizes = sizes.select(F.col("pivot").alias("_g"), F.col("band").alias("_band"), *[
@@ -366,17 +388,17 @@ def tiles(around: DataFrame, classes: DataFrame, labels: DataFrame, percent: int
     probe = probe.join(mine, (F.col("pivot") == F.col("_g")) & (F.col("band") == F.col("_band"))).join(
         theirs, (F.col("pivot") == F.col("_h")) & (F.col("to") == F.col("_to"))
     )
-    probe = probe.select("pivot", F.col("band").alias("p"), deal(3, F.col("_a")).alias("i"), "to", upto("_b").alias("j"), F.lit(True).alias("probe"), "cls", "label", "n", "bits")
+    probe = probe.select("pivot", F.col("band").alias("p"), deal(3, F.col("_a")).alias("i"), "to", upto("_b").alias("j"), F.lit(True).alias("probe"), "cls", "label", "n")
     build = rows.withColumn("p", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
     mine = sizes.select(F.col("_g").alias("_h"), F.col("_band").alias("_to"), "_b")
     theirs = sizes.filter("_live").select("_g", "_band", "_a")
     build = build.join(mine, (F.col("pivot") == F.col("_h")) & (F.col("band") == F.col("_to"))).join(
         theirs, (F.col("pivot") == F.col("_g")) & (F.col("p") == F.col("_band"))
     )
-    build = build.select("pivot", "p", upto("_a").alias("i"), F.col("band").alias("to"), deal(4, F.col("_b")).alias("j"), F.lit(False).alias("probe"), "cls", "label", "n", "bits")
+    build = build.select("pivot", "p", upto("_a").alias("i"), F.col("band").alias("to"), deal(4, F.col("_b")).alias("j"), F.lit(False).alias("probe"), "cls", "label", "n")
     tile = ["pivot", "p", "i", "to", "j"]
     # Tiles are whole in a partition and one after the other; a task holds one tile at a time.
-    laid = probe.unionByName(build).repartition(*tile).sortWithinPartitions(*tile)
+    laid = probe.unionByName(build).join(bits, F.col("cls") == F.col("_c")).drop("_c").repartition(*tile).sortWithinPartitions(*tile)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -390,7 +412,7 @@ def tiles(around: DataFrame, classes: DataFrame, labels: DataFrame, percent: int
         if rest is not None:
             yield from _tile_pairs(rest, np.zeros(1, dtype=np.int64), percent)
 
-    return laid.mapInArrow(run, "x long, y long").distinct()
+    return laid.mapInArrow(run, "x long, y long").unionByName(direct).distinct()
 
 
 def ngram_links(
@@ -404,19 +426,13 @@ def ngram_links(
     keyed = written(class_keys(docs, ranked_list(profiled), size, percent, text), "join-keys")
     around = written(pivots(keyed, percent), "join-pivots")
     # Bitmaps only of the classes that have somebody to meet.
-    members = around.select("cls").unionByName(around.select(F.col("pivot").alias("cls"))).distinct()
-    members = written(members, "join-members")
-    count = slots.slot_count(members.count())
-    some = written(slots.as_filter(members.select(F.explode(slots.slots(F.col("cls"), count)).alias("slot"))), "join-member-filter")
-    classes = keyed.filter("key IS NULL").select("cls", F.col("n").cast("long").alias("n"), "quick", "bits")
-    classes = slots.hits(classes, F.col("cls"), some, count, "_seen").filter("_seen").drop("_seen")
-    classes = classes.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", "quick", "bits")])
-    classes = written(classes, "join-bitmaps")
+    members = around.select("cls").unionByName(around.select(F.col("pivot").alias("cls")))
+    quick = written(of_members(keyed, members, "quick"), "join-quick")
     first = around.select(F.col("pivot").alias("x"), F.col("p").alias("x_n"), F.col("cls").alias("y"), F.col("n").alias("y_n"))
-    first = paired(first, classes, percent)
+    first = paired(first, quick, percent)
     links = written(verified(written(first, "join-first"), docs, names, size, percent, key, text), "join-links-1")
     labels = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    left = written(tiles(around, classes, labels, percent), "join-second")
+    left = written(tiles(around, keyed, quick, labels, percent), "join-second")
     more = written(verified(left, docs, names, size, percent, key, text), "join-links-2")
     return rows, links.unionByName(more)
 

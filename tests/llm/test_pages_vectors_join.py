@@ -166,8 +166,9 @@ def brute_components(rows, size, percent):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("size, percent", [(4, 85), (5, 80)])
-def test_join_equals_all_pairs(docs, monkeypatch, size, percent):
+@pytest.mark.parametrize("size, percent, few", [(4, 85, 24), (5, 80, 1)])
+def test_join_equals_all_pairs(docs, monkeypatch, size, percent, few):
+    monkeypatch.setattr(J, "FEW", few)
     monkeypatch.setattr(J, "TILE", 8)
     monkeypatch.setattr(J, "HOT", 40)
     rng = np.random.default_rng(size)
