@@ -50,7 +50,7 @@ def test_evaluation_equals_separate_replays(located):
         share = [np.mean([f(p) for p in parts]) >= 0.5 if parts else False
                  for f in (lambda p: p.total_return_pct > 0, lambda p: p.total_return_pct > p.benchmark_pct)]
         assert got.walk_forward_failed == (not all(share))
-        assert got.n_checks == 6 and got.n_passed == 6 - len(got.failed_checks)
+        assert got.n_checks == 7 and got.n_passed == 7 - len(got.failed_checks)
 
 
 def test_verdict_of_a_short_run_is_an_error(located):
