@@ -260,19 +260,27 @@ def open_stops(trades: DataFrame, prepared: DataFrame, keys: Keys = ASSET, order
     )
 
 
-def window_sizes(n: Column, bars_per_day: int = 1) -> Column:
-    """struct(total, test): walk-forward window and test rows for a series of n rows."""
-    def whole(c: Column) -> Column:
-        return c.cast("int")
+# A walk-forward window has TRAIN parts of training rows and TEST of test rows; about WINDOWS fit a series.
+TRAIN, TEST, WINDOWS = 3, 2, 8
+LEAST_STEP, LEAST_TRAIN, LEAST_TEST = 20, 50, 10
 
-    step = F.greatest(F.floor(n / 8), F.lit(20))
-    train = F.greatest(whole(step * 0.6), F.lit(50))
-    test = F.greatest(whole(train / 0.6 * 0.4), F.lit(10))
-    too_long = train + test > F.floor(n / 2)
-    train2 = F.greatest(whole(F.floor(n / 4)), F.lit(50))
-    test2 = F.greatest(whole(train2 * 0.4 / 0.6), F.lit(10))
-    t, s = F.when(too_long, train2).otherwise(train), F.when(too_long, test2).otherwise(test)
-    return F.struct((t + s).cast("int").alias("total"), s.cast("int").alias("test"))
+
+def _share(rows: Column, part: int, of: int) -> Column:
+    return F.floor(rows * part / of).cast("int")
+
+
+def window_sizes(n: Column) -> Column:
+    """struct(total, test) of a series of n rows: trained on its share of an even step, or on a
+    quarter of the series where that window would pass half of it."""
+    step = F.greatest(_share(n, 1, WINDOWS), F.lit(LEAST_STEP))
+
+    def window(train: Column) -> Column:
+        t = F.greatest(train, F.lit(LEAST_TRAIN))
+        s = F.greatest(_share(t, TEST, TRAIN), F.lit(LEAST_TEST))
+        return F.struct((t + s).alias("total"), s.alias("test"))
+
+    even, quarter = window(_share(step, TRAIN, TRAIN + TEST)), window(_share(n, 1, 4))
+    return F.when(even["total"] <= _share(n, 1, 2), even).otherwise(quarter)
 
 
 def walk_forward_windows(
@@ -284,13 +292,12 @@ def walk_forward_windows(
     sizes(keys, n); year_starts(keys, year, at): first row of each year after the first.
     Row ends are exclusive. A series has a handful of windows, so they are folded as one array.
     """
-    sized = sizes.withColumn("_w", window_sizes(F.col("n"), bars_per_day)).withColumn(
+    sized = sizes.withColumn("_w", window_sizes(F.col("n"))).withColumn(
         "_train", (F.col("_w.total") - F.col("_w.test")).cast("int")
     )
     train = F.col("_train")
-    step = F.greatest(F.floor(train / 4).cast("int"), F.lit(1))
-    need = (train / 0.6).cast("int")
-    test = (train * (0.4 / 0.6)).cast("int")
+    step = F.greatest(_share(train, 1, 4), F.lit(1))
+    need, test = _share(train, TRAIN + TEST, TRAIN), _share(train, TEST, TRAIN)
 
     def window(a: Column, b: Column, c: Column, d: Column) -> Column:
         return F.struct(
@@ -316,7 +323,7 @@ def walk_forward_windows(
         ),
         lambda x: (F.col("n") >= 252 * 3) & (x["train_to"] >= 100) & (x["test_to"] - x["test_from"] >= 10),
     )
-    whole = (F.col("n") * 0.6).cast("int")
+    whole = _share(F.col("n"), TRAIN, TRAIN + TEST)
     both = F.array_distinct(F.concat(sliding, annual))
     found = F.when(F.size(both) > 0, both).otherwise(
         F.array(window(F.lit(0), whole, whole, F.col("n")))
