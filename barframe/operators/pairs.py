@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from barframe.functions.windows import Keys, safe, series
 from barframe.operators import indicators as I
@@ -61,6 +60,10 @@ def with_log_ratio_z(df: DataFrame, lookback: int = 60, keys: Keys = PAIR, order
     return _with_z(out, "log_ratio", lookback, keys, order)
 
 
+STATES = (-1, 0, 1)
+BLOCK = 256  # bars of a pair that are folded together
+
+
 def spread_state_signals(
     df: DataFrame,
     lookback: int = 60,
@@ -69,32 +72,43 @@ def spread_state_signals(
     keys: Keys = PAIR,
     order: str = "ts",
 ) -> DataFrame:
-    """Short, flat or long on the spread. The next state depends on the current one, so each
-    pair's bars (one per date) are walked in order."""
-    z = with_log_ratio_z(df, lookback, keys, order).select(*keys, order, "zscore")
-    out = StructType(list(z.schema.fields))
-    for name, kind in (("state", "integer"), ("entry", "boolean"), ("exit", "boolean")):
-        out = out.add(name, kind)
-
-    def walk(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        values = pdf["zscore"].to_numpy(float)
-        state = np.zeros(len(pdf), np.int32)
-        held = 0
-        for i, v in enumerate(values):
-            if held == 0:
-                held = 1 if v < -entry_z else -1 if v > entry_z else 0
-            elif (held == 1 and v > -exit_z) or (held == -1 and v < exit_z):
-                held = 0
-            state[i] = held
-        before = np.concatenate([[0], state[:-1]]) if len(state) else state
-        return pdf.assign(
-            state=state, entry=(before == 0) & (state != 0), exit=(before != 0) & (state == 0)
-        )
-
-    return z.groupBy(*keys).applyInPandas(walk, out)
+    """Short, flat or long on the spread; the next state depends on the current one.
+
+    A bar is a map of the three states. Blocks of bars compose their maps on their own; a pair's
+    short list of block maps gives the state that each block begins with, and the blocks replay
+    their bars from there."""
+    z, row = F.col("zscore"), F.row_number().over(series(keys, order)) - 1
+    leaves = {-1: z < exit_z, 1: z > -exit_z}
+    to = {s: F.when(leaves[s], 0).otherwise(s) if s else F.when(z < -entry_z, 1).when(z > entry_z, -1).otherwise(0) for s in STATES}
+    bars = with_log_ratio_z(df, lookback, keys, order).select(
+        *keys, order, "zscore", F.floor(row / BLOCK).alias("_block"), F.array(*[to[s].cast("int") for s in STATES]).alias("_to")
+    )
+    blocks = bars.groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct(order, "zscore", "_to"))).alias("_bars"))
+
+    def step(state: Column, bar: Column) -> Column:
+        return F.get(bar["_to"], state + 1)
+
+    ends = F.array(*[F.aggregate("_bars", F.lit(s), step) for s in STATES])
+    # One map of three numbers for every BLOCK bars.
+    chain = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", ends.alias("_to")))).alias("_maps"))
+
+    def follow(start: Column, maps: Column) -> Column:
+        """The state before each map, and after the last one."""
+        return F.aggregate(maps, F.array(start), lambda seen, m: F.concat(seen, F.array(step(F.element_at(seen, -1), m))))
+
+    starts = chain.withColumn("_at", follow(F.lit(0), F.col("_maps"))).select(
+        *keys, F.inline(F.arrays_zip(F.col("_maps._block").alias("_block"), F.slice("_at", F.lit(1), F.size("_maps")).alias("_start")))
+    )
+    held = blocks.join(starts, [*keys, "_block"]).withColumn("_at", follow(F.col("_start"), F.col("_bars")))
+    n = F.size("_bars")
+    out = held.select(*keys, F.inline(F.arrays_zip(
+        F.col("_bars").alias("_bar"), F.slice("_at", F.lit(1), n).alias("_before"), F.slice("_at", F.lit(2), n).alias("state")
+    )))
+    before, state = F.col("_before"), F.col("state")
+    return out.select(
+        *keys, F.col(f"_bar.{order}").alias(order), "_bar.zscore", "state",
+        ((before == 0) & (state != 0)).alias("entry"), ((before != 0) & (state == 0)).alias("exit"),
+    )
 
 
 def spread_extreme_signals(

@@ -115,3 +115,24 @@ def test_campaign_checks_equal_separate_replays(spark):
         m = M.signal_metrics(equity, R.signal_trades(equity), equity, R.INITIAL_CASH).collect()
         ok = np.mean([r.total_return_pct > 0 for r in m]) >= 0.5 and np.mean([r.total_return_pct > r.buy_and_hold_pct for r in m]) >= 0.5
         assert (Re.CHECK_SERIES_WALK in out[name].failed_checks) == (not ok)
+
+
+def test_pair_states_equal_a_walk_over_the_bars(spark):
+    from barframe.operators import pairs as P
+
+    rng = np.random.default_rng(6)
+    rows = [(p, day(i), float(np.exp(a)), float(np.exp(b))) for p in ("x", "y")
+            for i, (a, b) in enumerate(zip(rng.normal(0, 0.1, 900), rng.normal(0, 0.1, 900)))]
+    df = spark.createDataFrame(rows, "pair_id string, ts date, l1 double, l2 double")
+    out = P.spread_state_signals(df, 20, 1.2, 0.4).orderBy("pair_id", "ts").collect()
+    assert len(out) == 1800 and {r.state for r in out} == {-1, 0, 1}
+    pair, held = None, 0
+    for r in out:
+        held, pair = (held if r.pair_id == pair else 0), r.pair_id
+        before, z = held, r.zscore
+        if z is not None:
+            if held == 0:
+                held = 1 if z < -1.2 else -1 if z > 1.2 else 0
+            elif (held == 1 and z > -0.4) or (held == -1 and z < 0.4):
+                held = 0
+        assert (r.state, r.entry, r.exit) == (held, before == 0 and held != 0, before != 0 and held == 0)
