@@ -119,7 +119,7 @@ def ranked_list(profiled: DataFrame) -> np.ndarray:
         if total > RANKED:
             break
         least = r["times"]
-    top = counted.filter(F.col("times") >= least).select("shingle", "times").toArrow()
+    top = counted.filter(F.col("times") >= least).select("shingle", F.least("times", F.lit(2**31 - 1)).cast("int").alias("times")).toArrow()
     values, times = top.column("shingle").to_numpy(), top.column("times").to_numpy()
     return values[np.lexsort((values, times))].view(_U).copy()
 

@@ -170,19 +170,19 @@ def counted(texts: DataFrame, of) -> DataFrame:
     return rows.groupBy("term").agg(F.sum("toxic_docs").alias("toxic_docs"), F.sum("other_docs").alias("other_docs"))
 
 
-def select_terms(rows: list, toxic: int, other: int) -> dict[str, float]:
-    chosen = {}
-    floor = 2 * math.log(max(len(rows), 2))
-    for r in rows:
-        p, n = r["toxic_docs"], r["other_docs"]
-        share = (p + n) / (toxic + other)
-        weight = math.log((p + 0.5) / (toxic + 1)) - math.log((n + 0.5) / (other + 1))
-        gain = 0.0
-        for seen, of in ((p, toxic), (n, other)):
-            for x, e in ((seen, of * share), (of - seen, of * (1 - share))):
-                gain += 2 * x * math.log(x / e) if x > 0 and e > 0 else 0.0
-        if gain > floor and weight > 1.5:
-            chosen[r["term"]] = (gain, weight, p)
+def significant(counts: DataFrame, toxic: int, other: int, terms: int) -> DataFrame:
+    """(term, toxic_docs, weight, gain) of the terms that pass the tests; only these are collected."""
+    p, n = F.col("toxic_docs"), F.col("other_docs")
+    share = (p + n) / F.lit(float(toxic + other))
+    part = lambda x, e: F.when((x > 0) & (e > 0), 2 * x * F.ln(x / e)).otherwise(0.0)
+    gain = sum((part(x, of * share) + part(of - x, of * (1 - share)) for x, of in ((p, toxic), (n, other))), F.lit(0.0))
+    weight = F.ln((p + 0.5) / (toxic + 1)) - F.ln((n + 0.5) / (other + 1))
+    rows = counts.select("term", "toxic_docs", weight.alias("weight"), gain.alias("gain"))
+    return rows.filter((F.col("gain") > 2 * math.log(max(terms, 2))) & (F.col("weight") > 1.5))
+
+
+def select_terms(rows: list) -> dict[str, float]:
+    chosen = {r["term"]: (r["gain"], r["weight"], r["toxic_docs"]) for r in rows}
     kept = {}
     for term, (gain, weight, p) in chosen.items():
         stems = [term.rstrip(" ")[:k] for k in PREFIXES if k < len(term)]
@@ -224,10 +224,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
         base = toxic / (toxic + other) if toxic + other else 0.0
         return Lexicon(curve=(50.0 if base else -50.0, 0.0, 0.0))
     seen = counted(texts.filter("toxic = 1"), _doc_terms).filter("toxic_docs >= 3")
-    candidates = [r["term"] for r in seen.orderBy(F.desc("toxic_docs"), "term").limit(CANDIDATES).select("term").collect()]
-    known = frozenset(candidates)
-    rows = counted(texts, lambda folded: _doc_terms(folded) & known).collect()
-    lexicon = Lexicon(select_terms(rows, toxic, other))
+    top = seen.orderBy(F.desc("toxic_docs"), "term").limit(CANDIDATES).select("term")
+    known = frozenset(top.toArrow().column("term").to_pylist())
+    counts = counted(texts, lambda folded: _doc_terms(folded) & known)
+    best = significant(counts, toxic, other, len(known)).orderBy(F.desc("gain"), "term").limit(4 * TERMS)
+    lexicon = Lexicon(select_terms(best.collect()))
 
     def phrases(folded: str) -> set[str]:
         return _phrases(folded, lexicon.automaton(), lexicon.terms)
