@@ -1,16 +1,24 @@
 """HTML extraction by wrapper induction.
 
-Of every host at most PER_HOST distinct pages (least id hash) are parsed and aligned with the largest
-of them by simple tree matching: the largest set of node pairs of the same signature that keeps
-order and ancestors. Runs of like siblings are folded into one node first, so a page of thousands
-of paragraphs aligns like one of three. A node that most pages share and whose text never differs
-is template; where the text differs there is a slot. The wrapper of the host is the path to the
-content region, the container that holds the varying text which is neither links nor inside a part
-named as menu, header, footer, sidebar, notice, advert, form or comment, and the paths of constant
-link lists inside it. Every page is then parsed whole and read through its host's wrapper; a page on
-which the path fails, or of a host with one distinct page, is read through a wrapper of its own.
-
-Wrappers are one short row per host; pages meet them in a join whose side Spark broadcasts only when
+All distinct pages of a host are parsed. A page is a list of blocks with text of their own, each with the
+path of signatures (tag, class and id, digits aside) to it; blocks of one path are aligned, like
+siblings one by one. What is counted is the number of pages with a block, for every layout (pages of the
+same tree of structural nodes) and for the whole host. A block that more than SHARED of the pages have
+word for word, and LEAST at least if it is not of links alone, is template; all other blocks are slots.
+Counts add up in partial aggregations, so no page is left out and no task holds a host.
+
+Every page is then read through its host's wrapper. A block stays unless it is template, stands in a
+part that its tag or a word of its class marks as navigation, advert, footer, sidebar, form or
+comments (NOT_CONTENT), or holds only links and lies outside the content region. The region of a
+layout is the deepest container around all its slots with text that is no link; no share of the
+text decides. A class word that may also name an article part (MAYBE_CONTENT) gives way where the
+texts of the part differ from page to page. A host with one distinct page has no slots: there both
+kinds of words count.
+
+Where template blocks would take more than COPIES of a layout's text, its pages are near copies of
+one article: nothing of it is template.
+
+Wrappers are one row per host; pages meet them in a join whose side Spark broadcasts only when
 its file is small, otherwise it splits the hot hosts.
 
 Defined cases: a null or empty page gives an empty text; a null url is a host of its own; repeated
@@ -20,20 +28,25 @@ nesting rules of HTML; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barframe.session import written
 
-PER_HOST = 8
-SHARED = 0.5  # of the pages that a template node is found on
-MAIN_SHARE = 0.9  # of the varying text that the content region holds
+SHARED = 0.5  # of the pages that have a template block
+LEAST = 3  # pages with a template block; two of links alone
+COPIES = 0.8  # of the text; with more of it in common, pages are copies of an article
+DEPTH = 64  # steps of a path that a region is told by
 
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,12 +67,16 @@ ENDS = {
 }
 # Words in class, id or role that name parts other than the article.
 NOT_CONTENT = set(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu "
-    "breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal "
-    "overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments "
-    "comment-list disqus reply replies respond widget pagination pager toolbar search skip-link topbar header site-header "
+    "ad ads advert adverts advertisement advertising sponsor sponsored nav navbar navigation breadcrumb breadcrumbs sidebar "
+    "aside footer masthead comment comments comment-list disqus reply replies pagination pager skip-link site-header "
     "page-header complementary contentinfo".split()
 )
+# Words that name such parts unless their text differs from page to page.
+MAYBE_CONTENT = set(
+    "banner promo promotion menu cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
+    "subscription signup login share sharing social related recommended respond widget toolbar search topbar header".split()
+)
+STRUCTURE = {"body", "main", "article", "section", "div", "aside", "header", "footer", "nav", "form"}
 ATTRIBUTES = re.compile(r"[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>")
 NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 TAG_NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -69,25 +86,27 @@ DIGITS = re.compile(r"\d+")
 class Node:
     __slots__ = ("tag", "sig", "other", "children", "parent")
 
-    def __init__(self, tag: str, sig: str = "", other: bool = False, parent: Node | None = None):
+    def __init__(self, tag: str, sig: str = "", other: int = 0, parent: Node | None = None):
         self.tag, self.sig, self.other, self.parent = tag, sig or tag, other, parent
         self.children: list[Node | str] = []
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Tag with class and id, digits aside; whether this names a part other than the article."""
+def _signature(tag: str, attributes: str) -> tuple[str, int]:
+    """Tag with class and id, digits aside; whether this names a part other than the article: 2, or
+    1 for a word that may also name a part of it."""
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return tag, False
-    sig, other = tag, False
+        return tag, 0
+    sig, other = tag, 0
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("hidden", "aria-hidden"):
-            other |= name == "hidden" or value == "true"
+            other = 2 if name == "hidden" or value == "true" else other
             continue
         words = value.split()
         parts = {p for w in words for p in (w, *re.split(r"[-_]", w))}
         # On the article's own containers a word such as "has-sidebar" says nothing.
-        other |= tag not in ("article", "main", "body", "html") and not NOT_CONTENT.isdisjoint(parts)
+        if tag not in ("article", "main", "body", "html"):
+            other = max(other, 2 * (not NOT_CONTENT.isdisjoint(parts)), not MAYBE_CONTENT.isdisjoint(parts))
         if name != "role":
             sig += ("." if name == "class" else "#") + DIGITS.sub("0", " ".join(sorted(words)))
     return sig, other
@@ -171,15 +190,16 @@ def kids(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str)]
 
 
-def boilerplate(node: Node) -> bool:
+def boilerplate(node: Node) -> int:
+    """2 for a part other than the article, 1 where only a doubtful word says so, else 0."""
     if node.tag == "header":
         up = node.parent
         while up is not None:
             if up.tag in ("article", "main"):
                 return node.other
             up = up.parent
-        return True
-    return node.other or node.tag in SKIP
+        return 2
+    return 2 if node.tag in SKIP else node.other
 
 
 def squeezed(text: str) -> str:
@@ -189,11 +209,11 @@ def squeezed(text: str) -> str:
 class Folded:
     """A node whose like neighbours are folded into one; `size` counts nodes, text is all own text."""
 
-    __slots__ = ("sig", "tag", "skip", "text", "link", "children", "size", "seen", "varies")
+    __slots__ = ("sig", "tag", "skip", "text", "link", "children", "size")
 
     def __init__(self, nodes: list[Node], linked: bool = False):
         first = nodes[0]
-        self.sig, self.tag, self.skip = first.sig, first.tag, boilerplate(first)
+        self.sig, self.tag, self.skip = first.sig, first.tag, bool(boilerplate(first))
         linked = linked or first.tag == "a"
         self.text = " ".join(filter(None, (squeezed(c) for n in nodes for c in n.children if isinstance(c, str))))
         self.link = linked
@@ -209,7 +229,6 @@ class Folded:
                     runs.append([k])
         self.children = [Folded(r, linked) for r in runs]
         self.size = 1 + sum(c.size for c in self.children)
-        self.seen, self.varies = 1, False
 
 
 def matched(a: Folded, b: Folded, memo: dict) -> int:
@@ -228,215 +247,261 @@ def matched(a: Folded, b: Folded, memo: dict) -> int:
     return memo[key]
 
 
-def align(a: Folded, b: Folded, memo: dict) -> None:
-    """Mark on a what its best matching with b shares, and where their texts differ."""
-    a.seen += 1
-    a.varies |= a.text != b.text
-    table = [[0] * (len(b.children) + 1)]
-    for x in a.children:
-        new = [0]
-        for j, y in enumerate(b.children):
-            new.append(max(new[j], table[-1][j + 1], table[-1][j] + matched(x, y, memo)))
-        table.append(new)
-    i, j = len(a.children), len(b.children)
-    while i and j:
-        gain = matched(a.children[i - 1], b.children[j - 1], memo)
-        if gain and table[i][j] == table[i - 1][j - 1] + gain:
-            align(a.children[i - 1], b.children[j - 1], memo)
-            i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
+@dataclass(slots=True)
+class Line:
+    path: int  # key of `names`
+    names: tuple[str, ...]  # signatures from the root to the block, the first DEPTH of them
+    text: str
+    link: bool  # all of the block's own text
+    doubtful: bool  # in a part that a doubtful word names
+    block: int  # number of the block in the page
+    key: int = 0  # of the block's own text
+    size: int = 0
 
 
-def mass(node: Folded, alone: bool) -> int:
-    """Characters of varying text that is neither link nor in a part named as something else."""
-    if node.skip:
-        return 0
-    own = len(node.text) if (alone or node.varies or node.seen == 1) and not node.link else 0
-    return own + sum(mass(c, alone) for c in node.children)
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def region(root: Folded, alone: bool) -> list[str]:
-    """The path of signatures to the content region."""
-    total = mass(root, alone)
-    path, node, best = [], root, []
+_sig_key = lru_cache(65_536)(_key)
 
-    def article(n: Folded, sofar: list[str]) -> list[str] | None:
-        for c in n.children:
-            if c.skip:
-                continue
-            here = [*sofar, c.sig]
-            if c.tag in ("article", "main") and 2 * mass(c, alone) >= total:
-                return article(c, here) or here
-            found = article(c, here)
-            if found:
-                return found
-        return None
 
-    named = article(root, [])
-    if named:
-        return named
-    while True:
-        inner = [c for c in node.children if mass(c, alone) >= MAIN_SHARE * max(total, 1)]
-        if not inner:
-            return best
-        node = inner[0]
-        path = [*path, node.sig]
-        if node.tag in CONTAINERS:
-            best = path
-
-
-def constant_links(node: Folded, pages: int, path: list[str]) -> list[list[str]]:
-    """Paths of template nodes below `path` that are lists of links."""
-    out = []
-    for c in node.children:
-        here = [*path, c.sig]
-        words = text_size(c)
-        if words[0] and not c.skip and steady(c, pages) and words[1] > 0.5 * words[0]:
-            out.append(here)
-        else:
-            out += constant_links(c, pages, here)
-    return out
+def _below(path: int, sig: str) -> int:
+    return (((path * 0x9E3779B97F4A7C15) ^ _sig_key(sig)) + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
-def text_size(node: Folded) -> tuple[int, int]:
-    total, linked = len(node.text), len(node.text) if node.link else 0
-    for c in node.children:
-        t, l = text_size(c)
-        total, linked = total + t, linked + l
-    return total, linked
+def read(top: Node, alone: bool) -> tuple[list[Line], int]:
+    """The lines of a page outside the parts that are surely not the article, and the key of its
+    layout. With `alone` doubtful words count as sure ones."""
+    out: list[Line] = []
+    held: list[tuple[str, bool]] = []
+    layout: set[int] = set()
 
+    def flush(path: int, names: tuple[str, ...], number: int, doubtful: bool) -> None:
+        if held:
+            text = squeezed("".join(t for t, _ in held))
+            if text:
+                link = all(linked for t, linked in held if t.strip())
+                out.append(Line(path, names, text, link, doubtful, number))
+            held.clear()
 
-def steady(node: Folded, pages: int) -> bool:
-    return node.seen > SHARED * pages and not node.varies and all(steady(c, pages) for c in node.children)
+    # A stack of its own, as pages may nest deeper than Python calls. An entry: children, whether this
+    # is a block, path and names, those of the nearest block, whether in a link, in a doubtful part.
+    stack: list = [(iter(top.children), False, 0, (), (0, (), 0), False, False)]
+    made = 0
+    while stack:
+        children, block, path, names, of, link, doubtful = stack[-1]
+        for c in children:
+            if isinstance(c, str):
+                held.append((c, link))
+                continue
+            inner = c.tag in BLOCK
+            named = boilerplate(c)
+            key = _below(path, c.sig) if c.tag not in VOID else path
+            if c.tag in STRUCTURE:
+                layout.add(key)
+            if named > 1 or named and alone:
+                if inner:
+                    flush(*of, doubtful)
+                continue
+            if inner:
+                flush(*of, doubtful)
+            void = c.tag in VOID
+            below = (*names, c.sig) if len(names) < DEPTH and not void else names
+            made += 1
+            stack.append((
+                iter(c.children), inner, key, below, (key, below, made) if inner and not void else of,
+                link or c.tag == "a", doubtful or bool(inner and named),
+            ))
+            break
+        else:
+            stack.pop()
+            if block or not stack:
+                flush(*of, doubtful)
+    own: dict[int, list[Line]] = defaultdict(list)
+    for x in out:
+        own[x.block].append(x)
+    for members in own.values():
+        key, link = _key("\n".join(x.text for x in members)), all(x.link for x in members)
+        size = sum(len(x.text) for x in members)
+        for x in members:
+            x.key, x.link, x.size = key, link, size
+    return out, _key(",".join(map(str, sorted(layout)))) or 1
+
+
+def blocks(nodes: list[Node], drop: list[tuple[int, int]]) -> list[str]:
+    """The lines of nodes without those of the given paths and texts."""
+    return [x.text for n in nodes for x in read(n, True)[0] if not drop or (x.path, x.key) not in drop]
+
+
+def region(first: tuple[str, ...], last: tuple[str, ...]) -> list[str]:
+    """The deepest container around all paths between the least and the greatest one."""
+    out = []
+    for a, b in zip(first, last, strict=False):
+        if a != b:
+            break
+        out.append(a)
+    while out and re.split(r"[.#]", out[-1])[0] not in CONTAINERS:
+        out.pop()
+    return out
 
 
-def at_path(node: Folded, path: list[str]) -> Folded | None:
-    for sig in path:
-        node = next((c for c in node.children if c.sig == sig), None)
-        if node is None:
-            return None
-    return node
+def within(names: tuple[str, ...], regions: list[list[str]]) -> bool:
+    return not regions or any(list(names[:len(r)]) == r for r in regions)
 
 
 def induce(pages: list[str]) -> dict | None:
-    """The wrapper of pages of one host: {"path": [...], "drop": [[...], ...]}; None for a single page."""
-    trees = [Folded([parse(p)]) for p in sorted(set(pages))]
-    if len(trees) < 2:
+    """The wrapper of pages of one host; None for a single page. wrappers() makes the same of tables."""
+    parsed = [read(parse(p), False) for p in sorted(set(pages))]
+    if len(parsed) < 2:
         return None
-    seed = max(trees, key=lambda t: t.size)
-    for other in trees:
-        if other is not seed:
-            memo: dict = {}
-            align(seed, other, memo)
-    path = region(seed, False)
-    inside = at_path(seed, path)
-    return {"path": path, "drop": constant_links(inside, len(trees), []) if inside is not None and path else []}
-
-
-def located(root: Node, path: list[str]) -> list[Node]:
-    """All nodes at the path; the last step may have several like siblings."""
-    at = [root]
-    for sig in path:
-        at = [k for n in at for k in kids(n) if k.sig == sig]
-    return at
-
-
-def blocks(nodes: list[Node], drop: list[list[str]]) -> list[str]:
-    out: list[str] = []
-    held: list[str] = []
-
-    def flush() -> None:
-        if held:
-            text = squeezed("".join(held))
-            if text:
-                out.append(text)
-            held.clear()
-
-    # (node, paths still open below it) on a stack of its own: pages may nest deeper than Python calls.
-    for top in nodes:
-        stack: list = [(iter(top.children), False, drop)]
-        while stack:
-            children, block, live = stack[-1]
-            for c in children:
-                if isinstance(c, str):
-                    held.append(c)
-                    continue
-                below = [d[1:] for d in live if d and d[0] == c.sig]
-                if boilerplate(c) or [] in below:
-                    flush() if c.tag in BLOCK else None
-                    continue
-                inner = c.tag in BLOCK
-                if inner:
-                    flush()
-                stack.append((iter(c.children), inner, below))
-                break
-            else:
-                stack.pop()
-                if block:
-                    flush()
-        flush()
-    return out
+    levels: dict[int, list[list[Line]]] = defaultdict(list)
+    for lines, layout in parsed:
+        levels[layout].append(lines)
+        levels[0].append(lines)
+    drop: set[tuple[int, int]] = set()
+    regions: dict[int, list[str]] = {}
+    for level, members in levels.items():
+        if len(members) < 2:
+            continue
+        each = [{(x.path, x.key): x for x in lines} for lines in members]
+        found = Counter(k for lines in each for k in lines)
+        one = {k: x for lines in each for k, x in lines.items()}
+        same = {k for k, n in found.items() if n > SHARED * len(members) and n >= (2 if one[k].link else LEAST)}
+        plain = lambda keys: sum(found[k] * one[k].size for k in keys if not one[k].link)
+        if plain(same) > COPIES * plain(one):
+            same = set()
+        drop |= same
+        slots = [one[k].names for k in one if k not in same and not one[k].link and not one[k].doubtful]
+        if slots:
+            regions[level] = region(min(slots), max(slots))
+    doubtful = defaultdict(list)
+    for lines in levels[0]:
+        for path, key in {(x.path, x.key) for x in lines if x.doubtful and not x.link}:
+            doubtful[path].append(key)
+    return {
+        "path": regions.get(0, []), "regions": _inner(list(regions.items())), "drop": [list(k) for k in sorted(drop)],
+        "keep": sorted(p for p, keys in doubtful.items() if len(set(keys)) > SHARED * len(keys)),
+    }
+
+
+def _inner(regions: list[tuple[int, list[str]]]) -> list[list[str]]:
+    """Those of the layouts, or that of the host (level 0) if no layout has one."""
+    return [list(r) for r in sorted({tuple(r) for level, r in regions if level} or {tuple(r) for _, r in regions})]
 
 
 def extract(page: str | None, wrapper: dict | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    found = located(root, wrapper["path"]) if wrapper and wrapper["path"] else []
-    drop = wrapper["drop"] if found else []
-    if not found:
-        path = region(Folded([root]), True)
-        found = located(root, path) if path else [root]
-    return "\n".join(blocks(found, drop))
+    if wrapper is None:
+        lines, _ = read(root, True)
+        slots = [x.names for x in lines if not x.link]
+        regions = [region(min(slots), max(slots))] if slots else []
+        return "\n".join(x.text for x in lines if not x.link or within(x.names, regions))
+    drop, keep = wrapper["drop"], wrapper["keep"]
+    drop = drop if isinstance(drop, set) else {tuple(k) for k in drop}
+    regions = wrapper["regions"]
+    return "\n".join(
+        x.text for x in read(root, False)[0]
+        if (not x.doubtful or x.path in keep and not x.link) and (not x.link or within(x.names, regions))
+        and (x.path, x.key) not in drop
+    )
 
 
 def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, per_host: int = PER_HOST) -> DataFrame:
-    """(host, wrapper as JSON or null). The window keeps `per_host` rows of a host in every task
-    before anything is shuffled."""
-    ids = pages.select(host(F.col("url")).alias("_host"), F.col("page_id").alias("_id"))
-    first = Window.partitionBy("_host").orderBy(F.xxhash64("_id"), "_id")
-    picked = written(ids.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_host).select("_host", "_id"), "wrapper-ids")
-    rows = pages.filter(F.col("html").isNotNull()).select(
-        host(F.col("url")).alias("_own"), F.col("page_id").alias("_page"), "html"
+LINES = "array<struct<path:bigint,text:bigint,size:int,link:boolean,doubtful:boolean>>"
+PAGE_LINES = f"host string, page binary, layout bigint, size bigint, lines {LINES}, paths array<struct<path:bigint,names:string>>"
+STEP = "\x01"  # sorts before all characters of a signature
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """One row per row of pages that has html: its distinct lines as keys, and the names of their paths."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for at, text in zip(b["host"], b["html"], strict=True):
+                lines, layout = read(parse(text), False)
+                one = {(x.path, x.key): x for x in lines}
+                size = sum(x.size for x in one.values() if not x.link)
+                rows = [{"path": p, "text": t, "size": x.size, "link": x.link, "doubtful": x.doubtful} for (p, t), x in one.items()]
+                paths = {x.path: STEP.join(n.replace(STEP, " ") for n in x.names) for x in one.values()}
+                page = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+                out.append((at, page, layout, size, rows, [{"path": p, "names": n} for p, n in paths.items()]))
+            yield pd.DataFrame(out, columns=["host", "page", "layout", "size", "lines", "paths"])
+
+    given = pages.filter(F.length("html") > 0).select(host(F.col("url")).alias("host"), "html")
+    return given.mapInPandas(run, PAGE_LINES)
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON) of the hosts with at least two distinct pages. Level 0 is the host,
+    the others are its layouts."""
+    distinct = written(page_lines(pages).dropDuplicates(["host", "page"]), "page-lines")
+    levels = distinct.withColumn("level", F.explode(F.array("layout", F.lit(0).cast("long"))))
+    sizes = levels.groupBy("host", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter("n > 1")
+    sizes = written(sizes, "page-levels")
+    each = levels.select("host", "level", F.explode("lines").alias("l")).select("host", "level", "l.path", "l.text", F.col("l.size").alias("chars"), "l.link", "l.doubtful")
+    by_line = each.groupBy("host", "level", "path", "text").agg(
+        F.count(F.lit(1)).alias("found"), F.max("chars").alias("chars"), F.max("link").alias("link"), F.max("doubtful").alias("doubtful")
     )
-    same = (F.col("_own") == F.col("_host")) & F.col("_page").eqNullSafe(F.col("_id"))
-    sample = rows.join(picked.distinct(), same).select(F.col("_host").alias("host"), "html")
+    by_line = written(by_line, "page-line-counts")
+    level, plain = ["host", "level"], F.when(F.col("link"), 0).otherwise(F.col("found") * F.col("chars"))
+    same = by_line.filter("found > 1").join(sizes, level).filter(F.col("found") > SHARED * F.col("n")).filter(F.col("link") | (F.col("found") >= LEAST))
+    same = written(same.select(*level, "path", "text", "found", "link", plain.alias("plain"), "size"), "page-same")
+    copies = same.groupBy(*level).agg(F.sum("plain").alias("plain"), F.max("size").alias("size")).filter(F.col("plain") > COPIES * F.col("size"))
+    same = written(same.join(copies.select(*level), level, "left_anti"), "page-template")
+    # A path has slots where it has more lines than template ones.
+    taken = same.filter("not link").groupBy(*level, "path").agg(F.sum("found").alias("taken"))
+    paths = by_line.filter("not link and not doubtful").groupBy(*level, "path").agg(F.sum("found").alias("found"))
+    slots = paths.join(taken, [*level, "path"], "left").filter("found > coalesce(taken, 0)").select(*level, "path")
+    names = distinct.select("host", F.explode("paths").alias("p")).groupBy("host", "p.path").agg(F.first("p.names").alias("names"))
+    ends = slots.join(sizes.select(*level), level, "left_semi").join(names, ["host", "path"]).groupBy(*level).agg(F.min("names").alias("a"), F.max("names").alias("b"))
+    ends = ends.groupBy("host").agg(F.collect_list(F.struct("level", "a", "b")).alias("ends"))
+    texts = by_line.filter("level = 0 and doubtful and not link").groupBy("host", "path").agg(F.count(F.lit(1)).alias("texts"), F.sum("found").alias("found"))
+    keep = texts.filter(F.col("texts") > SHARED * F.col("found")).groupBy("host").agg(F.collect_list("path").alias("keep"))
+    drop = same.groupBy("host").agg(F.collect_set(F.struct("path", "text")).alias("drop"))
+    hosts = sizes.filter("level = 0").select("host")
 
-    def one(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # Repeated page ids may bring more rows than per_host.
-        distinct = sorted(set(group["html"]))[:per_host]
-        made = induce(distinct)
-        return pd.DataFrame({"host": [key[0]], "wrapper": [None if made is None else json.dumps(made)]})
+    @F.pandas_udf("string")
+    def made(ends: pd.Series, drop: pd.Series, keep: pd.Series) -> pd.Series:
+        out = []
+        for e, d, k in zip(ends, drop, keep, strict=True):
+            found = [(x["level"], region(x["a"].split(STEP), x["b"].split(STEP))) for x in ([] if e is None else e)]
+            out.append(json.dumps({
+                "path": dict(found).get(0, []), "regions": _inner(found), "drop": sorted([int(x["path"]), int(x["text"])] for x in ([] if d is None else d)),
+                "keep": sorted(map(int, [] if k is None else k)),
+            }))
+        return pd.Series(out, dtype=object)
 
-    return sample.groupBy("host").applyInPandas(one, "host string, wrapper string")
+    rows = hosts.join(ends, "host", "left").join(drop, "host", "left").join(keep, "host", "left")
+    return rows.select("host", made("ends", "drop", "keep").alias("wrapper"))
 
 
 def main_text(page: Column, wrapper: Column) -> Column:
     @F.pandas_udf("string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        read: dict[str | None, dict | None] = {}
+        known: dict[str | None, dict | None] = {}
         for html, by in batches:
             out = []
             for h, w in zip(html, by, strict=True):
-                if w not in read:
-                    read.clear() if len(read) > 10_000 else None
-                    read[w] = json.loads(w) if isinstance(w, str) else None
-                out.append(extract(h, read[w]))
+                if w not in known:
+                    known.clear() if len(known) > 1000 else None
+                    made = json.loads(w) if isinstance(w, str) else None
+                    known[w] = made and made | {"drop": {tuple(k) for k in made["drop"]}, "keep": set(made["keep"])}
+                out.append(extract(h, known[w]))
             yield pd.Series(out, index=html.index, dtype=object)
 
     return run(page, wrapper)
 
 
-def extract_pages(pages: DataFrame, per_host: int = PER_HOST) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars."""
-    by_host = written(wrappers(pages, per_host), "wrappers").withColumnRenamed("host", "_host")
+    by_host = written(wrappers(pages), "wrappers").withColumnRenamed("host", "_host")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("_own"))
     joined = rows.join(by_host, F.col("_own") == F.col("_host"), "left")
     made = joined.select("page_id", "url", main_text(F.coalesce("html", F.lit("")), F.col("wrapper")).alias("text"))

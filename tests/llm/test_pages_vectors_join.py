@@ -216,3 +216,30 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in G.components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in (1000, 1049, 3000)) and 5 in got
     assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+SHELL = '<html><body><div class="top"><a href="/">home</a></div>{}</body></html>'
+
+
+def long_text(i, k=0):
+    return " ".join(f"w{i}x{k}x{j}" for j in range(40))
+
+
+def read_alike(spark, forms):
+    """The texts by page id; the wrapper of the table is the one of the list."""
+    table = pages(spark, [(i, "http://h.example.com/", f) for i, f in enumerate(forms)])
+    out = {r.page_id: r.text for r in H.extract_pages(table).collect()}
+    made = H.induce(forms)
+    assert [json.loads(r.wrapper) for r in H.wrappers(table).collect()] == [made]
+    assert [H.extract(f, made) for f in forms] == [out[i] for i in range(len(forms))]
+    return out
+
+
+def test_text_beside_the_largest_part_stays(spark):
+    parts = '<div class="lead">Lead {0}</div><div class="body"><p>{1}</p></div><div class="close">End {0}</div>'
+    out = read_alike(spark, [SHELL.format(parts.format(i, long_text(i))) for i in range(4)])
+    assert out == {i: f"Lead {i}\n{long_text(i)}\nEnd {i}" for i in range(4)}
+    parts = '<main><h1>Title {0}</h1><article class="a"><p>{1}</p></article><article class="b"><p>{2}</p></article></main>'
+    out = read_alike(spark, [SHELL.format(parts.format(i, long_text(i), long_text(i, 1))) for i in range(4)])
+    assert out == {i: f"Title {i}\n{long_text(i)}\n{long_text(i, 1)}" for i in range(4)}
+    assert H.extract(SHELL.format(parts.format(9, long_text(9), long_text(9, 1))), None) == out[0].replace("w0x", "w9x").replace("Title 0", "Title 9")
