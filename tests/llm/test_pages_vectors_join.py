@@ -243,3 +243,19 @@ def test_text_beside_the_largest_part_stays(spark):
     out = read_alike(spark, [SHELL.format(parts.format(i, long_text(i), long_text(i, 1))) for i in range(4)])
     assert out == {i: f"Title {i}\n{long_text(i)}\n{long_text(i, 1)}" for i in range(4)}
     assert H.extract(SHELL.format(parts.format(9, long_text(9), long_text(9, 1))), None) == out[0].replace("w0x", "w9x").replace("Title 0", "Title 9")
+
+
+def test_constant_texts_are_template_and_varying_ones_stay(spark):
+    parts = (
+        '<div class="body"><p>{1}</p><p>Call us for a free quote</p><p>{2}</p><div class="hint">Prices are without tax</div>'
+        '<div class="social-policy"><p>On welfare {0}</p></div><div class="related"><a href="/{0}">see {0}</a></div>'
+        '<div class="promo">One of {3} offers</div><div class="notice">We use cookies</div></div>'
+    )
+    out = read_alike(spark, [SHELL.format(parts.format(i, long_text(i), long_text(i, 1), i % 2)) for i in range(6)])
+    assert out == {i: f"{long_text(i)}\n{long_text(i, 1)}\nOn welfare {i}" for i in range(6)}
+
+
+def test_near_copies_of_an_article_are_no_template(spark):
+    same = "".join(f"<p>{long_text(7, k)}</p>" for k in range(9))
+    out = read_alike(spark, [SHELL.format(f'<div class="body">{same}<p>edit {i}</p></div>') for i in range(3)])
+    assert all(out[i].split("\n") == [*(long_text(7, k) for k in range(9)), f"edit {i}"] for i in range(3))
