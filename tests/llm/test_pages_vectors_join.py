@@ -259,3 +259,12 @@ def test_near_copies_of_an_article_are_no_template(spark):
     same = "".join(f"<p>{long_text(7, k)}</p>" for k in range(9))
     out = read_alike(spark, [SHELL.format(f'<div class="body">{same}<p>edit {i}</p></div>') for i in range(3)])
     assert all(out[i].split("\n") == [*(long_text(7, k) for k in range(9)), f"edit {i}"] for i in range(3))
+
+
+def test_every_page_and_layout_of_a_host_counts(spark):
+    story = SHELL.format('<div class="story"><p>{}</p><p>Story terms apply</p></div>')
+    other = SHELL.format('<div class="story"><p>Teaser {0}</p></div><div class="longform"><p>{1}</p><p>Longform terms apply</p></div>')
+    forms = [story.format(long_text(i)) for i in range(20)] + [other.format(i, long_text(i)) for i in range(20, 24)]
+    out = read_alike(spark, [forms[0]] * 40 + forms)  # copies take no page's place
+    want = [long_text(i) for i in range(20)] + [f"Teaser {i}\n{long_text(i)}" for i in range(20, 24)]
+    assert [out[k] for k in range(64)] == [want[0]] * 40 + want
