@@ -1,8 +1,8 @@
 """Language identification as inference of a multilingual mixture.
 
 Every language has likelihoods of hashed byte trigrams of lower-cased text (everything but letters
-is one blank). Trigrams of nearly the same likelihood ratios form one profile, so a text of any
-length becomes one row of profile counts, and expectation-maximisation over these rows gives the
+is one blank). Trigrams of nearly the same likelihood ratios form one profile, as many as there are
+(ratios are never rounded by more than COARSEST), so a text of any length becomes one row of profile counts, and expectation-maximisation over these rows gives the
 proportions of the languages in it. EM runs for the best one, two, ... languages; the set with the
 largest penalised likelihood, penalty * ln(trigrams) for each language after the first, is kept.
 The prediction is the language of the largest proportion, the score this proportion.
@@ -29,7 +29,9 @@ SAMPLE, LANGUAGES = 4000, 256
 GRAMS = 1 << 16
 SLICE = 4096
 PIECE = 2_000_000  # bytes that are counted at once
-PROFILES = 512
+PROFILES = 512  # the rounding gets coarser above these, up to COARSEST
+COARSEST = 1.0
+CELLS = 1 << 22  # counts of texts held at once
 MOST_IN_MIX = 4
 PENALTY = 4.0
 STEPS = 15
@@ -97,7 +99,7 @@ class Model:
 
 def profiles(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """counts: language x trigram. Trigrams whose log ratios agree after rounding share a profile;
-    the rounding gets coarser until at most PROFILES remain."""
+    the rounding gets coarser until at most PROFILES remain, but not beyond COARSEST."""
     p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])
     ratio = (p / p.sum(axis=0)).T
     weight = counts.sum(axis=0) + 1e-3
@@ -105,7 +107,7 @@ def profiles(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while True:
         level = np.maximum(np.round(np.log(ratio) / step), -round(8 / step)).astype(np.int16)
         kinds, group = np.unique(level, axis=0, return_inverse=True)
-        if len(kinds) <= PROFILES or step > 16:
+        if len(kinds) <= PROFILES or step * 1.3 > COARSEST:
             break
         step *= 1.3
     group = group.reshape(-1)
@@ -166,6 +168,8 @@ def mixture(counts: np.ndarray, ratios: np.ndarray, allowed: np.ndarray) -> tupl
 
 def proportions(counts: np.ndarray, ratios: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The proportions of the selected languages, row by row; the others are 0."""
+    seen = counts.any(axis=0)
+    counts, ratios = counts[:, seen], ratios[seen]
     rows, n = len(counts), ratios.shape[1]
     everything, _ = mixture(counts, ratios, np.ones((rows, n), dtype=np.float32))
     order = np.argsort(-everything, axis=1, kind="stable")
@@ -190,8 +194,9 @@ def predict(text: Column, model: Model, penalty: float = PENALTY) -> Column:
         for batch in batches:
             texts = batch.tolist()
             names, scores = ["und"] * len(texts), [0.0] * len(texts)
-            for at in range(0, len(texts) if model.languages else 0, 1024):
-                part = texts[at:at + 1024]
+            rows = max(1, min(1024, CELLS // max(len(model.ratios), 1)))
+            for at in range(0, len(texts) if model.languages else 0, rows):
+                part = texts[at:at + rows]
                 theta = proportions(histograms(part, model.group, len(model.ratios)), model.ratios, penalty)
                 top = theta.argmax(axis=1)
                 for i, text in enumerate(part):

@@ -213,3 +213,15 @@ def test_digest(docs):
     assert set(base) < set(out[1].spans.split(",")) and (out[1].n_email, out[1].n_ip, out[1].n_card, out[1].n_phone) == (2, 1, 0, 0)
     assert out[2].spans == out[3].spans == "" and out[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert re.fullmatch("[0-9a-f]{64}", out[3].base_sha256) and pii.digest(pii.find_pii(docs([]))).count() == 0
+
+
+def test_many_languages_keep_their_evidence():
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    share = rng.lognormal(0, 2, (24, L.GRAMS))
+    share /= share.sum(axis=1, keepdims=True)
+    group, ratios = L.profiles(np.round(share * 8e6))
+    texts = np.stack([np.bincount(group[rng.choice(L.GRAMS, 300, p=p)], minlength=len(ratios)) for p in share])
+    theta = L.proportions(texts.astype(np.float32), ratios)
+    assert (theta.argmax(axis=1) == np.arange(24)).all() and theta.max(axis=1).min() > 0.5
