@@ -457,3 +457,24 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, key: str
     """The rows of docs without those that a smaller id is linked with, directly or by others."""
     gone = ngram_groups(docs, size, percent, key, text).filter("doc_id <> component_id").select(F.col("doc_id").alias(key))
     return slots.without(docs, gone, key)
+
+
+def keep_single(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, that of the smallest id (null ids last; of rows that tie
+    any one); rows without a shingle all stay. Rows are told apart by a hash of id and text, so a
+    repeated or null id neither takes another row along nor keeps a near copy."""
+    rows = slots.boxed(docs, _key=key, _text=text).withColumn("_k", F.xxhash64("_key", "_text"))
+    groups = ngram_groups(rows, size, percent, "_k", "_text").filter("n_shingles > 0").select(F.col("doc_id").alias("_k"), "component_id")
+    ids = rows.groupBy("_k").agg(F.first("_key").alias("_id"))
+    members = written(groups.groupBy("_k").agg(F.first("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")).join(ids, "_k"), "single-members")
+    first = members.groupBy("component_id").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_k")).alias("_first"), F.sum("n").alias("size")
+    )
+    first = written(first.filter("size > 1").select("component_id", F.col("_first._k").alias("_stays")), "single-first")
+    met = members.join(first, "component_id")
+    left = slots.without(rows, met.filter("_k <> _stays").select("_k"), "_k")
+    ties = written(met.filter("n > 1 AND _k = _stays").select(F.col("_k").alias("_tie")), "single-ties")
+    if not ties.isEmpty():
+        twice = left.join(ties, F.col("_k") == F.col("_tie"), "left_semi").dropDuplicates(["_k"])
+        left = slots.without(left, ties, "_k").unionByName(twice)
+    return slots.opened(left)

@@ -119,3 +119,9 @@ def test_apply_mix_repeats_rows(docs):
 
 def test_all_words_missing(docs):
     assert {(r.size, r.target, r.taken) for r in M.mix(docs([(1, None, "en", "a"), (2, " ", "en", "b")])).collect()} == {(0, 0.0, 0)}
+
+
+def test_copies_of_one_id_or_none_leave_one(docs):
+    rows = [(None, "a b"), (None, "ab"), (7, "c d"), (7, "cd"), (7, "other"), (8, "e f"), (8, "e f"), (8, "ef"), (None, "alone")]
+    kept = sorted((str(r.doc_id), r.text) for r in D.exact_dedup(docs(rows)).collect())
+    assert kept == [("7", "c d"), ("7", "other"), ("8", "e f"), ("None", "a b"), ("None", "alone")]

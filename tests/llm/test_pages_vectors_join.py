@@ -268,3 +268,16 @@ def test_every_page_and_layout_of_a_host_counts(spark):
     out = read_alike(spark, [forms[0]] * 40 + forms)  # copies take no page's place
     want = [long_text(i) for i in range(20)] + [f"Teaser {i}\n{long_text(i)}" for i in range(20, 24)]
     assert [out[k] for k in range(64)] == [want[0]] * 40 + want
+
+
+def test_keep_single_with_repeated_and_null_ids(docs):
+    text, more, clean, lone = (" ".join(words(k, 100)) for k in "kmcl")
+    rows = [(5, text), (3, text + " more"), (9, text + " still"), (9, clean), (None, text + " null"), (None, more), (None, more + " near"),
+            (None, lone), (3, lone + " x"), (6, "tie of rows"), (6, "tie of rows"), (7, None), (7, None)]
+    table = docs(rows)
+    kept = J.keep_single(table)
+    assert kept.columns == table.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    near = got.pop((None, more), 0) + got.pop((None, more + " near"), 0)
+    assert near == 1 and got == {(3, text + " more"): 1, (9, clean): 1, (3, lone + " x"): 1, (6, "tie of rows"): 1, (7, None): 2}
+    assert J.keep_single(docs([])).count() == 0
