@@ -8,6 +8,11 @@ character keeps the source span it came from, so what the same patterns find in
 back to source characters. Such a span is added when it holds a rewritten character and overlaps no
 base span of its kind. Base spans always stay.
 
+A bare "at" is a sign where a dotted host follows whose own dot was disguised, or whose last label is of
+at least two letters in one case, and the word before it can be a local part: it has a letter, and a
+digit or one of . _ % + - inside, or a word of CUES stands among the three before it, or it is neither in
+NOT_LOCAL nor ends like a participle (ed, ing, able, ible).
+
 Defined cases: a null or empty text has no spans; offsets are code points, ends exclusive; repeated
 rows give repeated results; an empty table gives an empty result.
 """
@@ -21,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barframe.llm.toxicity import HOMOGLYPHS
+
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -52,12 +59,26 @@ def find(text: str, kind: str) -> list[tuple[int, int]]:
     return [m.span() for m in PATTERNS[kind].finditer(text) if holds(kind, m[0])]
 
 
-# Look-alikes of the characters that identifiers are made of.
+# Look-alikes of the characters that identifiers are made of, beside HOMOGLYPHS.
+CAPITALS = {
+    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "D": "Ꭰ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ",
+    "L": "Ꮮ", "M": "МΜϺ", "N": "Ν", "P": "РΡ", "Q": "Ԛ", "R": "Ꭱ", "S": "Ѕ", "T": "ТΤ", "U": "Ս", "V": "ѴᏙ", "W": "Ԝ", "X": "ХΧ",
+    "Y": "УΥҮ", "Z": "ΖᏃ", "0": "ОΟ",
+}
 LOOK_ALIKE = {
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "еε", "h": "һ", "i": "іι", "j": "ј", "k": "к", "m": "м", "n": "ո", "o": "оο",
-    "p": "рρ", "s": "ѕ", "t": "т", "u": "υս", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
-    "@": "＠﹫", ".": "．。｡․", "+": "＋﹢", "-": "‐‑‒–—−－﹣", "0": "О", "(": "（", ")": "）",
+    "l": "ӏℓ", "f": "ϝ", "q": "գ", "z": "ᴢ", "y": "ү", "g": "ց",
+    "@": "＠﹫", ".": "．。｡․", "+": "＋﹢", "-": "‐‑‒–—−－﹣", "(": "（", ")": "）",
 }
+# Words before "at" in prose, and words that announce an address.
+NOT_LOCAL = set(
+    "a about address all also am an and anyone are around available away back be been book buy check company day days down due "
+    "else email everyone find for found get go good guide guys he help her here him home hosted i in info information is it "
+    "join just keep learn live look made mail me meet more next not now of off office on online only open or order out over "
+    "page people products read register sale save scheduled school see sell services set she shop shown sign site sold "
+    "someone something start stay store students support team that the their them there these they things this time today "
+    "together too up us version via visit was watch we web website well were when work works you your".split()
+)
+CUES = set("mail mailto email e-mail emails contact write reach address correspondence send ping".split())
 INVISIBLE = "­​‌‍⁠﻿"
 DIGIT_ZEROS = (0x660, 0x6F0, 0x966, 0x9E6, 0xFF10, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6)
 SPELLED = {
@@ -67,7 +88,8 @@ SPELLED = {
 
 
 def _look_alikes() -> dict[str, str]:
-    table = {c: plain for plain, like in LOOK_ALIKE.items() for c in like}
+    like = [*HOMOGLYPHS.items(), *CAPITALS.items(), *LOOK_ALIKE.items()]
+    table = {c: plain for plain, some in like for c in some if not c.isascii()}
     table |= {chr(z + d): str(d) for z in DIGIT_ZEROS for d in range(10)}
     table |= {chr(0xFF21 + k): chr(65 + k) for k in range(26)} | {chr(0xFF41 + k): chr(97 + k) for k in range(26)}
     return table | {c: "" for c in INVISIBLE}
@@ -84,9 +106,26 @@ MARKED_AT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:at|@){_CLOSE}(?=[A-Za-z0-9])
 MARKED_DOT = re.compile(rf"(?<=[A-Za-z0-9]){_OPEN}(?:dot|\.){_CLOSE}(?=[A-Za-z0-9])", re.IGNORECASE)
 WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+dot[ \t]+(?=[A-Za-z0-9])", re.IGNORECASE)
 WORD_AT = re.compile(r"(?<=[A-Za-z0-9])[ \t]+at[ \t]+(?=[A-Za-z0-9-]+\.[A-Za-z0-9-])", re.IGNORECASE)
+HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+LAST_LABEL = re.compile(r"(?:[a-z]{2,24}|[A-Z]{2,24})")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 PLUS = re.compile(r"\bplus[ \t]+(?=[0-9])", re.IGNORECASE)
 
 
+def is_local(before: str) -> bool:
+    """Whether the last word before a bare "at" can be a local part."""
+    word = LOCAL.search(before)
+    if not word or not any(map(str.isalpha, word[0])):
+        return False
+    name = word[0].lower()
+    if any(c.isdigit() or c in "._%+-" for c in name.strip("._%+-")):
+        return True
+    cues = {w.strip(".,;:!?()[]<>\"'").lower() for w in before[:word.start()].split()[-3:]}
+    return not CUES.isdisjoint(cues) and name not in ("me", "us", "him", "her", "them") or (
+        len(name) > 1 and name not in NOT_LOCAL and name not in CUES and not name.endswith(("ed", "ing", "able", "ible"))
+    )
+
+
 class Tape:
     """A text beside the source span of each of its characters."""
 
@@ -143,11 +182,13 @@ def deobfuscated(text: str) -> Tape | None:
             touched |= tape.rewrite([(m.start(), m.end(), sign) for m in pattern.finditer(tape.text)])
         if tape.rewrite([(m.start(), m.end(), ".") for m in WORD_DOT.finditer(tape.text)]):
             touched = True
-        # A bare "at" is a sign only before a host whose dot was itself disguised.
+    if " at" in lowered or "\tat" in lowered:
         at = []
         for m in WORD_AT.finditer(tape.text):
             host = re.compile(r"[A-Za-z0-9.-]+").match(tape.text, m.end())
-            if host and any(tape.changed[m.end():host.end()]):
+            plain = HOST.match(tape.text, m.end())
+            sure = host and any(tape.changed[m.end():host.end()])
+            if sure or plain and LAST_LABEL.fullmatch(plain[0].rsplit(".", 1)[1]) and is_local(tape.text[max(0, m.start() - 120):m.start()]):
                 at.append((m.start(), m.end(), "@"))
         touched |= tape.rewrite(at)
     if touched:

@@ -225,3 +225,17 @@ def test_many_languages_keep_their_evidence():
     texts = np.stack([np.bincount(group[rng.choice(L.GRAMS, 300, p=p)], minlength=len(ratios)) for p in share])
     theta = L.proportions(texts.astype(np.float32), ratios)
     assert (theta.argmax(axis=1) == np.arange(24)).all() and theta.max(axis=1).min() > 0.5
+
+
+@pytest.mark.parametrize("source", [
+    "alice at example.com", "j.doe at mail.example.org", "Alice at EXAMPLE.COM", "АВЕКМНРСТХ@example.com", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ@example.com",
+    "ɡreta@example.com", "rоbеrt@ехаmрӏе.com", "ԛuіzь@example.com", "гoy@example.com",
+])
+def test_more_disguises_of_addresses(source):
+    text = f"now {source} later"
+    assert [(text[a:b], own) for k, a, b, own in pii.spans(text) if k == "email" and not own] == [(source, False)]
+
+
+@pytest.mark.parametrize("text", ["see it at example.com", "hosted at example.com", "parking at example.com", "version 2 at example.com", "rain at noon.Then sun"])
+def test_a_bare_at_in_prose_is_none(text):
+    assert pii.spans(text) == []
