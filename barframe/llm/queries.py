@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from barframe.llm import (
-    collision_search, exact_dedup, html_wrapper, language_id, mixing, ngram_join, pieces, pii,
-    token_counts, toxicity,
+    bpe, collision_search, exact_dedup, hard_negatives, html_wrapper, language_id, mixing, ngram_join, pieces, pii,
+    spelling, token_counts, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +143,71 @@ FROM s JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) c ON s.doc_id = c.x
 """)
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.ngram_groups(table(spark, sf, "documents"))
+
+
+@query("op11_hard_negatives", """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike
+WHERE 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+QUALIFY rank <= 5
+""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.select("vec_id", moved.alias("label"), "embedding"))
+
+
+@query("op12_bpe")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(bpe.encode(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), decoded=True))
+
+
+# A checksum by half bytes, the lower half first; the list is CRC-32's table for half bytes, fixed values.
+@query("op13_spelling_variants", """
+WITH RECURSIVE f AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[a-zÀ-ÿ]+')) AS run FROM documents
+), x AS (
+  SELECT run, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS h FROM f WHERE length(run) >= 7
+), c AS (
+  SELECT run, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT),
+      [CAST(instr('0123456789ABCDEF', h[j + CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END]) - 1 AS BIGINT) FOR j IN range(1, length(h) + 1)]),
+    lambda a, n: xor(a >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(a, n) & 15) + 1]))) AS crc FROM x
+), w AS MATERIALIZED (
+  SELECT word, count(*) AS n FROM (
+    SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM c)
+  WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), d AS MATERIALIZED (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)
+), near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS m FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, d.n, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, w.n, d.word, d.n FROM d JOIN w ON d.rest = w.word
+), best AS MATERIALIZED (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m, max(m) >= 10 * max(n) AS follows FROM near GROUP BY word
+), step(word, root) AS (
+  SELECT word, other FROM best WHERE follows
+  UNION ALL SELECT s.word, b.other FROM step s JOIN best b ON s.root = b.word AND b.follows
+), last AS (SELECT s.word, s.root FROM step s LEFT JOIN best b ON s.root = b.word WHERE b.follows IS NOT TRUE)
+SELECT w.word, CASE WHEN b.follows THEN b.other END AS form, coalesce(l.root, w.word) AS root, w.n,
+  coalesce(b.n_near, 0) AS n_near, CASE WHEN b.follows THEN b.m END AS form_n
+FROM w LEFT JOIN best b ON w.word = b.word LEFT JOIN last l ON w.word = l.word
+""")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf, "documents"))
