@@ -5,9 +5,10 @@ prefix is its three rarest places, and as many further places of the third's big
 bring among them. One edit cannot touch two disjoint bigrams, so two disjoint ones of the three
 places, the pivots, are chosen by dynamic programming: the pair of least total frequency. If two words are one edit apart, a pivot of the
 one whose prefix ends first stands in the prefix of the other, at most one place aside, and moved or
-not as their lengths tell: five keys (bigram, length, place) a pivot. Pivots join the prefixes on these
-keys; a pair must differ in at most two bits of a signature (letters that occur, letters that occur
-twice), and then in exactly one edit.
+not as their lengths tell: five keys (bigram, length, place) a pivot. Pivots meet the prefixes of
+their key; a pair must differ in at most two bits of a signature (letters that occur, letters that occur
+twice), and then in exactly one edit. A task streams the pivots of a key past its prefixes; a key with
+many words is split into a grid of cells of bounded size.
 
 A word's form is its most frequent near word if that is at least RATIO times as frequent; roots
 follow forms by pointer jumping. Along forms the count grows by RATIO, so chains are short.
@@ -40,6 +41,8 @@ REACH = PREFIX + 2 + PREFIX - 1
 # (length, place) of a near word's bigram against the pivot's own.
 MOVES = ((0, 0), (1, 0), (1, 1), (-1, 0), (-1, -1))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CELL = 1 << 18  # code points of the prefixes, and of the pivots, that meet in one cell
+PAIRS = 1 << 22  # compared at once
 ENTRY = "key long, pivot boolean, word string, n long, mask long, ends int"
 
 
@@ -163,14 +166,105 @@ def entries(words: DataFrame, places: np.ndarray) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, ENTRY)
 
 
+class Held:
+    """Words of one cell: counts, signatures, ends of prefixes and code points, by ends."""
+
+    def __init__(self, words: pa.Array, n: np.ndarray, mask: np.ndarray, ends: np.ndarray):
+        order = np.argsort(ends, kind="stable")
+        self.words, self.n, self.mask, self.ends = words.take(pa.array(order)), n[order], mask[order].view(np.uint64), ends[order]
+        texts = self.words.to_pylist()
+        self.sizes = np.array([len(w) for w in texts])
+        self.points = np.array(texts, dtype=f"U{self.sizes.max() + 1}").view(np.uint32).reshape(len(texts), -1)
+
+    def widened(self, width: int) -> np.ndarray:
+        return np.pad(self.points, ((0, 0), (0, width - self.points.shape[1])))
+
+
+def one_edit(long: np.ndarray, short: np.ndarray, sizes: np.ndarray, inserted: np.ndarray) -> np.ndarray:
+    """Row by row (zeros fill up, at least one): whether exactly one code point is replaced, or where
+    `inserted`, is in `long` but not in `short`. sizes: of `short`."""
+    rows, width = np.arange(len(sizes)), long.shape[1]
+    same = long == short
+    replaced = (~same).sum(axis=1) == 1
+    same[:, -1] = False
+    head = np.argmin(same, axis=1)  # the first difference
+    moved = long[:, 1:] == short[:, :-1]
+    moved &= np.arange(width - 1) < sizes[:, None]
+    last = np.cumsum(moved, axis=1)[:, -1] - np.where(head > 0, np.cumsum(moved, axis=1)[rows, np.maximum(head - 1, 0)], 0)
+    return np.where(inserted, last >= sizes - head, replaced)
+
+
+def close_pairs(pivot: Held, prefix: Held) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the words one edit apart, where the pivot's prefix does not end after the other's."""
+    width = max(pivot.points.shape[1], prefix.points.shape[1])
+    own, other = pivot.widened(width), prefix.widened(width)
+    step = max(1, PAIRS // len(prefix.ends))
+    for at in range(0, len(pivot.ends), step):
+        begin = int(np.searchsorted(prefix.ends, pivot.ends[at], "left"))
+        part = slice(at, at + step)
+        differ = np.bitwise_count(pivot.mask[part, None] ^ prefix.mask[None, begin:])
+        i, j = np.nonzero(differ <= 2)
+        i, j = i + at, j + begin
+        fits = (pivot.ends[i] <= prefix.ends[j]) & (np.abs(pivot.sizes[i] - prefix.sizes[j]) <= 1)
+        i, j = i[fits], j[fits]
+        for x in range(0, len(i), PAIRS // width + 1):
+            p, q = i[x:x + PAIRS // width + 1], j[x:x + PAIRS // width + 1]
+            swap = (pivot.sizes[p] < prefix.sizes[q])[:, None]
+            long, short = np.where(swap, other[q], own[p]), np.where(swap, own[p], other[q])
+            sizes = np.minimum(pivot.sizes[p], prefix.sizes[q])
+            near = one_edit(long, short, sizes, pivot.sizes[p] != prefix.sizes[q])
+            yield p[near], q[near]
+
+
+def celled(keys: DataFrame) -> DataFrame:
+    """Entries with their cell (key, i, j). A key whose prefixes or pivots hold more than CELL code
+    points is split: prefixes are dealt to i and copied for each j, pivots the other way round."""
+    size = F.sum(F.when(F.col("pivot"), F.length("word")).otherwise(0)), F.sum(F.when(F.col("pivot"), 0).otherwise(F.length("word")))
+    big = keys.groupBy("key").agg(size[0].alias("pivots"), size[1].alias("prefixes")).filter(f"greatest(pivots, prefixes) > {CELL} AND least(pivots, prefixes) > 0")
+    big = written(big.select(
+        F.col("key").alias("_key"), F.ceil(F.col("prefixes") / CELL).alias("rows"), F.ceil(F.col("pivots") / CELL).alias("columns"),
+    ), "spelling-big-keys")
+    known = keys.join(big, F.col("key") == F.col("_key"), "left")
+    rows, columns = F.coalesce("rows", F.lit(1)), F.coalesce("columns", F.lit(1))
+    deal = F.xxhash64("word")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    known = known.withColumn("i", F.explode(F.when(F.col("pivot"), every(rows)).otherwise(F.array(F.pmod(deal, rows)))))
+    known = known.withColumn("j", F.explode(F.when(F.col("pivot"), F.array(F.pmod(deal, columns))).otherwise(every(columns))))
+    return known.select("key", "i", "j", "pivot", "word", "n", "mask", "ends")
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """(word, other, n, other_n) of all words one edit apart, both ways. `words`: distinct `word` of at
     least SHORTEST code points, and n."""
     keys = written(entries(words, bigram_places(words)), "spelling-keys")
-    a = keys.filter("pivot").select("key", F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("mask").alias("a_mask"), F.col("ends").alias("a_ends"))
-    b = keys.filter("not pivot").select(F.col("key").alias("b_key"), F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("mask").alias("b_mask"), F.col("ends").alias("b_ends"))
-    close = F.expr("key = b_key AND a_ends <= b_ends AND bit_count(a_mask ^ b_mask) <= 2")
-    met = a.join(b.hint("merge"), close).filter(F.levenshtein("a", "b", 1) == 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, waiting, prefix = None, [], None
+        for b in batches:
+            at = np.column_stack([b.column(c).to_numpy() for c in ("key", "i", "j")])
+            flag = b.column("pivot").to_numpy(zero_copy_only=False)
+            numbers = [b.column(c).to_numpy() for c in ("n", "mask", "ends")]
+            starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]).any(axis=1))) if len(at) else np.zeros(0, dtype=np.int64)
+            for x, y in zip(starts.tolist(), np.append(starts[1:], len(at)).tolist(), strict=True):
+                if cell != (now := tuple(at[x].tolist())):
+                    cell, waiting, prefix = now, [], None
+                split = x + int(np.searchsorted(flag[x:y], True))
+                if split > x:
+                    waiting.append((b.column("word").slice(x, split - x), *[c[x:split] for c in numbers]))
+                if split == y or not (waiting or prefix):
+                    continue
+                if prefix is None:
+                    texts, *rest = zip(*waiting, strict=True)
+                    prefix, waiting = Held(pa.concat_arrays(texts), *map(np.concatenate, rest)), []
+                pivot = Held(b.column("word").slice(split, y - split), *[c[split:y] for c in numbers])
+                for p, q in close_pairs(pivot, prefix):
+                    if len(p):
+                        yield pa.RecordBatch.from_arrays([
+                            pivot.words.take(pa.array(p)), prefix.words.take(pa.array(q)), pa.array(pivot.n[p]), pa.array(prefix.n[q]),
+                        ], names=["a", "b", "a_n", "b_n"])
+
+    met = celled(keys).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pivot")
+    met = met.mapInArrow(run, "a string, b string, a_n long, b_n long")
     both = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("a_n").alias("n"), F.col("b_n").alias("other_n")),
         F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("b_n").alias("n"), F.col("a_n").alias("other_n")),

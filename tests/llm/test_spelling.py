@@ -118,3 +118,13 @@ def test_empty_tables(spark, docs):
 def test_short_words_are_refused(spark):
     with pytest.raises(Exception, match="code points"):
         found(spark, {"abc": 2, "abcd": 3})
+
+
+def test_split_keys(spark, monkeypatch):
+    """Keys beyond a cell meet in a grid; nothing is lost or told twice."""
+    monkeypatch.setattr(spelling, "CELL", 60)
+    monkeypatch.setattr(spelling, "PAIRS", 50)
+    rnd = random.Random(9)
+    words = {"zz" + "".join(rnd.choice("abc") for _ in range(rnd.randint(5, 7))) for _ in range(150)}
+    counts = {w: rnd.randint(2, 2000) for w in sorted(words)}
+    assert found(spark, counts) == brute(counts)
