@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.windows import ASSET, Keys, cumulative, series
+from barframe.operators.stops import PICK, chained, first_hits
 from barframe.session import written
 
-HORIZON = 64
+FAN = 64  # bars of a block, and blocks of a larger one
 
 
 def indexed(df: DataFrame, keys: Keys = ASSET, order: str = "ts") -> DataFrame:
@@ -26,118 +27,67 @@ def stop_trades(
     side: str = "long",
     keys: Keys = ASSET,
     order: str = "ts",
-    horizon: int = HORIZON,
+    fan: int = FAN,
+    pick: int = PICK,
 ) -> DataFrame:
     """Trades of each series under each stop setting (param_id, sl_atr, trail_atr).
 
     prepared has open, high, low, close, atr and raw_entry. A signal on bar i fills at the next
-    open. Where a fill would exit depends on that fill alone, so all candidates are followed at
-    once: first over the bars near the fill, then, only for those not stopped out by then, over
-    all later bars. The stop on a bar uses closes before that bar. Of the candidates, a trade is
-    taken when its signal comes after the exit bar of the trade before it; that pick walks one
-    short list per series and setting.
+    open. Where a fill would exit depends on that fill alone, so all candidates descend to their
+    first hit at once (`stops.first_hits`). The stop on a bar uses closes before that bar. A trade
+    is taken when its signal comes after the exit bar of the trade before it: entries of a series
+    are numbered, the number of entries up to the exit bar is the next one's, and the chain of these
+    links from the first entry is the pick (`stops.chained`).
     """
-    long = side == "long"
+    sign = 1 if side == "long" else -1
+    group = (*keys, "param_id")
     grid = F.array(*[
         F.struct(
             F.lit(name).alias("param_id"), F.lit(sl).alias("sl_atr"), F.lit(trail).alias("trail_atr")
         )
         for name, sl, trail in settings
     ])
-    # Entries, the near join and the far join all read the bars.
-    bars = written(
-        indexed(prepared.select(*keys, order, "open", "high", "low", "close", "atr", "raw_entry"), keys, order),
-        "trade-bars",
-    )
     w = series(keys, order)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fill_ok = (F.col("fill") > 0) & (F.col("atr") > 0) & ~F.isnan("atr") & ~F.isnan("fill")
+    is_entry = F.coalesce(F.col("raw_entry") & F.col("fill").isNotNull() & fill_ok, F.lit(False))
+    edge = "low" if side == "long" else "high"
+    marked = (
+        prepared.select(*keys, order, "open", edge, "close", "atr", "raw_entry")
+        .withColumns({"i": F.row_number().over(w) - 1, "fill": F.lead("open").over(w), "fill_ts": F.lead(order).over(w)})
+        .withColumn("entry", is_entry)
+        .withColumns({
+            "upto": F.count(F.when(F.col("entry"), 1)).over(cumulative(keys, order)), "last_i": F.max("i").over(whole),
+            "end_ts": F.last(order).over(whole), "end_close": F.last("close").over(whole),
+        })
+    )
+    # Entries and blocks read the bars.
+    bars = written(marked.select(
+        *keys, "i", F.col(order).alias("at"), (sign * F.col("open")).alias("o"), (sign * F.col(edge)).alias("l"),
+        (sign * F.col("close")).alias("c"), "atr", "entry", "fill", "fill_ts", "upto", "last_i", "end_ts", "end_close",
+    ), "trade-bars")
+    most = bars.agg(F.max("last_i").alias("last"), F.max("upto").alias("entries")).first()
     entries = (
-        bars.withColumn("fill", F.lead("open").over(w))
-        .withColumn("fill_ts", F.lead(order).over(w))
-        .filter(F.col("raw_entry") & F.col("fill").isNotNull() & fill_ok)
+        bars.filter("entry")
         .select(
-            *keys, F.col("i").alias("signal_i"), F.col(order).alias("signal_ts"), "fill", "fill_ts",
-            F.col("atr").alias("entry_atr"), "last_i",
+            *keys, (F.col("upto") - 1).alias("k"), F.col("i").alias("signal_i"), F.col("at").alias("signal_ts"), "fill", "fill_ts",
+            F.col("atr").alias("entry_atr"), "last_i", "end_ts", "end_close", F.inline(grid),
         )
-        .select("*", F.inline(grid))
-        .withColumn("fill_i", F.col("signal_i") + 1)
-        .withColumn("_b0", F.floor(F.col("fill_i") / horizon).cast("int"))
-    )
-    path = bars.select(
-        *keys, "i", F.col(order).alias("bar_ts"), "open", "high", "low", "close",
-        F.floor(F.col("i") / horizon).cast("int").alias("_block"),
-    )
-    cand = (*keys, "param_id", "signal_i")
-    facts = [*cand, "signal_ts", "fill", "fill_ts", "fill_i", "entry_atr", "sl_atr", "trail_atr", "last_i", "_b0"]
-    sign = 1 if long else -1
-    best = F.max if long else F.min
-    tighter = F.greatest if long else F.least
-
-    def followed(pairs: DataFrame) -> DataFrame:
-        own = Window.partitionBy(*cand).orderBy("i")
-        seen = best("close").over(own.rowsBetween(Window.unboundedPreceding, -1))
-        anchor = tighter(F.col("fill"), seen)
-        stop = tighter(
-            F.col("fill") - sign * F.col("sl_atr") * F.col("entry_atr"),
-            anchor - sign * F.col("trail_atr") * F.col("entry_atr"),
-        )
-        hit = (F.col("low") <= F.col("stop")) if long else (F.col("high") >= F.col("stop"))
-        out_price = (F.least if long else F.greatest)("open", "stop")
-        return (
-            pairs.withColumn("stop", stop)
-            .groupBy(*facts)
-            .agg(
-                F.min_by(
-                    F.struct(F.col("i").alias("exit_i"), F.col("bar_ts").alias("exit_ts"), out_price.alias("exit_price")),
-                    F.when(hit, F.col("i")),
-                ).alias("hit"),
-                F.max_by(
-                    F.struct(F.col("i").alias("exit_i"), F.col("bar_ts").alias("exit_ts"), F.col("close").alias("exit_price")),
-                    "i",
-                ).alias("last"),
-            )
-        )
-
-    near = followed(
-        entries.withColumn("_block", F.explode(F.array(F.col("_b0"), F.col("_b0") + 1)))
-        .join(path, [*keys, "_block"])
-        .filter(F.col("i") >= F.col("fill_i"))
-    )
-    covered = (F.col("_b0") + 2) * horizon > F.col("last_i")
-    resolved = near.filter(F.col("hit").isNotNull() | covered)
-    far = followed(
-        near.filter(F.col("hit").isNull() & ~covered)
-        .drop("hit", "last")
-        .join(path.drop("_block"), list(keys))
-        .filter(F.col("i") >= F.col("fill_i"))
+        .withColumns({
+            "fill_i": F.col("signal_i") + 1, "anchor": sign * F.col("fill"), "wide": F.col("trail_atr") * F.col("entry_atr"),
+            "hard": sign * F.col("fill") - F.col("sl_atr") * F.col("entry_atr"),
+        })
     )
-    exits = resolved.unionByName(far).withColumn("out", F.coalesce("hit", "last"))
-    trade = F.struct(
-        "signal_i", F.col("out.exit_i").alias("exit_i"), "signal_ts", F.col("fill_ts").alias("entry_ts"),
-        F.col("out.exit_ts").alias("exit_ts"), F.col("fill").alias("entry_price"),
-        F.col("out.exit_price").alias("exit_price"), "entry_atr", "sl_atr", "trail_atr",
-        (F.col("out.exit_i") - F.col("fill_i")).alias("bars_held"),
+    exits = first_hits(entries, bars, keys, fan, most["last"] or 0)
+    links = exits.select(*group, "k", F.coalesce("hit.upto", F.lit(most["entries"] or 0).cast("bigint")).alias("next"))
+    taken = exits.join(chained(links, group, most["entries"] or 0, pick), [*group, "k"])
+    exit_price = F.coalesce(sign * F.col("hit.exit_price"), "end_close")
+    return taken.select(
+        *group, "signal_ts", F.col("fill_ts").alias("entry_ts"), F.coalesce("hit.exit_ts", "end_ts").alias("exit_ts"),
+        F.col("fill").alias("entry_price"), exit_price.alias("exit_price"), "entry_atr", "sl_atr", "trail_atr",
+        (F.coalesce("hit.exit_i", "last_i") - F.col("fill_i")).cast("int").alias("bars_held"),
         F.when(F.col("hit").isNotNull(), "stop_or_trail").otherwise("end_of_data").alias("exit_reason"),
-    )
-    lists = exits.groupBy(*keys, "param_id").agg(F.array_sort(F.collect_list(trade)).alias("cands"))
-
-    def pick(acc: Column, t: Column) -> Column:
-        take = t["signal_i"] > acc["busy"]
-        return F.struct(
-            F.when(take, t["exit_i"]).otherwise(acc["busy"]).alias("busy"),
-            F.when(take, F.concat(acc["taken"], F.array(t["signal_i"]))).otherwise(acc["taken"]).alias("taken"),
-        )
-
-    start = F.struct(F.lit(-1).alias("busy"), F.array().cast("array<int>").alias("taken"))
-    taken = F.aggregate("cands", start, pick)["taken"]
-    return (
-        lists.withColumn("_taken", taken)
-        .select(*keys, "param_id", F.inline(F.filter("cands", lambda t: F.array_contains(F.col("_taken"), t["signal_i"]))))
-        .withColumn(
-            "gross_return_pct",
-            sign * (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price") * 100,
-        )
-        .drop("signal_i", "exit_i")
+        (sign * (exit_price - F.col("fill")) / F.col("fill") * 100).alias("gross_return_pct"),
     )
 
 
@@ -236,19 +186,20 @@ def cost_survivorship(by_cost: DataFrame, keys: Keys) -> tuple[DataFrame, DataFr
 
 def open_stops(trades: DataFrame, prepared: DataFrame, keys: Keys = ASSET, order: str = "ts") -> DataFrame:
     """The last trade of each series and setting; for one still open, its stops as of the
-    latest bar (the trailing stop uses closes before that bar)."""
+    latest bar (the trailing stop uses closes before that bar). Every bar knows the highest close
+    from itself to the bar before the last, so a trade needs the bar of its entry only."""
     group = (*keys, "param_id")
+    w = series(keys, order)
     last = trades.groupBy(*group).agg(F.max_by(F.struct("*"), "entry_ts").alias("t")).select("t.*")
-    path = prepared.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(order).alias("_ts"), "close")
-    end = path.groupBy(*[f"_{k}" for k in keys]).agg(F.max("_ts").alias("_end")).withColumnsRenamed(
-        {f"_{k}": k for k in keys}
+    before_last = F.when(F.lead(order).over(w).isNotNull(), F.col("close"))
+    path = prepared.select(*keys, order, "close").withColumn("_c", before_last).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col(order).alias("_ts"),
+        F.max("_c").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("_high"),
     )
-    dated = last.join(end, list(keys))
-    after = (F.col("_ts") >= F.col("entry_ts")) & (F.col("_ts") < F.col("_end"))
+    on = F.col("_ts") == F.col("entry_ts")
     for k in keys:
-        after = after & (F.col(k) == F.col(f"_{k}"))
-    # The trade's own columns are carried as grouping keys, so nothing is joined back.
-    high = dated.join(path, after, "left").groupBy(*dated.columns).agg(F.max("close").alias("_high"))
+        on = on & (F.col(k) == F.col(f"_{k}"))
+    high = last.join(path, on, "left")
     anchor = F.greatest("entry_price", "_high")
     is_open = F.col("exit_reason") == "end_of_data"
     hard = F.col("entry_price") - F.col("sl_atr") * F.col("entry_atr")

@@ -21,8 +21,8 @@ def prepared(spark, sf, side="long"):
     return S.trend_pullback_entry(bars, side, ema_period=12, channel_window=8, delay=2, atr_window=10)
 
 
-def trades(spark, sf, side="long", horizon=Tr.HORIZON):
-    return Tr.stop_trades(prepared(spark, sf, side), TWO, side, horizon=horizon)
+def trades(spark, sf, side="long"):
+    return Tr.stop_trades(prepared(spark, sf, side), TWO, side)
 
 
 for _side, _agg, _col, _cmp in (("long", "min", "low", "<="), ("short", "max", "high", ">=")):

@@ -150,11 +150,11 @@ def walk(pdf, side, sl, trail):
     return rows
 
 
-@pytest.mark.parametrize("side,horizon", [("long", 64), ("long", 2), ("short", 64), ("short", 2)])
-def test_stop_trades_equal_the_walk(bars, side, horizon):
-    """A horizon of two bars sends most candidates through the second join."""
+@pytest.mark.parametrize("side,fan,pick", [("long", 64, 256), ("short", 5, 3)])
+def test_stop_trades_equal_the_walk(bars, side, fan, pick):
+    """Small blocks send most candidates up and down several levels, small runs double pointers."""
     p = S.trend_pullback_entry(bars, side, 20, 10, 2, 10).cache()
-    got = Tr.stop_trades(p, (("s", 1.5, 3.0),), side, horizon=horizon).orderBy("asset", "entry_ts").collect()
+    got = Tr.stop_trades(p, (("s", 1.5, 3.0),), side, fan=fan, pick=pick).orderBy("asset", "entry_ts").collect()
     for a in ("A", "B"):
         want = walk(frame(p, a), side, 1.5, 3.0)
         mine = [(r.entry_ts, r.exit_ts, r.exit_price, r.exit_reason) for r in got if r.asset == a]
