@@ -1,18 +1,24 @@
 """Cross-asset scans: lead/lag correlation, event follow-through and regime splits.
 
 All three compare a leader with a follower on the same calendar. Means, variances and
-correlations are algebraic, so the rows of each (leader, follower, lag) shrink to one before
-the shuffle. The panel is aligned, hence the half of the sample a row belongs to follows from
-its position or from the leader's own event count, without ordering pair rows.
+correlations are algebraic, so pairs of asset blocks meet as date matrices (`pair_blocks`) and no
+row of a pair and date is ever made. The panel is aligned, hence the half of the sample a row belongs
+to follows from its position or from the leader's own event count. NaN counts as missing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.normal import two_sided_p
 from barframe.functions.windows import Keys, full, series
+from barframe.operators.pair_blocks import (
+    BLOCK, CHUNK, PAIR, class_moments, corr, moments, packed, pair_sums, variance,
+)
 
 LAGS = (5, 10, 20, 40, 60)
 SERIES: Keys = ("universe_id", "asset")
@@ -27,16 +33,6 @@ def forward_returns(panel: DataFrame, horizon: int) -> DataFrame:
     return panel.withColumn("fwd", F.lead("close", horizon).over(w) / F.col("close") - 1)
 
 
-def lagged_pairs(leader: DataFrame, follower: DataFrame, lags: tuple[int, ...]) -> DataFrame:
-    """leader(universe_id, asset, pos, ...) at t beside follower(universe_id, asset, pos, y) at
-    t + lag: one equi-join on the shifted position; an asset is not paired with itself."""
-    shifted = leader.withColumnRenamed("asset", "leader").withColumn(
-        "lag_days", F.explode(F.array(*[F.lit(v) for v in lags]))
-    ).withColumn("_at", F.col("pos") + F.col("lag_days"))
-    other = follower.select("universe_id", F.col("asset").alias("follower"), F.col("pos").alias("_at"), "y")
-    return shifted.join(other, ["universe_id", "_at"]).filter(F.col("leader") != F.col("follower")).drop("_at")
-
-
 def same_direction(full_: Column, first: Column, second: Column) -> Column:
     return (full_ != 0) & (F.signum(first) == F.signum(full_)) & (F.signum(second) == F.signum(full_))
 
@@ -80,25 +76,38 @@ def welch_p_value(mean_a: Column, var_a: Column, n_a: Column, mean_b: Column, va
     return F.when(ok, two_sided_p((mean_a - mean_b) / denom)).otherwise(1.0)
 
 
-def lead_lag_stats(panel: DataFrame, lags: tuple[int, ...] = LAGS, horizon: int = 20) -> DataFrame:
-    """n_obs, corr and half-sample corr of leader and lagged follower returns, 80 rows at least."""
+def lead_lag_stats(
+    panel: DataFrame, lags: tuple[int, ...] = LAGS, horizon: int = 20, block: int = BLOCK, chunk: int = CHUNK,
+) -> DataFrame:
+    """n_obs, corr and half-sample corr of leader and lagged follower returns, 80 rows at least. A
+    side that does not vary has no corr."""
     fwd = forward_returns(panel, horizon).filter("fwd is not null")
     spans = _spans(panel)
-    pairs = lagged_pairs(
-        fwd.select("universe_id", "asset", "pos", F.col("fwd").alias("x")),
-        fwd.select("universe_id", "asset", "pos", F.col("fwd").alias("y")), lags,
-    ).join(spans, "universe_id")
-    first = F.col("pos") < F.floor((F.col("t") - horizon - F.col("lag_days")) / 2)
+    low, high = min(lags), max(lags)
+    ends = fwd.join(spans.select("universe_id", "t"), "universe_id").withColumn("t", F.array(F.col("t").cast("long")))
+    leaders = packed(ends, ["fwd"], extra="t", block=block, chunk=chunk)
+    followers = packed(fwd, ["fwd"], low, high, block=block, chunk=chunk)
 
-    def half(cond: Column) -> Column:
-        x, y = F.when(cond, F.col("x")), F.when(cond, F.col("y"))
-        return F.when(F.count(x) >= 20, F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))).otherwise(0.0)
+    def tile(c: int, x: np.ndarray, y: np.ndarray, extra: list) -> Iterator[tuple[int, dict]]:
+        for lag in lags:
+            later = y[0, lag - low:lag - low + chunk]
+            cut = min(max((int(extra[0][0]) - horizon - lag) // 2 - c * chunk, 0), chunk)
+            yield lag, moments(x[0, :cut], later[:cut], "_1") | moments(x[0, cut:], later[cut:], "_2")
+
+    names = [f"{k}_{h}" for h in (1, 2) for k in ("n", "x", "y", "xx", "yy", "xy")]
+    sums = pair_sums(leaders, followers, (["fwd"], ["fwd"]), tile, names, (chunk, chunk + high - low))
+
+    def of(*halves: int) -> list[Column]:
+        return [sum((F.col(f"{k}_{h}") for h in halves[1:]), F.col(f"{k}_{halves[0]}")) for k in ("n", "x", "y", "xx", "yy", "xy")]
+
+    def half(h: int) -> Column:
+        return F.when(F.col(f"n_{h}") >= 20, F.coalesce(corr(*of(h)), F.lit(0.0))).otherwise(0.0)
 
     return (
-        pairs.groupBy("universe_id", "leader", "follower", "lag_days", "n_assets")
-        .agg(
-            F.count("*").alias("n_obs"), F.corr("x", "y").alias("effect"),
-            half(first).alias("train_score"), half(~first).alias("holdout_score"),
+        sums.join(spans.select("universe_id", "n_assets"), "universe_id")
+        .select(
+            *PAIR, "n_assets", of(1, 2)[0].cast("long").alias("n_obs"), corr(*of(1, 2)).alias("effect"),
+            half(1).alias("train_score"), half(2).alias("holdout_score"),
         )
         .filter("n_obs >= 80")
     )
@@ -126,43 +135,57 @@ def lead_lag_facts(
     )
 
 
-def _grouped_spread(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """pairs(keys, side +1/-1, y, first_half) -> counts, means, variances, spreads in points."""
-    y, up, down = F.col("y"), F.col("side") > 0, F.col("side") < 0
-
-    def spread(cond: Column) -> Column:
-        a = F.avg(F.when(cond & up, y))
-        return F.coalesce((a - F.avg(F.when(cond & down, y))) * 100, F.lit(0.0))
-
-    every = F.lit(True)
-    h = F.col("first_half")
-    return pairs.groupBy(*keys).agg(
-        F.count(F.when(up, y)).alias("n_up"), F.count(F.when(down, y)).alias("n_down"),
-        F.avg(F.when(up, y)).alias("mean_up"), F.avg(F.when(down, y)).alias("mean_down"),
-        F.var_samp(F.when(up, y)).alias("var_up"), F.var_samp(F.when(down, y)).alias("var_down"),
-        spread(every).alias("effect"), spread(h).alias("train_score"), spread(~h).alias("holdout_score"),
-    )
-
+def signed_spreads(
+    marks: DataFrame, panel: DataFrame, lags: tuple[int, ...], horizon: int, block: int = BLOCK, chunk: int = CHUNK,
+) -> DataFrame:
+    """Per pair and lag the counts, means, variances and spreads (in points) of the follower's forward
+    returns after the leader's marks(universe_id, asset, pos, side +1/-1).
 
-def _signed_rows(marks: DataFrame, panel: DataFrame, lags: tuple[int, ...], horizon: int) -> DataFrame:
-    """marks(universe_id, asset, pos, side): sample of each leader. The sample of a pair ends
-    where the follower has no forward return, which depends on the lag alone; so the size of a
-    sample and the rank of a row in it come from the leader's running count."""
-    counted = marks.withColumn("_rank", F.row_number().over(series(SERIES, "pos")))
+    The sample of a pair ends where the follower has no forward return, which depends on the lag
+    alone; so the half of the sample a mark is in follows from the leader's running count."""
     spans = _spans(panel)
-    usable = F.col("pos") <= F.col("t") - 1 - horizon - F.col("lag_days")
-    sizes = (
-        counted.join(spans, "universe_id")
-        .withColumn("lag_days", F.explode(F.array(*[F.lit(v) for v in lags])))
-        .filter(usable)
-        .groupBy("universe_id", F.col("asset").alias("leader"), "lag_days", "n_assets")
-        .agg(F.count("*").alias("_n"))
+    low, high = min(lags), max(lags)
+    counted = marks.withColumn("_rank", F.row_number().over(series(SERIES, "pos"))).join(spans.select("universe_id", "t"), "universe_id")
+    usable = [F.count(F.when(F.col("pos") <= F.col("t") - 1 - horizon - v, 1)) for v in lags]
+    halves = marks.join(spans.select("universe_id", "t"), "universe_id").groupBy(*SERIES).agg(
+        F.array(*[F.floor(n / 2) for n in usable]).alias("_halves")
     )
-    fwd = forward_returns(panel, horizon).filter("fwd is not null").withColumnRenamed("fwd", "y")
-    return (
-        lagged_pairs(counted.select("universe_id", "asset", "pos", "side", "_rank"), fwd, lags)
-        .join(sizes, ["universe_id", "leader", "lag_days"])
-        .withColumn("first_half", F.col("_rank") <= F.floor(F.col("_n") / 2))
+    order = panel.select(*SERIES, "pos", "asset_ord")
+    leaders = packed(
+        counted.join(halves, list(SERIES)).join(order, [*SERIES, "pos"]), ["side", "_rank"], extra="_halves", block=block, chunk=chunk
+    )
+    fwd = forward_returns(panel, horizon).filter("fwd is not null")
+    followers = packed(fwd, ["fwd"], low, high, block=block, chunk=chunk)
+
+    def tile(c: int, x: np.ndarray, y: np.ndarray, extra: list) -> Iterator[tuple[int, dict]]:
+        side, rank = x
+        for k, lag in enumerate(lags):
+            later = y[0, lag - low:lag - low + chunk]
+            first = rank <= np.array([e[k] for e in extra])[None, :]
+            found: dict = {}
+            for name, here in (("up", side > 0), ("down", side < 0)):
+                found |= class_moments(here & first, later, f"_{name}_1") | class_moments(here & ~first, later, f"_{name}_2")
+            yield lag, found
+
+    names = [f"{k}_{s}_{h}" for s in ("up", "down") for h in (1, 2) for k in ("n", "y", "yy")]
+    sums = pair_sums(leaders, followers, (["side", "_rank"], ["fwd"]), tile, names, (chunk, chunk + high - low))
+
+    def whole(k: str, s: str) -> Column:
+        return F.col(f"{k}_{s}_1") + F.col(f"{k}_{s}_2")
+
+    def spread(up: tuple[Column, Column], down: tuple[Column, Column]) -> Column:
+        apart = up[0] / F.nullif(up[1], F.lit(0.0)) - down[0] / F.nullif(down[1], F.lit(0.0))
+        return F.coalesce(apart * 100, F.lit(0.0))
+
+    def at(h: int) -> Column:
+        return spread(*[(F.col(f"y_{s}_{h}"), F.col(f"n_{s}_{h}")) for s in ("up", "down")])
+
+    both = {s: (whole("n", s), whole("y", s), whole("yy", s)) for s in ("up", "down")}
+    return sums.join(spans.select("universe_id", "n_assets"), "universe_id").select(
+        *PAIR, "n_assets", *[both[s][0].cast("long").alias(f"n_{s}") for s in both],
+        *[(both[s][1] / F.nullif(both[s][0], F.lit(0.0))).alias(f"mean_{s}") for s in both],
+        *[variance(*[both[s][i] for i in range(3)]).alias(f"var_{s}") for s in both],
+        spread(both["up"][1::-1], both["down"][1::-1]).alias("effect"), at(1).alias("train_score"), at(2).alias("holdout_score"),
     )
 
 
@@ -183,8 +206,7 @@ def event_stats(
     panel: DataFrame, lags: tuple[int, ...] = LAGS, horizon: int = 20, event_window: int = 20,
     z_threshold: float = 1.0, min_events: int = 18,
 ) -> DataFrame:
-    rows = _signed_rows(event_marks(panel, event_window, z_threshold), panel, lags, horizon)
-    stats = _grouped_spread(rows, ("universe_id", "leader", "follower", "lag_days", "n_assets"))
+    stats = signed_spreads(event_marks(panel, event_window, z_threshold), panel, lags, horizon)
     return stats.filter((F.col("n_up") >= min_events) & (F.col("n_down") >= min_events))
 
 
@@ -222,9 +244,7 @@ def regime_stats(panel: DataFrame, trend_window: int = 63, horizon: int = 20, mi
         .filter("side is not null")
         .select(*SERIES, "pos", "side")
     )
-    stats = _grouped_spread(
-        _signed_rows(marks, panel, (0,), horizon), ("universe_id", "leader", "follower", "n_assets")
-    )
+    stats = signed_spreads(marks, panel, (0,), horizon).drop("lag_days")
     return stats.filter((F.col("n_up") >= min_side) & (F.col("n_down") >= min_side))
 
 

@@ -88,3 +88,40 @@ def test_draws_cover_the_series_evenly(spark):
     df = spark.range(200).withColumnRenamed("id", "path").select("path", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("s"))
     counts = df.select(Bo.draw(F.col("path"), F.col("s").cast("bigint"), 42, F.lit(n)).alias("i")).groupBy("i").count().toPandas()
     assert len(counts) == n and abs(counts["count"].mean() - 200) < 1e-9 and counts["count"].std() < 40
+
+
+@pytest.mark.parametrize("block, chunk", [(2, 64), (3, 4096), (64, 130)])
+def test_scans_do_not_depend_on_blocks(make_panel, block, chunk):
+    """Blocks of assets and chunks of dates against every pair by hand, with missing bars."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    closes = {a: 50 * np.exp(np.cumsum(rng.normal(0, 0.02, 300))) for a in "ABCDE"}
+    panel, h, lags = make_panel(closes), 10, (0, 7, 31)
+    fwd = {a: pd.Series(c).shift(-h) / pd.Series(c) - 1 for a, c in closes.items()}
+    got = {(r.leader, r.follower, r.lag_days): r for r in Mi.lead_lag_stats(panel, lags, h, block, chunk).collect()}
+    assert len(got) == 5 * 4 * 3
+    marks = panel.filter("pos % 3 <> 1").withColumn("side", F.when(F.col("pos") % 2 == 0, 1).otherwise(-1)).select("universe_id", "asset", "pos", "side")
+    signed = {(r.leader, r.follower, r.lag_days): r for r in Mi.signed_spreads(marks, panel, lags, h, block, chunk).collect()}
+    assert set(signed) == set(got)
+    days = np.array([p for p in range(300) if p % 3 != 1])
+    for (a, b, lag), r in got.items():
+        both = pd.DataFrame({"x": fwd[a], "y": fwd[b].shift(-lag)}).dropna()
+        k = len(both) // 2
+        assert r.n_obs == len(both) == 300 - h - lag
+        want = [both.x.corr(both.y), both.x[:k].corr(both.y[:k]), both.x[k:].corr(both.y[k:])]
+        assert [r.effect, r.train_score, r.holdout_score] == pytest.approx(want, abs=1e-9)
+        y = fwd[b].shift(-lag)[days].dropna()
+        up, first = y.index % 2 == 0, np.arange(len(y)) < len(y) // 2
+        s = signed[a, b, lag]
+        assert (s.n_up, s.n_down) == (up.sum(), (~up).sum())
+        assert [s.mean_up, s.mean_down, s.var_up, s.var_down] == pytest.approx([y[up].mean(), y[~up].mean(), y[up].var(), y[~up].var()])
+        for value, part in ((s.effect, np.full(len(y), True)), (s.train_score, first), (s.holdout_score, ~first)):
+            assert value == pytest.approx((y[up & part].mean() - y[~up & part].mean()) * 100)
+
+
+def test_constant_assets_have_no_correlation(make_panel):
+    closes = {"FLAT": np.full(200, 5.0), "UP": np.linspace(1, 9, 200)}
+    rows = Mi.lead_lag_stats(make_panel(closes), (5,), 10).collect()
+    assert len(rows) == 2 and all(r.effect is None and r.train_score == 0.0 for r in rows)
+    assert Mi.lead_lag_facts(make_panel(closes), (5,), 10).count() == 0
