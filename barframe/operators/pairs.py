@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barframe.functions.windows import Keys, safe, series
+from barframe.functions.windows import Keys, cumulative, safe, series
 from barframe.operators import indicators as I
 
 PAIR: Keys = ("pair_id",)
@@ -23,16 +23,44 @@ def align_pairs(closes: DataFrame, pairs: DataFrame, order: str = "ts") -> DataF
     )
 
 
+MOMENTS = ("n", "x", "y", "xx", "xy")
+
+
+def with_cross_sums(df: DataFrame, keys: Keys = PAIR, order: str = "ts") -> DataFrame:
+    """Running sums `_sum_*` of the moments of log leg 2 (x) and log leg 1 (y), each taken from the
+    pair's first value so that little is lost in differences. One pass serves windows of any length."""
+    w = series(keys, order)
+    x, y = F.ln("l2"), F.ln("l1")
+    both = x.isNotNull() & y.isNotNull()
+    first = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = df.withColumns({
+        "_x": F.when(both, x - F.first(F.when(both, x), ignorenulls=True).over(first)),
+        "_y": F.when(both, y - F.first(F.when(both, y), ignorenulls=True).over(first)),
+    })
+    x, y = F.coalesce("_x", F.lit(0.0)), F.coalesce("_y", F.lit(0.0))
+    terms = {"n": F.when(both, 1.0).otherwise(0.0), "x": x, "y": y, "xx": x * x, "xy": x * y}
+    return out.withColumns({f"_sum_{k}": F.sum(terms[k]).over(cumulative(keys, order)) for k in MOMENTS}).drop("_x", "_y")
+
+
+def windowed(lookback: int, keys: Keys = PAIR, order: str = "ts") -> dict[str, Column]:
+    """The moments over the `lookback` bars before this one, as differences of running sums."""
+    w = series(keys, order)
+    return {k: F.lag(f"_sum_{k}").over(w) - F.coalesce(F.lag(f"_sum_{k}", lookback + 1).over(w), F.lit(0.0)) for k in MOMENTS}
+
+
 def with_hedge_spread(df: DataFrame, lookback: int = 60, keys: Keys = PAIR, order: str = "ts") -> DataFrame:
     """Least-squares slope of log leg 1 on log leg 2 over the bars before this one, and the
-    residual of the last of those bars."""
+    residual of the last of those bars. NULL until the bars are there and where leg 2 does not vary."""
     w = series(keys, order)
-    past = w.rowsBetween(-lookback, -1)
-    x, y = F.ln("l2"), F.ln("l1")
-    ready = F.count("l1").over(past) == lookback
-    return df.withColumn("beta", F.when(ready, F.regr_slope(y, x).over(past))).withColumn(
-        "spread", F.lag(y).over(w) - F.col("beta") * F.lag(x).over(w)
-    )
+    ready = F.count("l1").over(w.rowsBetween(-lookback, -1)) == lookback
+    m = windowed(lookback, keys, order)
+    sums = with_cross_sums(df, keys, order).withColumns({f"_{k}": m[k] for k in MOMENTS})
+    vary = F.col("_xx") - F.col("_x") * F.col("_x") / F.col("_n")
+    slope = (F.col("_xy") - F.col("_x") * F.col("_y") / F.col("_n")) / vary
+    flat = vary <= 1e-12 * F.greatest(F.col("_xx"), F.lit(1e-12))
+    return sums.withColumn("beta", F.when(ready & ~flat, slope)).withColumn(
+        "spread", F.lag(F.ln("l1")).over(w) - F.col("beta") * F.lag(F.ln("l2")).over(w)
+    ).drop(*[f"_{k}" for k in MOMENTS], *[f"_sum_{k}" for k in MOMENTS])
 
 
 def _with_z(df: DataFrame, col: str, lookback: int, keys: Keys, order: str) -> DataFrame:
