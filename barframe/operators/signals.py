@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.windows import ASSET, Keys, cumulative, safe, series
 from barframe.operators import indicators as I
+from barframe.operators.stops import FAN, LEAVES_BAND, PICK, chained, first_hits
+from barframe.session import written
 
 
 def _with_smas(df: DataFrame, windows: dict[str, int], keys: Keys, order: str) -> DataFrame:
@@ -341,40 +343,65 @@ def trend_strength_filter(
     }).drop("_f", "_s", "_str", "_strong")
 
 
+def ratchet(bands: DataFrame, keys: Keys, fan: int = FAN, pick: int = PICK) -> DataFrame:
+    """bands(keys, i, band, before) with `held`: the band of the bar before stays while the close
+    before it is at or below it and it is lower than the bar's own; else the bar's own is taken.
+
+    Which bar gives up the band taken on bar j depends on that band alone, so every bar searches for
+    it by descent through blocks, and the chain of these links from the first bar are the bars whose
+    own band is taken. A missing band or close takes the own band."""
+    w = series(keys, "i")
+    known = F.col("band").isNotNull() & F.col("before").isNotNull()
+    bars = written(bands.select(
+        *keys, "i", "before", F.when(known, F.col("band")).otherwise(float("-inf")).alias("band"), F.col("band").alias("own"),
+        F.max("i").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("last_i"),
+    ), "ratchet-bars")
+    last = bars.agg(F.max("last_i")).first()[0] or 0
+    searches = bars.select(
+        *keys, F.col("i").alias("signal_i"), (F.col("i") + 1).alias("fill_i"), "last_i", F.coalesce("own", F.lit(float("inf"))).alias("anchor")
+    )
+    found = first_hits(searches, bars, keys, fan, last, LEAVES_BAND)
+    links = found.select(*keys, F.col("signal_i").cast("bigint").alias("k"), F.coalesce("hit.exit_i", F.lit(last + 1).cast("bigint")).alias("next"))
+    taken = chained(links, keys, last + 1, pick).select(*keys, F.col("k").alias("i"), F.lit(True).alias("_taken"))
+    marked = bars.join(taken, [*keys, "i"], "left")
+    own = F.last(F.when(F.col("_taken"), F.struct("own")), ignorenulls=True).over(cumulative(keys, "i"))
+    return marked.select(*keys, "i", own["own"].alias("held"))
+
+
 def supertrend(
     bars: DataFrame, period: int = 10, mult: float = 3.0, keys: Keys = ASSET, order: str = "ts"
 ) -> DataFrame:
-    """Stop-and-reverse bands that each depend on the previous band, so a series is walked in
-    order. A group is one series of bars, as long as its calendar."""
+    """Stop-and-reverse bands that each depend on the band before. The lower band is an upper one
+    of negated prices. Entries and exits set the state, a bar that does both flips it."""
     prepared = I.with_atr(I.with_close_range(bars, keys, order), period, "_atr", keys, order)
-    mid = (F.col("high") + F.col("low")) / 2
-    prepared = prepared.select(
-        *keys, order, "close",
-        (mid + mult * F.col("_atr")).alias("upper"), (mid - mult * F.col("_atr")).alias("lower"),
+    w = series(keys, order)
+    mid, nothing = (F.col("high") + F.col("low")) / 2, F.lit(None).cast("double")
+    rows = written(prepared.select(
+        *keys, order, "close", F.nanvl(mid + mult * F.col("_atr"), nothing).alias("upper"),
+        F.nanvl(mid - mult * F.col("_atr"), nothing).alias("lower"), F.nanvl("close", nothing).alias("_c"),
+        (F.row_number().over(w) - 1).alias("i"),
+    ), "bands")
+    before = F.lag("_c").over(w)
+    sides = F.array(
+        F.struct(F.lit(True).alias("_up"), F.col("upper").alias("band"), F.col("_b").alias("before")),
+        F.struct(F.lit(False).alias("_up"), (-F.col("lower")).alias("band"), (-F.col("_b")).alias("before")),
+    )
+    held = ratchet(rows.withColumn("_b", before).select(*keys, "i", F.inline(sides)), (*keys, "_up"))
+    bands = held.groupBy(*keys, "i").agg(
+        F.max(F.when(F.col("_up"), F.col("held"))).alias("_high"), F.max(F.when(~F.col("_up"), -F.col("held"))).alias("_low")
     )
-    out = prepared.select(*keys, order, "close").schema.add("entry", "boolean").add("exit", "boolean")
-
-    def walk(pdf):
-        import numpy as np
-
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        close = pdf["close"].to_numpy(float)
-        up, low = (pdf[c].to_numpy(float).copy() for c in ("upper", "lower"))
-        entry = np.zeros(len(pdf), bool)
-        exit_ = np.zeros(len(pdf), bool)
-        held = False
-        for i in range(1, len(pdf)):
-            if close[i - 1] <= up[i - 1] < up[i]:
-                up[i] = up[i - 1]
-            if close[i - 1] >= low[i - 1] > low[i]:
-                low[i] = low[i - 1]
-            if not held and close[i] > up[i - 1]:
-                entry[i] = held = True
-            elif held and close[i] < low[i - 1]:
-                exit_[i], held = True, False
-        return pdf[[*keys, order, "close"]].assign(entry=entry, exit=exit_)
-
-    return prepared.groupBy(*keys).applyInPandas(walk, out)
+    w = series(keys, "i")
+    out = rows.join(bands, [*keys, "i"]).withColumns({
+        "_in": safe(F.col("_c") > F.lag("_high").over(w)), "_out": safe(F.col("_c") < F.lag("_low").over(w)),
+    })
+    flips = F.count(F.when(F.col("_in") & F.col("_out"), 1)).over(cumulative(keys, "i"))
+    out = out.withColumn("_flips", flips)
+    told = F.when(F.col("_in") != F.col("_out"), F.struct(F.col("_in").alias("on"), F.col("_flips").alias("flips")))
+    out = out.withColumn("_told", F.last(told, ignorenulls=True).over(cumulative(keys, "i")))
+    odd = (F.col("_flips") - F.coalesce("_told.flips", F.lit(0))) % 2 == 1
+    out = out.withColumn("_on", F.coalesce("_told.on", F.lit(False)) != odd)
+    was = F.coalesce(F.lag("_on").over(w), F.lit(False))
+    return out.select(*keys, order, "close", (~was & F.col("_on")).alias("entry"), (was & ~F.col("_on")).alias("exit"))
 
 
 def trend_pullback_entry(

@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barframe.functions.windows import ASSET, Keys, cumulative, series
-from barframe.operators.stops import PICK, chained, first_hits
+from barframe.operators.stops import FAN, PICK, chained, first_hits
 from barframe.session import written
 
-FAN = 64  # bars of a block, and blocks of a larger one
 
 
 def indexed(df: DataFrame, keys: Keys = ASSET, order: str = "ts") -> DataFrame:

@@ -4,6 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from barframe.operators import indicators as I
+from barframe.operators import signals as S
 from barframe.operators import stops
 from barframe.operators import trades as Tr
 
@@ -93,3 +95,54 @@ def test_chain_by_doubling(spark, pick):
             at = links[at]
     df = spark.createDataFrame(rows, "key int, k long, next long")
     assert sorted(map(tuple, stops.chained(df, ["key"], 60, pick).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("fan, pick", [(4, 3), (64, 256)])
+def test_ratchet_equals_the_walk(spark, fan, pick):
+    rnd = random.Random(fan)
+    rows, want = [], []
+    for key, n in (("a", 300), ("b", 1), ("c", 64), ("d", 65)):
+        mid, held = 50.0, None
+        before = None
+        for i in range(n):
+            mid += rnd.gauss(0, 1)
+            band = None if rnd.random() < 0.04 else float(round(mid + 3))
+            held = held if None not in (held, band, before) and before <= held < band else band
+            rows.append((key, i, band, before))
+            want.append((key, i, held))
+            before = None if rnd.random() < 0.04 else float(round(mid))
+    df = spark.createDataFrame(rows, "asset string, i int, band double, before double")
+    got = S.ratchet(df, ("asset",), fan, pick).collect()
+    assert sorted((r.asset, r.i, -1.0 if r.held is None else r.held) for r in got) == [(a, i, -1.0 if h is None else h) for a, i, h in want]
+
+
+def test_supertrend_state_flips_and_holes(spark):
+    """Against a walk over each bar, with missing closes and bars that cross both bands."""
+    rnd = random.Random(5)
+    rows, price = [], 100.0
+    for i in range(400):
+        price = max(5.0, price + rnd.gauss(0, 2))
+        close = None if rnd.random() < 0.03 else price
+        rows.append(("a", DAY + dt.timedelta(days=i), price, price + rnd.random() * 3, price - rnd.random() * 3, close))
+    bars = spark.createDataFrame(rows, "asset string, ts date, open double, high double, low double, close double")
+    prepared = I.with_atr(I.with_close_range(bars, ("asset",), "ts"), 7, "_atr", ("asset",), "ts").orderBy("ts").collect()
+    up, low, on, want = None, None, False, []
+    last = None
+    for r in prepared:
+        high = None if r._atr is None else (r.high + r.low) / 2 + 0.3 * r._atr
+        floor = None if r._atr is None else (r.high + r.low) / 2 - 0.3 * r._atr
+        enters = r.close is not None and up is not None and r.close > up
+        leaves = r.close is not None and low is not None and r.close < low
+        want.append((r.ts, not on and enters, on and leaves))
+        on = (on or enters) if not (on and leaves) else False
+        up = up if None not in (up, high, last) and last <= up < high else high
+        low = low if None not in (low, floor, last) and last >= low > floor else floor
+        last = r.close
+    got = [(r.ts, r.entry, r.exit) for r in S.supertrend(bars, 7, 0.3).orderBy("ts").collect()]
+    assert got == want and sum(e for _, e, _ in want) > 10
+
+
+def test_supertrend_stays_in_the_jvm(spark):
+    bars = spark.createDataFrame([("a", DAY, 1.0, 1.0, 1.0, 1.0)], "asset string, ts date, open double, high double, low double, close double")
+    plan = S.supertrend(bars)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
