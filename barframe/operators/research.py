@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barframe.functions.scalars import TRADING_DAYS, annualize, trading_days
 from barframe.functions.windows import series
-from barframe.operators import bootstrap, events, log, metrics, replay, validate, weights
+from barframe.operators import bootstrap, events, log, metrics, replay, rules, validate, weights
 from barframe.session import written
 
 CHECK_WALK = "Portfolio walk-forward stability"
@@ -15,6 +15,7 @@ CHECK_REBALANCE = "Portfolio rebalance count"
 CHECK_RESAMPLE = "Portfolio resampled returns"
 CHECK_SERIES_WALK = "Walk-forward stability"
 CHECK_SERIES_RESAMPLE = "Resampled returns"
+CHECK_DSR = "Deflated Sharpe ratio (DSR)"
 
 
 def evaluate(
@@ -68,20 +69,20 @@ def evaluate(
     for boot in extra_check:
         one = one.join(boot, "parent", "left")
     one = one.withColumn("n_days", trading_days(F.col("start"), F.col("end")))
-    rules = [
+    checks = [
         *validate.metric_rules("benchmark_pct"),
         (CHECK_WALK, F.col("_walk")),
         (CHECK_REBALANCE, F.col("rebalances") >= 6),
     ]
     if paths:
-        rules.append((CHECK_RESAMPLE, F.coalesce("_boot", F.lit(False))))
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules]))
+        checks.append((CHECK_RESAMPLE, F.coalesce("_boot", F.lit(False))))
+    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks]))
     verdict = validate.research_verdict(F.col("n_obs") < min_rows, F.lit(True), F.lit(True))
     return (
         one.withColumn("failed_checks", F.array_sort(failed))
         .withColumns({
-            "n_checks": F.lit(len(rules)),
-            "n_passed": F.lit(len(rules)) - F.size("failed_checks"),
+            "n_checks": F.lit(len(checks)),
+            "n_passed": F.lit(len(checks)) - F.size("failed_checks"),
             "walk_forward_failed": ~F.col("_walk"),
         })
         .withColumn("verdict", verdict)
@@ -128,6 +129,77 @@ def confirmations(results: DataFrame, located: DataFrame, specs: DataFrame) -> D
     }).drop("_tried")
 
 
+def critiqued(specs: DataFrame) -> DataFrame:
+    """Adds problems (of the specification and its critique), warnings, required_changes, approved."""
+    found = F.array_union(rules.portfolio_critique_problems(), F.coalesce(rules.portfolio_problems(), F.array().cast("array<string>")))
+    return specs.withColumns({
+        "problems": found, "warnings": rules.portfolio_critique_warnings(), "required_changes": rules.required_changes(),
+    }).withColumn("approved", F.size("problems") == 0)
+
+
+def outcome(asked: DataFrame, located: DataFrame, results: DataFrame) -> DataFrame:
+    """The ledger of a gate: every row of asked(spec_id, approved, problems, ...) with status, reason
+    and the columns of its result, if it has one. located(spec_id), results(spec_id, verdict, ...)."""
+    tried = located.select(F.col("spec_id").alias("_tried")).distinct()
+    got = results.withColumnRenamed("spec_id", "_got")
+    every = asked.join(tried, F.col("spec_id") == F.col("_tried"), "left").join(got, F.col("spec_id") == F.col("_got"), "left")
+    reason = (
+        F.when(~F.col("approved"), F.array_join("problems", "; "))
+        .when(F.col("_tried").isNull(), "no dates in the calendar")
+        .when(F.col("_got").isNull() | (F.col("verdict") == "error"), "too few rows")
+    )
+    status = F.when(~F.col("approved"), "rejected").when(F.col("reason").isNotNull(), "error").otherwise("ok")
+    verdict = F.when(F.col("status") == "rejected", "reject").when(F.col("status") == "error", "error").otherwise(F.col("verdict"))
+    return every.withColumn("reason", reason).withColumn("status", status).withColumn("verdict", verdict).drop("_tried", "_got")
+
+
+RESULT = (
+    "total_return_pct", "benchmark_pct", "sharpe_ratio", "max_drawdown_pct", "num_trades", "rebalances", "beats_benchmark",
+    "failed_checks", "n_checks", "n_passed", "verdict",
+)
+
+
+def slate_research(
+    sums: DataFrame, panel: DataFrame, specs: DataFrame, calendar: DataFrame, pct: float = 0.2,
+    min_rows: int = 300, paths: int = bootstrap.PATHS,
+) -> DataFrame:
+    """Slates from critique to lockbox, one row for every spec, whatever becomes of it.
+
+    specs: slate_id, run_id, idx (place in its slate), universe_id, assets, family, ..., start, end
+    (dates or text). Approved specs are evaluated on train; of those with a result the deflated Sharpe
+    against their slate is one more check (trials: how many the slate had), and the winner is picked;
+    only winners see the lockbox (columns lockbox_*), and a lockbox without a result says why."""
+    asked = written(critiqued(specs).withColumnRenamed("run_id", "spec_id"), "slate-asked")
+    dated = asked.filter("approved").withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
+    dated = dated.select(F.col("spec_id").alias("run_id"), *[c for c in specs.columns if c not in ("run_id", "idx", "slate_id")])
+    located = written(with_segments(dated, calendar, pct), "slate-runs")
+
+    def judged(segment: str, runs: DataFrame) -> DataFrame:
+        spans = runs.select("run_id", "spec_id", F.col("start").alias("start_date"), F.col("end").alias("end_date"))
+        out = evaluate(sums, panel, runs, min_rows=min_rows, paths=paths).join(spans, "run_id")
+        return written(out.select("spec_id", "start_date", "end_date", *RESULT), f"slate-{segment}")
+
+    train_runs = located.filter("segment = 'train'")
+    train = judged("train", train_runs).join(asked.select("spec_id", "slate_id", "idx"), "spec_id")
+    tried = written(log.slate_dsr(train.filter("verdict <> 'error'")).select(
+        "spec_id", "slate_id", "idx", *RESULT, F.col("n_sharpes").alias("trials"), "dsr", "dsr_passed",
+    ), "slate-tried")
+    failed = F.when(F.col("dsr_passed"), F.col("failed_checks")).otherwise(F.array_append("failed_checks", F.lit(CHECK_DSR)))
+    best = log.slate_winner(tried, idx="idx").select("slate_id", F.col("winner").alias("idx"), F.col("reason").alias("winner_reason"))
+    winners = written(tried.join(best, ["slate_id", "idx"]).select("spec_id", "winner_reason"), "slate-winners")
+    box_runs = located.filter("segment = 'lockbox'").join(winners, "spec_id", "left_semi")
+    box = outcome(
+        winners.withColumns({"approved": F.lit(True), "problems": F.array().cast("array<string>")}), box_runs, judged("lockbox", box_runs)
+    ).select("spec_id", "winner_reason", *[
+        F.col(c).alias(f"lockbox_{c}") for c in ("status", "reason", "verdict", "total_return_pct", "benchmark_pct", "sharpe_ratio", "failed_checks")
+    ])
+    results = tried.withColumns({
+        "failed_checks": failed, "n_checks": F.col("n_checks") + 1, "n_passed": F.col("n_passed") + F.col("dsr_passed").cast("int"),
+    }).drop("slate_id", "idx")
+    out = outcome(asked, train_runs, results).join(box.withColumnRenamed("spec_id", "_won"), F.col("spec_id") == F.col("_won"), "left")
+    return out.withColumn("is_winner", F.col("_won").isNotNull()).drop("_won")
+
+
 def forward_evaluation(nav: DataFrame, positions: DataFrame) -> DataFrame:
     """Realized against expected performance since inception.
 
@@ -188,9 +260,12 @@ def gated_lab(
     stress = validate.stress_summary(results, ("base_id",)).select(
         F.col("base_id").alias("spec_id"), (F.col("verdict") == "ROBUST").alias("robust_pass"), "overall_rate", "confirmed"
     )
-    gates = train.join(box, "spec_id", "left").join(stress, "spec_id", "left").na.fill(
-        False, ["lockbox_pass", "robust_pass"]
-    )
+    # Every spec comes back: one that no gate could evaluate says so.
+    tried = located.select("spec_id", F.lit(True).alias("_tried")).distinct()
+    gates = specs.select(F.col("run_id").alias("spec_id")).join(tried, "spec_id", "left").join(train, "spec_id", "left")
+    gates = gates.join(box, "spec_id", "left").join(stress, "spec_id", "left")
+    reason = F.when(F.col("_tried").isNull(), "no dates in the calendar").when(F.col("train_pass").isNull(), "no train result")
+    gates = gates.withColumn("reason", reason).drop("_tried").na.fill(False, ["train_pass", "lockbox_pass", "robust_pass"])
     gates = written(gates, "gates")
     best = gates.filter("train_pass and lockbox_pass and robust_pass").agg(
         F.max_by("spec_id", F.struct("overall_rate", "confirmed", "spec_id")).alias("winner")

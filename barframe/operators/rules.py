@@ -117,5 +117,34 @@ def critique_warnings() -> Column:
     )
 
 
+def _span() -> tuple[Column, Column]:
+    return tuple(F.col(c).try_cast("date") for c in ("start", "end"))
+
+
+def portfolio_critique_problems() -> Column:
+    """start and end are dates, or text as users give it."""
+    start, end = _span()
+    return problems(
+        (start.isNull() | end.isNull(), "invalid ISO date"),
+        (end <= start, "end date must be after start date"),
+        (F.size(dedupe_assets(F.col("assets"))) < 2, "a portfolio needs at least 2 assets"),
+    )
+
+
+def portfolio_critique_warnings() -> Column:
+    start, end = _span()
+    n = F.size(dedupe_assets(F.col("assets")))
+    few = F.concat(F.lit("portfolio rotates across "), n.cast("string"), F.lit(" assets only"))
+    young = (end > start) & (F.datediff(end, start) < 365 * 3)
+    return F.array_compact(F.array(F.when(young, F.lit("backtest period is less than 3 years")), few))
+
+
+def required_changes() -> Column:
+    start, end = _span()
+    return problems(
+        (start.isNull() | end.isNull(), "use YYYY-MM-DD dates"), (end <= start, "choose an end date after the start date"),
+    )
+
+
 def sweep_qualifies(excess: Column, pf: Column, trades: Column, min_pf: float, min_trades: int) -> Column:
     return F.coalesce((excess > 0) & (pf > min_pf) & (trades >= min_trades), F.lit(False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barframe.functions.scalars import trading_days
@@ -232,6 +233,50 @@ def v5_verdicts(spark, sf):
     return rounded(out.select("run_id", *_SHOWN, "num_trades", "n_passed", "n_checks", "failed_checks", "verdict"), 6, *_SHOWN)
 
 
+# A slate of two specs that run, one after its end, one of a single asset, one off the calendar, one too short.
+BAD = (("one asset", FIRST, LAST), ("backwards", LAST, FIRST), ("long ago", "1950-01-01", "1960-01-01"), ("short", "1996-01-01", "1996-12-31"), ("no date", "1996-13-01", LAST))
+cte("slate_train", """SELECT split_part(n.run_id, '|', 1) AS run_id, split_part(n.run_id, '|', 2) AS segment, (arg_max(nav, pos) / 10000 - 1) * 100 AS ret,
+  avg(nav / prev - 1) / stddev_samp(nav / prev - 1) * sqrt(365) AS sharpe FROM (
+  SELECT n.*, coalesce(lag(nav) OVER (PARTITION BY n.run_id ORDER BY n.pos), 10000.0) AS prev FROM sg_nav n JOIN seg g ON n.run_id LIKE '%|' || g.segment AND n.pos BETWEEN g.p0 AND g.p1) n GROUP BY 1, 2""")
+cte("slate_bench", """SELECT segment, (avg(g) - 1) * 100 AS bench FROM (
+  SELECT s.segment, p.asset, arg_max(p.close, p.pos) / arg_min(p.close, p.pos) AS g FROM seg s JOIN panel_d p ON p.pos BETWEEN s.p0 AND s.p1 GROUP BY 1, 2) GROUP BY 1""")
+cte("slate_best", """SELECT run_id, CASE WHEN ret > bench THEN 'highest_sharpe_among_benchmark_beaters' ELSE 'highest_sharpe_overall_no_benchmark_beaters' END AS winner_reason
+FROM slate_train JOIN slate_bench USING (segment) WHERE segment = 'train' ORDER BY ret > bench DESC, sharpe DESC, ret DESC, run_id LIMIT 1""")
+
+
+_TRAIN_DAYS = f"greatest(2, CAST(round_even((DATE '{LAST}' - CAST(round_even((DATE '{LAST}' - DATE '{FIRST}') * 0.25::DOUBLE, 0) AS INTEGER) - 1 - DATE '{FIRST}') * 252 / 365.0, 0) AS INTEGER))"
+
+
+@query("v5_slate_research", f"""WITH spread AS (SELECT count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v FROM slate_train WHERE segment = 'train'),
+deflated AS (SELECT run_id, {psr_sql('sharpe', _TRAIN_DAYS, threshold_sql('v', 'n'))} AS dsr FROM slate_train, spread WHERE segment = 'train')
+SELECT o.run_id, o.status, o.reason, len(o.problems) AS n_problems, round(t.ret, 6) AS total_return_pct, round(t.sharpe, 6) AS sharpe_ratio,
+  CASE WHEN t.run_id IS NOT NULL THEN CAST(2 AS BIGINT) END AS trials, round(d.dsr, 6) AS dsr, w.run_id IS NOT NULL AS is_winner, w.winner_reason,
+  CASE WHEN w.run_id IS NOT NULL THEN round(l.ret, 6) END AS lockbox_total_return_pct
+FROM (VALUES ('cross_sectional_momentum/63', 'ok', NULL, []::VARCHAR[]), ('time_series_momentum/63', 'ok', NULL, []),
+  ('one asset', 'rejected', 'a portfolio needs at least 2 assets; at least 2 distinct assets are required; top_k cannot exceed the number of assets',
+    ['a', 'b', 'c']),
+  ('backwards', 'rejected', 'end date must be after start date', ['a']), ('long ago', 'error', 'no dates in the calendar', []),
+  ('short', 'error', 'too few rows', []), ('no date', 'rejected', 'invalid ISO date', ['a'])) o(run_id, status, reason, problems)
+LEFT JOIN slate_train t ON t.run_id = o.run_id AND t.segment = 'train' LEFT JOIN slate_train l ON l.run_id = o.run_id AND l.segment = 'lockbox'
+LEFT JOIN slate_best w ON w.run_id = o.run_id LEFT JOIN deflated d ON d.run_id = o.run_id""")
+def v5_slate(spark, sf):
+    """A slate with bad specs from critique to the winner's lockbox."""
+    panel = written(T.panel(spark, sf), "panel")
+    good = dated_specs(panel, (SLATE[0], SLATE[3])).withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+    first = good.filter(F.col("run_id") == SLATE[0][0])
+    bad = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("from"), F.lit(b).alias("to")) for n, a, b in BAD])).alias("bad")
+    bad = first.select("*", bad).withColumns({
+        "run_id": F.col("bad.name"), "start": F.col("bad.from"), "end": F.col("bad.to"),
+        "assets": F.when(F.col("bad.name") == "one asset", F.slice("assets", 1, 1)).otherwise(F.col("assets")),
+    }).drop("bad")
+    specs = good.unionByName(bad).withColumns({"slate_id": F.lit("S"), "idx": F.rank().over(Window.orderBy("run_id"))})
+    out = Re.slate_research(Wt.running_sums(panel), panel, specs, calendar(panel), 0.25)
+    out = out.withColumns({"run_id": F.col("spec_id"), "n_problems": F.size("problems").cast("bigint")})
+    return rounded(out.select(
+        "run_id", "status", "reason", "n_problems", "total_return_pct", "sharpe_ratio", "trials", "dsr", "is_winner", "winner_reason",
+        "lockbox_total_return_pct"), 6, "total_return_pct", "sharpe_ratio", "dsr", "lockbox_total_return_pct")
+
+
 @query("v10_gated_slate")
 def v10(spark, sf):
     """A fixed slate through train, lockbox and stress; each gate sees only what passed."""

@@ -57,3 +57,51 @@ def test_verdict_of_a_short_run_is_an_error(located):
     panel, _, runs = located
     out = Re.evaluate(Wt.running_sums(panel), panel, runs.filter("segment = 'lockbox'"), min_rows=500).collect()
     assert {r.verdict for r in out} == {"error"}
+
+
+def test_slate_comes_back_whole(spark, located):
+    """Every spec has a row, an outcome and a reason; the winner alone sees the lockbox."""
+    panel, specs, runs = located
+    text = specs.withColumns({c: F.col(c).cast("string") for c in ("start", "end")})
+    one = text.filter("run_id = 'dual_momentum'")
+
+    def bad(name, **cols):
+        return one.withColumn("run_id", F.lit(name)).withColumns({k: v if not isinstance(v, str) else F.lit(v) for k, v in cols.items()})
+
+    slate = (
+        text.unionByName(bad("one asset", assets=F.array(F.lit("A")))).unionByName(bad("backwards", start="2020-01-02", end="2019-01-01"))
+        .unionByName(bad("unread", start="soon")).unionByName(bad("early", start="1990-01-01", end="1995-01-01"))
+        .unionByName(bad("short", start="2017-01-01", end="2017-06-01")).unionByName(bad("no lookback", lookback=F.lit(5)))
+        .unionByName(bad("twice", assets=F.array(F.lit("A"), F.lit("a"), F.lit("A"))))
+    )
+    slate = slate.withColumns({"slate_id": F.lit("s"), "idx": F.when(F.col("run_id") == "dual_momentum", 2).otherwise(F.when(F.col("run_id") == "equal_weight_trend", 1).otherwise(9))})
+    sums = Wt.running_sums(panel)
+    out = {r.spec_id: r for r in Re.slate_research(sums, panel, slate, calendar(panel), 0.25, paths=100).collect()}
+    assert len(out) == slate.count() == 9
+    status = {k: (r.status, r.verdict) for k, r in out.items()}
+    assert {k for k, v in status.items() if v == ("rejected", "reject")} == {"one asset", "backwards", "unread", "no lookback", "twice"}
+    assert {k for k, v in status.items() if v == ("error", "error")} == {"early", "short"}
+    assert (out["early"].reason, out["short"].reason, out["unread"].reason) == ("no dates in the calendar", "too few rows", "invalid ISO date")
+    assert out["unread"].required_changes == ["use YYYY-MM-DD dates"] and out["backwards"].required_changes == ["choose an end date after the start date"]
+    assert out["short"].warnings == ["backtest period is less than 3 years", "portfolio rotates across 3 assets only"]
+    good = ("dual_momentum", "equal_weight_trend")
+    alone = {r.run_id: r for r in Re.evaluate(sums, panel, runs, paths=100).collect()}
+    for name in good:
+        want, got = alone[f"{name}|train"], out[name]
+        assert got.status == "ok" and got.trials == 2 and got.n_checks == want.n_checks + 1
+        assert got.failed_checks == want.failed_checks + ([] if got.dsr_passed else [Re.CHECK_DSR])
+        assert (got.verdict, got.n_passed) == (want.verdict, want.n_passed + int(got.dsr_passed))
+    best = max(good, key=lambda n: (out[n].beats_benchmark, out[n].sharpe_ratio))
+    assert [k for k, r in out.items() if r.is_winner] == [best] == [k for k, r in out.items() if r.lockbox_status is not None]
+    box = alone[f"{best}|lockbox"]
+    if box.verdict == "error":
+        assert out[best].lockbox_reason == "too few rows"
+    else:
+        assert out[best].lockbox_verdict == box.verdict and out[best].lockbox_total_return_pct == pytest.approx(box.total_return_pct)
+
+
+def test_slate_without_a_runnable_spec(spark, located):
+    panel, specs, _ = located
+    slate = specs.withColumns({"slate_id": F.lit("s"), "idx": F.lit(1), "assets": F.array(F.lit("A"))})
+    out = Re.slate_research(Wt.running_sums(panel), panel, slate, calendar(panel), paths=0).collect()
+    assert len(out) == 2 and {(r.status, r.is_winner) for r in out} == {("rejected", False)}
