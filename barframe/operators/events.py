@@ -163,6 +163,48 @@ def learning_status() -> Column:
     )
 
 
+def lab_context(panel: DataFrame, split: Column) -> DataFrame:
+    """Per universe its assets in order, its dates and where the lockbox begins."""
+    listed = F.array_sort(F.collect_set(F.struct("asset_ord", "asset")))
+    return panel.groupBy("universe_id").agg(
+        F.transform(listed, lambda x: x["asset"]).alias("assets"), F.min("ts").alias("start_date"), F.max("ts").alias("end_date"),
+        F.max(F.when(F.col("ts") < split, F.col("ts"))).alias("train_end"), F.min(F.when(F.col("ts") >= split, F.col("ts"))).alias("lockbox_start"),
+    )
+
+
+def learning_log(
+    results: DataFrame, specs: DataFrame, context: DataFrame, at: Column | None = None, event_window: int = 20, z_lookback: int = 252,
+) -> DataFrame:
+    """learning_records with everything a later reader needs: parameters, metrics of both segments,
+    stress summary, dates and gate denominators, nested as the log keeps them."""
+    learned = learning_records(results, specs).withColumnRenamed("verdict", "_verdict")
+    own = ["spec_id", "universe_id", "leader", "target", "direction", "z_threshold", "lag", "hold", "cost"]
+    extra = F.col("hypothesis") if "hypothesis" in specs.columns else F.lit(None).cast("string")
+    asked = specs.select(*own, extra.alias("mechanism")).join(context, "universe_id")
+    numbers = results.select("spec_id", *[c for c in results.columns if c not in learned.columns and c not in asked.columns])
+    rows = learned.join(asked, "spec_id").join(numbers, "spec_id")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    stamp = F.date_format(F.current_timestamp() if at is None else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    gates = ("candidates", "train_survivors", "lockbox_survivors", "robust_survivors")
+    return rows.select(
+        stamp.alias("timestamp"), "mode", "is_lockbox", "asset", "strategy_family", F.col("_verdict").alias("verdict"), "learning_status",
+        "lesson", "mechanism", *[day(c) for c in ("start_date", "end_date", "train_end", "lockbox_start")],
+        F.struct(
+            "assets", "leader", "target", "direction", "z_threshold", F.lit(event_window).alias("event_window"),
+            F.lit(z_lookback).alias("z_lookback_days"), F.col("lag").alias("lag_days"), F.col("hold").alias("hold_days"),
+            F.col("cost").alias("cost_per_turnover"),
+        ).alias("params"),
+        F.struct(
+            "train_annualized_return_pct", "train_sharpe", "train_max_drawdown_pct",
+            *[F.col(c).alias(f"lockbox_{c}") for c in ("annualized_return_pct", "sharpe", "max_drawdown_pct")],
+            F.col("buy_hold_annualized_pct").alias("lockbox_buy_hold_annualized_pct"), F.col("buy_hold_sharpe").alias("lockbox_buy_hold_sharpe"),
+            "exposure_pct", "num_entries",
+        ).alias("metrics"),
+        F.struct("tested", "passed", "pass_rate", F.col("stress_verdict").alias("verdict")).alias("stress_summary"),
+        F.struct(*gates, F.col("slate_verdict").alias("verdict")).alias("gate_denominators"), "spec_id",
+    )
+
+
 def learning_records(results: DataFrame, specs: DataFrame) -> DataFrame:
     """One log row per candidate of a lab: status, lesson and the gate counts of its whole slate."""
     counts = funnel(results).withColumn("_all", F.lit(1))
@@ -189,7 +231,7 @@ def learning_records(results: DataFrame, specs: DataFrame) -> DataFrame:
         .select(
             F.lit("event_followthrough").alias("mode"), F.lit(False).alias("is_lockbox"), F.col("target").alias("asset"),
             F.lit("event_followthrough").alias("strategy_family"), status.alias("verdict"), "learning_status",
-            lesson.alias("lesson"), "spec_id", "candidates", "train_survivors", "lockbox_survivors", "robust_survivors",
+            lesson.alias("lesson"), "spec_id", "candidates", "train_survivors", "lockbox_survivors", "robust_survivors", "slate_verdict",
         )
     )
 
@@ -232,7 +274,7 @@ def lab(panel: DataFrame, specs: DataFrame, split: Column) -> DataFrame:
     m = written(daily_metrics(event_daily(panel, specs).withColumn("segment", segment), keys), "lab-metrics")
     train = m.filter("segment = 'train'").select(
         "spec_id", passes_train().alias("train_pass"), F.col("sharpe").alias("train_sharpe"),
-        F.col("annualized_return_pct").alias("train_annualized_return_pct"),
+        F.col("annualized_return_pct").alias("train_annualized_return_pct"), F.col("max_drawdown_pct").alias("train_max_drawdown_pct"),
     )
     box = m.filter("segment = 'lockbox'").withColumn("lockbox_pass", passes_lockbox()).drop("segment")
     gated = box.join(train, "spec_id")

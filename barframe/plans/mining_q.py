@@ -251,6 +251,31 @@ def a45(spark, sf):
     return E.learning_records(results, specs).select("spec_id", "learning_status", "candidates", "train_survivors")
 
 
+@query("a45_learning_log_round_trip", f"""SELECT g.spec_id, s.leader, s.target, CAST(s.lag AS INTEGER) AS lag_days, s.zt AS z_threshold, round(g.sharpe, 6) AS lockbox_sharpe, round(g.pass_rate, 6) AS pass_rate,
+  (SELECT count(*) FROM lab_gates) AS candidates, (SELECT count(*) FROM lab_gates WHERE train_pass) AS train_survivors,
+  (SELECT strftime(max(ts), '%Y-%m-%d') FROM panel_d WHERE ts < DATE '{SPLIT}') AS train_end, (SELECT strftime(min(ts), '%Y-%m-%d') FROM panel_d) AS start_date
+FROM lab_gates g JOIN ev_specs s ON s.spec_id = g.spec_id""")
+def a45_log(spark, sf):
+    """Whole learning records written as JSON lines, read back, stored, and read by their paths."""
+    from barframe.session import work_path
+    from barframe.sources import logs as Lg
+
+    panel, specs = event_setup(spark, sf)
+    split = F.lit(SPLIT).cast("date")
+    results = written(E.lab(panel, specs, split), "lab")
+    lines, table = work_path(spark, "learning-log"), work_path(spark, "learning-table")
+    Lg.append_json(E.learning_log(results, specs, E.lab_context(panel, split)), lines)
+    Lg.store_log(Lg.read_log(spark, lines), table)
+    stored = spark.read.parquet(table).select(
+        Lg.field("spec_id").alias("spec_id"), Lg.field("params.leader").alias("leader"), Lg.field("params.target").alias("target"),
+        Lg.field("params.lag_days", "int").alias("lag_days"), Lg.field("params.z_threshold", "double").alias("z_threshold"),
+        Lg.field("metrics.lockbox_sharpe", "double").alias("lockbox_sharpe"), Lg.field("stress_summary.pass_rate", "double").alias("pass_rate"),
+        Lg.field("gate_denominators.candidates", "bigint").alias("candidates"),
+        Lg.field("gate_denominators.train_survivors", "bigint").alias("train_survivors"),
+        Lg.field("train_end").alias("train_end"), Lg.field("start_date").alias("start_date"))
+    return rounded(stored, 6, "lockbox_sharpe", "pass_rate")
+
+
 @query("a46_gate_funnel", """SELECT candidates, train_survivors, lockbox_survivors, robust_survivors, CASE WHEN candidates = 0 THEN 'REJECTED_NO_EVENT_CANDIDATES' WHEN train_survivors = 0 THEN 'REJECTED_NO_TRAIN_SURVIVORS'
   WHEN lockbox_survivors = 0 THEN 'REJECTED_NO_LOCKBOX_SURVIVORS' WHEN robust_survivors = 0 THEN 'REJECTED_FRAGILE_LOCKBOX_SURVIVORS' ELSE 'PAPER_TRADE_CANDIDATE' END AS verdict
 FROM (SELECT count(*) AS candidates, count(*) FILTER (train_pass) AS train_survivors, count(*) FILTER (train_pass AND lockbox_pass) AS lockbox_survivors, count(*) FILTER (train_pass AND lockbox_pass AND robust_pass) AS robust_survivors FROM lab_gates)""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PARAMS = (
@@ -52,18 +52,40 @@ def append_json(records: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, schema: str = RESEARCH_LOG) -> DataFrame:
-    """Malformed lines are skipped; a missing path is an empty log."""
+    """The typed columns of `schema` beside `record`, the whole line as a VARIANT, so fields that no
+    column names are kept. Lines that are no JSON object are skipped; a field of another type is NULL
+    in its column only; a missing path is an empty log."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+        return spark.createDataFrame([], schema).withColumn("record", F.parse_json(F.lit(None).cast("string")))
+    lines = spark.read.text(path).select("value", F.try_parse_json("value").alias("record"))
+    known = lines.filter(F.schema_of_variant("record").startswith("OBJECT")).withColumn("_t", F.from_json("value", schema))
+    return known.select("_t.*", "record")
+
+
+def append_records(log: DataFrame, path: str) -> None:
+    """Append whole records as they were read, whatever fields they have."""
+    log.select(F.to_json("record").alias("value")).write.mode("append").text(path)
+
+
+def field(path: str, kind: str = "string") -> Column:
+    """A field of the whole record, such as field("params.leader"); NULL where it is absent or does
+    not fit. Over a stored log only the asked paths are read."""
+    return F.try_variant_get("record", "$." + path, kind)
+
+
+def store_log(log: DataFrame, path: str) -> None:
+    """Typed columns and whole records as a table by mode; later appends add files."""
+    log.write.mode("append").partitionBy("mode").parquet(path)
 
 
 def flat_log(log: DataFrame) -> DataFrame:
     """The columns the log operators use."""
-    # The whole record: variants that differ in parameters or metrics only are records of their own.
+    # The whole record: variants that differ in any field are records of their own, whatever the
+    # order of their fields.
+    whole = F.to_json("record") if "record" in log.columns else F.to_json(F.struct("*"))
     return log.select(
-        F.xxhash64(F.to_json(F.struct("*"))).alias("record_id"), "timestamp", "mode", "is_lockbox", "slate_id", "asset", "strategy_family",
+        F.xxhash64(whole).alias("record_id"), "timestamp", "mode", "is_lockbox", "slate_id", "asset", "strategy_family",
         "verdict", "learning_status", "failed_checks", F.to_date("start_date").alias("start_date"),
         F.to_date("end_date").alias("end_date"), "params.assets", F.col("params.lookback_days").alias("lookback"),
         "params.top_k", F.col("params.rebalance_days").alias("rebalance"), "metrics.*",

@@ -124,3 +124,29 @@ def test_live_book_stream(spark):
 def test_rebalance_cost(spark):
     post, traded = Bk.rebalance(10_000.0, {"A": 0.0}, {"A": 1.0}, 0.0015)
     assert post == pytest.approx(10_000 / 1.0015) and traded == pytest.approx(post)
+
+
+def test_whole_records_survive_write_and_read(spark):
+    records = [
+        {"timestamp": "t1", "mode": "event", "mechanism": "m", "params": {"leader": "A", "lag_days": 5, "assets": ["A", "B"]}, "metrics": {"train_sharpe": 1.25, "own": {"deep": [1, {"x": None}]}}, "gate_denominators": {"candidates": 6}},
+        {"timestamp": "t2", "mode": "portfolio", "params": {"top_k": "many", "lookback_days": 30}, "initial_cash": 10000.5, "verdict": "reject"},
+        {"verdict": "reject", "timestamp": "t3", "mode": "portfolio"},
+    ]
+    path, copy, table = (work_path(spark, n) for n in ("log", "log-copy", "log-table"))
+    lines = [json.dumps(r) for r in records] + ["{broken", "", "[1, 2]", "7", '{"timestamp": "t3", "mode": "portfolio", "verdict": "reject"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    log = Lg.read_log(spark, path)
+    got = {r.timestamp: r for r in log.withColumn("json", F.to_json("record")).collect()}
+    assert {k: json.loads(r.json) for k, r in got.items()} == {r["timestamp"]: r for r in records}
+    assert got["t2"].params.lookback_days == 30 and got["t2"].params.top_k is None  # of another type: kept in the record only
+    Lg.append_records(log, copy)
+    assert sorted(map(json.dumps, (json.loads(r.json) for r in Lg.read_log(spark, copy).select(F.to_json("record").alias("json")).collect()))) == sorted(
+        map(json.dumps, (json.loads(r.json) for r in log.select(F.to_json("record").alias("json")).collect())))
+    ids = [r.record_id for r in Lg.flat_log(log).collect()]
+    assert len(ids) == 4 and len(set(ids)) == 3  # the order of fields makes no other record
+    Lg.store_log(log, table)
+    stored = spark.read.parquet(table)
+    asked = stored.filter("mode = 'event'").select(
+        Lg.field("params.leader").alias("leader"), Lg.field("metrics.own.deep[0]", "int").alias("deep"), Lg.field("gate_denominators.candidates", "int").alias("n"),
+        Lg.field("no.such").alias("none"), Lg.field("params.leader", "int").alias("unfit"))
+    assert tuple(asked.first()) == ("A", 1, 6, None, None)
