@@ -100,6 +100,31 @@ def with_costs(trades: DataFrame, cost_bps: Column | float) -> DataFrame:
     )
 
 
+def with_notional_costs(trades: DataFrame, cost_bps: Column | float) -> DataFrame:
+    """Net return where each side pays basis points of its own notional: the exit pays on what it
+    sells for, not on the entry."""
+    c = (cost_bps if isinstance(cost_bps, Column) else F.lit(cost_bps)) / 10000
+    paid = c * (F.col("entry_price") + F.col("exit_price")) / F.col("entry_price") * 100
+    return trades.withColumn("net_return_pct", F.col("gross_return_pct") - paid)
+
+
+def cost_stress(trades: DataFrame, keys: Keys, order: str = "entry_ts") -> DataFrame:
+    """Summary of trades after costs on notional: returns are summed as R, a table without losing
+    trades divides its gains by 0.0001."""
+    net = F.col("net_return_pct")
+    marked = trades.withColumn("_eq", F.product(1 + net / 100).over(cumulative(keys, order)))
+    marked = marked.withColumn("_dd", (F.col("_eq") / F.max("_eq").over(cumulative(keys, order)) - 1) * 100)
+    gain, loss = F.sum(F.when(net > 0, net).otherwise(0.0)), F.abs(F.sum(F.when(net <= 0, net)))
+    loss = F.coalesce(loss, F.lit(0.0001))
+    return marked.groupBy(*keys).agg(
+        F.count("*").alias("trades"), ((F.product(1 + net / 100) - 1) * 100).alias("net_return_pct"),
+        ((F.product(1 + F.col("gross_return_pct") / 100) - 1) * 100).alias("gross_return_pct"),
+        (F.avg((net > 0).cast("double")) * 100).alias("win_rate"), F.avg(net).alias("avg_r"), F.sum(net).alias("total_r"),
+        F.min("_dd").alias("max_dd_pct"), F.when(loss > 0, gain / loss).otherwise(float("inf")).alias("profit_factor"),
+        F.avg("bars_held").alias("avg_hold_bars"),
+    )
+
+
 def summarize_trades(trades: DataFrame, keys: Keys, order: str = "entry_ts") -> DataFrame:
     """Trade count, compounded returns, R totals, win rate, profit factor (infinite without
     losses), drawdown of the trade curve, mean holding time."""

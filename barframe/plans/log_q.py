@@ -110,14 +110,14 @@ def a23(spark, sf):
     return rounded(out, 6, "psr")
 
 
-@query("a26_sweep_deflated_sharpe", f"""WITH s AS (SELECT family, count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v, max(sharpe) FILTER (verdict = 'worth_paper_trading') AS best,
-  max({_DAYS}) AS days FROM rlog WHERE mode = 'portfolio' GROUP BY 1)
-SELECT family AS strategy_family, round(best, 6) AS best_sharpe, round({psr_sql('best', 'days', threshold_sql('v', 'n'))}, 6) AS sweep_dsr FROM s""")
+@query("a26_sweep_deflated_sharpe", f"""WITH s AS (SELECT mode, family, count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v, max(sharpe) FILTER (verdict = 'worth_paper_trading') AS best,
+  max({_DAYS}) AS days FROM rlog GROUP BY 1, 2)
+SELECT mode, family AS strategy_family, round(best, 6) AS best_sharpe, round({psr_sql('best', 'days', threshold_sql('v', 'n'))}, 6) AS sweep_dsr FROM s""")
 def a26(spark, sf):
-    log = rlog(spark, sf).filter("mode = 'portfolio'").withColumns({
+    log = rlog(spark, sf).withColumns({
         "ok": F.lit(True), "confirms": F.col("verdict") == L.CONFIRMED,
         "n_days": Sc.trading_days(F.col("start_date"), F.col("end_date"))})
-    return rounded(L.sweep_dsr(log, ("strategy_family",)), 6, "best_sharpe", "sweep_dsr")
+    return rounded(L.sweep_dsr(log, ("mode", "strategy_family")), 6, "best_sharpe", "sweep_dsr")
 
 
 cte("budget_all", f"SELECT count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v FROM rlog WHERE {_PTRIAL}")
@@ -406,13 +406,14 @@ def p7(spark, sf):
     return df.select("custkey", F.col("s.train_end").alias("train_end"), F.col("s.lockbox_start").alias("lockbox_start"), Sc.trading_days(F.col("a"), F.col("b")).alias("trading_days"))
 
 
-@query("a8_annualize", "SELECT custkey, round(CASE WHEN b - a <= 0 THEN 0 ELSE (greatest(1 + (custkey % 300 - 120) / 100, 1e-9) ** (365.0 / (b - a)) - 1) * 100 END, 4) AS annualized_pct FROM spans WHERE b - a <= 0 OR b - a > 300")
+@query("a8_annualize", """SELECT custkey, CASE WHEN r < 1e6 THEN round(r, 4) END AS annualized_pct, CASE WHEN r >= 1e6 THEN round(ln(r), 6) END AS log_annualized
+FROM (SELECT custkey, CASE WHEN b - a <= 0 THEN 0 ELSE (greatest(1 + (custkey % 300 - 120) / 100, 1e-9) ** (365.0 / (b - a)) - 1) * 100 END AS r FROM spans)""")
 def a8(spark, sf):
-    # Powers of very short spans leave double range; a span of 0 has a rule of its own.
-    span = F.datediff("b", "a")
-    df = spans(spark, sf).filter((span <= 0) | (span > 300))
-    r = (F.col("custkey") % 300 - 120).cast("double")
-    return rounded(df.select("custkey", Sc.annualize(r, F.datediff("b", "a")).alias("annualized_pct")), 4, "annualized_pct")
+    """All spans; where short ones give huge numbers their logarithms are compared."""
+    df = spans(spark, sf).withColumn("r", Sc.annualize((F.col("custkey") % 300 - 120).cast("double"), F.datediff("b", "a")))
+    huge = F.col("r") >= 1e6
+    return df.select(
+        "custkey", F.when(~huge, F.round("r", 4)).alias("annualized_pct"), F.when(huge, F.round(F.ln("r"), 6)).alias("log_annualized"))
 
 
 @query("f1_f2_normal", f"""SELECT event_id, round({NS.cdf('z')}, 9) AS cdf, round({NS.two_sided_p('z')}, 9) AS tail, round({ppf_sql('p')}, 7) AS ppf

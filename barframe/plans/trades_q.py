@@ -136,6 +136,22 @@ def a40b(spark, sf):
     return rounded(Tr.cost_survivorship(summary(spark, sf), ("asset", "param_id"))[1], 5, "net_0bps", "net_20bps", "erosion_pct")
 
 
+_STRESS = ("net_return_pct", "gross_return_pct", "win_rate", "avg_r", "total_r", "max_dd_pct", "profit_factor", "avg_hold_bars")
+
+
+@query("a10_notional_cost_stress", "WITH t AS (SELECT asset, param_id, cost_bps, entry_ts, gross, bars_held, gross - c.cost_bps / 10000 * (entry_price + exit_price) / entry_price * 100 AS net "
+       "FROM tr_long, (VALUES (0.0::DOUBLE), (2.0), (5.0), (10.0), (20.0)) c(cost_bps)), e AS (SELECT *, product(1 + net / 100) OVER (PARTITION BY asset, param_id, cost_bps ORDER BY entry_ts) AS eq FROM t), "
+       "d AS (SELECT *, (eq / max(eq) OVER (PARTITION BY asset, param_id, cost_bps ORDER BY entry_ts) - 1) * 100 AS dd FROM e) "
+       "SELECT asset, param_id, cost_bps, trades, " + ", ".join(f"round({c}, 5) AS {c}" for c in _STRESS) + " FROM (SELECT asset, param_id, cost_bps, count(*) AS trades, "
+       "(product(1 + net / 100) - 1) * 100 AS net_return_pct, (product(1 + gross / 100) - 1) * 100 AS gross_return_pct, avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) * 100 AS win_rate, avg(net) AS avg_r, "
+       "sum(net) AS total_r, min(dd) AS max_dd_pct, sum(greatest(net, 0)) / coalesce(abs(sum(CASE WHEN net <= 0 THEN net END)), 0.0001) AS profit_factor, avg(bars_held) AS avg_hold_bars FROM d GROUP BY 1, 2, 3)")
+def a10_notional(spark, sf):
+    """The cost grid with each side paying on its own notional."""
+    levels = F.explode(F.array(*[F.lit(c) for c in COSTS])).alias("cost_bps")
+    t = Tr.with_notional_costs(trades(spark, sf).select("*", levels), F.col("cost_bps"))
+    return rounded(Tr.cost_stress(t, ("asset", "param_id", "cost_bps")), 5, *_STRESS)
+
+
 @query("v17_open_position_stops", """SELECT t.asset, t.param_id, t.entry_ts, round(t.entry_price, 6) AS entry_price, t.exit_reason = 'end_of_data' AS is_open,
 CASE WHEN exit_reason = 'end_of_data' THEN round(t.hard, 6) END AS hard_stop,
 CASE WHEN exit_reason = 'end_of_data' THEN round(greatest(entry_price, m) - CASE param_id WHEN 't1' THEN 3 ELSE 4 END * entry_atr, 6) END AS trailing_stop,
