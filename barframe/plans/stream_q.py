@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from barframe.operators import replay as R
 from barframe.plans import portfolio_q as PQ
 from barframe.plans import tables as T
-from barframe.plans.registry import query, rounded
-from barframe.session import work_path
+from barframe.plans.registry import cte, query, rounded
+from barframe.session import work_path, written
 from barframe.streaming import bars as SB
 from barframe.streaming import books as Bk
 
@@ -37,21 +37,24 @@ def book_bars(spark, sf, *ids):
     return packed.withColumn("weights", F.when(F.size("_w") > 0, F.map_from_entries("_w"))).drop("_w")
 
 
-def live_ledger(spark, sf, *ids, again: bool = False):
-    """Bars land year by year, each book's bars of a year in one file, and are ticked one file at a
-    time. The years are those of the bars. With again, the first two are delivered a second time;
-    the books must ignore them."""
+def live_ledger(spark, sf, *ids, again: bool = False, books=None, as_of=None):
+    """Bars land as one write and are ticked; with again, a part of them is delivered before, so the
+    books have to go on from their state and ignore what they have seen."""
     bars = Bk.split_valid(book_bars(spark, sf, *ids))[0]
-    staged = work_path(spark, "book-bars")
-    bars.withColumn("year", F.year("ts")).write.partitionBy("year").parquet(staged)
-    landing = work_path(spark, "landing")
-    table = spark.read.parquet(staged)
-    years = sorted(r.year for r in table.select("year").distinct().collect())
-    for year in years + (years[:2] if again else []):
-        table.filter(F.col("year") == year).drop("year").repartition("book_id").write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(Bk.BOOK_BAR).option("maxFilesPerTrigger", 1).parquet(landing)
-    out = work_path(spark, "ledger")
-    Bk.run_available(Bk.ledger_stream(stream, COST, R.INITIAL_CASH), out, work_path(spark, "ledger-state"))
+    staged, landing = work_path(spark, "book-bars"), work_path(spark, "landing")
+    out, state = work_path(spark, "ledger"), work_path(spark, "ledger-state")
+    bars.write.parquet(staged)
+    table = spark.read.schema(Bk.BOOK_BAR).parquet(staged)
+
+    def deliver(part):
+        part.repartition("book_id").write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(Bk.BOOK_BAR).parquet(landing)
+        ledger = Bk.ledger_stream(stream, COST, R.INITIAL_CASH) if books is None else Bk.ledger_stream(Bk.opened(stream, books, as_of))
+        Bk.run_available(ledger, out, state)
+
+    if again:
+        deliver(table.filter(F.col("ts") < F.lit("1997-07-01").cast("date")))
+    deliver(table)
     return spark.read.parquet(out)
 
 
@@ -65,6 +68,24 @@ def r2(spark, sf):
     return rounded(led, 3, "post_nav", "costs", "traded_value")
 
 
+INCEPTION, AS_OF = "1996-03-01", "2000-06-30"
+cte("wt_live", f"SELECT * FROM wt_all WHERE exec_pos >= (SELECT min(pos) FROM panel_d WHERE ts >= DATE '{INCEPTION}')")
+PQ.sequential_nav("live", "panel_d", "wt_live")
+
+
+@query("r1_book_inception_as_of", f"""SELECT f.run_id AS book_id, p.ts, f.is_order, round(f.nav, 3) AS post_nav, round(f.paid, 3) AS costs, round(f.traded, 3) AS traded_value
+FROM live_nav f JOIN (SELECT DISTINCT pos, ts FROM panel_d) p ON p.pos = f.pos WHERE p.ts BETWEEN DATE '{INCEPTION}' AND DATE '{AS_OF}'""")
+def r1_inception(spark, sf):
+    """Books opened at a later day with their own cash and costs, ticked up to a given day, twice."""
+    ids = book_bars(spark, sf).select("book_id").distinct()
+    books = ids.select(
+        "book_id", F.lit(INCEPTION).cast("date").alias("inception_date"), F.lit(R.INITIAL_CASH).alias("cash"), F.lit(COST).alias("cost_rate"),
+        F.lit(None).cast("map<string,double>").alias("positions"), F.lit(None).cast("date").alias("last_bar_date"), F.lit("open").alias("status"))
+    led = live_ledger(spark, sf, again=True, books=written(books, "books"), as_of=F.lit(AS_OF).cast("date"))
+    led = led.select("book_id", "ts", "is_order", "post_nav", "costs", "traded_value")
+    return rounded(led, 3, "post_nav", "costs", "traded_value")
+
+
 @query("v14_live_book_status", """SELECT run_id AS book_id, count(*) AS forward_days, round((arg_max(nav, pos) / 10000 - 1) * 100, 4) AS realized_return_pct, round(min(nav / peak - 1) * 100, 4) AS realized_max_drawdown_pct,
 CASE WHEN min(nav / peak - 1) * 100 < -60 THEN 'DRAWDOWN_BREACH' WHEN count(*) < 63 THEN 'TOO_EARLY' WHEN arg_max(nav, pos) < 10000 THEN 'DIVERGING' ELSE 'TRACKING' END AS status
 FROM (SELECT *, max(nav) OVER (PARTITION BY run_id ORDER BY pos) AS peak FROM fam_nav WHERE pos >= 0) GROUP BY 1""")

@@ -5,6 +5,10 @@ target, or NULL when there is no order). A book's state is its cash, its shares
 it has processed; bars at or before that one are dropped, so a repeated file adds nothing. A bar
 without a price for an asset the book holds, or that leaves no positive NAV, changes nothing: its
 ledger row names the problem and has no amounts.
+
+Opened books (`opened`) start at their inception with their own cash and costs, take bars up to a
+given day only, and a book that was saved (`handed_over`) goes on from its cash, shares and last bar
+under a new checkpoint.
 """
 
 from __future__ import annotations
@@ -23,9 +27,14 @@ from barframe.operators.rules import problems
 from barframe.operators.validate import forward_status
 
 BOOK_BAR = "book_id string, ts date, closes map<string,double>, weights map<string,double>"
+BOOK = (
+    "book_id string, inception_date date, cash double, cost_rate double, positions map<string,double>, "
+    "last_bar_date date, status string"
+)
 LEDGER = (
     "book_id string, ts date, is_order boolean, pre_nav double, post_nav double, cash double, "
-    "traded_value double, costs double, positions map<string,double>, problem string"
+    "traded_value double, costs double, positions map<string,double>, closes map<string,double>, "
+    "target_weights map<string,double>, problem string"
 )
 STATE = "cash double, positions string, last_bar string"
 MAX_ROUNDS = 50
@@ -74,14 +83,30 @@ def rebalance(nav: float, values: dict[str, float], weights: dict[str, float], c
     return post, traded_at(post)
 
 
-def advance(cost: float, cash: float):
-    """The state function of one book."""
+def opened(bars: DataFrame, books: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Bars of the open books from their inception on, up to and including as_of, with what each
+    book starts from. books (BOOK columns) is a plain table beside the stream; a book joins it by id."""
+    start = books.filter(F.coalesce("status", F.lit("open")) == "open").select(
+        F.col("book_id").alias("_book"), "inception_date", F.col("cash").alias("_cash"), F.col("cost_rate").alias("_cost"),
+        F.to_json(F.coalesce("positions", F.create_map().cast("map<string,double>"))).alias("_positions"),
+        F.coalesce(F.date_format("last_bar_date", "yyyy-MM-dd"), F.lit("")).alias("_last"),
+    )
+    live = bars.join(start, F.col("book_id") == F.col("_book")).filter(F.col("ts") >= F.col("inception_date"))
+    if as_of is not None:
+        live = live.filter(F.col("ts") <= as_of)
+    return live.drop("_book", "inception_date")
+
+
+def advance(cost: float | None = None, cash: float | None = None):
+    """The state function of one book; without cost and cash the rows carry them (`opened`)."""
     import pandas as pd
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        money, held, last = state.get if state.exists else (cash, "{}", "")
-        shares: dict[str, float] = json.loads(held)
         bars = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        begin = (cash, "{}", "") if cash is not None else tuple(bars.iloc[0][c] for c in ("_cash", "_positions", "_last"))
+        rate = cost if cost is not None else float(bars.iloc[0]["_cost"])
+        money, held, last = state.get if state.exists else begin
+        shares: dict[str, float] = json.loads(held)
         rows = []
         for bar in bars.itertuples(index=False):
             day = bar.ts.isoformat()
@@ -94,30 +119,45 @@ def advance(cost: float, cash: float):
             unpriced = sorted(a for a, n in shares.items() if n and a not in closes)
             problem = f"no price for held {', '.join(unpriced)}" if unpriced else None if pre > 0 else "NAV is not positive"
             if problem:
-                rows.append((key[0], bar.ts, False, *(None,) * 5, dict(shares), problem))
+                rows.append((key[0], bar.ts, False, *(None,) * 5, dict(shares), closes, None, problem))
                 continue
-            post, traded = (pre, 0.0) if order is None else rebalance(pre, values, order, cost)
+            post, traded = (pre, 0.0) if order is None else rebalance(pre, values, order, rate)
             if order is not None:
                 shares = {a: order.get(a, 0.0) * post / p for a, p in closes.items()}
                 money = post * (1.0 - sum(order.values()))
+            # Between orders the weights are those the book has drifted to.
+            target = {a: order.get(a, 0.0) if order is not None else values[a] / post for a in closes}
             last = day
             rows.append((
-                key[0], bar.ts, order is not None, pre, post, money, traded, pre - post, dict(shares), None,
+                key[0], bar.ts, order is not None, pre, post, money, traded, pre - post, dict(shares), closes, target, None,
             ))
-        state.update((money, json.dumps(shares), last))
+        state.update((float(money), json.dumps(shares), last))
         names = [f.split()[0] for f in LEDGER.replace("map<string,double>", "map").split(", ")]
         yield pd.DataFrame(rows, columns=names)
 
     return step
 
 
-def ledger_stream(bars: DataFrame, cost: float, cash: float) -> DataFrame:
-    """Ledger rows of all books, appended as bars arrive."""
+def ledger_stream(bars: DataFrame, cost: float | None = None, cash: float | None = None) -> DataFrame:
+    """Ledger rows of all books, appended as bars arrive. Bars of opened() books carry cost and cash."""
     return bars.groupBy("book_id").applyInPandasWithState(
         advance(cost, cash), LEDGER, STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
+def handed_over(ledger: DataFrame, books: DataFrame) -> DataFrame:
+    """The books as their ledgers leave them, to be saved and opened again."""
+    last = ledger.filter("problem is null").groupBy(F.col("book_id").alias("_book")).agg(
+        F.max_by(F.struct("cash", "positions", "ts"), "ts").alias("_l")
+    )
+    went_on = F.col("_l").isNotNull()
+    return books.join(last, F.col("book_id") == F.col("_book"), "left").withColumns({
+        "cash": F.when(went_on, F.col("_l.cash")).otherwise(F.col("cash")),
+        "positions": F.when(went_on, F.col("_l.positions")).otherwise(F.col("positions")),
+        "last_bar_date": F.when(went_on, F.col("_l.ts")).otherwise(F.col("last_bar_date")),
+    }).drop("_book", "_l")
+
+
 def ledger_report(ledger: DataFrame) -> DataFrame:
     """The ledger as reported: money to 6 places, shares to 8."""
     money = ("pre_nav", "post_nav", "cash", "traded_value", "costs")

@@ -150,3 +150,35 @@ def test_whole_records_survive_write_and_read(spark):
         Lg.field("params.leader").alias("leader"), Lg.field("metrics.own.deep[0]", "int").alias("deep"), Lg.field("gate_denominators.candidates", "int").alias("n"),
         Lg.field("no.such").alias("none"), Lg.field("params.leader", "int").alias("unfit"))
     assert tuple(asked.first()) == ("A", 1, 6, None, None)
+
+
+def test_books_open_at_inception_and_are_handed_over(spark):
+    """Inception, as_of, own cash and costs; a saved book goes on under a new checkpoint as if it had never stopped."""
+    rows = [(b, day(i), {"A": 100.0 + i, "B": 50.0}, {"A": 0.5, "B": 0.3} if i % 3 == 0 else None) for b in ("x", "y", "shut") for i in range(12)]
+    landing = work_path(spark, "bars")
+    spark.createDataFrame(rows, Bk.BOOK_BAR).coalesce(1).write.parquet(landing)
+    books = spark.createDataFrame([
+        ("x", day(2), 1000.0, 0.01, None, None, "open"), ("y", day(0), 5000.0, 0.0, {"A": 10.0}, day(3), "open"), ("shut", day(0), 1.0, 0.0, None, None, "closed"),
+    ], Bk.BOOK)
+
+    def tick(held, as_of, out, state):
+        stream = spark.readStream.schema(Bk.BOOK_BAR).parquet(landing)
+        Bk.run_available(Bk.ledger_stream(Bk.opened(stream, held, F.lit(as_of))), out, state)
+        return spark.read.parquet(out)
+
+    whole = tick(books, day(9), work_path(spark, "out"), work_path(spark, "state")).cache()
+    got = {(r.book_id, (r.ts - D0).days): r for r in whole.collect()}
+    assert sorted(i for b, i in got if b == "x") == list(range(2, 10)) and sorted(i for b, i in got if b == "y") == list(range(4, 10))
+    assert {b for b, _ in got} == {"x", "y"}
+    assert got["x", 2].post_nav == 1000.0 and got["x", 2].target_weights == {"A": 0.0, "B": 0.0} and got["x", 2].closes == {"A": 102.0, "B": 50.0}
+    assert got["x", 3].is_order and got["x", 3].target_weights == {"A": 0.5, "B": 0.3} and got["x", 3].costs > 0
+    r = got["x", 4]
+    assert r.target_weights["A"] == pytest.approx(r.positions["A"] * 104.0 / r.post_nav) and r.target_weights["A"] > 0.5
+    assert got["y", 4].post_nav == 5000.0 + 10 * 104.0  # goes on from its saved cash and shares
+    first = tick(books, day(5), work_path(spark, "out"), work_path(spark, "state"))
+    saved = work_path(spark, "books")
+    Bk.handed_over(first, books).write.parquet(saved)
+    second = tick(spark.read.schema(Bk.BOOK).parquet(saved), day(9), work_path(spark, "out"), work_path(spark, "state"))
+    both = {(r.book_id, (r.ts - D0).days): r for r in first.unionByName(second).collect()}
+    assert set(both) == set(got)
+    assert all(both[k].post_nav == pytest.approx(got[k].post_nav) and both[k].positions == pytest.approx(got[k].positions) for k in got)
