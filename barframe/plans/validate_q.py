@@ -304,9 +304,9 @@ def v9(spark, sf):
 
 @query("v6_stress_confirmations")
 def v6_stress(spark, sf):
-    """Every perturbation of one spec, train and lockbox, in one plan; then the survival rates."""
+    """Every perturbation of the whole slate, train and lockbox, in one plan; then the survival rates."""
     panel = written(T.panel(spark, sf), "panel")
-    base = dated_specs(panel, SLATE[:1]).withColumnsRenamed({"run_id": "spec_id"})
+    base = dated_specs(panel).withColumnsRenamed({"run_id": "spec_id"})
     varied = V.perturbations(base).withColumn("run_id", F.concat_ws("/", "spec_id", "category", "label")).drop("spec_id")
     located = Re.with_segments(varied, calendar(panel), "lockbox_pct")
     out = Re.evaluate(Wt.running_sums(panel), panel, located)
