@@ -200,6 +200,19 @@ def slate_research(
     return out.withColumn("is_winner", F.col("_won").isNotNull()).drop("_won")
 
 
+def batch_research(
+    sums: DataFrame, panel: DataFrame, specs: DataFrame, calendar: DataFrame, min_rows: int = 300, paths: int = bootstrap.PATHS,
+) -> DataFrame:
+    """Specs of a batch (as slate_research, without a slate) over their whole range, one row for every
+    spec with its problems, warnings, status, reason and result."""
+    asked = written(critiqued(specs).withColumnRenamed("run_id", "spec_id"), "batch-asked")
+    dated = asked.filter("approved").withColumns({c: F.col(c).cast("date") for c in ("start", "end")})
+    runs = validate.locate_runs(dated.select(F.col("spec_id").alias("run_id"), *[c for c in specs.columns if c != "run_id"]), calendar)
+    runs = written(runs, "batch-runs")
+    results = evaluate(sums, panel, runs, min_rows=min_rows, paths=paths).withColumnRenamed("run_id", "spec_id")
+    return outcome(asked, runs.select(F.col("run_id").alias("spec_id")), results.select("spec_id", *RESULT))
+
+
 def forward_evaluation(nav: DataFrame, positions: DataFrame) -> DataFrame:
     """Realized against expected performance since inception.
 

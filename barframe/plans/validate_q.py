@@ -325,13 +325,12 @@ def v8(spark, sf):
     panel = written(T.panel(spark, sf), "panel")
     names = panel.filter("pos = 0").groupBy("universe_id").agg(F.array_sort(F.collect_set("asset")).alias("a"))
     item = F.format_string(
-        '{"defaults": {"family": "cross_sectional_momentum", "lookback": 126, "top_k": 2, "start": "%s", "end": "%s"}, "portfolios": [{"name": "all", "assets": %s}, {"name": "three", "assets": "%s", "family": "dual_momentum", "rebalance": 42}]}',
+        '{"defaults": {"family": "cross_sectional_momentum", "lookback": 126, "top_k": 2, "start": "%s", "end": "%s"}, "portfolios": [{"name": "all", "assets": %s}, {"name": "three", "assets": "%s", "family": "dual_momentum", "rebalance": 42}, {"name": "lone", "assets": "NONE"}]}',
         F.lit(FIRST), F.lit(LAST), F.to_json("a"), F.array_join(F.slice("a", 1, 3), ","))
     docs = names.select("universe_id", F.from_json(item, BATCH_FILE).alias("f")).select("universe_id", "f.*")
     specs = batch_specs(docs, carry=("universe_id",)).withColumn("run_id", F.col("name"))
-    runs = V.locate_runs(specs, calendar(panel))
-    out = Re.evaluate(Wt.running_sums(panel), panel, runs)
-    return rounded(out.select("run_id", *_SHOWN, "failed_checks", "verdict"), 6, *_SHOWN)
+    out = Re.batch_research(Wt.running_sums(panel), panel, specs, calendar(panel)).withColumnRenamed("spec_id", "run_id")
+    return rounded(out.select("run_id", "status", "reason", *_SHOWN, "failed_checks", "verdict"), 6, *_SHOWN)
 
 
 cte("seg_comp", """SELECT segment, pos, composite, avg(composite) OVER (PARTITION BY segment ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS s FROM (

@@ -105,3 +105,12 @@ def test_slate_without_a_runnable_spec(spark, located):
     slate = specs.withColumns({"slate_id": F.lit("s"), "idx": F.lit(1), "assets": F.array(F.lit("A"))})
     out = Re.slate_research(Wt.running_sums(panel), panel, slate, calendar(panel), paths=0).collect()
     assert len(out) == 2 and {(r.status, r.is_winner) for r in out} == {("rejected", False)}
+
+
+def test_batch_comes_back_whole(spark, located):
+    panel, specs, _ = located
+    lone = specs.filter("run_id = 'dual_momentum'").withColumns({"run_id": F.lit("lone"), "assets": F.array(F.lit("A"))})
+    old = lone.withColumns({"run_id": F.lit("old"), "assets": F.array(F.lit("A"), F.lit("B")), "start": F.lit("1990-01-01").cast("date"), "end": F.lit("1994-01-01").cast("date")})
+    out = {r.spec_id: r for r in Re.batch_research(Wt.running_sums(panel), panel, specs.unionByName(lone).unionByName(old), calendar(panel), paths=0).collect()}
+    assert {k: r.status for k, r in out.items()} == {"dual_momentum": "ok", "equal_weight_trend": "ok", "lone": "rejected", "old": "error"}
+    assert out["old"].reason == "no dates in the calendar" and out["dual_momentum"].n_checks == 6 and out["lone"].sharpe_ratio is None
