@@ -47,7 +47,7 @@ def edited(rnd, w, letters):
     return w[:at] + ("" if kind == 0 else rnd.choice(letters)) + w[at + (kind != 1):]
 
 
-@pytest.mark.parametrize("letters, least", [("ab", 4), ("abc", 7), ("abcdefghijklmnop", 5), ("aé÷ÿz", 6)])
+@pytest.mark.parametrize("letters, least", [("ab", 4), ("abcdefghijklmnop", 5), ("aé÷ÿz", 6)])
 def test_equals_all_pairs(spark, letters, least):
     rnd = random.Random(letters)
     words = {"".join(rnd.choice(letters) for _ in range(rnd.randint(least, least + 4))) for _ in range(60)}
