@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 from barframe.llm import language_id as L
@@ -185,6 +187,26 @@ def test_base_spans_equal_a_plain_scan(docs):
     assert pii.luhn("4539578763621486") and not pii.luhn("4539578763621487")
 
 
+def test_linear_scans_equal_the_patterns_on_random_strings():
+    rng = random.Random(8)
+    for alphabet in ("a9.@-+ ()", "a@.-", "1. ", "12.3", "+1( -", "a@b.c_"):
+        for _ in range(1500):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
+            assert [s[:3] for s in pii.spans(t) if s[3]] == brute_spans(t), t
+
+
+@pytest.mark.parametrize("unit", [
+    "p", "9", "1.1.1.", "+1(", "a@", "@a", "1.1.1.1 ", "a@b.c ", "one ", "a dot ", "x at ", "(", "a (", "9 ", "one one one ", "a [at] b [dot] cc ",
+    "1.1.1.1 one dot one dot one dot one ",
+])
+def test_very_long_runs_take_linear_time(unit):
+    text = unit * (2_000_000 // len(unit))
+    start = time.process_time()
+    found = pii.spans(text)
+    assert time.process_time() - start < 25
+    assert all(0 <= a < b <= len(text) for _, a, b, _ in found)
+
+
 @pytest.mark.parametrize("text, kind, source", [
     ("mail john.doe at example dot com now", "email", "john.doe at example dot com"),
     ("x jo [at] example (dot) co (dot) uk", "email", "jo [at] example (dot) co (dot) uk"),
