@@ -271,13 +271,8 @@ def matching_positions(paper: DataFrame, log: DataFrame) -> DataFrame:
     ).drop("_k")
 
 
-def search(log: DataFrame, identifier: str) -> DataFrame:
-    """Groups (slate and strategy) that match a text, best first: an exact group id wins alone;
-    otherwise asset-set, text, token and family matches add up. Text must match within one
-    record."""
-    query = identifier.strip().lower()
-    q = F.lit(query)
-    wanted = tokens(q)
+def search_rows(log: DataFrame) -> DataFrame:
+    """What a search needs of each record: its group, strategy, text, assets and family."""
     text = F.lower(F.concat_ws(
         " ", F.coalesce("slate_id", F.lit("")), F.coalesce("asset", F.lit("")),
         F.coalesce("strategy_family", F.lit("")), F.array_join("assets", " "),
@@ -287,24 +282,39 @@ def search(log: DataFrame, identifier: str) -> DataFrame:
         "|", "strategy_family", F.array_join("assets", ","), F.col("lookback").cast("string"),
         F.col("top_k").cast("string"), F.col("rebalance").cast("string"),
     )
-    rows = log.withColumns({"group_id": group_id, "strategy": strategy, "_text": text, "_tok": wanted})
-    hits = F.filter("_tok", lambda t: F.col("_text").contains(t))
-    groups = rows.withColumn("_hit", hits).groupBy("group_id", "strategy").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.transform("assets", lambda a: F.lower(a))))).alias("_assets"),
-        F.max(F.col("_text").contains(q)).alias("_whole"),
-        F.array_distinct(F.flatten(F.collect_set("_hit"))).alias("_found"),
-        F.collect_set(F.lower("strategy_family")).alias("_families"),
-        F.count("*").alias("n_records"),
-        F.max("timestamp").alias("latest"),
+    return log.select(
+        group_id.alias("group_id"), strategy.alias("strategy"), text.alias("text"),
+        F.transform("assets", lambda a: F.lower(a)).alias("assets"), F.lower("strategy_family").alias("family"),
+        F.lit(1).cast("long").alias("n"), F.col("timestamp").alias("latest"),
     )
-    facts = rows.select(
-        (F.lower("group_id") == q).alias("_exact"),
-        F.array_intersect(F.transform("assets", lambda a: F.lower(a)), "_tok").alias("_known"),
+
+
+def search_facts(rows: DataFrame, identifier: str) -> DataFrame:
+    """One row: whether a group id equals the text, and which of its tokens are assets of the log."""
+    q = F.lit(identifier.strip().lower())
+    return rows.select(
+        (F.lower("group_id") == q).alias("_exact"), F.array_intersect("assets", tokens(q)).alias("_known"),
     ).agg(
         F.max("_exact").alias("_any_exact"),
         F.array_distinct(F.flatten(F.collect_set("_known"))).alias("_query_assets"),
-    ).withColumn("_all", F.lit(1))
-    out = groups.withColumn("_all", F.lit(1)).join(facts, "_all").withColumn("_tok", wanted)
+    )
+
+
+def ranked_groups(rows: DataFrame, facts: DataFrame, identifier: str) -> DataFrame:
+    """Groups of search rows by score. rows may be any part of the log that holds whole groups,
+    facts are those of the whole log."""
+    q = F.lit(identifier.strip().lower())
+    wanted = tokens(q)
+    hits = F.filter("_tok", lambda t: F.col("text").contains(t))
+    groups = rows.withColumn("_tok", wanted).withColumn("_hit", hits).groupBy("group_id", "strategy").agg(
+        F.array_distinct(F.flatten(F.collect_set("assets"))).alias("_assets"),
+        F.max(F.col("text").contains(q)).alias("_whole"),
+        F.array_distinct(F.flatten(F.collect_set("_hit"))).alias("_found"),
+        F.collect_set("family").alias("_families"),
+        F.sum("n").alias("n_records"),
+        F.max("latest").alias("latest"),
+    )
+    out = groups.withColumn("_all", F.lit(1)).join(facts.withColumn("_all", F.lit(1)), "_all").withColumn("_tok", wanted)
     asked = F.size("_query_assets")
     missing = F.size(F.array_except("_query_assets", "_assets")) > 0
     extra = F.size("_assets") - asked
@@ -321,3 +331,11 @@ def search(log: DataFrame, identifier: str) -> DataFrame:
     return kept.select("group_id", "strategy", "score", "n_records", "latest").orderBy(
         F.desc("score"), F.desc("latest"), "group_id", "strategy"
     )
+
+
+def search(log: DataFrame, identifier: str) -> DataFrame:
+    """Groups (slate and strategy) that match a text, best first: an exact group id wins alone;
+    otherwise asset-set, text, token and family matches add up. Text must match within one
+    record. Reads the whole log; operators.log_index answers from a stored index."""
+    rows = search_rows(log)
+    return ranked_groups(rows, search_facts(rows, identifier), identifier)

@@ -8,10 +8,12 @@ from barframe.functions import normal as N
 from barframe.functions import normal_sql as NS
 from barframe.functions import scalars as Sc
 from barframe.operators import log as L
+from barframe.operators import log_index as Ix
 from barframe.operators import rules as Ru
 from barframe.operators import validate as V
 from barframe.plans import tables as T
 from barframe.plans.registry import cte, query, rounded
+from barframe.session import work_path
 
 _A = "['AAA', 'BBB', 'CCC', 'DDD', 'EEE']"
 _FAM = "[" + ", ".join(f"'{f}'" for f in T.LOG_FAMILIES) + "]"
@@ -200,21 +202,46 @@ def j10(spark, sf):
     return L.matching_positions(T.paper_positions(spark, sf), rlog(spark, sf)).select("position_id", "strategy_family")
 
 
-@query("v18_log_search", """WITH g AS (SELECT slate AS group_id, family || '|' || array_to_string(assets, ',') || '|' || lookback || '|' || top_k || '|21' AS strategy, family, assets, count(*) AS n_records, max(ts_text) AS latest
+_SEARCH = """WITH g AS (SELECT slate AS group_id, family || '|' || array_to_string(assets, ',') || '|' || lookback || '|' || top_k || '|21' AS strategy, family, assets, count(*) AS n_records, max(ts_text) AS latest
   FROM rlog GROUP BY slate, family, assets, lookback, top_k)
 SELECT group_id, strategy, CAST(CASE WHEN len(assets) = 2 THEN 1000 ELSE 0 END + CASE WHEN contains('portfolio[' || lower(array_to_string(assets, ',')) || ']', 'zzz') THEN 20 ELSE 0 END
   + CASE WHEN family = 'dual_momentum' THEN 10 + 50 ELSE 0 END AS INTEGER) AS score, n_records, latest
-FROM g WHERE list_contains(assets, 'AAA') AND list_contains(assets, 'BBB')""")
+FROM g WHERE list_contains(assets, 'AAA') AND list_contains(assets, 'BBB')"""
+_SEARCH_EXACT = """SELECT slate AS group_id, family || '|' || array_to_string(assets, ',') || '|' || lookback || '|' || top_k || '|21' AS strategy, 0 AS score, count(*) AS n_records, max(ts_text) AS latest
+FROM rlog WHERE slate = 'S17' GROUP BY slate, family, assets, lookback, top_k"""
+
+
+@query("v18_log_search", _SEARCH)
 def v18(spark, sf):
     return L.search(rlog(spark, sf), "AAA BBB dual_momentum")
 
 
-@query("v18_log_search_exact", """SELECT slate AS group_id, family || '|' || array_to_string(assets, ',') || '|' || lookback || '|' || top_k || '|21' AS strategy, 0 AS score, count(*) AS n_records, max(ts_text) AS latest
-FROM rlog WHERE slate = 'S17' GROUP BY slate, family, assets, lookback, top_k""")
+@query("v18_log_search_exact", _SEARCH_EXACT)
 def v18b(spark, sf):
     return L.search(rlog(spark, sf), "s17")
 
 
+def log_index(spark, sf):
+    """The index of the log, appended in two parts, each indexed when it has landed."""
+    log = rlog(spark, sf)
+    landing, path, seen = work_path(spark, "log-landing"), work_path(spark, "log-index"), work_path(spark, "log-index-state")
+    late = F.pmod(F.xxhash64("record_id"), F.lit(4)) == 0
+    for part in (~late, late):
+        log.filter(part).write.mode("append").parquet(landing)
+        Ix.extend(spark.readStream.schema(log.schema).parquet(landing), path, seen)
+    return path
+
+
+@query("v18_log_index_search", _SEARCH)
+def v18_index(spark, sf):
+    return Ix.search_index(spark, log_index(spark, sf), "AAA BBB dual_momentum")
+
+
+@query("v18_log_index_search_exact", _SEARCH_EXACT)
+def v18_index_exact(spark, sf):
+    return Ix.search_index(spark, log_index(spark, sf), "s17")
+
+
 @query("p13_research_verdict", """SELECT record_id, CASE WHEN record_id % 17 = 0 THEN 'error' WHEN record_id % 19 = 0 THEN 'reject' WHEN ret < 0 OR dd <= -50 OR trades < 10 THEN 'reject'
   WHEN strong AND list_contains(failed, 'Portfolio walk-forward stability') THEN 'needs_more_testing' WHEN strong THEN 'worth_paper_trading' ELSE 'needs_more_testing' END AS verdict
 FROM (SELECT *, ret > 0 AND beats AND trades >= 20 AND dd > -50 AND 5 - len(failed) > 2.5 AS strong FROM rlog)""")
