@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barframe.functions.scalars import packed_key
 from barframe.operators import replay as R
 from barframe.plans import portfolio_q as PQ
 from barframe.plans import tables as T
@@ -11,12 +12,16 @@ from barframe.plans.registry import cte, query, rounded
 from barframe.session import work_path, written
 from barframe.streaming import bars as SB
 from barframe.streaming import books as Bk
+from barframe.streaming import corrections as Co
 
 COST = R.COMMISSION + R.SLIPPAGE
 
 
-@query("r6_stream_bars", """SELECT asset, ts, open, high, low, close, volume FROM intraday
-WHERE ts + INTERVAL 4 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE""")
+_STREAM_BARS = """SELECT asset, ts, open, high, low, close, volume FROM intraday
+WHERE ts + INTERVAL 4 HOUR <= date_trunc('milliseconds', (SELECT max(ts) FROM events)) - INTERVAL 10 MINUTE"""
+
+
+@query("r6_stream_bars", _STREAM_BARS)
 def r6(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     raw = spark.readStream.schema(schema).parquet(f"{sf}/events*.parquet")
@@ -26,6 +31,35 @@ def r6(spark, sf):
     return spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+TICK = "event_id long, asset string, ts timestamp, price double"
+
+
+def corrected(spark, sf):
+    """Ticks in three deliveries: the first half, the second half, then every tenth tick of both, late."""
+    ticks = T.events(spark, sf).select("event_id", "asset", "ts", F.col("price").cast("double"))
+    landing, path, state = work_path(spark, "ticks-landing"), work_path(spark, "corrected-bars"), work_path(spark, "corrected-state")
+    late = F.col("event_id") % 10 == 0
+    lo, hi = ticks.agg(F.min("ts"), F.max("ts")).first()
+    half = F.col("ts") < F.lit(lo + (hi - lo) / 2)
+    rank = packed_key((F.unix_micros("ts"), 18), (F.col("event_id"), 19))
+    for part in (~late & half, ~late & ~half, late):
+        ticks.filter(part).write.mode("append").parquet(landing)
+        Co.run_corrections(spark.readStream.schema(TICK).parquet(landing), path, state, "4 hours", "10 minutes", rank)
+    return path
+
+
+@query("r6_corrected_bars", _STREAM_BARS)
+def r6_corrected(spark, sf):
+    bars = Co.current_bars(spark, corrected(spark, sf))
+    return bars.select("asset", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+@query("r6_late_ticks", """SELECT event_id, event_type AS asset, value AS price FROM events WHERE event_id % 10 = 0
+AND time_bucket(INTERVAL '4 hours', ts) + INTERVAL 4 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events WHERE event_id % 10 <> 0)""")
+def r6_late(spark, sf):
+    return Co.late_ticks(spark, corrected(spark, sf), TICK).select("event_id", "asset", "price")
+
+
 def book_bars(spark, sf, *ids):
     """One row per book and bar: prices of its assets and, on order dates, its target weights."""
     panel, runs, w = PQ.family_weights(spark, sf, *ids)
