@@ -12,6 +12,7 @@ from barframe.operators import metrics as M
 from barframe.operators import replay as R
 from barframe.operators import research as Re
 from barframe.operators import signals as S
+from barframe.operators import sweep as Sw
 from barframe.operators import validate as V
 from barframe.operators import weights as Wt
 from barframe.operators.bars import calendar
@@ -171,6 +172,54 @@ def v7(spark, sf):
     return rounded(out, 6, "best_sharpe", "sweep_dsr")
 
 
+# The same path as an operator, with a train side and a lockbox.
+SWEPT, SLOW, HELD_OUT = (2, 3, 4, 5, 6, 8, 12, 20, 25), 20, "1997-01-01"
+_LW = "PARTITION BY asset, segment, value ORDER BY ts"
+
+
+def _lw(sql: str) -> str:
+    return sql.replace("PARTITION BY asset ORDER BY ts", _LW)
+
+
+_VALID = [n for n in SWEPT if n < SLOW]
+cte("lat_src", f"SELECT asset, segment, ts, close, value, count(*) OVER ({_LW}) AS k, avg(close) OVER ({_LW} ROWS BETWEEN {SLOW - 1} PRECEDING AND CURRENT ROW) AS s0, CASE value "
+    + " ".join(f"WHEN {n} THEN avg(close) OVER ({_LW} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in _VALID)
+    + f" END AS f0 FROM (SELECT *, CASE WHEN ts < DATE '{HELD_OUT}' THEN 'train' ELSE 'lockbox' END AS segment FROM panel_d), (SELECT unnest({_VALID}) AS value)")
+cte("lat_sig", _lw(f"SELECT *, {series_q.up('f', 's')} AS entry, {series_q.down('f', 's')} AS exit FROM (SELECT *, CASE WHEN k >= value THEN f0 END AS f, CASE WHEN k >= {SLOW} THEN s0 END AS s FROM lat_src)"))
+cte("lat_eq", f"""SELECT *, 10000 * product(CASE WHEN prev = 1 THEN close / pc ELSE 1 END * CASE WHEN prev = 0 AND p = 1 THEN 1 / (1.0005 * 1.001) WHEN prev = 1 AND p = 0 THEN 0.9995 * 0.999 ELSE 1 END) OVER ({_LW}) AS eq FROM (
+  SELECT *, coalesce(lag(p) OVER ({_LW}), 0) AS prev, lag(close) OVER ({_LW}) AS pc FROM (
+  SELECT *, coalesce(last_value(CASE WHEN entry AND NOT exit THEN 1 WHEN exit AND NOT entry THEN 0 END IGNORE NULLS) OVER ({_LW}), 0) AS p FROM lat_sig))""")
+cte("lat_m", f"""SELECT asset, segment, value, (arg_max(eq, ts) / 10000 - 1) * 100 AS ret, (arg_max(close, ts) / arg_min(close, ts) - 1) * 100 AS bh, count(*) FILTER (prev = 0 AND p = 1) AS trades,
+  avg(eq / prev_eq - 1) / nullif(stddev_samp(eq / prev_eq - 1), 0) * sqrt(365) AS sharpe, min(eq / peak - 1) * 100 AS dd, greatest(2, CAST(round_even((max(ts) - min(ts)) * 252 / 365.0::DOUBLE, 0) AS INTEGER)) AS days
+  FROM (SELECT *, coalesce(lag(eq) OVER ({_LW}), 10000) AS prev_eq, max(eq) OVER ({_LW}) AS peak FROM lat_eq) GROUP BY 1, 2, 3""")
+cte("lat_v", f"""SELECT *, CASE WHEN ret < 0 OR dd <= -50 OR trades < 10 THEN 'reject' WHEN ret > 0 AND ret > bh AND trades >= 20 AND
+  (trades >= 20)::INT + (ret > bh)::INT + (ret > 0)::INT + (dd > -50)::INT + coalesce({psr_sql('sharpe', 'days', '0.0')} >= 0.95, false)::INT > 2.5 THEN 'worth_paper_trading' ELSE 'needs_more_testing' END AS verdict FROM lat_m""")
+cte("lat_entry", f"""SELECT a.asset, a.value, CASE WHEN a.value < {SLOW} THEN 'ok' ELSE 'invalid' END AS status, t.verdict AS train_verdict, l.verdict AS lockbox_verdict, coalesce(l.verdict = 'worth_paper_trading', false) AS confirms,
+  l.sharpe, l.ret, l.bh, l.days FROM (SELECT DISTINCT asset, value FROM panel_d, (SELECT unnest({list(SWEPT)}) AS value)) a LEFT JOIN lat_v t ON t.asset = a.asset AND t.value = a.value AND t.segment = 'train'
+  LEFT JOIN lat_v l ON l.asset = a.asset AND l.value = a.value AND l.segment = 'lockbox'""")
+
+
+def swept(spark, sf):
+    panel = written(T.panel(spark, sf).select("asset", "ts", "close"), "panel")
+    return Sw.sweep_entries(panel, SWEPT, SLOW, HELD_OUT)
+
+
+@query("v7_sweep_entries", """SELECT asset, value, status, train_verdict, lockbox_verdict, confirms, round(sharpe, 6) AS held_out_sharpe, round(ret, 6) AS held_out_return_pct,
+round(bh, 6) AS held_out_benchmark_pct FROM lat_entry""")
+def v7_entries(spark, sf):
+    return rounded(swept(spark, sf).drop("ok", "n_days"), 6, "held_out_sharpe", "held_out_return_pct", "held_out_benchmark_pct")
+
+
+@query("v7_sweep_surface", f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY value) - sum(confirms::INT) OVER (PARTITION BY asset ORDER BY value) AS island FROM lat_entry),
+r AS (SELECT asset, island, count(*) FILTER (confirms) AS run, min(value) FILTER (confirms) AS a, max(value) FILTER (confirms) AS b FROM i GROUP BY 1, 2)
+SELECT p.*, round(d.best, 6) AS best_sharpe, round(CASE WHEN d.n >= 2 THEN {psr_sql('d.best', 'd.days', threshold_sql('d.v', 'd.n'))} END, 6) AS sweep_dsr
+FROM (SELECT asset, CAST(sum(run) AS BIGINT) AS n_confirmed, max(run) AS longest_run, arg_max(a, (run, -a)) AS from_value, arg_max(b, (run, -a)) AS to_value,
+  CASE WHEN sum(run) = 0 THEN 'NONE' WHEN max(run) >= 3 THEN 'PLATEAU' ELSE 'SPIKE' END AS verdict FROM r GROUP BY 1) p
+LEFT JOIN (SELECT asset, count(sharpe) AS n, var_samp(sharpe / sqrt(252)) AS v, max(sharpe) FILTER (confirms) AS best, max(days) AS days FROM lat_entry WHERE status = 'ok' GROUP BY 1) d ON d.asset = p.asset""")
+def v7_surface(spark, sf):
+    return rounded(Sw.sweep_surface(written(swept(spark, sf), "sweep-entries")), 6, "best_sharpe", "sweep_dsr")
+
+
 # --- segments of portfolio runs -------------------------------------------------------------
 
 FIRST, LAST = "1995-06-01", "2001-09-30"
