@@ -15,7 +15,8 @@ from barframe.session import written
 
 def components(links: DataFrame, most: int = 100) -> DataFrame:
     """(id, component) of every vertex of `links` (columns a, b; longs without nulls), where
-    component is the smallest id reachable. Loops and repeats are allowed."""
+    component is the smallest id reachable. Loops and repeats are allowed. Raises where `most` rounds are
+    not enough, rather than to return components that links still join."""
     edges = written(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star-0"
     )
@@ -35,5 +36,7 @@ def components(links: DataFrame, most: int = 100) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components still changed after {most} rounds")
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -26,6 +26,7 @@ from barframe.session import written
 
 WEIGHTS = (5, 2, 1)  # by source in code point order, repeating
 CAP = 3
+UNSOLVED = 1e-6  # relative distance of a source's mass from its target
 ID_BLOCK = 65536
 
 
@@ -59,7 +60,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 
 def dual_newton(sized: DataFrame, goal: DataFrame, tolerance: float = 1e-11, most: int = 60) -> DataFrame:
-    """goal with `lam`: the solution of the dual. Every step is one aggregate over all documents."""
+    """goal with `lam`: the solution of the dual. Every step is one aggregate over all documents. Raises
+    where the steps do not get there."""
     state = written(goal.withColumn("lam", F.lit(0.0)), "balance-0")
     for step in range(1, most + 1):
         at = state.select(F.col("source").alias("_s"), "source_size", "target", "lam")
@@ -77,8 +79,13 @@ def dual_newton(sized: DataFrame, goal: DataFrame, tolerance: float = 1e-11, mos
             ),
             f"balance-{step}",
         )
-        if (state.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
+        moved = state.agg(F.max("moved")).first()[0] or 0.0
+        if moved < tolerance:
             break
+    else:
+        # Sums over very many documents may never agree to the tolerance; farther off it is no solution.
+        if moved > UNSOLVED:
+            raise RuntimeError(f"the weights still moved by {moved} after {most} Newton steps")
     return state.drop("moved")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
 from barframe.llm import exact_dedup as D
 from barframe.llm import mixing as M
 from barframe.llm import slots as S
@@ -125,3 +126,11 @@ def test_copies_of_one_id_or_none_leave_one(docs):
     rows = [(None, "a b"), (None, "ab"), (7, "c d"), (7, "cd"), (7, "other"), (8, "e f"), (8, "e f"), (8, "ef"), (None, "alone")]
     kept = sorted((str(r.doc_id), r.text) for r in D.exact_dedup(docs(rows)).collect())
     assert kept == [("7", "c d"), ("7", "other"), ("8", "e f"), ("None", "a b"), ("None", "alone")]
+
+
+def test_newton_steps_raise_where_they_do_not_get_there(spark):
+    sized = spark.createDataFrame([(1, "a", 10), (2, "b", 1000)], "doc_id long, source string, size long")
+    goal = M.targets(sized)
+    assert M.dual_newton(sized, goal).count() == 2
+    with pytest.raises(RuntimeError, match="after 1 Newton steps"):
+        M.dual_newton(sized, goal, most=1)

@@ -216,6 +216,8 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component for r in G.components(spark.createDataFrame(chain + star, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[i] == 1000 for i in (1000, 1049, 3000)) and 5 in got
     assert G.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError, match="after 2 rounds"):
+        G.components(spark.createDataFrame(chain, "a long, b long"), most=2)
 
 
 SHELL = '<html><body><div class="top"><a href="/">home</a></div>{}</body></html>'
